@@ -6,10 +6,54 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import media, quality, token_output
+from . import media, mixing, pieces, quality, token_output
 from .common import shared_dir, table, tokenizer_path
 
 
+#: The tree and target weights that op2 and the pipeline use: three domains of sources, four languages.
+MIX_WEIGHTS = {"domain": {"d0": 5, "d1": 3, "d2": 2}, "language": {"en": 6, "fr": 2}, "origin": {"src0": 3, "src1": 2}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (3, 5), 2, 17
+
+
+def mix_levels():
+    number = F.regexp_extract("source", "([0-9]+)", 1)
+    return {"domain": F.concat(F.lit("d"), F.when(number != "", number.cast("long") % 3).cast("string")), "language": F.col("lang"), "origin": F.col("source")}
+
+
+def op1_sentencepiece(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op2_mix_sources(spark, sf_dir):
+    got = mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return got.select("doc_id", "epoch", "domain", "language", "origin", "n_tokens", "leaf_budget")
+
+
+def _op2_sql() -> str:
+    names = ["domain", "language", "origin"]
+    num, den = MIX_SHARE
+    parts = [f'''base AS (SELECT doc_id, coalesce('d' || (CAST(nullif(regexp_extract(source, '([0-9]+)', 1), '') AS BIGINT) % 3), '') AS domain,
+      coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+      CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+    sizes AS (SELECT domain, language, origin, CAST(sum(n_tokens) AS BIGINT) AS avail FROM base GROUP BY ALL),
+    g0 AS (SELECT least(a * {num} // {den}, a * {MIX_EPOCHS}) AS budget FROM (SELECT CAST(coalesce(sum(avail), 0) AS BIGINT) AS a FROM sizes))''']
+    for k, level in enumerate(names, 1):
+        keys, family = ", ".join(names[:k]), ", ".join(names[: k - 1])
+        by = f"PARTITION BY {family}" if family else ""
+        weight = "CASE " + " ".join(f"WHEN {level} = '{v}' THEN {w}" for v, w in MIX_WEIGHTS[level].items()) + " ELSE 1 END"
+        order = f"{by} ORDER BY CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE), {level}"
+        parts.append(f'''n{k} AS (SELECT *, CAST({weight} AS BIGINT) AS weight FROM (SELECT {keys}, CAST(sum(avail) * {MIX_EPOCHS} AS BIGINT) AS cap FROM sizes GROUP BY {keys})
+        {f"JOIN g{k - 1} USING ({family})" if family else "CROSS JOIN g0"}),
+    m{k} AS (SELECT *, cap * CAST(sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) <= weight * (budget - CAST(sum(cap) OVER ({order} ROWS UNBOUNDED PRECEDING) - cap AS BIGINT)) AS sat FROM n{k}),
+    p{k} AS (SELECT *, CAST(budget - coalesce(sum(cap) FILTER (sat) OVER ({by}), 0) AS BIGINT) AS rest, CAST(sum(weight) FILTER (NOT sat) OVER ({by}) AS BIGINT) AS every,
+        CAST(coalesce(sum(weight) FILTER (NOT sat) OVER ({order} ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS sofar FROM m{k}),
+    g{k} AS (SELECT {keys}, CASE WHEN sat THEN cap ELSE (rest * sofar) // every - (rest * (sofar - weight)) // every END AS budget FROM p{k})''')
+    parts.append(f'''leaves AS (SELECT *, budget - f * avail AS rest FROM (SELECT *, CASE WHEN avail > 0 THEN budget // avail ELSE 0 END AS f FROM sizes JOIN g3 USING (domain, language, origin))),
+    runs AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, origin ORDER BY md5('{MIX_SEED}:' || f || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS upto FROM base JOIN leaves USING (domain, language, origin)),
+    counted AS (SELECT *, CASE WHEN (rest > 0 OR f = 0) AND upto <= rest THEN f + 1 ELSE f END AS epochs FROM runs)''')
+    return "WITH " + ", ".join(parts) + " SELECT doc_id, CAST(unnest(range(epochs)) AS INTEGER) AS epoch, domain, language, origin, n_tokens, budget AS leaf_budget FROM counted"
+
+
 def op8_media_columns(spark, sf_dir):
     return media.digest(media.pack_texts(table(spark, sf_dir, "documents")))
 
@@ -25,5 +69,5 @@ def op10_token_id_output(spark, sf_dir):
     return token_output.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op8_media_columns, op9_quality_classifier, op10_token_id_output)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op8_media_columns, op9_quality_classifier, op10_token_id_output)}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _op2_sql()}
