@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, pieces, quality, token_output
+from . import media, mixing, neighbours, pieces, quality, token_output, urls
 from .common import shared_dir, table, tokenizer_path
 
 
@@ -54,6 +54,23 @@ def _op2_sql() -> str:
     return "WITH " + ", ".join(parts) + " SELECT doc_id, CAST(unnest(range(epochs)) AS INTEGER) AS epoch, domain, language, origin, n_tokens, budget AS leaf_budget FROM counted"
 
 
+#: The contract's url rules.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_nearest_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark, sf_dir):
+    """A page is labelled if the document whose number ends its path is: bad if toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.expr("try_cast(nullif(regexp_extract(url, '/([0-9]+)[^0-9/]*/?([?#].*)?$', 1), '') as bigint)")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    labelled = pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", "bad")
+    return urls.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.round("share", 9).alias("share"))
+
+
 def op8_media_columns(spark, sf_dir):
     return media.digest(media.pack_texts(table(spark, sf_dir, "documents")))
 
@@ -69,5 +86,5 @@ def op10_token_id_output(spark, sf_dir):
     return token_output.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op8_media_columns, op9_quality_classifier, op10_token_id_output)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_nearest_neighbours, op7_url_filter, op8_media_columns, op9_quality_classifier, op10_token_id_output)}
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _op2_sql()}
