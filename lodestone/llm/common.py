@@ -158,3 +158,48 @@ class PieceCache:
 
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def packed(bucket: np.ndarray, rows: np.ndarray):
+    """Groups structured rows by bucket: a pandas frame with one blob of rows for each bucket that has any."""
+    import pandas as pd
+
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, dtype=np.int64)
+    ends = np.append(first[1:], len(rows))
+    return pd.DataFrame({"bucket": bucket[first].astype("int32"), "blob": [rows[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist())]})
+
+
+PACKED = "bucket int, blob binary"
+
+
+def buckets(spark: SparkSession) -> int:
+    """Buckets of packed rows: some for each shuffle partition, so that partitions fill evenly and grow in number with the input."""
+    return 16 * parts(spark)
+
+
+def exchange(df: DataFrame, work, dtype: np.dtype, schema: str) -> DataFrame:
+    """Brings all rows of a bucket into one partition and applies work(rows of a partition) -> frames."""
+
+    def run(frames):
+        blobs = [b for pdf in frames for b in pdf["blob"]]
+        if blobs:
+            yield from work(np.frombuffer(b"".join(blobs), dtype=dtype))
+
+    return df.repartition(parts(df.sparkSession), "bucket").mapInPandas(run, schema)
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) of every node in links (a, b): root is the smallest node reachable. Labels spread to neighbours
+    and jump along pointers until nothing changes; each round's labels are written, so lineage stays short."""
+    both = stash(links.where("a != b").select("a", "b").unionByName(links.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    label = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
+    while True:
+        near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        jump = step.join(label.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", "old", F.least("root", "far").alias("root"))
+        new = stash(jump, "labels")
+        if not new.where("root != old").head(1):
+            return new.select("node", "root")
+        label = new.select("node", "root")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, neighbours, pieces, quality, token_output, urls
+from . import media, mixing, neighbours, ngram_join, pieces, quality, token_output, urls
 from .common import shared_dir, table, tokenizer_path
 
 
@@ -62,6 +62,10 @@ def op3_nearest_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark, sf_dir):
     """A page is labelled if the document whose number ends its path is: bad if toxic or of low quality."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -86,5 +90,5 @@ def op10_token_id_output(spark, sf_dir):
     return token_output.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_nearest_neighbours, op7_url_filter, op8_media_columns, op9_quality_classifier, op10_token_id_output)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_nearest_neighbours, op6_ngram_join, op7_url_filter, op8_media_columns, op9_quality_classifier, op10_token_id_output)}
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _op2_sql()}
