@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -112,16 +113,121 @@ def slice_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BLANK_ONLY = np.zeros(256, dtype=bool)
+BLANK_ONLY[0x20] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes that are not ASCII white space)."""
-    edge = np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8))
+def word_spans(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that are not ASCII white space, or not in another table)."""
+    edge = np.diff(np.concatenate(([True], space[data], [True])).astype(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+#: Bytes whose words are hashed at a time; longer only if one word is.
+PIECE = 1 << 19
+
+
+def word_hashes(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of a text, or of texts with a blank between them. Memory beyond the result is bounded."""
+    start, end = word_spans(data, space)
+    out, k = np.empty(len(start), dtype=np.uint64), 0
+    while k < len(start):
+        a = start[k]
+        m = max(k + 1, int(np.searchsorted(end, a + PIECE, side="right")))
+        out[k:m] = slice_hash(prefix_hash(data[a : end[m - 1]]), start[k:m] - a, end[k:m] - a)
+        k = m
+    return start, end, out
+
+
+class WordIds:
+    """Ids of texts word by word, where words are ended by the bytes of `space`: a table from a word's 64-bit hash to
+    its ids. New words are given to encode(list of words) -> packed ids. Bounded: a full table starts again, which
+    costs time but changes no result."""
+
+    def __init__(self, encode, dtype: str, space: np.ndarray = _SPACE, limit: int = 1_200_000) -> None:
+        self.encode, self.dtype, self.space, self.limit = encode, np.dtype(dtype), space, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.at, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.flat, self.used = np.zeros(1 << 20, dtype=self.dtype), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Rows of sorted hashes in the table, -1 for new ones."""
+        if not len(self.known):
+            return np.full(len(h), -1, dtype=np.int64)
+        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[k] == h, k, -1)
+
+    def learn(self, h: np.ndarray, words: list[str]) -> None:
+        got = self.encode(words)
+        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // self.dtype.itemsize
+        new = np.frombuffer(b"".join(got), dtype=self.dtype)
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(new), self.used // 2), dtype=self.dtype)])
+        at = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        place = np.searchsorted(self.known, h)
+        self.known, self.at, self.size = np.insert(self.known, place, h), np.insert(self.at, place, at), np.insert(self.size, place, size)
+
+    def rows(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Rows in the table of distinct, sorted hashes; new words are learned from where they stand first."""
+        row = self.find(h)
+        if (new := row < 0).any():
+            if len(self.known) + new.sum() > self.limit:
+                self.clear()
+                new[:] = True
+            self.learn(h[new], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[new].tolist(), end[new].tolist())])
+            row = self.find(h)
+        return row
+
+    def spread(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[row].astype(np.int64)
+        begin = self.at[row] - (np.cumsum(size) - size)
+        return size, self.flat[np.repeat(begin, size) + np.arange(size.sum())]
+
+    def ids(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of the words in data, number of ids of each, and all ids in order."""
+        start, end, h = word_hashes(data, self.space)
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        return start, h, *self.spread(self.rows(distinct, start[first], end[first], data)[which])
+
+    def tally(self, data: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words' hashes, how often each occurs, and how often each of so many ids does."""
+        start, end, h = word_hashes(data, self.space)
+        distinct, first, n = np.unique(h, return_index=True, return_counts=True)
+        size, own = self.spread(self.rows(distinct, start[first], end[first], data))
+        return distinct, n, np.bincount(own, np.repeat(n, size), minlength=ids).astype(np.int64)
+
+    def texts(self, texts: list[bytes], group: int = 1 << 20) -> list[np.ndarray]:
+        """The ids of each text; short texts go in groups."""
+        out, k = [], 0
+        while k < len(texts):
+            m, total = k, 0
+            while m < len(texts) and (m == k or total + len(texts[m]) < group):
+                total += len(texts[m]) + 1
+                m += 1
+            own = texts[k:m]
+            start, _, size, ids = self.ids(np.frombuffer(b" ".join(own), dtype=np.uint8))
+            begins = np.cumsum([0, *(len(x) + 1 for x in own)])
+            cut = np.append(0, np.cumsum(size))[np.searchsorted(start, begins)]
+            out += [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            k = m
+        give_back()
+        return out
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers live long and share an executor's limit."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def folded(text: str | None) -> np.ndarray:
     """A text's UTF-8 bytes with A-Z in lower case. A lone surrogate counts as its three bytes."""
     return _FOLD[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
@@ -139,22 +245,20 @@ class PieceCache:
     """word -> packed ids, where new words are encoded in groups by encode(list of words). Bounded: it is emptied
     when it is full, which costs time but changes no result."""
 
-    def __init__(self, encode, limit: int = 700_000) -> None:
+    def __init__(self, encode, limit: int = 60_000) -> None:
         self.encode, self.limit, self.known = encode, limit, {}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encodes the words of many texts that aren't known yet, in one go."""
-        known = self.known
-        new = {w for words in texts for w in words if w not in known}
-        if len(known) + len(new) > self.limit:
-            self.known = {}
-            new = set().union(*texts)
-        new = list(new)
-        self.known.update(zip(new, self.encode(new)))
-
-    def pack(self, words: list[str]) -> bytes:
-        """The packed ids of all the words, one after the other; learn() must have had them."""
-        return b"".join(map(self.known.__getitem__, words))
+    def pack(self, texts: list[list[str]]) -> list[bytes]:
+        """The packed ids of each text's words, one after the other. New words of all texts are encoded in one go."""
+        found = [list(map(self.known.get, words)) for words in texts]
+        new = list({w for words, got in zip(texts, found) if None in got for w, x in zip(words, got) if x is None})
+        if new:
+            if len(self.known) + len(new) > self.limit:
+                self.known = {}
+            now = dict(zip(new, self.encode(new)))
+            self.known.update(now)
+            found = [[now[w] if x is None else x for w, x in zip(words, got)] if None in got else got for words, got in zip(texts, found)]
+        return [b"".join(got) for got in found]
 
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -203,3 +307,46 @@ def connected(links: DataFrame) -> DataFrame:
         if not new.where("root != old").head(1):
             return new.select("node", "root")
         label = new.select("node", "root")
+
+
+#: Bits of the filter that finds again, in a scan, the rows of needed keys, whatever their number (4 MB).
+FILTER_BITS = 1 << 25
+
+
+class KeyFilter:
+    """A fixed-size bit filter of 64-bit keys: it lets all needed keys through and few others. More keys make it
+    let more others through, which an exact join removes later."""
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        import pandas as pd
+
+        def bits(frames):
+            out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+            for pdf in frames:
+                h = mix64(pdf[column].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
+                np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+            if out.any():
+                yield pd.DataFrame({"block": np.arange(16), "bits": [x.tobytes() for x in np.split(out, 16)]})
+
+        def merge(pdf):
+            return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in pdf["bits"]]).tobytes()]})
+
+        rows = keys.select(column).where(F.col(column).isNotNull()).mapInPandas(bits, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").collect()  # 4 MB
+        found = {r.block: bytes(r.bits) for r in rows}
+        self.mask = keys.sparkSession.sparkContext.broadcast(b"".join(found.get(k, bytes(FILTER_BITS // 128)) for k in range(16)))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        mask = np.frombuffer(self.mask.value, dtype=np.uint8)
+        h = mix64(keys.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
+        return (mask[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds each row's number (from 0) in a global order, found by range partitions: no task holds more than one."""
+    from pyspark.sql import Window
+
+    placed = df.repartitionByRange(parts(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = stash(placed, "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # as many rows as partitions
+    return placed.join(base, "_part").withColumn(name, F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1).drop("_part", "_base")

@@ -11,7 +11,9 @@ that Spark writes will do. Shards come in ascending doc_id order (`part`, `seq`)
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 
 import numpy as np
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import PieceCache, parts, text_of, tune
+from .common import WordIds, bytes_of, parts, text_of, tune
 
 MAGIC, VERSION = b"LDTK", 1
 DICTIONARY_DOCS, DICTIONARY_BYTES, SHARD_BYTES = 500, 65_536, 1 << 20
@@ -31,18 +33,20 @@ class Encoder:
 
     Where `by_word` holds (the tokenizer drops white space before it merges, so no merge, normalisation or
     pre-token crosses it), each distinct run of non-space is given to the library once, many runs in a call with
-    a control character between them, and is then taken from a bounded cache; the ids are those of encoding the
-    whole text. Texts that hold U+001C to U+001F, which only Python counts as space, go to the library whole.
+    a control character between them, and is then taken from a bounded table; the ids are those of encoding the
+    whole text.
     """
 
     MARK = "\x01"
+    #: Words of one pre-token (and a closing stop or comma, which is one of its own) that normalisation leaves alone.
+    PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
 
     def __init__(self, path: str, dtype: str = "<u4", by_word: bool | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.library, self.dtype = Tokenizer.from_file(path), dtype
         self.by_word = self.drops_space() if by_word is None else by_word
-        self.cache = PieceCache(self.words)
+        self.cache, self.plain = WordIds(self.words, dtype), self.plain_tokenizer() if self.by_word else None
 
     def drops_space(self) -> bool:
         mark = self.ids(self.MARK)
@@ -56,22 +60,55 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.ids(text), dtype=self.dtype).tobytes()
 
-    def words(self, words: list[str], group: int = 256) -> list[bytes]:
-        mark, out = self.ids(self.MARK)[0], {}
-        plain = [w for w in words if self.MARK not in w]
-        groups = [plain[i : i + group] for i in range(0, len(plain), group)]
-        for own, got in zip(groups, self.library.encode_batch_fast([f" {self.MARK} ".join(g) for g in groups], add_special_tokens=False)):
+    def plain_tokenizer(self):
+        """The same model without normaliser and pattern, for PLAIN words; None where it can't be used."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        said = json.loads(self.library.to_str())
+        suffix = said["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        plain = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "added_tokens": []}))
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.library.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.closes[[i for p, i in vocab.items() if p.endswith(suffix)]] = True
+        self.stops = {x: self.whole(x) for x in (".", ",", "")}
+        tried = ["a", "the", "zq", "\u00e9t\u00e9", "na\u00efve", "stra\u00dfe", "xylophones", "s", "ve"]
+        good = all(plain.encode(w.lower(), add_special_tokens=False).ids == self.ids(w) and self.ids(w + ".") == self.ids(w) + self.ids(".") and self.closes[self.ids(w)].tolist()[:-1] == [False] * (len(self.ids(w)) - 1) for v in tried for w in (v, v.upper()) if len(w.lower()) == len(v))
+        return plain if good else None
+
+    def split(self, tokenizer, texts: list[str], cut_at) -> list[list[bytes]]:
+        """Packed ids of each text's parts; cut_at(ids) gives the first id after each part, and how many ids lie between parts."""
+        out = []
+        for got in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(got.ids, dtype=self.dtype)
-            cut = np.flatnonzero(ids == mark)
+            cut, gap = cut_at(ids)
             size, raw = ids.itemsize, ids.tobytes()
-            for w, a, b in zip(own, [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)]):
-                out[w] = raw[a:b]
+            ends = (cut * size).tolist()
+            out.append([raw[a:b] for a, b in zip([0, *((cut + gap) * size).tolist()], [*ends, len(raw)] if gap else ends)])
+        return out
+
+    def words(self, words: list[str], group: int = 256) -> list[bytes]:
+        out = {}
+        if self.plain:
+            match = {w: m.groups() for w in words if (m := self.PLAIN(w.lower() if w.isascii() else w))}
+            cores = list({c for c, _ in match.values()})
+            groups = [cores[i : i + group] for i in range(0, len(cores), group)]
+            got = self.split(self.plain, [" ".join(g) for g in groups], lambda ids: (np.flatnonzero(self.closes[ids]) + 1, 0))
+            known = {c: x for g, own in zip(groups, got) for c, x in zip(g, own, strict=True)}
+            out = {w: known[c] + self.stops[stop] for w, (c, stop) in match.items()}
+        mark = self.ids(self.MARK)[0]
+        rest = [w for w in words if w not in out and self.MARK not in w]
+        groups = [rest[i : i + group] for i in range(0, len(rest), group)]
+        for g, own in zip(groups, self.split(self.library, [f" {self.MARK} ".join(g) for g in groups], lambda ids: (np.flatnonzero(ids == mark), 1))):
+            out.update(zip(g, own, strict=True))
         return [out[w] if w in out else self.whole(w) for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() if self.by_word and not any(c in t for c in "\x1c\x1d\x1e\x1f") else None for t in texts]
-        self.cache.learn([w for w in words if w is not None])
-        return [self.whole(t) if w is None else self.cache.pack(w) for t, w in zip(texts, words)]
+        if not self.by_word:
+            return [self.whole(t) for t in texts]
+        return [x.tobytes() for x in self.cache.texts([bytes_of(t) for t in texts])]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
