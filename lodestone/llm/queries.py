@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, neighbours, ngram_join, pieces, quality, token_output, urls
+from . import language_model, media, mixing, neighbours, ngram_join, pieces, quality, suffix_dedup, token_output, urls
 from .common import shared_dir, table, tokenizer_path
 
 
@@ -62,6 +62,14 @@ def op3_nearest_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return language_model.score(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark, sf_dir):
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
@@ -90,5 +98,5 @@ def op10_token_id_output(spark, sf_dir):
     return token_output.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_nearest_neighbours, op6_ngram_join, op7_url_filter, op8_media_columns, op9_quality_classifier, op10_token_id_output)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_nearest_neighbours, op4_lm_scoring, op5_suffix_dedup, op6_ngram_join, op7_url_filter, op8_media_columns, op9_quality_classifier, op10_token_id_output)}
 ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _op2_sql()}
