@@ -279,8 +279,13 @@ PACKED = "bucket int, blob binary"
 
 
 def buckets(spark: SparkSession) -> int:
-    """Buckets of packed rows: some for each shuffle partition, so that partitions fill evenly and grow in number with the input."""
-    return 16 * parts(spark)
+    """Buckets of packed rows: one for each shuffle partition, so a task writes a blob at most to each."""
+    return parts(spark)
+
+
+def to_buckets(df: DataFrame) -> DataFrame:
+    """Each bucket's rows in a partition of their own: placed by number, so none meet by hash and none stay empty."""
+    return df.repartitionById(buckets(df.sparkSession), F.col("bucket"))
 
 
 def exchange(df: DataFrame, work, dtype: np.dtype, schema: str) -> DataFrame:
@@ -291,7 +296,7 @@ def exchange(df: DataFrame, work, dtype: np.dtype, schema: str) -> DataFrame:
         if blobs:
             yield from work(np.frombuffer(b"".join(blobs), dtype=dtype))
 
-    return df.repartition(parts(df.sparkSession), "bucket").mapInPandas(run, schema)
+    return to_buckets(df).mapInPandas(run, schema)
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, KeyFilter, buckets, bytes_of, mix64, numbered, packed, parts, powers, prefix_hash, slice_hash, stash, tune
+from .common import _BYTE, KeyFilter, buckets, bytes_of, mix64, numbered, packed, powers, prefix_hash, slice_hash, stash, to_buckets, tune
 
 SPAN, GRAM = 100, 32
 REACH = SPAN - GRAM  # bytes on either side of an anchor that its windows reach
@@ -314,7 +314,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _exchange(df: DataFrame, work) -> DataFrame:
     """work: generator over the frames of a partition that holds all rows of its buckets."""
-    return df.repartition(parts(df.sparkSession), "bucket").mapInPandas(work, ROWS)
+    return to_buckets(df).mapInPandas(work, ROWS)
 
 
 def spans(keyed: DataFrame) -> DataFrame:
@@ -495,4 +495,4 @@ def _finished(keyed: DataFrame, with_text: bool) -> DataFrame:
         out = pd.DataFrame(rows, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         return out if with_text else out.drop(columns="kept")
 
-    return found.unionByName(texts).repartition(parts(keyed.sparkSession), "bucket").mapInPandas(finish, schema)
+    return to_buckets(found.unionByName(texts)).mapInPandas(finish, schema)
