@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceCache, text_of, tune
+from .common import BLANK_ONLY, PieceCache, WordIds, bytes_of, text_of, tune
 
-CHUNK = 16_384
+CHUNK = 65_536
 BLANK = "▁"
 _RUN = re.compile(f"{BLANK}+[^{BLANK}]*")
 State = tuple[int, int]
@@ -46,12 +46,16 @@ class Pieces:
         raw = {i: b"" for i in special} | {i: bytes([b]) for b, i in self.byte_ids.items()} | {i: p.replace(BLANK, " ").encode() for p, i in self.ids.items()}
         self.raw = [raw[i] for i in range(len(names))]
         self.lone = np.array([self.ids[BLANK]], dtype="<u4").tobytes()
-        self.cache = PieceCache(self.words)
+        self.cache, self.table = PieceCache(self.words), WordIds(self.words, "<u4", BLANK_ONLY)
         self.merged = lru_cache(200_000)(self._merged)
         self.compatible = lru_cache(400_000)(lambda a, b: self.merged(a + b) == (a, b))
 
     def words(self, words: list[str]) -> list[bytes]:
-        return [np.array(x, dtype="<u4").tobytes() if w else self.lone for w, x in zip(words, self.library.encode(words, num_threads=1))]
+        out = []
+        for k in range(0, len(words), 4096):  # lists of numbers are large; few live at a time
+            own = words[k : k + 4096]
+            out += [np.array(x, dtype="<u4").tobytes() if w else self.lone for w, x in zip(own, self.library.encode(own, num_threads=1))]
+        return out
 
     def _merged(self, text: str) -> tuple[str, ...]:
         """Merges one short text: the best score first, the leftmost of equals."""
@@ -84,10 +88,11 @@ class Pieces:
         return [r[1:].replace(BLANK, " ") for r in _RUN.findall(BLANK + text.replace(" ", BLANK))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts that are one chunk each."""
-        runs = [self.runs(t) for t in texts]
-        self.cache.learn(runs)
-        return [self.cache.pack(r) for r in runs]
+        """Packed ids of texts that are one chunk each. Where single blanks part the words, all are looked up at once."""
+        plain = [bool(t) and t[0] != " " and t[-1] != " " and "  " not in t and BLANK not in t for t in texts]
+        quick = iter(self.table.texts([bytes_of(t) for t, p in zip(texts, plain) if p]))
+        other = iter(self.cache.pack([self.runs(t) for t, p in zip(texts, plain) if not p]))
+        return [next(quick).tobytes() if p else next(other) for p in plain]
 
     def decode(self, ids) -> bytes:
         """The UTF-8 text of packed ids, without the blank that encoding puts before it."""
@@ -153,8 +158,7 @@ class Pieces:
 
     def middle(self, text: str, first: int, final: int) -> bytes:
         runs = [r[1:].replace(BLANK, " ") for r in _RUN.findall(text[first:final])]
-        self.cache.learn([runs])
-        return self.cache.pack(runs)
+        return self.cache.pack([runs])[0]
 
     def tail(self, text: str, first: int, final: int) -> dict[State, float]:
         """The one state that ends at the pinch `final`, and the score from `first`."""
@@ -232,9 +236,9 @@ def chunks(text: str, size: int, around: int) -> list[tuple[int, int, int, str]]
     return out
 
 
-def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, text, ids (unsigned 32-bit, little endian) of every row. Null texts count as empty and get no ids;
-    repeated rows stay; other columns of docs are left out."""
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
+    """doc_id, text, ids (unsigned 32-bit, little endian) of every row; decoded: also what they read as, made in the
+    same pass. Null texts count as empty and get no ids; repeated rows stay; other columns of docs are left out."""
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -242,7 +246,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     def short(frames):
         for pdf in frames:
-            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), ids=model(path).encode([text_of(t) for t in pdf["text"]]))
+            out = pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), ids=model(path).encode([text_of(t) for t in pdf["text"]]))
+            yield _decoded(out, path) if decoded else out
 
     around = 48  # over twice the longest piece
 
@@ -275,7 +280,13 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     borders = pieces.mapInPandas(transfer, "key string, k long, m binary").groupBy("key").applyInPandas(states, "key string, k long, o0 long, o1 long, s0 long, s1 long")
     traced = pieces.join(borders, ["key", "k"]).mapInPandas(trace, "key string, k long, ids binary")
     joined = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("x")))).alias("all")).select("key", F.unhex(F.array_join(F.col("all.x"), "")).alias("ids"))
-    return docs.where(~long).mapInPandas(short, "doc_id long, text string, ids binary").unionByName(giant.join(joined, "key").select("doc_id", "text", "ids"))
+    giants = giant.join(joined, "key").select("doc_id", "text", "ids")
+    small = docs.where(~long).mapInPandas(short, "doc_id long, text string, ids binary" + ", decoded string" * decoded)
+    return small.unionByName(decode(giants, path) if decoded else giants)
+
+
+def _decoded(pdf: pd.DataFrame, path: str) -> pd.DataFrame:
+    return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), decoded=[model(path).decode(x).decode("utf-8", "replace") for x in pdf["ids"]])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -283,7 +294,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(frames):
         for pdf in frames:
-            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), decoded=[model(path).decode(x).decode("utf-8", "replace") for x in pdf["ids"]])
+            yield _decoded(pdf, path)
 
     return encoded.select("doc_id", "text", "ids").mapInPandas(run, "doc_id long, text string, ids binary, decoded string")
 
@@ -291,5 +302,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def digest(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids_crc32, round_trip: what encoding every text and decoding it again gives.
     round_trip holds if the decoded text is the text (a literal U+2581 reads as a blank)."""
-    got = decode(encode(docs, path, chunk), path)
+    got = encode(docs, path, chunk, decoded=True)
     return got.select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.replace("text", F.lit(BLANK), F.lit(" "))).alias("round_trip"))
