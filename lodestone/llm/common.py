@@ -228,6 +228,16 @@ def give_back() -> None:
         pass
 
 
+def frugal(work):
+    """A mapInPandas function that gives freed memory back when its partition is done."""
+
+    def run(frames):
+        yield from work(frames)
+        give_back()
+
+    return run
+
+
 def folded(text: str | None) -> np.ndarray:
     """A text's UTF-8 bytes with A-Z in lower case. A lone surrogate counts as its three bytes."""
     return _FOLD[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
@@ -296,7 +306,7 @@ def exchange(df: DataFrame, work, dtype: np.dtype, schema: str) -> DataFrame:
         if blobs:
             yield from work(np.frombuffer(b"".join(blobs), dtype=dtype))
 
-    return to_buckets(df).mapInPandas(run, schema)
+    return to_buckets(df).mapInPandas(frugal(run), schema)
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, text_of, tune
+from .common import crc32_of, frugal, text_of, tune
 
 #: Labelled rows that are used for fitting, at most: the bound of the sample.
 SAMPLE_ROWS = 12_000
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         for pdf in frames:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": list(feature_matrix(pdf["text"]))})
 
-    got = rows.mapInPandas(run, "doc_id long, y double, x array<double>").toPandas()
+    got = rows.mapInPandas(frugal(run), "doc_id long, y double, x array<double>").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     x = np.stack(got["x"].to_numpy())
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Trees, threshold: float = 0.7) -> DataFrame:
             s = model.score(feature_matrix(pdf["text"])) if len(pdf) else np.zeros(0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": s, "predicted": (s >= threshold).astype("int32")})
 
-    return src.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return src.mapInPandas(frugal(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.7) -> DataFrame:
@@ -181,4 +181,4 @@ def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.7) -> DataFram
             if len(pdf):
                 yield pdf[model.score(feature_matrix(pdf["text"])) >= threshold]
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInPandas(frugal(run), docs.schema)

@@ -28,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, KeyFilter, buckets, bytes_of, mix64, numbered, packed, powers, prefix_hash, slice_hash, stash, to_buckets, tune
+from .common import _BYTE, KeyFilter, buckets, bytes_of, frugal, mix64, numbered, packed, powers, prefix_hash, slice_hash, stash, to_buckets, tune
 
 SPAN, GRAM = 100, 32
 REACH = SPAN - GRAM  # bytes on either side of an anchor that its windows reach
 PIECE = 1 << 17
-FLUSH = 24 << 20
+FLUSH = 8 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 ANCHOR = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
 INTERVAL = np.dtype([("doc", "<i8"), ("a", "<u4"), ("b", "<u4")])
@@ -314,7 +314,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _exchange(df: DataFrame, work) -> DataFrame:
     """work: generator over the frames of a partition that holds all rows of its buckets."""
-    return to_buckets(df).mapInPandas(work, ROWS)
+    return to_buckets(df).mapInPandas(frugal(work), ROWS)
 
 
 def spans(keyed: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def spans(keyed: DataFrame) -> DataFrame:
                 ask[f] = rows[f][several]
             yield by_doc(ask, WANTED, nb)
 
-    first = stash(_exchange(keyed.select("doc", "text").mapInPandas(scan, ROWS), meet), "suffix-anchors")
+    first = stash(_exchange(keyed.select("doc", "text").mapInPandas(frugal(scan), ROWS), meet), "suffix-anchors")
 
     def fetch(frames):
         texts, ask = {}, []
@@ -417,7 +417,7 @@ def texts_of(keyed: DataFrame, rows: DataFrame, dtype: np.dtype, nb: int) -> Dat
             if len(pdf):
                 yield pd.DataFrame({"doc": np.unique(np.concatenate([np.frombuffer(b, dtype=dtype)["doc"] for b in pdf["blob"]]))})
 
-    needed = KeyFilter(rows.mapInPandas(docs_in, "doc long"), "doc")
+    needed = KeyFilter(rows.mapInPandas(frugal(docs_in), "doc long"), "doc")
 
     def send(frames):
         for pdf in frames:
@@ -427,7 +427,7 @@ def texts_of(keyed: DataFrame, rows: DataFrame, dtype: np.dtype, nb: int) -> Dat
                 bucket = (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(nb)).astype("int32")
                 yield pd.DataFrame({"bucket": bucket, "kind": TEXTS, "blob": [d.tobytes() + bytes_of(t) for d, t in zip(doc, pdf["text"])]})
 
-    return keyed.select("doc", "text").mapInPandas(send, ROWS)
+    return keyed.select("doc", "text").mapInPandas(frugal(send), ROWS)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -495,4 +495,4 @@ def _finished(keyed: DataFrame, with_text: bool) -> DataFrame:
         out = pd.DataFrame(rows, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
         return out if with_text else out.drop(columns="kept")
 
-    return to_buckets(found.unionByName(texts)).mapInPandas(finish, schema)
+    return to_buckets(found.unionByName(texts)).mapInPandas(frugal(finish), schema)
