@@ -7,9 +7,9 @@ share a shingle in their prefixes (the first n - ceil(0.8 n) + 1), so:
 
 1. Prefix entries meet by shingle; those of one class only are dropped. What is left of a prefix, its reduced list,
    holds all that two prefixes can have in common.
-2. In each shingle's group, the member with the fullest reduced list is the pivot, and all others are compared to
-   it. Linked ones take its label. Then members with different labels are compared; those with one label are
-   connected already. So large groups of near copies cost their size, not its square.
+2. In each shingle's group, the member whose shingles are the most usual is the pivot (of a family of copies, what
+   they were made from), and members are compared to it, each in a few groups. These links' components are labels. Then members with different labels are compared; those with one label
+   are connected already. So large groups of near copies cost their size, not its square.
 3. A pair is dropped where lengths, or the lists' signatures, prove its overlap too small. The rest is verified in
    prefix trees: for each left set, the partners' sets, globally ordered, go into a trie; the walk carries the overlap
    of a shared path once, and leaves a subtree as soon as its overlap and what can remain are too few.
@@ -26,50 +26,87 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, buckets, connected, exchange, folded, mix64, packed, prefix_hash, slice_hash, stash, text_of, tune, word_spans
+from .common import PACKED, KeyFilter, buckets, connected, exchange, folded, frugal, give_back, mix64, packed, stash, tune, word_hashes
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Cells of the count sketch, whatever the corpus' size (4 MB); entries that a task packs at a time.
-CELLS, FLUSH = 1 << 20, 1 << 21
-#: Bits of the filter that finds the texts of needed classes again, whatever their number (4 MB).
-FILTER_BITS = 1 << 25
-#: Partners in one prefix tree.
-FAN = 128
-ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("p", "<u4")])
-SIGNED = np.dtype([*ENTRY.descr, ("r", "<u4"), ("s0", "<u8"), ("s1", "<u8")])
+#: Cells of the count sketch, whatever the corpus' size (16 MB); entries that a task packs at a time, and pairs
+#: that it looks at.
+CELL_BITS, FLUSH, PAIRS = 22, 1 << 19, 1 << 17
+CELLS, BLOCKS = 1 << CELL_BITS, 16
+#: Partners in one prefix tree; shingles by which a class meets pivots (a choice of speed: links that they don't show
+#: are found afterwards).
+FAN, PROBES = 128, 4
+ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("q", "<f4")])
+SIGNED = np.dtype([*ENTRY.descr, ("r", "<u4"), ("s0", "<u8"), ("s1", "<u8"), ("probe", "u1")])
 LABELLED = np.dtype([*SIGNED.descr, ("label", "<i8")])
 PAIR = "a long, b long"
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of one whole text."""
-    data = folded(text)
-    start, end = word_spans(data)
-    if not len(start):
-        return np.zeros(0, dtype=np.uint64)
-    w = slice_hash(prefix_hash(data), start, end)
-    k = min(words, len(w))
-    h = np.zeros(len(w) - k + 1, dtype=np.uint64)
-    for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(h)]
-    return np.unique(mix64(h))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def class_of(s: np.ndarray) -> int:
-    """A set's identity: a hash of all its members."""
-    x = mix64(s + np.uint64(0x632BE59BD9B4E019))
-    return int(mix64(np.array([(x * (np.uint64(2) * mix64(x) + np.uint64(1))).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
+def _shingles(w: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many word hashes."""
+    h = np.zeros(max(0, len(w) - words + 1), dtype=np.uint64)
+    for i in range(words):
+        h = h * _STEP + w[i : i + len(h)]
+    return mix64(h)
+
+
+def shingle_sets(texts: list, words: int = WORDS, group: int = 1 << 19) -> list[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each whole text; short texts are hashed in groups."""
+    raw, out, k = [folded(t if isinstance(t, str) else None) for t in texts], [], 0
+    blank = np.frombuffer(b" ", dtype=np.uint8)
+    while k < len(raw):
+        m, size = k, 0
+        while m < len(raw) and (m == k or size + len(raw[m]) < group):
+            size += len(raw[m]) + 1
+            m += 1
+        start, _, w = word_hashes(np.concatenate([x for r in raw[k:m] for x in (r, blank)]))
+        cut = np.searchsorted(start, np.cumsum([0, *(len(r) + 1 for r in raw[k:m])])).tolist()
+        h = _shingles(w, words)
+        for a, b in zip(cut[:-1], cut[1:]):
+            out.append(np.unique(h[a : b - words + 1] if b - a >= words else _shingles(w[a:b], b - a)) if b > a else np.zeros(0, dtype=np.uint64))
+        k = m
+    return out
+
+
+def classes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Each set's identity: a hash of all its members; 0 for an empty set."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    out = np.zeros(len(sets), dtype=np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        x = mix64(np.concatenate([sets[k] for k in full.tolist()]) + np.uint64(0x632BE59BD9B4E019))
+        first = np.cumsum(size[full]) - size[full]
+        out[full] = mix64(np.add.reduceat(x * (np.uint64(2) * mix64(x) + np.uint64(1)), first) + size[full].astype(np.uint64)) | np.uint64(1)
+    return out.view(np.int64)
 
 
 def cell_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(44)).astype(np.int64)
+    return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
 
+class Order:
+    """The global order of shingles, and how usual a set's shingles are, from the counts of all cells. A cell's level
+    is 0, or its count where that stands out from the median by six deviations."""
 
-def ordered(s: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """A set in global order: by the level of its cell, then by hash."""
-    return s[np.lexsort((s, late[cell_of(s)]))]
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+        self.middle = float(np.median(counts))
+        self.limit = self.middle + 6 * np.sqrt(self.middle + 1) + 3
+
+    def put(self, s: np.ndarray) -> np.ndarray:
+        """A sorted set in global order: by level, then by hash."""
+        c = self.counts[cell_of(s)]
+        late = c > self.limit
+        return s[np.lexsort((s, np.where(late, c, 0)))] if late.any() else s
+
+    def usual(self, s: np.ndarray) -> float:
+        """The mean count of a set's cells, each up to eight medians: the text that copies were made from has the most."""
+        return float(np.minimum(self.counts[cell_of(s)], 8 * self.middle + 64).mean())
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -87,9 +124,10 @@ def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     its size lets it have."""
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
     need = needed(na, nb)
+    pa, pb = prefix_length(na), prefix_length(nb)
     differ = np.bitwise_count(a["s0"] ^ b["s0"]).astype(np.int64) + np.bitwise_count(a["s1"] ^ b["s1"])
     most = np.minimum((a["r"].astype(np.int64) + b["r"] - differ) // 2, np.minimum(a["r"], b["r"]))
-    fits = (a["p"].astype(np.int64) - most <= na - need) | (b["p"].astype(np.int64) - most <= nb - need)
+    fits = (pa - most <= na - need) | (pb - most <= nb - need)
     return (need <= np.minimum(na, nb)) & fits
 
 
@@ -106,7 +144,7 @@ def groups(rows: np.ndarray):
 class Trie:
     """Globally ordered sets as a radix tree in arrays: nodes are runs of shingles, parents come before children."""
 
-    def __init__(self, sets: list[np.ndarray], late: np.ndarray) -> None:
+    def __init__(self, sets: list[np.ndarray]) -> None:
         """sets are in global order."""
         keys = [mix64(s) for s in sets]  # only equality matters
         order = sorted(range(len(sets)), key=lambda k: keys[k].astype(">u8").tobytes())
@@ -187,44 +225,56 @@ class Trie:
         return np.where(live[leaf], got[leaf], -1)
 
 
-def linked_to(probe: np.ndarray, sets: list[np.ndarray], late: np.ndarray) -> np.ndarray:
+def linked_to(probe: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Which of the globally ordered sets are linked to the sorted probe."""
     if not sets:
         return np.zeros(0, dtype=bool)
-    trie = Trie(sets, late)
+    trie = Trie(sets)
     got = trie.overlaps(probe)
     return (got >= 0) & (100 * got >= PERCENT * (len(probe) + trie.sizes - got))
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls of each row, and the sketch as rows with a cell block and counts."""
+    """doc_id, n, cls of each row (cls null: no shingle), and the sketch as rows with a cell block and counts."""
 
     def run(frames):
         sketch = np.zeros(CELLS, dtype="<u4")
         for pdf in frames:
-            sets = [shingles(text_of(t)) for t in pdf["text"]]
+            sets = shingle_sets(pdf["text"].tolist())
             if sets:
-                sketch += np.bincount(cell_of(np.concatenate(sets)), minlength=CELLS).astype("<u4")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "cls": [class_of(s) if len(s) else None for s in sets], "cells": None, "counts": None}).astype({"cls": "Int64", "cells": "Int64"})
+                cells, n = np.unique(cell_of(np.concatenate(sets)), return_counts=True)
+                sketch[cells] += n.astype("<u4")
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "cls": pd.Series(classes_of(sets), index=pdf.index).astype("Int64"), "cells": None, "counts": None})
+            out.loc[out["n"] == 0, "cls"] = pd.NA
+            yield out.astype({"cells": "Int64"})
+            del sets
+            give_back()
         if sketch.any():
-            yield pd.DataFrame({"doc_id": [None] * 16, "n": -1, "cls": None, "cells": np.arange(16), "counts": [x.tobytes() for x in np.split(sketch, 16)]}).astype({"doc_id": "Int64", "cls": "Int64", "cells": "Int64"})
+            import zstandard
 
-    return docs.mapInPandas(run, "doc_id long, n long, cls long, cells long, counts binary")
+            z = zstandard.ZstdCompressor(level=1)
+            planes = [z.compress(np.ascontiguousarray(x.view("u1").reshape(-1, 4).T).tobytes()) for x in np.split(sketch, BLOCKS)]
+            yield pd.DataFrame({"doc_id": [None] * BLOCKS, "n": -1, "cls": None, "cells": np.arange(BLOCKS), "counts": planes}).astype({"doc_id": "Int64", "cls": "Int64", "cells": "Int64"})
 
+    return docs.mapInPandas(frugal(run), "doc_id long, n long, cls long, cells long, counts binary")
 
-def late_cells(described: DataFrame) -> np.ndarray:
-    """The level of each cell: 0, or its count where that stands out from the median by six deviations."""
+
+def order_of(described: DataFrame) -> Order:
+    """Adds the sketches of all tasks; the sum has CELLS numbers, whatever the corpus."""
 
     def add(pdf):
-        return pd.DataFrame({"cells": pdf["cells"].iloc[:1], "counts": [sum(np.frombuffer(x, dtype="<u4").astype(np.uint64) for x in pdf["counts"]).astype("<u8").tobytes()]})
+        import zstandard
+
+        z, total = zstandard.ZstdDecompressor(), np.zeros(CELLS // BLOCKS, dtype="<u8")
+        for x in pdf["counts"]:
+            total += np.ascontiguousarray(np.frombuffer(z.decompress(x), dtype="u1").reshape(4, -1).T).view("<u4")[:, 0]
+        return pd.DataFrame({"cells": pdf["cells"].iloc[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
 
-    sums = described.where("cells is not null").select("cells", "counts").groupBy("cells").applyInPandas(add, "cells long, counts binary").collect()  # 8 MB, whatever the corpus
-    total = np.zeros(CELLS, dtype=np.uint64)
+    sums = described.where("cells is not null").select("cells", "counts").groupBy("cells").applyInPandas(add, "cells long, counts binary").collect()
+    total = np.zeros(CELLS, dtype=np.uint32)
     for r in sums:
-        total[r.cells * (CELLS // 16) : (r.cells + 1) * (CELLS // 16)] = np.frombuffer(bytes(r.counts), dtype="<u8")
-    middle = float(np.median(total))
-    level = np.where(total > middle + 6 * np.sqrt(middle + 1) + 3, np.minimum(total, (1 << 32) - 1), 0)
-    return level.astype(np.uint32)
+        total[r.cells * (CELLS // BLOCKS) : (r.cells + 1) * (CELLS // BLOCKS)] = np.frombuffer(bytes(r.counts), dtype="<u4")
+    return Order(total)
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -233,31 +283,32 @@ def components(docs: DataFrame) -> DataFrame:
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = stash(describe(docs), "ngram-docs")
-    levels = late_cells(described)
-    late = spark.sparkContext.broadcast(levels)  # CELLS numbers, whatever the corpus
+    late = spark.sparkContext.broadcast(order_of(described))  # CELLS numbers, whatever the corpus
     nb = buckets(spark)
 
     def entries(frames):
         held, count, seen = [], 0, set()
         for pdf in frames:
-            for t in pdf["text"]:
-                s = shingles(text_of(t))
-                if not len(s) or (c := class_of(s)) in seen:
+            sets = shingle_sets(pdf["text"].tolist())
+            for c, s in zip(classes_of(sets).tolist(), sets):
+                if not len(s) or c in seen:
                     continue
                 if len(seen) < 1 << 20:  # copies in one task are left out here; others meet their class later
                     seen.add(c)
                 p = prefix_length(len(s))
                 e = np.zeros(p, dtype=ENTRY)
-                e["token"], e["cls"], e["n"], e["p"] = ordered(s, late.value)[:p], c, len(s), p
+                e["token"], e["cls"], e["n"], e["q"] = late.value.put(s)[:p], c, len(s), late.value.usual(s)
                 held.append(e)
                 count += p
             if count >= FLUSH:
-                rows = np.concatenate(held)
-                yield packed((mix64(rows["token"]) % np.uint64(nb)).astype(np.int64), rows)
+                yield by_token(np.concatenate(held))
                 held, count = [], 0
+                give_back()
         if held:
-            rows = np.concatenate(held)
-            yield packed((mix64(rows["token"]) % np.uint64(nb)).astype(np.int64), rows)
+            yield by_token(np.concatenate(held))
+
+    def by_token(rows):
+        return packed((mix64(rows["token"]) % np.uint64(nb)).astype(np.int64), rows)
 
     def by_class(rows):
         return packed((mix64(rows["cls"].astype(np.uint64)) % np.uint64(nb)).astype(np.int64), rows)
@@ -270,10 +321,11 @@ def components(docs: DataFrame) -> DataFrame:
             yield by_class(rows[keep])
 
     def sign(rows):
-        rows = rows[np.argsort(rows["cls"], kind="stable")]
+        rows = rows[np.lexsort((mix64(rows["token"] + np.uint64(0x9FB21C651E98DF25)), rows["cls"]))]
         first = np.flatnonzero(np.append(True, rows["cls"][1:] != rows["cls"][:-1]))
         size = np.diff(np.append(first, len(rows)))
         out = np.zeros(len(rows), dtype=SIGNED)
+        out["probe"] = np.arange(len(rows)) - np.repeat(first, size) < PROBES
         for f in ENTRY.names:
             out[f] = rows[f]
         out["r"] = np.repeat(size, size)
@@ -281,64 +333,96 @@ def components(docs: DataFrame) -> DataFrame:
         one = np.uint64(1) << (bit % np.uint64(64))
         for f, here in (("s0", bit < 64), ("s1", bit >= 64)):
             out[f] = np.repeat(np.bitwise_xor.reduceat(np.where(here, one, np.uint64(0)), first), size)
-        yield packed((mix64(out["token"]) % np.uint64(nb)).astype(np.int64), out)
+        yield by_token(out)
 
-    signed = exchange(exchange(docs.select("text").mapInPandas(entries, PACKED), shared, ENTRY, PACKED), sign, ENTRY, PACKED)
+    signed = exchange(exchange(docs.select("text").mapInPandas(frugal(entries), PACKED), shared, ENTRY, PACKED), sign, ENTRY, PACKED)
     signed = stash(signed, "ngram-signed")
 
     def pivots(rows):
         rows, first, size = groups(rows)
-        out = []
-        for a, n in zip(first.tolist(), size.tolist()):
-            g = rows[a : a + n]
-            p = np.lexsort((g["cls"], -(g["r"] / g["p"])))[0]
-            rest = np.delete(g, p)
-            rest = rest[possible(np.broadcast_to(g[p], len(rest)), rest)]
-            out.append(np.stack([np.full(len(rest), g["cls"][p]), rest["cls"]], axis=1))
-        if out:
-            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+        if not len(first):
+            return
+        which = np.repeat(np.arange(len(first)), size)
+        g = rows[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        best = np.lexsort((g["cls"], -g["q"], which))[np.cumsum(size) - size]
+        left, asks = g[np.repeat(best, size)], g["probe"] > 0
+        asks[best] = False
+        other = np.flatnonzero(asks)
+        for at in np.array_split(other, 1 + len(other) // PAIRS):
+            a, b = left[at], g[at]
+            good = possible(a, b)
+            if good.any():
+                yield pd.DataFrame(np.unique(np.stack([a["cls"][good], b["cls"][good]], axis=1), axis=0), columns=["a", "b"])
 
     tested = stash(exchange(signed, pivots, SIGNED, PAIR).distinct(), "ngram-pivot-pairs")
     links = stash(verify(tested, docs, described, late), "ngram-links")
-    # A pivot and what is linked to it share a label; the smallest such pivot counts.
-    labels = links.select(F.col("b").alias("cls"), F.col("a").alias("label")).unionByName(links.select(F.col("a").alias("cls"), F.col("a").alias("label"))).groupBy("cls").agg(F.min("label").alias("label"))
+    labels = connected(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
 
     def spread(frames):
         for pdf in frames:
-            for b, blob in zip(pdf["bucket"], pdf["blob"]):
+            for blob in pdf["blob"]:
                 rows = np.frombuffer(blob, dtype=SIGNED)
-                yield pd.DataFrame({"cls": rows["cls"], "entry": [r.tobytes() for r in rows]})
+                rows = rows[np.argsort(rows["cls"], kind="stable")]
+                cut = np.flatnonzero(np.append(True, rows["cls"][1:] != rows["cls"][:-1]))
+                yield pd.DataFrame({"cls": rows["cls"][cut], "entries": [x.tobytes() for x in np.split(rows, cut[1:])]})
 
     def gather(frames):
+        held, n = [], 0
         for pdf in frames:
-            rows = np.frombuffer(b"".join(pdf["entry"]), dtype=SIGNED)
-            out = np.zeros(len(rows), dtype=LABELLED)
-            for f in SIGNED.names:
-                out[f] = rows[f]
-            out["label"] = pdf["label"].to_numpy()
-            yield packed((mix64(out["token"]) % np.uint64(nb)).astype(np.int64), out)
+            for label, blob in zip(pdf["label"].tolist(), pdf["entries"]):
+                rows = np.frombuffer(blob, dtype=SIGNED)
+                out = np.zeros(len(rows), dtype=LABELLED)
+                for f in SIGNED.names:
+                    out[f] = rows[f]
+                out["label"] = label
+                held.append(out)
+                n += len(out)
+            if n >= FLUSH // 2:
+                yield by_token(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield by_token(np.concatenate(held))
 
     def others(rows):
         rows, first, size = groups(rows)
-        out = []
-        for a, n in zip(first.tolist(), size.tolist()):
-            g = rows[a : a + n]
-            kinds, kind, many = np.unique(g["label"], return_inverse=True, return_counts=True)
-            if len(kinds) == 1:
-                continue
-            done = np.zeros(n, dtype=bool)
-            done[kind == many.argmax()] = True  # pairs inside the largest label need no look
-            for k in np.flatnonzero(~done).tolist():
-                rest = g[(g["label"] != g["label"][k]) & (done | (np.arange(n) > k))]
-                rest = rest[possible(np.broadcast_to(g[k], len(rest)), rest)]
-                if len(rest):
-                    out.append(np.stack([np.minimum(g["cls"][k], rest["cls"]), np.maximum(g["cls"][k], rest["cls"])], axis=1))
-            if len(out) > 4096:
-                out = [np.unique(np.concatenate(out), axis=0)]
-        if out:
-            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
-
-    labelled = signed.mapInPandas(spread, "cls long, entry binary").join(labels, "cls", "left").select(F.coalesce("label", "cls").alias("label"), "entry").mapInPandas(gather, PACKED)
+        if not len(first):
+            return
+        edge = np.stack([first, first + size], axis=1).ravel()  # every second slice is a group
+        edge = edge[:-1] if edge[-1] == len(rows) else edge
+        low, high = (f.reduceat(rows["label"], edge)[::2] for f in (np.minimum, np.maximum))
+        mixed = low != high  # groups with several labels
+        first, size = first[mixed], size[mixed]
+        found: list[np.ndarray] = []
+
+        def look(i, j):
+            a, b = rows[i], rows[j]
+            good = a["label"] != b["label"]
+            a, b = a[good], b[good]
+            good = possible(a, b)
+            if good.any():
+                x, y = a["cls"][good], b["cls"][good]
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+            if len(found) > 256:
+                found[:] = [np.unique(np.concatenate(found), axis=0)]
+
+        small = size <= 64
+        for a, n in zip(first[~small].tolist(), size[~small].tolist()):
+            label = rows["label"][a : a + n]
+            _, kind, many = np.unique(label, return_inverse=True, return_counts=True)
+            common = kind == many.argmax()  # pairs inside the largest label need no look
+            for k in np.flatnonzero(~common).tolist():
+                j = np.flatnonzero(common | (np.arange(n) > k))
+                for at in np.array_split(j, 1 + len(j) // PAIRS):
+                    look(np.full(len(at), a + k), a + at)
+        for n in np.unique(size[small]).tolist():  # groups of one size: all their pairs at once
+            i, j = np.triu_indices(n, 1)
+            own = first[small & (size == n)]
+            for at in np.array_split(own, 1 + len(own) * len(i) // PAIRS):
+                look((at[:, None] + i[None, :]).ravel(), (at[:, None] + j[None, :]).ravel())
+        if found:
+            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    labelled = signed.mapInPandas(frugal(spread), "cls long, entries binary").join(labels, "cls", "left").select(F.coalesce("label", "cls").alias("label"), "entries").mapInPandas(frugal(gather), PACKED)
     rest = exchange(labelled, others, LABELLED, PAIR).distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stash(rest.join(known, ["a", "b"], "left_anti"), "ngram-other-pairs")
@@ -354,41 +438,20 @@ def components(docs: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, late) -> DataFrame:
     """The pairs (a, b) of classes that are linked. Sets are made again from the text of each class' first document."""
-    spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     first = described.where("cls is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x")).select("cls", F.col("x.doc_id").alias("doc_id"))
     first = stash(first, "ngram-wanted")
-
-    def bits(frames):
-        out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for pdf in frames:
-            h = mix64(pdf["cls"].to_numpy().astype(np.uint64)) % np.uint64(FILTER_BITS)
-            np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)))
-        if out.any():
-            yield pd.DataFrame({"block": np.arange(16), "bits": [x.tobytes() for x in np.split(out, 16)]})
-
-    def merge(pdf):
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in pdf["bits"]]).tobytes()]})
-
-    got = {r.block: bytes(r.bits) for r in first.mapInPandas(bits, "block int, bits binary").groupBy("block").applyInPandas(merge, "block int, bits binary").collect()}
-    mask = spark.sparkContext.broadcast(np.frombuffer(b"".join(got.get(k, bytes(FILTER_BITS // 128)) for k in range(16)), dtype=np.uint8))  # FILTER_BITS, whatever the corpus
+    needed = KeyFilter(first, "doc_id")
 
     def sets(frames):
-        seen: set[int] = set()
         for pdf in frames:
-            rows = []
-            for t in pdf["text"]:
-                s = shingles(text_of(t))
-                if len(s):
-                    c = class_of(s)
-                    h = int(mix64(np.array([c], dtype=np.int64).astype(np.uint64))[0]) % FILTER_BITS
-                    if mask.value[h >> 3] >> (h & 7) & 1 and c not in seen:
-                        seen.add(c)
-                        rows.append((c, s.tobytes()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["cls", "set"])
-
-    table = docs.select("text").mapInPandas(sets, "cls long, set binary").join(first.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+            ids = pdf["doc_id"].astype("Int64")
+            pdf = pdf[ids.isna() | needed.has(ids.fillna(0).to_numpy(dtype=np.int64))] if len(pdf) else pdf
+            if len(pdf):
+                found = shingle_sets(pdf["text"].tolist())
+                yield pd.DataFrame({"cls": classes_of(found), "set": [s.tobytes() for s in found]})
+
+    table = docs.mapInPandas(frugal(sets), "cls long, set binary").join(first.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     table = stash(table, "ngram-sets")
     fans = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salted = pairs.join(fans, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"1 + n div {FAN}")))
@@ -400,8 +463,8 @@ def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, late) -> Dat
         if not len(probe) or not len(partners):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
         p = np.frombuffer(probe["aset"].iloc[0], dtype=np.uint64)
-        all_sets = [ordered(np.frombuffer(x, dtype=np.uint64), late.value) for x in partners["bset"]]
-        hit = linked_to(p, all_sets, late.value)
+        all_sets = [late.value.put(np.frombuffer(x, dtype=np.uint64)) for x in partners["bset"]]
+        hit = linked_to(p, all_sets)
         return pd.DataFrame({"a": key[0], "b": partners["b"].to_numpy()[hit]}).astype("int64")
 
     left = left.select(F.col("a").alias("la"), F.col("salt").alias("ls"), "aset")  # names of its own: both sides come from pairs
