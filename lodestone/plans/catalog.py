@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,14 +64,16 @@ _KNN = "SELECT q.vec_id AS q, c.vec_id, list_sum(list_transform(range(1, 65), la
 _RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS rank FROM ({_KNN.format(n=40)}))"
 
 
-def _knn(spark, sf_dir, n, k=20):
+def _knn(spark, sf_dir, asked, k=20):
+    """asked: the vectors that are queries, as a condition or as rows of vec_id."""
     v = table(spark, sf_dir, "embeddings")
-    return retrieval.nearest(v.where(F.col("vec_id") < n).select(F.col("vec_id").alias("q"), "embedding"), v.select("vec_id", "embedding"), k, "q", "vec_id")
+    chosen = v.join(asked, "vec_id", "left_semi") if isinstance(asked, DataFrame) else v.where(asked)
+    return retrieval.nearest(chosen.select(F.col("vec_id").alias("q"), "embedding"), v.select("vec_id", "embedding"), k, "q", "vec_id")
 
 
 @query(f"SELECT q, vec_id, round(d, 6) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS rank FROM ({_KNN.format(n=20)})) WHERE rank <= 20")
-def knn_topk(spark, sf_dir):
-    return _knn(spark, sf_dir, 20).select("q", "vec_id", F.round("distance", 6).alias("dist"), "rank")
+def knn_topk(spark, sf_dir, whole=False):
+    return _knn(spark, sf_dir, F.col("vec_id") % 100 == 0 if whole else F.col("vec_id") < 20).select("q", "vec_id", F.round("distance", 6).alias("dist"), "rank")
 
 
 @query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id + 1)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 6) AS norm, round(v[1] / n, 6) AS first FROM n")
@@ -80,11 +83,13 @@ def knn_normalised(spark, sf_dir):
     return x.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, y: a + y * y), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
 
 
-def _candidates(spark, sf_dir):
-    """Questions are benchmark items, whose vectors are embeddings of the same number; texts are documents."""
-    found = _knn(spark, sf_dir, 40).withColumnRenamed("q", "item_id")
+def _candidates(spark, sf_dir, whole):
+    """Questions are benchmark items, whose vectors are embeddings of the same number; texts are documents. Without
+    `whole` they are the 40 items that the SQL of these queries names."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    asked = asked if whole else asked.where("item_id < 40")
+    found = _knn(spark, sf_dir, asked.select(F.col("item_id").alias("vec_id"))).withColumnRenamed("q", "item_id")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", F.col("text").alias("question"))
     x = found.join(docs, "vec_id").join(asked, "item_id")
     child = F.col("vec_id") % 3 == 0
     return x.select(
@@ -93,8 +98,8 @@ def _candidates(spark, sf_dir):
     )
 
 
-def _reranked(spark, sf_dir):
-    return retrieval.rerank(_candidates(spark, sf_dir), T.overlap("question", "text"), 8, "item_id")
+def _reranked(spark, sf_dir, whole=False):
+    return retrieval.rerank(_candidates(spark, sf_dir, whole), T.overlap("question", "text"), 8, "item_id")
 
 
 _SCORED = f"""{_RANKED}, cand AS (SELECT b.item_id, b.text AS question, d.doc_id, d.text, r.rank FROM ranked r JOIN documents d ON d.doc_id = r.vec_id JOIN benchmark b ON b.item_id = r.q WHERE r.rank <= 20),
@@ -103,8 +108,8 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER
 
 
 @query(f"WITH {_SCORED} SELECT item_id, doc_id, round(score, 6) AS score, rr AS rank FROM best")
-def lexical_rerank(spark, sf_dir):
-    return _reranked(spark, sf_dir).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rerank_rank").alias("rank"))
+def lexical_rerank(spark, sf_dir, whole=False):
+    return _reranked(spark, sf_dir, whole).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rerank_rank").alias("rank"))
 
 
 _FUNNEL = f"""{_SCORED}, keyed AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'p' || (doc_id % 50) ELSE CAST(doc_id AS VARCHAR) END AS slot FROM best),
@@ -113,8 +118,8 @@ src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER B
 
 
 @query(f"WITH {_FUNNEL} SELECT item_id, source_no, doc_id, slot AS parent FROM src")
-def funnel_sources(spark, sf_dir):
-    x = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
+def funnel_sources(spark, sf_dir, whole=False):
+    x = retrieval.first_distinct(_reranked(spark, sf_dir, whole), "item_id", retrieval.source_key(), 4)
     return x.select("item_id", "source_no", "doc_id", retrieval.source_key().alias("parent"))
 
 
@@ -143,9 +148,9 @@ _BUDGETS = (200, 600, 18_000)
          FROM fold f JOIN heads h ON h.item_id = f.item_id AND h.source_no = f.no + 1) f)
     SELECT item_id, b AS budget, n AS n_sources, chars + 2 * greatest(n - 1, 0) AS chars, cut AS n_cut FROM (SELECT *, row_number() OVER (PARTITION BY item_id, b ORDER BY no DESC) AS last FROM fold) WHERE last = 1"""
 )
-def budget_prompt(spark, sf_dir):
+def budget_prompt(spark, sf_dir, whole=False):
     """The whole funnel: nearest 20, reranked 8, 4 sources, parents put in, three budgets."""
-    kept = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
+    kept = retrieval.first_distinct(_reranked(spark, sf_dir, whole), "item_id", retrieval.source_key(), 4)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"))
     pid = F.concat(F.lit("p"), F.col("id").cast("string"))
     parents = spark.range(0, 50, 2).select(pid.alias("record_id"), F.concat(F.lit("parent "), pid).alias("title"), F.array(F.lit(3)).alias("pages"), F.concat(F.lit("whole table "), pid, F.lit(" "), F.repeat(F.lit("x"), F.lit(300))).alias("text"))
@@ -157,14 +162,18 @@ def budget_prompt(spark, sf_dir):
 
 
 @query(f"WITH {_FUNNEL} SELECT item_id, count(*) AS n_sources FROM src GROUP BY item_id")
-def prompt_citations(spark, sf_dir):
-    kept = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
+def prompt_citations(spark, sf_dir, whole=False):
+    kept = retrieval.first_distinct(_reranked(spark, sf_dir, whole), "item_id", retrieval.source_key(), 4)
     blocks = kept.withColumn("passage", F.col("text")).withColumn("section", F.col("text")).withColumn("expanded", F.lit(False))
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     got = retrieval.prompts(retrieval.budgeted(blocks, "item_id", 10_000_000).join(asked, "item_id"))
     return got.select("item_id", F.size("citations").cast("long").alias("n_sources"))
 
 
+#: The same over all questions (for knn_topk, all vec_ids divisible by 100); their SQL holds for a few ids, so these have none.
+QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (knn_topk, lexical_rerank, funnel_sources, budget_prompt, prompt_citations)}
+
+
 @query("SELECT n.n_name AS child, n.n_name AS passage, coalesce(r.r_name, n.n_name) AS section, coalesce(r.r_name, n.n_name) <> n.n_name AS expanded FROM nation n LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) r ON n.n_regionkey = r.r_regionkey")
 def parent_expand(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -625,7 +634,7 @@ def text_chunks(spark, sf_dir):
 
 @query()
 def generated_answers(spark, sf_dir):
-    kept = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
+    kept = retrieval.first_distinct(_reranked(spark, sf_dir, True), "item_id", retrieval.source_key(), 4)
     blocks = kept.withColumn("passage", F.col("text")).withColumn("section", F.col("text")).withColumn("expanded", F.lit(False))
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     got = retrieval.prompts(retrieval.budgeted(blocks, "item_id", 4000).join(asked, "item_id")).select("item_id", "prompt")

@@ -13,6 +13,43 @@ def test_query(spark, sf, duck, name):
         assert got.count() > 0
 
 
+def test_whole_funnel(spark, sf, tmp_path):
+    """Every benchmark item is asked, also those of 40 and more, and every hundredth vector; against brute force."""
+    import numpy as np
+
+    for name in ("embeddings", "documents", "benchmark"):
+        x = spark.read.parquet(f"{sf}/{name}.parquet")
+        (x.withColumn("item_id", x["item_id"] * 7) if name == "benchmark" else x).write.parquet(f"{tmp_path}/{name}.parquet")
+    sf = str(tmp_path)
+
+    read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").collect()
+    v = {r.vec_id: np.array(r.embedding, dtype=float) for r in read("embeddings")}
+    ids, x = np.array(sorted(v)), np.array([v[i] for i in sorted(v)])
+
+    def nearest(q):
+        d = ((x - v[q]) ** 2).sum(axis=1)
+        return ids[np.lexsort((ids, d))[:20]].tolist()
+
+    got = {}
+    for r in sorted(catalog.QUERIES["knn_topk_whole"](spark, sf).collect(), key=lambda r: (r.q, r["rank"])):
+        got.setdefault(r.q, []).append(r.vec_id)
+    assert got == {q: nearest(q) for q in v if q % 100 == 0}
+    texts, asked = {r.doc_id: r.text for r in read("documents")}, {r.item_id: r.text for r in read("benchmark")}
+    terms = lambda t: set((t or "").lower().split()) - {""}
+    best = {}
+    for q in asked.keys() & v.keys():
+        score = lambda d: len(terms(asked[q]) & terms(texts[d])) / max(len(terms(asked[q])), 1)  # noqa: B023, E731
+        found = [d for d in nearest(q) if d in texts]
+        best[q] = sorted(found, key=lambda d: (-score(d), nearest(q).index(d)))[:8]  # noqa: B023
+    got = {}
+    for r in sorted(catalog.QUERIES["lexical_rerank_whole"](spark, sf).collect(), key=lambda r: (r.item_id, r["rank"])):
+        got.setdefault(r.item_id, []).append(r.doc_id)
+    want = {q: b for q, b in best.items() if b}
+    assert got == want and max(want) >= 40
+    for name in ("funnel_sources_whole", "budget_prompt_whole", "prompt_citations_whole", "generated_answers"):
+        assert {r.item_id for r in catalog.QUERIES[name](spark, sf).select("item_id").collect()} == set(want), name
+
+
 def test_entry_names(spark):
     import __spark_entry__ as e
 
