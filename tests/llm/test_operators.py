@@ -240,6 +240,39 @@ def test_fit_gains():
     assert net.score(stream[:600], np.repeat(np.arange(100), 6)).mean() > before + 0.3 and rng is not None
 
 
+def test_lm_windows_are_of_whole_texts(spark):
+    """Training windows stand anywhere in all training texts, and twice the texts give twice as many."""
+    path, n = tokenizer_path("byte_bpe_50k.json"), {}
+    s = language_model.subwords(path)
+    for size in (100, 200):
+        texts = [(i, " ".join(["cat"] * 5000 + [f"dog{i}"] * 5000)) for i in range(size)]
+        df = spark.createDataFrame([(i, t, i) for i, t in texts], "doc_id long, text string, doc long")
+        assert language_model.plan(df)[0] == pytest.approx(language_model.SMALL / sum(len(t) for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2))
+        rows = language_model.count(df, path, 1 / 32, 3)[3].collect()
+        got = np.concatenate([np.frombuffer(bytes(r.blob), dtype="<u4") for r in rows]).reshape(-1, language_model.SPAN + 1)
+        held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in texts]
+        ids = [np.append(x, s.end) for x, h in zip(s.table.texts([t.encode() for _, t in texts]), held) if not h]
+        stream = b"".join(x.astype("<u4").tobytes() for x in ids)
+        assert all(x.tobytes() in stream * 2 for x in got if s.end not in x)  # as they stand in a text
+        n[size] = len(got)
+        cat = s.table.texts([b"cat"])[0]
+        assert 0.4 < np.mean([not np.isin(x, cat).all() for x in got]) and n[size] == pytest.approx(len(stream) / 4 / 32 / language_model.SPAN, rel=0.1)
+        assert (got == s.end).any() and {r.bucket for r in rows} == {-2, -3, -4}
+    assert n[200] == pytest.approx(2 * n[100], rel=0.1)
+
+
+def test_groups_train_one_network(spark):
+    rng = np.random.default_rng(2)
+    stream = np.tile([1, 2, 3, 4, 5, 39], 2000)
+    windows = np.stack([stream[a : a + language_model.SPAN + 1] for a in rng.integers(0, 6, 300)]).astype("<u4")
+    rows = spark.createDataFrame([(-2 - k % 3, bytearray(windows[k::6].tobytes())) for k in range(6)], "bucket int, blob binary")
+    score = lambda net: net.score(stream[:600], np.repeat(np.arange(100), 6)).mean()
+    nets = [language_model.Network(np.bincount(stream, minlength=40)) for _ in range(3)]
+    for net in nets[1:]:
+        language_model.train(net, rows, 3)
+    assert score(nets[1]) == score(nets[2]) > score(nets[0]) + 0.3
+
+
 def test_lm(spark, corpus, empty):
     df, rows = corpus
     path = tokenizer_path("byte_bpe_50k.json")
