@@ -231,6 +231,19 @@ def test_attention_blocks_are_a_plain_loop():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_context_is_32_ids_at_least():
+    """Every id's score depends on the id 32 places before it, as far as its text goes."""
+    rng = np.random.default_rng(1)
+    net = language_model.Network(rng.integers(0, 50, 40))
+    net.w = {k: (x + rng.standard_normal(x.shape).astype("float32") * 0.2) for k, x in net.w.items()}
+    ids = rng.integers(0, 39, 100)
+    one = net.score(ids, np.zeros(100, dtype=int))
+    for at in (0, 15, 40, 60):
+        other = ids.copy()
+        other[at] = (other[at] + 1) % 39
+        assert net.score(other, np.zeros(100, dtype=int))[at + 32] != one[at + 32]
+
+
 def test_fit_gains():
     rng = np.random.default_rng(2)
     stream = np.tile([1, 2, 3, 4, 5, 39], 2000)
