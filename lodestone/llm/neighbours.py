@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each curve turns the vectors by its own random rotation, keeps DIMS coordinates, shifts them by a random offset
-and orders the vectors along a Hilbert curve (BITS bits a coordinate). Spark range-partitions each order; a query
+and orders the vectors along a Hilbert curve (BITS bits a coordinate, of the vectors at length 1); vectors of one
+cell of it follow a curve of FINE bits through the same coordinates as they are, so near vectors that fill a cell
+stand by nearness, on each curve in another order. Spark range-partitions each order; a query
 takes the rows of a window around its place on every curve, measures the true distance in double precision and
 keeps its k best there; the curves' lists merge and the k best of all are the answer.
 
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 from .common import parts, stash, tune
 
 CURVES, DIMS, BITS, WINDOW, SEED = 16, 8, 4, 0.04, 7
+#: Bits of a coordinate on the curve inside a cell; it reaches to 16 times the vectors' usual length on each side.
+FINE = 32
 #: Rows in a cell of a curve, and places of queries in a block: they bound what a task holds.
 CELL, BLOCK = 4096, 8192
 
 
-def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Places on the Hilbert curve of points with whole coordinates, shape (rows, dims); bits * dims <= 62."""
+def _turned(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of digits, shape (dims, rows): their bits, the highest first and dims in turn, are the places on the curve."""
     x = cells.astype(np.int64).T.copy()
     q = 1 << (bits - 1)
     while q > 1:
@@ -46,6 +50,12 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
         turn = np.where((x[-1] & q) != 0, turn ^ (q - 1), turn)
         q >>= 1
     x ^= turn
+    return x
+
+
+def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Places on the Hilbert curve of points with whole coordinates, shape (rows, dims); bits * dims <= 62."""
+    x = _turned(cells, bits)
     out = np.zeros_like(x[0])
     for b in range(bits - 1, -1, -1):
         for row in x:
@@ -53,6 +63,14 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def hilbert_bytes(cells: np.ndarray, bits: int) -> list[bytes]:
+    """The same places as bytes that sort like them, of any number of bits."""
+    x = _turned(cells, bits)
+    digits = np.stack([(x >> b & 1).astype(np.uint8) for b in range(bits - 1, -1, -1)])  # bits, dims, rows
+    flat = np.packbits(digits.reshape(-1, x.shape[1]), axis=0).T
+    return [r.tobytes() for r in flat]
+
+
 def projections(width: int, curves: int, dims: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(matrix, shift) of each curve: rows of a random rotation, and an offset in cells."""
     rng, out = np.random.default_rng(seed), []
@@ -97,6 +115,7 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100, vector: str = "
 def _nearest_classes(points: DataFrame, wanted: DataFrame, width: int, k: int, curves: int, dims: int, bits: int, window: float, seed: int) -> DataFrame:
     """cid, near, score: of each wanted class the k nearest others that its windows hold."""
     planes = projections(width, curves, dims, seed)
+    usual = points.agg(F.percentile_approx(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 0.5).alias("n")).head().n or 1.0
 
     def place(frames):
         for pdf in frames:
@@ -105,10 +124,12 @@ def _nearest_classes(points: DataFrame, wanted: DataFrame, width: int, k: int, c
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 for c, (m, shift) in enumerate(planes):
                     cells = np.clip(np.floor((unit @ m) * np.sqrt(width) * 2 ** (bits - 3) + 2 ** (bits - 1) + shift - 0.5), 0, 2**bits - 1)
-                    yield pd.DataFrame({"curve": np.full(len(x), c, dtype="int32"), "key": hilbert(cells, bits), "cid": pdf["cid"]})
+                    inside = np.clip(np.floor(((x / usual) @ m / 16 + 1) * 2.0 ** (FINE - 1)), 0, 2**FINE - 1)
+                    key = [a + b for a, b in zip(hilbert_bytes(cells, bits), hilbert_bytes(inside, FINE))]
+                    yield pd.DataFrame({"curve": np.full(len(x), c, dtype="int32"), "key": key, "cid": pdf["cid"]})
 
     order = ("curve", "key", "cid")
-    placed = points.mapInPandas(place, "curve int, key long, cid long").repartitionByRange(max(parts(points.sparkSession), curves), *order).sortWithinPartitions(*order)
+    placed = points.mapInPandas(place, "curve int, key binary, cid long").repartitionByRange(max(parts(points.sparkSession), curves), *order).sortWithinPartitions(*order)
     placed = stash(placed.withColumn("part", F.spark_partition_id()), "ann-curves")
     # A row's place: the rows of earlier partitions, and those before it in its own, which is a bounded range.
     by = Window.partitionBy("curve")

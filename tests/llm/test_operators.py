@@ -200,6 +200,31 @@ def test_neighbours(spark):
     assert hit / total >= 0.9
 
 
+def test_hilbert_bytes_sort_like_places():
+    g = np.random.default_rng(1).integers(0, 128, (500, 8))
+    assert [int.from_bytes(b, "big") for b in neighbours.hilbert_bytes(g, 7)] == neighbours.hilbert(g, 7).tolist()
+
+
+@pytest.mark.parametrize("noise", [0.0005, 0.002])
+def test_neighbours_in_a_tight_cluster(spark, noise):
+    """A third of the rows are near one another but not equal: their nearest are found by nearness, not by vec_id."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    hot = rng.permutation(6000)[:2000]
+    v[hot] = v[hot[0]] + rng.standard_normal((2000, 64)) * noise
+    got = {}
+    for r in neighbours.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), 10, 60).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = {}
+    for q, found in got.items():
+        d = ((v - v[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        recall.setdefault(q in set(hot.tolist()), []).append(len(found & set(np.argsort(d)[:10].tolist())) / 10)
+    print({k: (len(x), np.mean(x)) for k, x in recall.items()})
+    assert np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in neighbours.search(df, 10, 100).collect()]
