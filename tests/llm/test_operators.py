@@ -487,6 +487,20 @@ def test_url_templates(spark):
     assert urls.judge(pages.limit(0), labelled.limit(0), []).count() == 0
 
 
+def test_url_branches_stay_apart(spark):
+    """Among more than FAN sections a frequent or a bad one keeps its name, and paths are told apart past DEPTH."""
+    deep = "http://d.org/a/b/c/d/e/f"
+    rows = [(f"http://w.org/s{i}x/{k}", 0) for i in map(chr, range(97, 123)) for k in range(4)] + [(f"http://w.org/t{i}/{k}", 0) for i in map(chr, range(97, 123)) for k in range(4)]
+    rows += [(f"http://w.org/casino/{k}", 1) for k in range(3000)] + [(f"http://w.org/pills/{k}", 1) for k in range(10)] + [(f"http://w.org/news/{k}", 0) for k in range(2000)]
+    rows += [(f"{deep}/spam/x/{k}", 1) for k in range(200)] + [(f"{deep}/good/x/{k}", 0) for k in range(200)]
+    labelled = spark.createDataFrame(rows, "url string, bad int")
+    ask = ["http://w.org/casino/9", "http://w.org/pills/9", "http://w.org/news/9", "http://w.org/ta/9", f"{deep}/spam/x/9", f"{deep}/good/x/9", f"{deep}/rare/x/9"]
+    got = {r.page_id: (r.template, r.verdict) for r in urls.judge(spark.createDataFrame(list(enumerate(ask)), "page_id long, url string"), labelled, []).collect()}
+    f = "/a/b/c/d/e/f"
+    assert {k: got[k] for k in range(6)} == {0: ("/casino/{n}", "block"), 1: ("/pills/{n}", "block"), 2: ("/news/{n}", "allow"), 3: ("/*/{n}", "allow"), 4: (f"{f}/spam/x/{{n}}", "block"), 5: (f"{f}/good/x/{{n}}", "allow")}
+    assert got[6][0] == f"{f}/**"
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 
 
