@@ -22,10 +22,14 @@ def good_documents(spark, docs, sf_dir):
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """The document with the smallest doc_id of each group of near copies, and all that are alone. Rows that share a
-    doc_id are one document; null doc_ids stay if no document with an id is like them."""
-    first = ngram_join.components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["_first"]), "left_semi")
+    """The row with the smallest doc_id of each group of near copies, and all that are alone; of rows with one doc_id
+    those with the smallest text hash come first, null doc_ids come last. Rows equal in doc_id and text are one."""
+    keyed = suffix_dedup._keyed(docs.select("doc_id", "text", F.struct("*").alias("_row")))
+    first = ngram_join.components(keyed.select(F.col("doc").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("doc")).distinct()
+    kept = keyed.join(first, "doc", "left_semi")
+    if keyed.groupBy("doc").count().where("count > 1").head(1):
+        kept = kept.dropDuplicates(["doc"])
+    return kept.select("_row.*")
 
 
 def without_repeats(spark, docs, sf_dir):

@@ -15,6 +15,19 @@ def test_query(spark, sf, duck, name):
         assert got.count() == {"op3_nearest_neighbours": 50, "op7_url_filter": 50}.get(name, 200)
 
 
+def test_one_of_each_group_of_odd_rows(spark):
+    """Copies go also where doc_ids are null or repeat."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a, "u"), (2, a + " end", "u"), (None, a, "u"), (None, b, "u"), (None, b, "u"), (None, b + " end", "u"), (3, c, "u"), (3, c, "u"), (4, d, "u"), (4, c, "u"), (5, "short", "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc string")
+    got = corpus_pipeline.one_of_each_group(spark, docs, None)
+    assert got.columns == docs.columns
+    got = sorted(((r.doc_id, r.text[:2], r.doc) for r in got.collect()), key=str)
+    assert got == [(1, "a0", "u"), (3, "c0", "u"), (4, "d0", "u"), (5, "sh", "u"), (None, "b0", "u")]
+
+
 def test_pipeline(spark, sf):
     """Each stage against what its operator's brute force says of that stage's input."""
     import corpus_pipeline
