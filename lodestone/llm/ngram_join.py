@@ -1,22 +1,28 @@
-"""N-gram Jaccard join: which documents share 80 % of their word five-grams, exactly.
+"""N-gram Jaccard join: which documents share 80 % of their word five-grams.
 
 A document's set are the 64-bit hashes of its distinct five-word shingles (of its whole sequence, if it has fewer
-words). Equal sets are one class, found by hash before anything else. All sets are put in one global order: shingles
-whose count in a fixed-size sketch of the whole corpus stands out come last, the rest by hash. Two linked sets
-share a shingle in their prefixes (the first n - ceil(0.8 n) + 1), so:
-
-1. Prefix entries meet by shingle; those of one class only are dropped. What is left of a prefix, its reduced list,
-   holds all that two prefixes can have in common.
-2. In each shingle's group, the member whose shingles are the most usual is the pivot (of a family of copies, what
-   they were made from), and members are compared to it, each in a few groups. These links' components are labels. Then members with different labels are compared; those with one label
-   are connected already. So large groups of near copies cost their size, not its square.
-3. A pair is dropped where lengths, or the lists' signatures, prove its overlap too small. The rest is verified in
-   prefix trees: for each left set, the partners' sets, globally ordered, go into a trie; the walk carries the overlap
-   of a shared path once, and leaves a subtree as soon as its overlap and what can remain are too few.
-4. Links make components.
-
-Nothing is capped or sampled. Null and empty texts, and texts without words, have an empty set and no link. Rows
-with a null doc_id take part; a component's id is its smallest doc_id that is not null. Repeated rows stay.
+words). Equal sets are one class, found by hash before anything else.
+
+1. Every shingle of every class meets its like, which gives the number of classes that hold it. A shingle of one class
+   only can be in no overlap, so a class keeps its shared shingles, and a class with under 80 % of them shared can be
+   linked with nothing. The shared ones stand in one global order: rare ones first (by the power of two of their
+   count), then by hash.
+2. Prefix-tree join. Classes with the same first shingle meet; a task's classes go into one trie, and many probes walk
+   it together, a stretch of shingles at a time. The overlap with a shared path is counted once, and a subtree is left
+   when its overlap and what can remain, of its longest set and of the probe, are less than its smallest set needs, or
+   when all its sets are in the probe's component already. The most usual sets of a group probe first (what copies were
+   made from), so a family becomes one component after few walks. Groups over GROUP classes are split; each part gets
+   the group's most usual class. A class gives one row: the label of its component.
+3. Two linked sets have a shingle in common among the first n - ceil(0.8 n) + 1 of both (unshared ones counted), which
+   need not be the first of either. So these prefixes meet by shingle; only classes with different labels and sizes that
+   allow a link become pairs, and tries decide them. Shingles of over HOT classes are dealt with in blocks: those outside the
+   commonest label go to every block of the others.
+4. Labels and links make components.
+
+Nothing is capped or sampled. Equality of shingles and classes is that of 64-bit hashes. Null and empty texts, and
+texts without words, have an empty set and no link. Rows with a null doc_id take part; a component's id is its smallest
+doc_id that is not null (null if all are). Repeated rows stay; other columns of docs are left out; a very long text is one set, hashed piece by
+piece.
 """
 
 from __future__ import annotations
@@ -26,22 +32,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, KeyFilter, buckets, connected, exchange, folded, frugal, give_back, mix64, packed, stash, tune, word_hashes
+from .common import PACKED, buckets, connected, exchange, folded, frugal, give_back, mix64, packed, stash, to_buckets, tune, word_hashes
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Cells of the count sketch, whatever the corpus' size (16 MB); entries that a task packs at a time, and pairs
-#: that it looks at.
-CELL_BITS, FLUSH, PAIRS = 22, 1 << 19, 1 << 17
-CELLS, BLOCKS = 1 << CELL_BITS, 16
-#: Partners in one prefix tree; shingles by which a class meets pivots (a choice of speed: links that they don't show
-#: are found afterwards).
-FAN, PROBES = 128, 4
-ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("q", "<f4")])
-SIGNED = np.dtype([*ENTRY.descr, ("r", "<u4"), ("s0", "<u8"), ("s1", "<u8"), ("probe", "u1")])
-LABELLED = np.dtype([*SIGNED.descr, ("label", "<i8")])
+#: Shingles that a task packs at a time, pairs that it looks at, shingles of sets in one trie.
+FLUSH, PAIRS, TREE = 1 << 20, 1 << 17, 1 << 21
+#: Classes in a trie's group, binary logarithm of the classes in a prefix group, partners in a tree of the last step.
+GROUP, HOT, FAN = 256, 12, 128
+#: Shingles that a walk takes from a node at a time.
+STRETCH = 64
+ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("label", "<i8"), ("n", "<u4"), ("s", "<u4")])
 PAIR = "a long, b long"
+LIVE = "cls long, n int, first long, usual double, tokens binary, levels binary"
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -85,30 +89,6 @@ def classes_of(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def cell_of(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-class Order:
-    """The global order of shingles, and how usual a set's shingles are, from the counts of all cells. A cell's level
-    is 0, or its count where that stands out from the median by six deviations."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
-        self.middle = float(np.median(counts))
-        self.limit = self.middle + 6 * np.sqrt(self.middle + 1) + 3
-
-    def put(self, s: np.ndarray) -> np.ndarray:
-        """A sorted set in global order: by level, then by hash."""
-        c = self.counts[cell_of(s)]
-        late = c > self.limit
-        return s[np.lexsort((s, np.where(late, c, 0)))] if late.any() else s
-
-    def usual(self, s: np.ndarray) -> float:
-        """The mean count of a set's cells, each up to eight medians: the text that copies were made from has the most."""
-        return float(np.minimum(self.counts[cell_of(s)], 8 * self.middle + 64).mean())
-
-
 def prefix_length(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
@@ -118,163 +98,403 @@ def needed(na, nb, percent: int = PERCENT):
     return -(-percent * (na + nb) // (100 + percent))
 
 
+def are_linked(overlap, na, nb, percent: int = PERCENT):
+    return 100 * overlap >= percent * (na + nb - overlap)
+
+
 def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether pairs of signed entries can be linked. The overlap of the prefixes is at most what signatures (each
-    bit: parity of the list's shingles there) leave; the set whose prefix ends first has no more misses in it than
-    its size lets it have."""
-    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    need = needed(na, nb)
-    pa, pb = prefix_length(na), prefix_length(nb)
-    differ = np.bitwise_count(a["s0"] ^ b["s0"]).astype(np.int64) + np.bitwise_count(a["s1"] ^ b["s1"])
-    most = np.minimum((a["r"].astype(np.int64) + b["r"] - differ) // 2, np.minimum(a["r"], b["r"]))
-    fits = (pa - most <= na - need) | (pb - most <= nb - need)
-    return (need <= np.minimum(na, nb)) & fits
-
-
-def groups(rows: np.ndarray):
-    """Rows sorted by token and class, and the slices of tokens with several rows."""
-    rows = rows[np.lexsort((rows["cls"], rows["token"]))]
-    t = rows["token"]
-    first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, dtype=np.int64)
-    size = np.diff(np.append(first, len(t)))
-    many = size > 1
-    return rows, first[many], size[many]
+    """Whether the sizes of pairs of entries allow a link: an overlap has shared shingles only."""
+    return needed(a["n"].astype(np.int64), b["n"].astype(np.int64)) <= np.minimum(a["s"], b["s"])
+
+
+# Lists of shingles by class, as bytes: the number of classes, then a head for each, all shingles, and a level for each.
+HEAD = np.dtype([("cls", "<i8"), ("n", "<u4"), ("size", "<u4")])
+
+
+def pack_lists(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, token: np.ndarray, level: np.ndarray | None = None) -> pd.DataFrame:
+    """One blob for each bucket; rows of one class in one bucket stand together."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, cls, n, token = bucket[order], cls[order], n[order], token[order]
+    level = np.zeros(0, dtype="u1") if level is None else level[order]
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (cls[1:] != cls[:-1]))
+    at = np.flatnonzero(new)
+    heads = np.zeros(len(at), dtype=HEAD)
+    heads["cls"], heads["n"], heads["size"] = cls[at], n[at], np.diff(np.append(at, len(cls)))
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends, of = np.append(first[1:], len(bucket)), np.searchsorted(at, np.append(first, len(bucket)))
+    blobs = [b"".join([np.uint32(of[k + 1] - of[k]).tobytes(), heads[of[k] : of[k + 1]].tobytes(), token[a:b].tobytes(), level[a:b].tobytes()]) for k, (a, b) in enumerate(zip(first.tolist(), ends.tolist()))]
+    return pd.DataFrame({"bucket": bucket[first].astype("int32"), "blob": blobs})
+
+
+def unpack_lists(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """cls, n, token and level (none: empty) of all rows."""
+    out = []
+    for x in blobs:
+        heads = np.frombuffer(x, dtype=HEAD, count=int(np.frombuffer(x, dtype="<u4", count=1)[0]), offset=4)
+        at, k = 4 + heads.nbytes, int(heads["size"].sum())
+        out.append((np.repeat(heads["cls"], heads["size"]), np.repeat(heads["n"], heads["size"]), np.frombuffer(x, dtype="<u8", count=k, offset=at), np.frombuffer(x, dtype="u1", offset=at + 8 * k)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def shared_of(cls: np.ndarray, n: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows whose shingle several classes hold, sorted by class, with the level of each: the power of two of its classes."""
+    order = np.argsort(token)
+    new = np.append(True, token[order][1:] != token[order][:-1])
+    run = np.diff(np.append(np.flatnonzero(new), len(token)))
+    keep = order[np.repeat(run > 1, run)]
+    cls, n, token = cls[keep], n[keep], token[keep]
+    order = np.lexsort((cls, token))
+    cls, n, token = cls[order], n[order], token[order]
+    once = np.append(True, (cls[1:] != cls[:-1]) | (token[1:] != token[:-1]))[: len(cls)]  # copies in several tasks
+    cls, n, token = cls[once], n[once], token[once]
+    at = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(cls)])
+    run = np.diff(np.append(at, len(token)))
+    level = np.repeat(np.log2(np.maximum(run, 1)).astype("u1"), run)
+    keep = np.flatnonzero(np.repeat(run > 1, run))
+    keep = keep[np.argsort(cls[keep], kind="stable")]
+    return cls[keep], n[keep], token[keep], level[keep]
 
 
 class Trie:
-    """Globally ordered sets as a radix tree in arrays: nodes are runs of shingles, parents come before children."""
+    """Sets of ascending numbers as a radix tree in arrays: nodes are runs of numbers, parents come before children.
+    n: the sizes that links are judged by; they may count members that no other set has."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        """sets are in global order."""
-        keys = [mix64(s) for s in sets]  # only equality matters
-        order = sorted(range(len(sets)), key=lambda k: keys[k].astype(">u8").tobytes())
-        self.parent, self.label_from, self.label_to, self.of, self.low, self.high = [-1], [0], [0], [], [0], [0]
+    def __init__(self, sets: list[np.ndarray], n: np.ndarray) -> None:
+        keys = [x.astype(">u4").tobytes() for x in sets]
+        order = sorted(range(len(sets)), key=keys.__getitem__)
+        parent, a, b = [-1], [0], [0]
         runs, at, stack = [], 0, [(0, 0)]  # (node, its depth) on the path to the last set
-        last = np.zeros(0, dtype=np.uint64)
-        self.leaf = [0] * len(sets)
+        last, self.leaf = np.zeros(0, dtype=np.int64), np.zeros(len(sets), dtype=np.int64)
         for k in order:
-            s, m = sets[k], min(len(last), len(sets[k]))
-            same = int(np.append(last[:m] != s[:m], True).argmax())
+            x, m = sets[k], min(len(last), len(sets[k]))
+            same = int(np.append(last[:m] != x[:m], True).argmax())
             while len(stack) > 1 and stack[-1][1] > same:
                 node, depth = stack.pop()
                 above = stack[-1][1]
                 if above < same:  # the run is split where the paths part
-                    cut = self.label_from[node] + same - above
-                    self._add(self.parent[node], self.label_from[node], cut)
-                    middle = len(self.parent) - 1
-                    self.parent[node], self.label_from[node] = middle, cut
-                    stack.append((middle, same))
-            if len(s) > same:
-                runs.append(s[same:])
-                self._add(stack[-1][0], at, at + len(s) - same)
-                at += len(s) - same
-                stack.append((len(self.parent) - 1, len(s)))
+                    cut = a[node] + same - above
+                    parent.append(parent[node])
+                    a.append(a[node])
+                    b.append(cut)
+                    parent[node], a[node] = len(parent) - 1, cut
+                    stack.append((len(parent) - 1, same))
+            if len(x) > same:
+                runs.append(x[same:])
+                parent.append(stack[-1][0])
+                a.append(at)
+                b.append(at + len(x) - same)
+                at += len(x) - same
+                stack.append((len(parent) - 1, len(x)))
             self.leaf[k] = stack[-1][0]
-            last = s
-        self.tokens = np.concatenate(runs) if runs else np.zeros(0, dtype=np.uint64)
-        self.sizes = np.array([len(s) for s in sets])
-        self._levels()
-
-    def _add(self, parent: int, a: int, b: int) -> None:
-        self.parent.append(parent)
-        self.label_from.append(a)
-        self.label_to.append(b)
-
-    def _levels(self) -> None:
-        parent, a, b = (np.array(x, dtype=np.int64) for x in (self.parent, self.label_from, self.label_to))
-        depth, todo = np.zeros(len(parent), dtype=np.int64), np.arange(1, len(parent))
-        up = parent[todo]
-        while len(todo):
-            depth[todo] += 1
-            up = parent[up]
-            todo, up = todo[up >= 0], up[up >= 0]
+            last = x
+        self.run = np.concatenate(runs) if runs else np.zeros(0, dtype=np.int64)
+        self.parent, self.a, self.b = (np.array(x, dtype=np.int64) for x in (parent, a, b))
+        self.sizes, self.n = np.array([len(x) for x in sets], dtype=np.int64), np.asarray(n, dtype=np.int64)
+        depth, up = np.zeros(len(parent), dtype=np.int64), self.parent.copy()
+        while (up >= 0).any():
+            depth += up >= 0
+            up = np.where(up >= 0, self.parent[up], -1)
         order = np.argsort(depth, kind="stable")
         self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
-        self.parent, self.a, self.b = parent, a, b
-        self.until = np.zeros(len(parent), dtype=np.int64)  # shingles on the path to a node's end
-        self.small, self.large = np.full(len(parent), 1 << 62), np.zeros(len(parent), dtype=np.int64)
+        self.until = np.zeros(len(parent), dtype=np.int64)  # members on the path to a node's end
         for level in self.levels[1:]:
-            self.until[level] = self.until[parent[level]] + b[level] - a[level]
-        leaf = np.array(self.leaf, dtype=np.int64)
-        np.minimum.at(self.small, leaf, self.sizes)
-        np.maximum.at(self.large, leaf, self.sizes)
+            self.until[level] = self.until[self.parent[level]] + self.b[level] - self.a[level]
+        self.large, self.small = self.up(np.maximum, self.sizes, 0), self.up(np.minimum, self.n, 1 << 62)
+        self.child, self.child_at = self.index(self.parent[1:], 1)
+        self.ends, self.ends_at = self.index(self.leaf, 0)
+        # for membership: (set, member) as one ascending array
+        self.width = int(max((x[-1] for x in sets if len(x)), default=0)) + 1
+        self.start = np.append(0, np.cumsum(self.sizes))
+        self.flat = np.repeat(np.arange(len(sets)) * self.width, self.sizes) + (np.concatenate(sets) if sets else 0)
+
+    def index(self, of: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Things by node: all of them in order, and where each node's begin."""
+        return np.argsort(of, kind="stable") + base, np.append(0, np.cumsum(np.bincount(of, minlength=len(self.parent))))
+
+    def up(self, least, of_set: np.ndarray, none: int) -> np.ndarray:
+        """The minimum or maximum over the sets of each subtree."""
+        out = np.full(len(self.parent), none, dtype=np.int64)
+        least.at(out, self.leaf, of_set)
         for level in self.levels[:0:-1]:
-            np.minimum.at(self.small, parent[level], self.small[level])
-            np.maximum.at(self.large, parent[level], self.large[level])
-
-    def overlaps(self, probe: np.ndarray) -> np.ndarray:
-        """Each set's overlap with a sorted probe, or -1 where its subtree was left: the overlap so far and what can
-        remain, of the subtree's largest set and of the probe, are less than its smallest set needs."""
-        got = np.full(len(self.parent), -1, dtype=np.int64)
-        got[0], live = 0, np.zeros(len(self.parent), dtype=bool)
-        live[0] = True
-        n = len(probe)
-        for level in self.levels[1:]:
-            nodes = level[live[self.parent[level]]]
-            if not len(nodes):
+            least.at(out, self.parent[level], out[level])
+        return out
+
+    def top(self, k: np.ndarray) -> np.ndarray:
+        """The child of the root that holds each set."""
+        node = self.leaf[k]
+        while (deep := self.parent[node] > 0).any():
+            node = np.where(deep, self.parent[node], node)
+        return node
+
+    def walk(self, probe: np.ndarray, node: np.ndarray, skip) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (probe, set) that are linked, of probes that go into these nodes. skip(probe, node): subtrees to leave."""
+        pos, got, found = self.a[node], np.zeros(len(probe), dtype=np.int64), []
+        while len(probe):
+            live = ~skip(probe, node)
+            probe, node, pos, got = probe[live], node[live], pos[live], got[live]
+            if not len(probe):
                 break
-            a, b = self.a[nodes], self.b[nodes]
-            starts = np.cumsum(b - a) - (b - a)
-            at = np.repeat(a - starts, b - a) + np.arange((b - a).sum())
-            t = self.tokens[at]
-            hit = probe[np.minimum(np.searchsorted(probe, t), n - 1)] == t if n else np.zeros(len(t), dtype=bool)
-            got[nodes] = got[self.parent[nodes]] + np.add.reduceat(hit, starts)
-            remain = np.minimum(self.large[nodes] - self.until[nodes], n - got[nodes])
-            live[nodes] = got[nodes] + remain >= needed(self.small[nodes], n)
-        leaf = np.array(self.leaf, dtype=np.int64)
-        return np.where(live[leaf], got[leaf], -1)
-
-
-def linked_to(probe: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Which of the globally ordered sets are linked to the sorted probe."""
+            size = np.minimum(self.b[node] - pos, STRETCH)
+            first = np.cumsum(size) - size
+            key = np.repeat(probe * self.width, size) + self.run[np.repeat(pos - first, size) + np.arange(size.sum())]
+            at = np.searchsorted(self.flat, key)
+            hit = self.flat[np.minimum(at, len(self.flat) - 1)] == key
+            got, pos = got + np.add.reduceat(hit, first), pos + size
+            end = first + size - 1
+            remain = np.minimum(self.large[node] - self.until[node] + self.b[node] - pos, self.start[probe + 1] - at[end] - hit[end])
+            live = got + remain >= needed(self.n[probe], self.small[node])
+            probe, node, pos, got = probe[live], node[live], pos[live], got[live]
+            done = pos == self.b[node]
+            p, v, g = probe[done], node[done], got[done]
+            k, j = self.expand(v, self.ends, self.ends_at)
+            good = are_linked(g[k], self.n[p[k]], self.n[j]) & (j != p[k])
+            found.append((p[k][good], j[good]))
+            k, c = self.expand(v, self.child, self.child_at)
+            probe, node, pos, got = (np.concatenate(x) for x in ((probe[~done], p[k]), (node[~done], c), (pos[~done], self.a[c]), (got[~done], g[k])))
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none)
+
+    @staticmethod
+    def expand(node: np.ndarray, things: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = begin[node + 1] - begin[node]
+        k = np.repeat(np.arange(len(node)), size)
+        return k, things[np.repeat(begin[node] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of i and j; a component's label is its least member."""
+    while (label[i] != label[j]).any():
+        a, b = label[i], label[j]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def join_groups(sets: list[np.ndarray], n: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Labels (indices) of the components of sets with the same first member."""
+    trie, label = Trie(sets, n), np.arange(len(sets))
+    top = trie.top(label)
+    order = np.lexsort((label, -trie.sizes, -usual, top))
+    place = np.arange(len(sets)) - np.searchsorted(top[order], top[order])  # 0: the most usual of its group
+    fresh = np.ones(len(sets), dtype=bool)  # sets that have not probed
+    for low, high in ((0, 1), (1, 9), (9, len(sets))):
+        turn = order[(place >= low) & (place < high)]
+        for k in np.array_split(turn, 1 + len(turn) // 2048):
+            if not len(k):
+                continue
+            least, most = trie.up(np.minimum, np.where(fresh, label, 1 << 62), 1 << 62), trie.up(np.maximum, np.where(fresh, label, -1), -1)
+            i, j = trie.walk(k, top[k], lambda p, v: (most[v] < 0) | ((least[v] == label[p]) & (most[v] == label[p])))  # noqa: B023
+            fresh[k] = False
+            unite(label, i, j)
+    return label
+
+
+def linked_to(probe: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Which of the sets are linked to the probe. All are in one global order; sizes count members that are left out."""
     if not sets:
         return np.zeros(0, dtype=bool)
-    trie = Trie(sets)
-    got = trie.overlaps(probe)
-    return (got >= 0) & (100 * got >= PERCENT * (len(probe) + trie.sizes - got))
+    rows = ranked([*sets, probe], None)
+    trie = Trie(rows, np.append(sizes, n))
+    k = np.full(trie.child_at[1], len(sets))
+    _, hit = trie.walk(k, trie.child[: len(k)], lambda p, v: np.zeros(len(p), dtype=bool))
+    out = np.zeros(len(sets) + 1, dtype=bool)
+    out[hit] = True
+    return out[:-1]
+
+
+def ranked(tokens: list[np.ndarray], levels: list[np.ndarray] | None) -> list[np.ndarray]:
+    """Sets of shingles as their ascending places in the global order (without levels: any order)."""
+    flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint64)
+    distinct, first, which = np.unique(flat, return_index=True, return_inverse=True)
+    if levels is not None:
+        rank = np.empty(len(distinct), dtype=np.int64)
+        rank[np.lexsort((distinct, np.concatenate(levels)[first]))] = np.arange(len(distinct))
+        which = rank[which]
+    return [np.sort(x) for x in np.split(which, np.cumsum([len(t) for t in tokens])[:-1])]
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls of each row (cls null: no shingle), and the sketch as rows with a cell block and counts."""
+    """doc_id, n, cls of each row (cls null: no shingle)."""
 
     def run(frames):
-        sketch = np.zeros(CELLS, dtype="<u4")
         for pdf in frames:
             sets = shingle_sets(pdf["text"].tolist())
-            if sets:
-                cells, n = np.unique(cell_of(np.concatenate(sets)), return_counts=True)
-                sketch[cells] += n.astype("<u4")
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "cls": pd.Series(classes_of(sets), index=pdf.index).astype("Int64"), "cells": None, "counts": None})
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "cls": pd.Series(classes_of(sets), index=pdf.index).astype("Int64")})
             out.loc[out["n"] == 0, "cls"] = pd.NA
-            yield out.astype({"cells": "Int64"})
+            yield out
             del sets
             give_back()
-        if sketch.any():
-            import zstandard
 
-            z = zstandard.ZstdCompressor(level=1)
-            planes = [z.compress(np.ascontiguousarray(x.view("u1").reshape(-1, 4).T).tobytes()) for x in np.split(sketch, BLOCKS)]
-            yield pd.DataFrame({"doc_id": [None] * BLOCKS, "n": -1, "cls": None, "cells": np.arange(BLOCKS), "counts": planes}).astype({"doc_id": "Int64", "cls": "Int64", "cells": "Int64"})
+    return docs.mapInPandas(frugal(run), "doc_id long, n long, cls long")
 
-    return docs.mapInPandas(frugal(run), "doc_id long, n long, cls long, cells long, counts binary")
 
+def shared_sets(docs: DataFrame, nb: int) -> DataFrame:
+    """LIVE rows: the classes of which enough shingles are shared, with these in global order."""
 
-def order_of(described: DataFrame) -> Order:
-    """Adds the sketches of all tasks; the sum has CELLS numbers, whatever the corpus."""
+    def entries(frames):
+        held, count, seen = [], 0, set()
 
-    def add(pdf):
-        import zstandard
+        def out():
+            size = [len(x) for _, x in held]
+            cls, token = np.repeat([c for c, _ in held], size), np.concatenate([x for _, x in held])
+            return pack_lists((mix64(token) % np.uint64(nb)).astype(np.int64), cls, np.repeat(size, size), token)
 
-        z, total = zstandard.ZstdDecompressor(), np.zeros(CELLS // BLOCKS, dtype="<u8")
-        for x in pdf["counts"]:
-            total += np.ascontiguousarray(np.frombuffer(z.decompress(x), dtype="u1").reshape(4, -1).T).view("<u4")[:, 0]
-        return pd.DataFrame({"cells": pdf["cells"].iloc[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
+        for pdf in frames:
+            sets = shingle_sets(pdf["text"].tolist())
+            for c, s in zip(classes_of(sets).tolist(), sets):
+                if not len(s) or c in seen:
+                    continue
+                if len(seen) < 1 << 20:  # copies in one task are left out here; others meet their class later
+                    seen.add(c)
+                held.append((c, s))
+                count += len(s)
+                if count >= FLUSH:
+                    yield out()
+                    held, count = [], 0
+            give_back()
+        if held:
+            yield out()
+
+    def meet(frames):
+        blobs = [b for pdf in frames for b in pdf["blob"]]
+        if blobs:
+            cls, n, token, level = shared_of(*unpack_lists(blobs)[:3])
+            if len(cls):
+                yield pack_lists((mix64(cls.view(np.uint64)) % np.uint64(nb)).astype(np.int64), cls, n, token, level)
 
-    sums = described.where("cells is not null").select("cells", "counts").groupBy("cells").applyInPandas(add, "cells long, counts binary").collect()
-    total = np.zeros(CELLS, dtype=np.uint32)
-    for r in sums:
-        total[r.cells * (CELLS // BLOCKS) : (r.cells + 1) * (CELLS // BLOCKS)] = np.frombuffer(bytes(r.counts), dtype="<u4")
-    return Order(total)
+    def gather(frames):
+        blobs = [b for pdf in frames for b in pdf["blob"]]
+        if not blobs:
+            return
+        cls, n, token, level = unpack_lists(blobs)
+        order = np.lexsort((token, level, cls))
+        cls, n, token, level = cls[order], n[order], token[order], level[order]
+        at = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+        size = np.diff(np.append(at, len(cls)))
+        for part in np.array_split(np.flatnonzero(100 * size >= PERCENT * n[at].astype(np.int64)), 1 + len(cls) // FLUSH):
+            own = [slice(a, a + k) for a, k in zip(at[part].tolist(), size[part].tolist())]
+            first = np.array([token[x.start] for x in own], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"cls": cls[at[part]], "n": n[at[part]].astype("int32"), "first": first, "usual": [float(level[x].mean()) for x in own], "tokens": [token[x].tobytes() for x in own], "levels": [level[x].tobytes() for x in own]})
+
+    met = to_buckets(docs.select("text").mapInPandas(frugal(entries), PACKED)).mapInPandas(frugal(meet), PACKED)
+    return to_buckets(met).mapInPandas(frugal(gather), LIVE)
+
+
+def dealt(live: DataFrame, nb: int) -> DataFrame:
+    """live by group: its first shingle and, in groups over GROUP classes, a part; there the most usual class is in each."""
+    sizes = live.groupBy("first").agg(F.count("*").alias("many"), F.max(F.struct("usual", F.length("tokens").alias("length"), "cls")).alias("pivot"))
+    hot = sizes.where(F.col("many") > GROUP).select("first", F.ceil(F.col("many") / GROUP).alias("parts"), F.col("pivot.cls").alias("pivot"))
+    rows = live.join(hot, "first", "left")
+    own = rows.where("pivot is null or cls != pivot").select(*live.columns, F.coalesce(F.pmod(F.xxhash64("cls"), "parts"), F.lit(-1)).alias("part"), F.lit(0).alias("copy"))
+    pivot = rows.where("cls = pivot").select(*live.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("copy"))
+    both = own.unionByName(pivot).withColumn("bucket", F.pmod(F.xxhash64("first", "part"), F.lit(nb)).cast("int"))
+    return to_buckets(both).sortWithinPartitions("part", "first", "cls")
+
+
+def labelled(live: DataFrame, nb: int) -> DataFrame:
+    """The trie join: kind 0, (cls, label) of each class as PAIR rows; kind 1 and 2, ENTRY rows of its prefix (2: of
+    shingles that 2**HOT classes or more hold)."""
+
+    def run(frames):
+        held, count, key = [], 0, None
+
+        def out():
+            tokens, levels = [np.frombuffer(r.tokens, dtype="<u8") for r in held], [np.frombuffer(r.levels, dtype="u1") for r in held]
+            n = np.array([r.n for r in held], dtype=np.int64)
+            cls, copy = np.array([r.cls for r in held], dtype=np.int64), np.array([r.copy for r in held], dtype=bool)
+            label = join_groups(ranked(tokens, levels), n, np.array([r.usual + 1000 * r.copy for r in held]))
+            name = cls.copy()
+            for k in np.flatnonzero(copy):  # a component with a part's copy of the most usual class is called after it
+                name[label[k]] = cls[k]
+            name = name[label]
+            s = np.array([len(x) for x in tokens])
+            take = s - -(-PERCENT * n // 100) + 1
+            take = np.where(copy & (np.array([r.part for r in held]) > 0), 0, take)  # once for each class
+            size = np.maximum(take, 0)
+            e = np.zeros(size.sum(), dtype=ENTRY)
+            e["token"] = np.concatenate([x[:k] for x, k in zip(tokens, size.tolist())])
+            e["cls"], e["label"], e["n"], e["s"] = (np.repeat(x, size) for x in (cls, name, n, s))
+            hot = np.concatenate([x[:k] for x, k in zip(levels, size.tolist())]) >= HOT
+            pairs = np.stack([cls, name], axis=1)[~copy & (cls != name)]
+            yield pd.DataFrame({"bucket": [-1], "kind": [0], "blob": [pairs.tobytes()]})
+            yield by_token(e[~hot], nb).assign(kind=1)[["bucket", "kind", "blob"]]
+            if hot.any():
+                yield pd.DataFrame({"bucket": [-1], "kind": [2], "blob": [e[hot].tobytes()]})
+
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                now = (r.part, r.first)
+                if held and now != key and (count >= TREE or r.part >= 0):  # parts of split groups have a trie of their own
+                    yield from out()
+                    held, count = [], 0
+                key = now
+                held.append(r)
+                count += len(r.tokens) // 8
+        if held:
+            yield from out()
+
+    return dealt(live, nb).mapInPandas(frugal(run), "bucket int, kind int, blob binary")
+
+
+def by_token(rows: np.ndarray, nb: int) -> pd.DataFrame:
+    return packed((mix64(rows["token"]) % np.uint64(nb)).astype(np.int64), rows)
+
+
+def distinct_pairs(found: list[tuple[np.ndarray, np.ndarray]]):
+    if found:
+        x, y = (np.concatenate(c) for c in zip(*found))
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        yield pd.DataFrame(both, columns=["a", "b"])
+
+
+def compared(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries' classes with different labels that can be linked."""
+    good = (a["label"] != b["label"]) & possible(a, b)
+    return [(a["cls"][good], b["cls"][good])] if good.any() else []
+
+
+def across_labels(rows: np.ndarray):
+    """Pairs of classes in the same shingle's group; rows: ENTRY, all of each shingle, fewer than 2**HOT + 1."""
+    rows = rows[np.lexsort((rows["label"], rows["token"]))]
+    first = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1])) if len(rows) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(first, len(rows)))
+    mixed = rows["label"][first] != rows["label"][first + size - 1] if len(first) else np.zeros(0, dtype=bool)
+    first, size, found = first[mixed], size[mixed], []
+    for n in np.unique(size).tolist():  # groups of one size: all their pairs at once, some rows at a time
+        own = first[size == n]
+        for i in np.array_split(np.arange(n - 1), 1 + n * n // (4 * PAIRS)):
+            left = np.repeat(i, n - 1 - i)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n - 1 - i) - (n - 1 - i), n - 1 - i)
+            for at in np.array_split(own, 1 + len(own) * len(left) // (4 * PAIRS)):
+                found += compared(rows[(at[:, None] + left[None, :]).ravel()], rows[(at[:, None] + right[None, :]).ravel()])
+        if len(found) > 64:
+            found = [tuple(x.T) for p in distinct_pairs(found) for x in [p.to_numpy()]]
+    yield from distinct_pairs(found)
+
+
+def hot_pairs(hot: DataFrame) -> DataFrame:
+    """The same for shingles of many classes, in blocks. Every class is in one block of its shingle's, those outside the
+    commonest label also beside every other block."""
+    counts = hot.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("every"), F.count("*").alias("labels"))
+    mixed = counts.where("labels > 1").select("token", F.col("top.label").alias("common"), F.ceil(F.col("every") / (1 << (HOT - 1))).alias("blocks"))
+    rows = hot.join(mixed, "token")
+    own = rows.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("side", F.lit(0))
+    few = rows.where("label != common").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+
+    def run(key, few, own):
+        if not len(few) or not len(own):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        a, b = (np.zeros(len(x), dtype=ENTRY) for x in (few, own))
+        for f in ("cls", "label", "n", "s"):
+            a[f], b[f] = few[f"f_{f}"], own[f]
+        found = []
+        for k in np.array_split(np.arange(len(a)), 1 + len(a) * len(b) // (4 * PAIRS)):
+            found += compared(np.repeat(a[k], len(b)), np.tile(b, len(k)))
+        return next(iter(distinct_pairs(found)), pd.DataFrame({"a": [], "b": []})).astype("int64")
+
+    columns = ["token", "block", "cls", "label", "n", "s"]
+    few = few.select(*(F.col(c).alias(f"f_{c}") for c in columns))  # names of its own: both sides come from hot
+    return few.groupBy("f_token", "f_block").cogroup(own.select(columns).groupBy("token", "block")).applyInPandas(run, PAIR)
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -282,190 +502,48 @@ def components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = stash(describe(docs), "ngram-docs")
-    late = spark.sparkContext.broadcast(order_of(described))  # CELLS numbers, whatever the corpus
     nb = buckets(spark)
+    described = stash(describe(docs), "ngram-docs")
+    live = stash(shared_sets(docs, nb), "ngram-live")
+    joined = stash(labelled(live, nb), "ngram-joined")
 
-    def entries(frames):
-        held, count, seen = [], 0, set()
-        for pdf in frames:
-            sets = shingle_sets(pdf["text"].tolist())
-            for c, s in zip(classes_of(sets).tolist(), sets):
-                if not len(s) or c in seen:
-                    continue
-                if len(seen) < 1 << 20:  # copies in one task are left out here; others meet their class later
-                    seen.add(c)
-                p = prefix_length(len(s))
-                e = np.zeros(p, dtype=ENTRY)
-                e["token"], e["cls"], e["n"], e["q"] = late.value.put(s)[:p], c, len(s), late.value.usual(s)
-                held.append(e)
-                count += p
-            if count >= FLUSH:
-                yield by_token(np.concatenate(held))
-                held, count = [], 0
-                give_back()
-        if held:
-            yield by_token(np.concatenate(held))
-
-    def by_token(rows):
-        return packed((mix64(rows["token"]) % np.uint64(nb)).astype(np.int64), rows)
-
-    def by_class(rows):
-        return packed((mix64(rows["cls"].astype(np.uint64)) % np.uint64(nb)).astype(np.int64), rows)
-
-    def shared(rows):
-        rows = np.unique(rows)
-        rows, first, size = groups(rows)
-        keep = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        if len(keep):
-            yield by_class(rows[keep])
-
-    def sign(rows):
-        rows = rows[np.lexsort((mix64(rows["token"] + np.uint64(0x9FB21C651E98DF25)), rows["cls"]))]
-        first = np.flatnonzero(np.append(True, rows["cls"][1:] != rows["cls"][:-1]))
-        size = np.diff(np.append(first, len(rows)))
-        out = np.zeros(len(rows), dtype=SIGNED)
-        out["probe"] = np.arange(len(rows)) - np.repeat(first, size) < PROBES
-        for f in ENTRY.names:
-            out[f] = rows[f]
-        out["r"] = np.repeat(size, size)
-        bit = mix64(rows["token"] ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(128)
-        one = np.uint64(1) << (bit % np.uint64(64))
-        for f, here in (("s0", bit < 64), ("s1", bit >= 64)):
-            out[f] = np.repeat(np.bitwise_xor.reduceat(np.where(here, one, np.uint64(0)), first), size)
-        yield by_token(out)
-
-    signed = exchange(exchange(docs.select("text").mapInPandas(frugal(entries), PACKED), shared, ENTRY, PACKED), sign, ENTRY, PACKED)
-    signed = stash(signed, "ngram-signed")
-
-    def pivots(rows):
-        rows, first, size = groups(rows)
-        if not len(first):
-            return
-        which = np.repeat(np.arange(len(first)), size)
-        g = rows[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        best = np.lexsort((g["cls"], -g["q"], which))[np.cumsum(size) - size]
-        left, asks = g[np.repeat(best, size)], g["probe"] > 0
-        asks[best] = False
-        other = np.flatnonzero(asks)
-        for at in np.array_split(other, 1 + len(other) // PAIRS):
-            a, b = left[at], g[at]
-            good = possible(a, b)
-            if good.any():
-                yield pd.DataFrame(np.unique(np.stack([a["cls"][good], b["cls"][good]], axis=1), axis=0), columns=["a", "b"])
-
-    tested = stash(exchange(signed, pivots, SIGNED, PAIR).distinct(), "ngram-pivot-pairs")
-    links = stash(verify(tested, docs, described, late), "ngram-links")
-    labels = connected(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
-
-    def spread(frames):
+    def pairs_of(frames):
         for pdf in frames:
             for blob in pdf["blob"]:
-                rows = np.frombuffer(blob, dtype=SIGNED)
-                rows = rows[np.argsort(rows["cls"], kind="stable")]
-                cut = np.flatnonzero(np.append(True, rows["cls"][1:] != rows["cls"][:-1]))
-                yield pd.DataFrame({"cls": rows["cls"][cut], "entries": [x.tobytes() for x in np.split(rows, cut[1:])]})
+                yield pd.DataFrame(np.frombuffer(blob, dtype="<i8").reshape(-1, 2), columns=["a", "b"])
 
-    def gather(frames):
-        held, n = [], 0
+    def entries_of(frames):
         for pdf in frames:
-            for label, blob in zip(pdf["label"].tolist(), pdf["entries"]):
-                rows = np.frombuffer(blob, dtype=SIGNED)
-                out = np.zeros(len(rows), dtype=LABELLED)
-                for f in SIGNED.names:
-                    out[f] = rows[f]
-                out["label"] = label
-                held.append(out)
-                n += len(out)
-            if n >= FLUSH // 2:
-                yield by_token(np.concatenate(held))
-                held, n = [], 0
-        if n:
-            yield by_token(np.concatenate(held))
-
-    def others(rows):
-        rows, first, size = groups(rows)
-        if not len(first):
-            return
-        edge = np.stack([first, first + size], axis=1).ravel()  # every second slice is a group
-        edge = edge[:-1] if edge[-1] == len(rows) else edge
-        low, high = (f.reduceat(rows["label"], edge)[::2] for f in (np.minimum, np.maximum))
-        mixed = low != high  # groups with several labels
-        first, size = first[mixed], size[mixed]
-        found: list[np.ndarray] = []
-
-        def look(i, j):
-            a, b = rows[i], rows[j]
-            good = a["label"] != b["label"]
-            a, b = a[good], b[good]
-            good = possible(a, b)
-            if good.any():
-                x, y = a["cls"][good], b["cls"][good]
-                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
-            if len(found) > 256:
-                found[:] = [np.unique(np.concatenate(found), axis=0)]
-
-        small = size <= 64
-        for a, n in zip(first[~small].tolist(), size[~small].tolist()):
-            label = rows["label"][a : a + n]
-            _, kind, many = np.unique(label, return_inverse=True, return_counts=True)
-            common = kind == many.argmax()  # pairs inside the largest label need no look
-            for k in np.flatnonzero(~common).tolist():
-                j = np.flatnonzero(common | (np.arange(n) > k))
-                for at in np.array_split(j, 1 + len(j) // PAIRS):
-                    look(np.full(len(at), a + k), a + at)
-        for n in np.unique(size[small]).tolist():  # groups of one size: all their pairs at once
-            i, j = np.triu_indices(n, 1)
-            own = first[small & (size == n)]
-            for at in np.array_split(own, 1 + len(own) * len(i) // PAIRS):
-                look((at[:, None] + i[None, :]).ravel(), (at[:, None] + j[None, :]).ravel())
-        if found:
-            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
-
-    labelled = signed.mapInPandas(frugal(spread), "cls long, entries binary").join(labels, "cls", "left").select(F.coalesce("label", "cls").alias("label"), "entries").mapInPandas(frugal(gather), PACKED)
-    rest = exchange(labelled, others, LABELLED, PAIR).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stash(rest.join(known, ["a", "b"], "left_anti"), "ngram-other-pairs")
-    roots = connected(links.unionByName(verify(rest, docs, described, late)))
+            for blob in pdf["blob"]:
+                e = np.frombuffer(blob, dtype=ENTRY)
+                yield pd.DataFrame({f: e[f].astype("<u8").view("<i8") for f in ENTRY.names})
+
+    links = joined.where("kind = 0").select("blob").mapInPandas(pairs_of, PAIR)
+    rest = exchange(joined.where("kind = 1").select("bucket", "blob"), across_labels, ENTRY, PAIR)
+    rest = rest.unionByName(hot_pairs(joined.where("kind = 2").select("blob").mapInPandas(entries_of, "token long, cls long, label long, n long, s long")))
+    rest = stash(rest.distinct(), "ngram-pairs")
+    roots = connected(links.unionByName(verify(rest, live)))
     # cls -> component -> its smallest document
     per_class = described.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     per_class = stash(per_class.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "ngram-classes")
     least = per_class.groupBy("root").agg(F.min("least").alias("component"))
     found = per_class.join(least, "root").select("cls", "component")
-    rows = described.where("cells is null").select("doc_id", "n", "cls").join(found, "cls", "left")
+    rows = described.join(found, "cls", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, late) -> DataFrame:
-    """The pairs (a, b) of classes that are linked. Sets are made again from the text of each class' first document."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    first = described.where("cls is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("x")).select("cls", F.col("x.doc_id").alias("doc_id"))
-    first = stash(first, "ngram-wanted")
-    needed = KeyFilter(first, "doc_id")
-
-    def sets(frames):
-        for pdf in frames:
-            ids = pdf["doc_id"].astype("Int64")
-            pdf = pdf[ids.isna() | needed.has(ids.fillna(0).to_numpy(dtype=np.int64))] if len(pdf) else pdf
-            if len(pdf):
-                found = shingle_sets(pdf["text"].tolist())
-                yield pd.DataFrame({"cls": classes_of(found), "set": [s.tobytes() for s in found]})
-
-    table = docs.mapInPandas(frugal(sets), "cls long, set binary").join(first.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    table = stash(table, "ngram-sets")
+def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are linked: the partners of a class go into tries of FAN sets, and it walks them."""
     fans = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = pairs.join(fans, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"1 + n div {FAN}")))
-    salted = stash(salted.select("a", "b", "salt"), "ngram-salted")
-    right = salted.join(table.withColumnRenamed("cls", "b").withColumnRenamed("set", "bset"), "b").select("a", "salt", "b", "bset")
-    left = salted.select("a", "salt").distinct().join(table.withColumnRenamed("cls", "a").withColumnRenamed("set", "aset"), "a").select("a", "salt", "aset")
+    salted = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.expr(f"1 + n div {FAN}")).alias("salt"))
+    sets = live.select("cls", "n", "tokens")
+    right = salted.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "n", "tokens")
+    left = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select(F.col("a").alias("la"), F.col("salt").alias("ls"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))  # names of its own: both sides come from pairs
 
     def check(key, probe, partners):
         if not len(probe) or not len(partners):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        p = np.frombuffer(probe["aset"].iloc[0], dtype=np.uint64)
-        all_sets = [late.value.put(np.frombuffer(x, dtype=np.uint64)) for x in partners["bset"]]
-        hit = linked_to(p, all_sets)
+        hit = linked_to(np.frombuffer(probe["lt"].iloc[0], dtype="<u8"), int(probe["ln"].iloc[0]), [np.frombuffer(x, dtype="<u8") for x in partners["tokens"]], partners["n"].to_numpy())
         return pd.DataFrame({"a": key[0], "b": partners["b"].to_numpy()[hit]}).astype("int64")
 
-    left = left.select(F.col("a").alias("la"), F.col("salt").alias("ls"), "aset")  # names of its own: both sides come from pairs
     return left.groupBy("la", "ls").cogroup(right.groupBy("a", "salt")).applyInPandas(check, PAIR)

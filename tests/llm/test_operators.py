@@ -430,18 +430,74 @@ def test_ngram_chain_of_copies(spark):
     assert got == groups_of(rows)
 
 
+def linked(a, b):
+    return 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+
+
 def test_trie_is_brute_force():
     rng = np.random.default_rng(6)
-    late = np.zeros(ngram_join.CELLS, dtype=np.uint32)
     universe = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
-    late[ngram_join.cell_of(universe[:9])] = 70
-    order = ngram_join.Order(late)
     for _ in range(60):
         sets = [np.unique(rng.choice(universe, rng.integers(1, 50))) for _ in range(rng.integers(1, 12))]
         sets += sets[:1]
         probe = np.unique(rng.choice(universe, rng.integers(1, 50)))
-        got = ngram_join.linked_to(probe, [order.put(s) for s in sets])
-        assert got.tolist() == [100 * len(np.intersect1d(s, probe)) >= 80 * len(np.union1d(s, probe)) for s in sets]
+        got = ngram_join.linked_to(probe, len(probe), sets, np.array([len(s) for s in sets]))
+        assert got.tolist() == [linked(s, probe) for s in sets]
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64])
+def test_trie_joins_groups(monkeypatch, stretch):
+    """Sets with one first member: components by the trie are those of all pairs."""
+    monkeypatch.setattr(ngram_join, "STRETCH", stretch)
+    rng = np.random.default_rng(stretch)
+    for _ in range(30):
+        sets = []
+        for first in range(4):
+            base = np.arange(10, 200)
+            for _ in range(rng.integers(1, 30)):
+                sets.append(np.unique(np.append(np.where(rng.random(190) < rng.choice([0.01, 0.05, 0.12]), rng.integers(200, 999, 190), base), first)))
+        want = np.arange(len(sets))
+        for _ in sets:
+            for i, a in enumerate(sets):
+                for j, b in enumerate(sets):
+                    if a[0] == b[0] and want[i] != want[j] and linked(a, b):
+                        want[[i, j]] = min(want[i], want[j])
+            if all(want[i] == want[j] for i, a in enumerate(sets) for j, b in enumerate(sets) if a[0] == b[0] and linked(a, b)):
+                break
+        order = rng.permutation(len(sets))
+        got = np.empty(len(sets), dtype=int)
+        got[order] = order[ngram_join.join_groups([sets[k] for k in order], np.array([len(sets[k]) for k in order]), rng.random(len(sets)))]
+        assert {tuple(np.flatnonzero(got == k)) for k in set(got.tolist())} == {tuple(np.flatnonzero(want == k)) for k in set(want.tolist())}
+
+
+def test_lists_of_shingles():
+    rng = np.random.default_rng(2)
+    cls, n = rng.integers(-5, 5, 400).astype("<i8"), np.full(400, 9)
+    token, bucket = rng.integers(0, 60, 400).astype("<u8"), rng.integers(0, 3, 400)
+    frame = ngram_join.pack_lists(bucket, cls, n, token, token.astype("u1"))
+    got = ngram_join.unpack_lists(frame["blob"].tolist())
+    assert sorted(zip(got[0], got[2])) == sorted(zip(cls, token)) and (got[3] == got[2]).all()
+    c, _, t, level = ngram_join.shared_of(cls, n, token)
+    held = {x: {a for a, b in zip(cls.tolist(), token.tolist()) if b == x} for x in token.tolist()}
+    assert sorted(zip(c.tolist(), t.tolist(), level.tolist())) == sorted((a, x, int(math.log2(len(g)))) for x, g in held.items() if len(g) > 1 for a in g)
+
+
+def test_ngram_split_groups(spark, monkeypatch):
+    """Groups and shingles over the sizes that one task takes: a family, unlinked texts with a common part, and chains."""
+    monkeypatch.setattr(ngram_join, "GROUP", 8)
+    monkeypatch.setattr(ngram_join, "HOT", 3)
+    monkeypatch.setattr(ngram_join, "PAIRS", 64)
+    rng = random.Random(5)
+    base, common = [f"w{i}" for i in range(100)], [f"c{i}" for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 90):
+        t = list(base)
+        for _ in range(rng.randint(1, 3)):
+            t[rng.randrange(100)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, " ".join([*common, *(f"u{rng.randrange(30)}" for _ in range(rng.randint(4, 14)))])) for i in range(90)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, DOC).repartition(6)).collect()}
+    assert got == groups_of(rows)
 
 
 def test_ngram_odd(spark, empty):
