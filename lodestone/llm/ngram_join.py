@@ -5,18 +5,19 @@ words). Equal sets are one class, found by hash before anything else.
 
 1. Every shingle of every class meets its like, which gives the number of classes that hold it. A shingle of one class
    only can be in no overlap, so a class keeps its shared shingles, and a class with under 80 % of them shared can be
-   linked with nothing. The shared ones stand in one global order: rare ones first (by the power of two of their
-   count), then by hash.
-2. Prefix-tree join. Classes with the same first shingle meet; a task's classes go into one trie, and many probes walk
+   linked with nothing.
+2. Prefix-tree join. Under each of KEYS global orders, classes with the same first shingle meet (linked sets do with
+   their similarity as the chance); a task's classes go into one trie, and many probes walk
    it together, a stretch of shingles at a time. The overlap with a shared path is counted once, and a subtree is left
    when its overlap and what can remain, of its longest set and of the probe, are less than its smallest set needs, or
    when all its sets are in the probe's component already. The most usual sets of a group probe first (what copies were
    made from), so a family becomes one component after few walks. Groups over GROUP classes are split; each part gets
-   the group's most usual class. A class gives one row: the label of its component.
-3. Two linked sets have a shingle in common among the first n - ceil(0.8 n) + 1 of both (unshared ones counted), which
-   need not be the first of either. So these prefixes meet by shingle; only classes with different labels and sizes that
-   allow a link become pairs, and tries decide them. Shingles of over HOT classes are dealt with in blocks: those outside the
-   commonest label go to every block of the others.
+   the group's most usual class. A class gives one row: what its component is called. These links' components are labels.
+3. What tries cannot have seen: in one order, rare shingles first, linked sets have one in common among the first
+   n - ceil(0.8 n) + 1 of both (unshared ones counted). These prefixes meet by shingle; classes with different labels
+   become pairs if their sizes, and the parities of their whole sets, leave enough overlap; tries decide the pairs.
+   Shingles of 2**HOT classes or more are dealt with in blocks: classes outside the commonest label go to every block
+   of the others.
 4. Labels and links make components.
 
 Nothing is capped or sampled. Equality of shingles and classes is that of 64-bit hashes. Null and empty texts, and
@@ -39,13 +40,13 @@ WORDS = 5
 PERCENT = 80
 #: Shingles that a task packs at a time, pairs that it looks at, shingles of sets in one trie.
 FLUSH, PAIRS, TREE = 1 << 20, 1 << 17, 1 << 21
-#: Classes in a trie's group, binary logarithm of the classes in a prefix group, partners in a tree of the last step.
-GROUP, HOT, FAN = 256, 12, 128
+#: Global orders; classes in a trie's group, binary logarithm of the classes in a prefix group, partners in a tree of the last step.
+KEYS, GROUP, HOT, FAN = 2, 256, 12, 128
 #: Shingles that a walk takes from a node at a time.
 STRETCH = 64
-ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("label", "<i8"), ("n", "<u4"), ("s", "<u4")])
+ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("label", "<i8"), ("n", "<u4"), ("s", "<u4"), ("sign", "<u8", (4,))])
 PAIR = "a long, b long"
-LIVE = "cls long, n int, first long, usual double, tokens binary, levels binary"
+LIVE = "cls long, n int, firsts array<long>, usual double, tokens binary, cold int"
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -102,9 +103,18 @@ def are_linked(overlap, na, nb, percent: int = PERCENT):
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
+def signature(token: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """256 parities of each set's shingles; sets stand one after the other. Where two sets differ in k shingles, k parities differ at most."""
+    bit = mix64(token ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)
+    one, first = np.uint64(1) << (bit & np.uint64(63)), np.cumsum(size) - size
+    return np.stack([np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == word, one, np.uint64(0)), first) for word in range(4)], axis=1)
+
+
 def possible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sizes of pairs of entries allow a link: an overlap has shared shingles only."""
-    return needed(a["n"].astype(np.int64), b["n"].astype(np.int64)) <= np.minimum(a["s"], b["s"])
+    """Whether pairs of entries can be linked: an overlap has shared shingles only, and leaves out those that differ."""
+    differ = np.bitwise_count(a["sign"] ^ b["sign"]).sum(axis=1, dtype=np.int64)
+    sa, sb = a["s"].astype(np.int64), b["s"].astype(np.int64)
+    return needed(a["n"].astype(np.int64), b["n"].astype(np.int64)) <= np.minimum(np.minimum(sa, sb), (sa + sb - differ) // 2)
 
 
 # Lists of shingles by class, as bytes: the number of classes, then a head for each, all shingles, and a level for each.
@@ -293,7 +303,7 @@ def linked_to(probe: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.ndarr
     """Which of the sets are linked to the probe. All are in one global order; sizes count members that are left out."""
     if not sets:
         return np.zeros(0, dtype=bool)
-    rows = ranked([*sets, probe], None)
+    rows = ranked([*sets, probe])
     trie = Trie(rows, np.append(sizes, n))
     k = np.full(trie.child_at[1], len(sets))
     _, hit = trie.walk(k, trie.child[: len(k)], lambda p, v: np.zeros(len(p), dtype=bool))
@@ -302,14 +312,14 @@ def linked_to(probe: np.ndarray, n: int, sets: list[np.ndarray], sizes: np.ndarr
     return out[:-1]
 
 
-def ranked(tokens: list[np.ndarray], levels: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Sets of shingles as their ascending places in the global order (without levels: any order)."""
-    flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint64)
-    distinct, first, which = np.unique(flat, return_index=True, return_inverse=True)
-    if levels is not None:
-        rank = np.empty(len(distinct), dtype=np.int64)
-        rank[np.lexsort((distinct, np.concatenate(levels)[first]))] = np.arange(len(distinct))
-        which = rank[which]
+def spread(token: np.ndarray, key: int) -> np.ndarray:
+    """Where shingles stand in a global order."""
+    return mix64(token + np.uint64(key * 0x9FB21C651E98DF25 & 0xFFFFFFFFFFFFFFFF))
+
+
+def ranked(tokens: list[np.ndarray], key: int = 0) -> list[np.ndarray]:
+    """Sets of shingles as the ascending places of their members in a global order."""
+    _, which = np.unique(spread(np.concatenate(tokens), key), return_inverse=True)
     return [np.sort(x) for x in np.split(which, np.cumsum([len(t) for t in tokens])[:-1])]
 
 
@@ -373,67 +383,77 @@ def shared_sets(docs: DataFrame, nb: int) -> DataFrame:
         size = np.diff(np.append(at, len(cls)))
         for part in np.array_split(np.flatnonzero(100 * size >= PERCENT * n[at].astype(np.int64)), 1 + len(cls) // FLUSH):
             own = [slice(a, a + k) for a, k in zip(at[part].tolist(), size[part].tolist())]
-            first = np.array([token[x.start] for x in own], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"cls": cls[at[part]], "n": n[at[part]].astype("int32"), "first": first, "usual": [float(level[x].mean()) for x in own], "tokens": [token[x].tobytes() for x in own], "levels": [level[x].tobytes() for x in own]})
+            firsts = [[int(token[x][spread(token[x], key).argmin()].view(np.int64)) for key in range(KEYS)] for x in own]
+            yield pd.DataFrame({"cls": cls[at[part]], "n": n[at[part]].astype("int32"), "firsts": firsts, "usual": [float(level[x].mean()) for x in own], "tokens": [token[x].tobytes() for x in own], "cold": [int((level[x] < HOT).sum()) for x in own]})
 
     met = to_buckets(docs.select("text").mapInPandas(frugal(entries), PACKED)).mapInPandas(frugal(meet), PACKED)
     return to_buckets(met).mapInPandas(frugal(gather), LIVE)
 
 
 def dealt(live: DataFrame, nb: int) -> DataFrame:
-    """live by group: its first shingle and, in groups over GROUP classes, a part; there the most usual class is in each."""
-    sizes = live.groupBy("first").agg(F.count("*").alias("many"), F.max(F.struct("usual", F.length("tokens").alias("length"), "cls")).alias("pivot"))
-    hot = sizes.where(F.col("many") > GROUP).select("first", F.ceil(F.col("many") / GROUP).alias("parts"), F.col("pivot.cls").alias("pivot"))
-    rows = live.join(hot, "first", "left")
+    """live by order and group: its first shingle and, in groups over GROUP classes, a part; there the most usual class is in each."""
+    live = live.select("cls", "n", "usual", "tokens", F.posexplode("firsts").alias("key", "first"))
+    sizes = live.groupBy("key", "first").agg(F.count("*").alias("many"), F.max(F.struct("usual", F.length("tokens").alias("length"), "cls")).alias("pivot"))
+    hot = sizes.where(F.col("many") > GROUP).select("key", "first", F.ceil(F.col("many") / GROUP).alias("parts"), F.col("pivot.cls").alias("pivot"))
+    rows = live.join(hot, ["key", "first"], "left")
     own = rows.where("pivot is null or cls != pivot").select(*live.columns, F.coalesce(F.pmod(F.xxhash64("cls"), "parts"), F.lit(-1)).alias("part"), F.lit(0).alias("copy"))
     pivot = rows.where("cls = pivot").select(*live.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("copy"))
-    both = own.unionByName(pivot).withColumn("bucket", F.pmod(F.xxhash64("first", "part"), F.lit(nb)).cast("int"))
-    return to_buckets(both).sortWithinPartitions("part", "first", "cls")
+    both = own.unionByName(pivot).withColumn("bucket", F.pmod(F.xxhash64("key", "first", "part"), F.lit(nb)).cast("int"))
+    return to_buckets(both).sortWithinPartitions("part", "key", "first", "cls")
 
 
-def labelled(live: DataFrame, nb: int) -> DataFrame:
-    """The trie join: kind 0, (cls, label) of each class as PAIR rows; kind 1 and 2, ENTRY rows of its prefix (2: of
-    shingles that 2**HOT classes or more hold)."""
+def joined(live: DataFrame, nb: int) -> DataFrame:
+    """The trie join: a class, and what its component in its group is called, if that is another class (PAIR)."""
 
     def run(frames):
-        held, count, key = [], 0, None
+        held, count, now = [], 0, None
 
         def out():
-            tokens, levels = [np.frombuffer(r.tokens, dtype="<u8") for r in held], [np.frombuffer(r.levels, dtype="u1") for r in held]
-            n = np.array([r.n for r in held], dtype=np.int64)
             cls, copy = np.array([r.cls for r in held], dtype=np.int64), np.array([r.copy for r in held], dtype=bool)
-            label = join_groups(ranked(tokens, levels), n, np.array([r.usual + 1000 * r.copy for r in held]))
+            sets = ranked([np.frombuffer(r.tokens, dtype="<u8") for r in held], held[0].key)
+            label = join_groups(sets, np.array([r.n for r in held]), np.array([r.usual + 1000 * r.copy for r in held]))
             name = cls.copy()
-            for k in np.flatnonzero(copy):  # a component with a part's copy of the most usual class is called after it
-                name[label[k]] = cls[k]
+            name[label[copy]] = cls[copy]  # parts of one group agree on the class that is in all of them
             name = name[label]
-            s = np.array([len(x) for x in tokens])
-            take = s - -(-PERCENT * n // 100) + 1
-            take = np.where(copy & (np.array([r.part for r in held]) > 0), 0, take)  # once for each class
-            size = np.maximum(take, 0)
-            e = np.zeros(size.sum(), dtype=ENTRY)
-            e["token"] = np.concatenate([x[:k] for x, k in zip(tokens, size.tolist())])
-            e["cls"], e["label"], e["n"], e["s"] = (np.repeat(x, size) for x in (cls, name, n, s))
-            hot = np.concatenate([x[:k] for x, k in zip(levels, size.tolist())]) >= HOT
-            pairs = np.stack([cls, name], axis=1)[~copy & (cls != name)]
-            yield pd.DataFrame({"bucket": [-1], "kind": [0], "blob": [pairs.tobytes()]})
-            yield by_token(e[~hot], nb).assign(kind=1)[["bucket", "kind", "blob"]]
-            if hot.any():
-                yield pd.DataFrame({"bucket": [-1], "kind": [2], "blob": [e[hot].tobytes()]})
+            return pd.DataFrame({"a": cls, "b": name})[cls != name]
 
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                now = (r.part, r.first)
-                if held and now != key and (count >= TREE or r.part >= 0):  # parts of split groups have a trie of their own
-                    yield from out()
+                if held and (r.part, r.key, r.first) != now and (count >= TREE or r.part >= 0 or r.key != now[1]):  # parts of split groups have tries of their own
+                    yield out()
                     held, count = [], 0
-                key = now
+                now = (r.part, r.key, r.first)
                 held.append(r)
                 count += len(r.tokens) // 8
         if held:
-            yield from out()
+            yield out()
+
+    return dealt(live, nb).mapInPandas(frugal(run), PAIR)
+
 
-    return dealt(live, nb).mapInPandas(frugal(run), "bucket int, kind int, blob binary")
+def prefixes(live: DataFrame, labels: DataFrame, nb: int) -> DataFrame:
+    """ENTRY rows of each class' prefix; hot: of shingles that 2**HOT classes or more hold, without a bucket."""
+
+    def run(frames):
+        for pdf in frames:
+            for part in np.array_split(np.arange(len(pdf)), 1 + int(pdf["tokens"].map(len).sum()) // (8 * FLUSH)) if len(pdf) else ():
+                own = pdf.iloc[part]
+                tokens, n, cold = [np.frombuffer(x, dtype="<u8") for x in own["tokens"]], own["n"].to_numpy(dtype=np.int64), own["cold"].to_numpy()
+                s = np.array([len(x) for x in tokens], dtype=np.int64)
+                size = s - -(-PERCENT * n // 100) + 1
+                e = np.zeros(size.sum(), dtype=ENTRY)
+                if not len(e):
+                    continue
+                e["token"] = np.concatenate([x[:k] for x, k in zip(tokens, size.tolist())])
+                for f, x in (("cls", own["cls"]), ("label", own["label"]), ("n", n), ("s", s), ("sign", signature(np.concatenate(tokens), s))):
+                    e[f] = np.repeat(np.asarray(x), size, axis=0)
+                hot = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size) >= np.repeat(cold, size)
+                yield by_token(e[~hot], nb).assign(hot=False)
+                if hot.any():
+                    yield pd.DataFrame({"bucket": [-1], "blob": [e[hot].tobytes()], "hot": [True]})
+
+    rows = live.select("cls", "n", "tokens", "cold").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return rows.mapInPandas(frugal(run), "bucket int, blob binary, hot boolean")
 
 
 def by_token(rows: np.ndarray, nb: int) -> pd.DataFrame:
@@ -454,21 +474,23 @@ def compared(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]
 
 
 def across_labels(rows: np.ndarray):
-    """Pairs of classes in the same shingle's group; rows: ENTRY, all of each shingle, fewer than 2**HOT + 1."""
+    """Pairs of classes in the same shingle's group; rows: ENTRY, all of each shingle."""
     rows = rows[np.lexsort((rows["label"], rows["token"]))]
-    first = np.flatnonzero(np.append(True, rows["token"][1:] != rows["token"][:-1])) if len(rows) else np.zeros(0, dtype=np.int64)
-    size = np.diff(np.append(first, len(rows)))
-    mixed = rows["label"][first] != rows["label"][first + size - 1] if len(first) else np.zeros(0, dtype=bool)
-    first, size, found = first[mixed], size[mixed], []
-    for n in np.unique(size).tolist():  # groups of one size: all their pairs at once, some rows at a time
-        own = first[size == n]
-        for i in np.array_split(np.arange(n - 1), 1 + n * n // (4 * PAIRS)):
-            left = np.repeat(i, n - 1 - i)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n - 1 - i) - (n - 1 - i), n - 1 - i)
-            for at in np.array_split(own, 1 + len(own) * len(left) // (4 * PAIRS)):
-                found += compared(rows[(at[:, None] + left[None, :]).ravel()], rows[(at[:, None] + right[None, :]).ravel()])
+    if not len(rows):
+        return
+    by_shingle = np.append(rows["token"][1:] != rows["token"][:-1], True)
+    by_label = by_shingle | np.append(rows["label"][1:] != rows["label"][:-1], True)
+    k = np.arange(len(rows))
+    stop, start = (np.flatnonzero(x)[np.cumsum(x) - x] + 1 for x in (by_shingle, by_label))  # a row's partners: after its label, in its group
+    size = stop - start
+    found, done = [], np.cumsum(size)
+    for part in np.split(k, np.searchsorted(done, np.arange(4 * PAIRS, done[-1], 4 * PAIRS))):
+        n = size[part]
+        left = np.repeat(part, n)
+        right = np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(len(left))
+        found += compared(rows[left], rows[right])
         if len(found) > 64:
-            found = [tuple(x.T) for p in distinct_pairs(found) for x in [p.to_numpy()]]
+            found = [tuple(x.to_numpy().T) for x in distinct_pairs(found)]
     yield from distinct_pairs(found)
 
 
@@ -487,12 +509,13 @@ def hot_pairs(hot: DataFrame) -> DataFrame:
         a, b = (np.zeros(len(x), dtype=ENTRY) for x in (few, own))
         for f in ("cls", "label", "n", "s"):
             a[f], b[f] = few[f"f_{f}"], own[f]
+        a["sign"], b["sign"] = (np.frombuffer(b"".join(x), dtype="<u8").reshape(-1, 4) for x in (few["f_sign"], own["sign"]))
         found = []
         for k in np.array_split(np.arange(len(a)), 1 + len(a) * len(b) // (4 * PAIRS)):
             found += compared(np.repeat(a[k], len(b)), np.tile(b, len(k)))
         return next(iter(distinct_pairs(found)), pd.DataFrame({"a": [], "b": []})).astype("int64")
 
-    columns = ["token", "block", "cls", "label", "n", "s"]
+    columns = ["token", "block", "cls", "label", "n", "s", "sign"]
     few = few.select(*(F.col(c).alias(f"f_{c}") for c in columns))  # names of its own: both sides come from hot
     return few.groupBy("f_token", "f_block").cogroup(own.select(columns).groupBy("token", "block")).applyInPandas(run, PAIR)
 
@@ -505,22 +528,18 @@ def components(docs: DataFrame) -> DataFrame:
     nb = buckets(spark)
     described = stash(describe(docs), "ngram-docs")
     live = stash(shared_sets(docs, nb), "ngram-live")
-    joined = stash(labelled(live, nb), "ngram-joined")
-
-    def pairs_of(frames):
-        for pdf in frames:
-            for blob in pdf["blob"]:
-                yield pd.DataFrame(np.frombuffer(blob, dtype="<i8").reshape(-1, 2), columns=["a", "b"])
+    links = stash(joined(live, nb), "ngram-links")
+    labels = connected(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))
+    entries = stash(prefixes(live, labels, nb), "ngram-prefixes")
 
-    def entries_of(frames):
+    def rows_of(frames):
         for pdf in frames:
             for blob in pdf["blob"]:
                 e = np.frombuffer(blob, dtype=ENTRY)
-                yield pd.DataFrame({f: e[f].astype("<u8").view("<i8") for f in ENTRY.names})
+                yield pd.DataFrame({f: e[f].astype("<u8").view("<i8") for f in ("token", "cls", "label", "n", "s")} | {"sign": [x.tobytes() for x in e["sign"]]})
 
-    links = joined.where("kind = 0").select("blob").mapInPandas(pairs_of, PAIR)
-    rest = exchange(joined.where("kind = 1").select("bucket", "blob"), across_labels, ENTRY, PAIR)
-    rest = rest.unionByName(hot_pairs(joined.where("kind = 2").select("blob").mapInPandas(entries_of, "token long, cls long, label long, n long, s long")))
+    rest = exchange(entries.where("not hot").select("bucket", "blob"), across_labels, ENTRY, PAIR)
+    rest = rest.unionByName(hot_pairs(entries.where("hot").select("blob").mapInPandas(rows_of, "token long, cls long, label long, n long, s long, sign binary")))
     rest = stash(rest.distinct(), "ngram-pairs")
     roots = connected(links.unionByName(verify(rest, live)))
     # cls -> component -> its smallest document
