@@ -195,9 +195,9 @@ class WordIds:
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
         return start, h, *self.spread(self.rows(distinct, start[first], end[first], data)[which])
 
-    def tally(self, data: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct words' hashes, how often each occurs, and how often each of so many ids does."""
-        start, end, h = word_hashes(data, self.space)
+    def tally(self, data: np.ndarray, ids: int, words: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words' hashes, how often each occurs, and how often each of so many ids does. words: word_hashes() of data, if known."""
+        start, end, h = words or word_hashes(data, self.space)
         distinct, first, n = np.unique(h, return_index=True, return_counts=True)
         size, own = self.spread(self.rows(distinct, start[first], end[first], data))
         return distinct, n, np.bincount(own, np.repeat(n, size), minlength=ids).astype(np.int64)
