@@ -258,10 +258,11 @@ def plain_softmax(net, y):
 
 
 def plain_network(net, ids, text):
-    """Each place's probabilities of all ids."""
+    """Each place's probabilities of all ids. Blocks are counted from a text's start."""
     w, b, out, end = net.w, language_model.BLOCK, [], len(net.cls) - 1
     for i in range(len(ids)):
-        own = [j for j in range(i // b * b - b, i + 1) if j >= 0 and text[j] == text[i]]
+        start = text.tolist().index(text[i])
+        own = [j for j in range(start + (i - start) // b * b - b, i + 1) if j >= start]
         x = np.stack([w["e"][net.row[end if j == 0 or text[j - 1] != text[j] else ids[j - 1]]] for j in own])
         q, k, v = np.split(x @ w["qkv"], 3, axis=1)
         z = k @ q[-1] / math.sqrt(language_model.WIDTH) + w["place"][[i - j for j in own]]
@@ -274,7 +275,7 @@ def plain_network(net, ids, text):
 @pytest.mark.parametrize("group", [64, 1 << 15])
 def test_attention_blocks_are_a_plain_loop(group):
     rng, net = np.random.default_rng(1), network(1)
-    text = np.repeat(np.arange(6), [1, 40, 3, 75, 16, 33])
+    text = np.repeat(np.arange(7), [1, 40, 3, 75, 16, 33, 64])
     ids = rng.integers(0, 39, len(text))
     lp, begin = net.score(ids, text, blocks=2, group=group)
     p = plain_network(net, ids, text)
