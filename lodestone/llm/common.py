@@ -143,7 +143,7 @@ def word_hashes(data: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarra
 
 class WordIds:
     """Ids of texts word by word, where words are ended by the bytes of `space`: a table from a word's 64-bit hash to
-    its ids. New words are given to encode(list of words) -> packed ids. Bounded: a full table starts again, which
+    its ids. New words are given to encode(list of words) -> packed ids of each (or their sizes, starts, and all ids). Bounded: a full table starts again, which
     costs time but changes no result."""
 
     def __init__(self, encode, dtype: str, space: np.ndarray = _SPACE, limit: int = 1_200_000) -> None:
@@ -163,11 +163,14 @@ class WordIds:
 
     def learn(self, h: np.ndarray, words: list[str]) -> None:
         got = self.encode(words)
-        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // self.dtype.itemsize
-        new = np.frombuffer(b"".join(got), dtype=self.dtype)
+        if isinstance(got, tuple):
+            size, at, new = got
+        else:
+            size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // self.dtype.itemsize
+            at, new = np.cumsum(size) - size, np.frombuffer(b"".join(got), dtype=self.dtype)
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(new), self.used // 2), dtype=self.dtype)])
-        at = self.used + np.cumsum(size) - size
+        at = at + self.used
         self.flat[self.used : self.used + len(new)] = new
         self.used += len(new)
         place = np.searchsorted(self.known, h)
