@@ -1,22 +1,39 @@
-"""Command line: info, doctor, index, search, context, ask. Exit codes: 0, 1 for a known error, 130 when interrupted."""
+"""Command line: info, doctor, index, search, context, ask, chat, ingest. Exit codes: 0, 1 for a known error, 130 when interrupted."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Sequence
 
-from lodestone.config import PromptSettings, Settings
+from lodestone.config import PREFIX, Settings
 from lodestone.errors import LodestoneError
 
 
+#: The steps from parsed documents to the corpus, and what each reads and writes.
+STEPS = {
+    "inventory": ("document", "parents", "report", "reviews", "overrides", "review-table"), "view": ("document", "target", "report", "start-page", "index-page"), "texts": ("view", "target", "report"),
+    "tables": ("document", "target", "report", "reviews", "overrides"), "combine": ("texts", "tables", "parents", "target", "report"), "convert": ("source", "target", "parser"),
+}
+#: What ends a conversation, in any case.
+LEAVE = ("exit", "quit", ":q")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestone")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("info")
     sub.add_parser("doctor")
     sub.add_parser("index").add_argument("--rebuild", action="store_true")
+    sub.add_parser("chat")
+    p.add_argument("--log-level", default=None)
+    steps = sub.add_parser("ingest").add_subparsers(dest="step", required=True)
+    for name, flags in STEPS.items():
+        step = steps.add_parser(name)
+        for flag in flags:
+            step.add_argument(f"--{flag}", required=flag not in ("reviews", "overrides", "index-page"), type=int if flag in ("start-page", "index-page") else str)
     for name in ("search", "context", "ask"):
         c = sub.add_parser(name)
         c.add_argument("question", nargs="*" if name == "ask" else 1)
@@ -36,6 +53,7 @@ def show(df, as_json: bool) -> None:
 
 
 def problems(engine) -> list[str]:
+    """What is wrong with the index, seen from the corpus and the models that are set."""
     from pyspark.sql import functions as F
 
     from lodestone.operators.corpus import index_problems
@@ -46,6 +64,79 @@ def problems(engine) -> list[str]:
     return index_problems(state).select(F.col("problems")).first()[0]
 
 
+def doctor(spark, settings: Settings) -> list[str]:
+    """All that keeps questions from being answered: the corpus, then the index. Prints what there is."""
+    from pyspark.errors import PySparkException
+
+    from lodestone.operators.models import device
+    from lodestone.plans.engine import build_engine
+
+    print(f"device\t{device(settings.run.device or None)}")
+    try:
+        engine = build_engine(spark, settings)
+    except (LodestoneError, PySparkException) as e:
+        return [f"corpus: {str(e).splitlines()[0]}"]
+    print(f"records\t{engine.records.count()}\nmodel\t{engine.llm.name}")
+    return [f"index: {p}" for p in problems(engine)]
+
+
+def step(spark, args) -> dict:
+    """Runs a step of ingestion; gives its report, which it has written too."""
+    from importlib import import_module
+
+    from lodestone.plans import ingest
+    from lodestone.sources import files
+
+    chunks = Settings.from_env().chunks
+    if args.step == "convert":  # parser: module:function of (path, bytes) -> JSON text
+        module, _, name = args.parser.partition(":")
+        ingest.convert(spark, args.source, args.target, getattr(import_module(module), name))
+        return {}
+    if args.step == "combine":
+        got = ingest.combine(spark, args.texts, args.tables, args.parents, args.target, chunks.max_tokens)
+    elif args.step == "texts":
+        from lodestone.operators.checks import require_inputs
+
+        require_inputs(spark, args.view)
+        kept = spark.read.schema("document_id string, source_filename string, ordinal long, self_ref string, label string, text string, parent_ref string, pages array<int>, headings array<string>").json(args.view)
+        files.write_lines(ingest.text_records(kept, chunks.target_tokens, chunks.max_tokens), args.target, "overwrite")
+        got = {"records": spark.read.text(args.target).count()}
+    else:
+        docs = ingest.document(spark, args.document)
+        if args.step == "view":
+            kept, got = ingest.view(docs, args.start_page, args.index_page)
+            files.save_document(kept, args.target)
+        else:
+            reviews = spark.read.schema("table_index int, reason string, note string").option("header", True).csv(args.reviews) if args.reviews else spark.createDataFrame([], "table_index int, reason string, note string")
+            overrides = files.read_overrides(spark, args.overrides) if args.overrides else spark.createDataFrame([], "table_index int, caption array<string>")
+            decided = ingest.inventory(docs, reviews, overrides)
+            if args.step == "tables":
+                files.write_lines(ingest.table_records(decided, chunks.target_tokens, chunks.max_tokens), args.target, "overwrite")
+                got = {"records": spark.read.text(args.target).count()}
+            else:
+                from lodestone.operators.envelopes import table_parents
+
+                files.write_lines(table_parents(decided), args.parents, "overwrite")
+                files.write_review(ingest.review(decided), args.review_table)
+                got = {f"{r.decision}/{r.review_source}": r["count"] for r in decided.groupBy("decision", "review_source").count().orderBy("decision", "review_source").collect()}
+    return files.write_report(got, spark, args.report)
+
+
+def chat(engine) -> int:
+    """Questions until one says to leave; the index is built if there is none. An error ends a question, not the talk."""
+    if not engine.store.exists() or not engine.store.count():
+        show(engine.index(), True)
+    for q in iter(lambda: input("question> ").strip(), None):
+        if q.lower() in LEAVE:
+            return 0
+        if q:
+            try:
+                show(engine.answer(engine.questions(q)).select("answer", "citations", "latency"), False)
+            except LodestoneError as e:
+                print(f"error: {e}", file=sys.stderr)
+    return 0
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
@@ -58,13 +149,22 @@ def main(argv: Sequence[str] | None = None) -> int:
 
         from lodestone.plans.engine import build_engine
 
-        if args.command == "ask" and args.language:
-            settings = settings.with_overrides(prompt=PromptSettings(settings.prompt.max_context_chars, args.language))
-        engine = build_engine(SparkSession.builder.appName("lodestone").getOrCreate(), settings)
+        spark = SparkSession.builder.appName("lodestone").getOrCreate()
+        spark.sparkContext.setLogLevel(args.log_level or settings.run.log_level)
+        if args.command == "ingest":
+            print(json.dumps(step(spark, args), default=str))
+            return 0
         if args.command == "doctor":
-            found = problems(engine)
+            found = doctor(spark, settings)
             print("\n".join(found) or "all well")
             return int(bool(found))
+        if args.command == "ask" and args.language:
+            settings = settings.replace(prompt__answer_language=args.language)
+        if args.command == "chat":  # one conversation needs less: these are defaults that a variable overrides
+            settings = settings.replace(**{k.replace(".", "__", 1): v for k, v in (("prompt.max_context_chars", 18_000), ("generation.num_ctx", 8192)) if not os.environ.get(PREFIX + k.replace(".", "_").upper())})
+        engine = build_engine(spark, settings)
+        if args.command == "chat":
+            return chat(engine)
         if args.command == "index":
             show(engine.index(args.rebuild), True)
             return 0

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
-from lodestone.errors import CorpusError
+from lodestone.errors import ConfigurationError, CorpusError
 from lodestone.functions.text import strip
+from lodestone.operators.corpus import orphans
+from lodestone.operators.tables import consecutive, coverage
 
 Rules = dict[str, Column]
 
@@ -45,6 +47,76 @@ def text_rules(limit: int) -> Rules:
     }
 
 
+def combined_rules(limit: int) -> Rules:
+    """What each record of the joint corpus must be, besides its schema, for rows that ENVELOPE has parsed."""
+    return {
+        "content_type": ~F.coalesce(F.col("content_type").isin("text", "table_child"), F.lit(False)),
+        "empty_text": strip(F.coalesce("content.text", F.lit(""))) == "",
+        "over_limit": F.coalesce("metadata.token_count", F.lit(limit + 1)) > limit,
+    }
+
+
+def combined_figures(records: DataFrame, parents: DataFrame, limit: int) -> DataFrame:
+    """One row of what the joint corpus holds and breaks: records, text_records, table_child_records, duplicate_ids, the counts of
+    combined_rules(), tokenizers, documents (distinct values, null counts as one), invalid_parent_links, schema_errors."""
+    rules, schema = combined_rules(limit), envelope_rules()
+    wrong = F.array_max(F.array(*(bad.cast("int") for bad in schema.values())))
+    kinds = F.col("content_type")
+    per_id = records.groupBy("record_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_ids"))
+    values = lambda c: F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")))
+    one = records.agg(
+        F.count("*").alias("records"), F.count_if(kinds == "text").alias("text_records"), F.count_if(kinds == "table_child").alias("table_child_records"), *(F.count_if(bad).alias(name) for name, bad in rules.items()),
+        values("metadata.tokenizer_name").alias("tokenizers"), F.count_if(F.col("metadata.tokenizer_name").isNull()).alias("no_tokenizer"), values("source.document_id").alias("documents"),
+        F.count_if(F.col("source.document_id").isNull()).alias("no_document"), F.coalesce(F.sum(wrong), F.lit(0)).alias("schema_errors"),
+    )
+    links = orphans(records, parents).agg(F.count("*").alias("invalid_parent_links"))
+    return one.join(per_id, F.lit(True)).join(links, F.lit(True))  # one row each
+
+
+def validate_combined(records: DataFrame, parents: DataFrame, limit: int) -> dict:
+    """The figures of a corpus that can be used; raises with what is wrong and up to five of the records it is wrong with."""
+    got = combined_figures(records, parents, limit).first().asDict()
+    if not got["records"]:
+        raise CorpusError("there are no records")
+    if got["duplicate_ids"]:
+        bad = records.groupBy("record_id").count().where("count > 1").orderBy("record_id").limit(5).collect()
+        raise CorpusError(f"ids are there twice: {[r.record_id for r in bad]}")
+    require(records, combined_rules(limit), "record_id")
+    for what in ("tokenizer", "document"):
+        if got[f"{what}s"] != 1 or got[f"no_{what}"]:
+            raise CorpusError(f"records are of {got[f'{what}s']} {what}s, {got[f'no_{what}']} of them name none")
+    if got["invalid_parent_links"]:
+        bad = orphans(records, parents).orderBy("record_id").limit(5).collect()
+        raise CorpusError(f"parents are missing: {[(r.record_id, r.parent_id) for r in bad]}")
+    require(records, envelope_rules(), "record_id")
+    return got
+
+
+def validate_children(children: DataFrame, packed: DataFrame, expected: DataFrame, numbers: DataFrame) -> None:
+    """Raises unless children hold their rows' pairs, each expected row is packed once, and fragments count from 1 without gaps.
+    packed, expected: key, row_no; numbers: key, fragment_no."""
+    require(children, child_rules(), "record_id")
+    for what, bad in (("rows are missing or there twice", coverage(packed, expected, "key")), ("fragments don't follow each other", consecutive(numbers, "key", "fragment_no"))):
+        if found := bad.where("not ok").orderBy("key").limit(5).collect():
+            raise CorpusError(f"{what}: {[r.key for r in found]}")
+
+
+def require_parameters(target: int, limit: int) -> None:
+    if not 0 < target <= limit:
+        raise ConfigurationError(f"a chunk's target must be from 1 to its limit, not {target} of {limit}")
+
+
+def require_inputs(spark: SparkSession, *paths: str) -> None:
+    """Raises with the inputs that no store has."""
+    missing = []
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            missing.append(p)
+    if missing:
+        raise CorpusError(f"there is no {', no '.join(missing)}")
+
+
 def child_rules() -> Rules:
     """Table children hold each of their rows' pairs; fragments are exempt."""
     return {"pairs": ~F.col("is_fragment") & F.exists("pairs", lambda p: ~F.contains("text", p))}
@@ -71,5 +143,5 @@ def broken(df: DataFrame, rules: Rules, key: str) -> DataFrame:
 
 def require(df: DataFrame, rules: Rules, key: str) -> None:
     """Raises with the first five that break a rule."""
-    if bad := broken(df, rules, key).limit(5).collect():
+    if bad := broken(df, rules, key).orderBy(key, "rule").limit(5).collect():
         raise CorpusError("; ".join(f"{r[0]}: {r[1]}" for r in bad))

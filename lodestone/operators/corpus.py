@@ -14,6 +14,15 @@ def last_of(df: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
     return df.groupBy(key).agg(F.max_by(row, ordinal).alias("_row")).select("_row.*")
 
 
+def lookup(df: DataFrame, key: str) -> DataFrame:
+    """One row for each key, for the side of a join that must not multiply rows: the last by `ordinal` where there is one, else the
+    greatest by its scalar columns."""
+    if "ordinal" in df.columns:
+        return last_of(df, key)
+    plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*plain)).alias("_row")).select("_row.*")
+
+
 def orphans(children: DataFrame, parents: DataFrame, parent_key: str = "record_id") -> DataFrame:
     """Table children whose parent is missing, a null parent included."""
     ids = parents.select(F.col(parent_key).alias("_parent"))

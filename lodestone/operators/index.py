@@ -1,20 +1,22 @@
 """The vector index: versioned Parquet, kept in step with records by content hash.
 
-An index is a folder of versions and a pointer table that names the current one. A sync embeds only what is new or
-changed, drops what is gone, and takes titles and pages from the records as they are now. Versions are written
-whole before the pointer moves, so a lost job leaves the last one in place."""
+An index is a folder of parts and a pointer table whose last row names those in use, in order. An upsert or a deletion writes
+a part of its own; every PARTS parts become one. A sync embeds only what is new or
+changed, drops what is gone, and takes titles and pages from the records as they are now. Parts are written
+whole before the pointer moves, so a lost job leaves the index as it was."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from lodestone import schemas
 from lodestone.errors import IndexNotBuiltError, IndexStaleError
 from lodestone.functions.text import content_hash
+from lodestone.operators.corpus import lookup
 from lodestone.operators.models import Embedder
 
 
@@ -31,32 +33,43 @@ def sync_report(changed: DataFrame) -> DataFrame:
     return changed.agg(n("embed").alias("embedded"), n("unchanged").alias("unchanged"), n("delete").alias("deleted"), (n("embed") + n("unchanged")).alias("total"))
 
 
+COLUMNS = [f.split()[0] for f in schemas.INDEX.split(", ")]
+POINTER = f"number long, parts array<string>, {schemas.INDEX_META}"
+#: Parts that an index may have before they become one.
+PARTS = 8
+
+
 class VectorIndex:
     """An index at a path that Spark can read and write."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> tuple[str, dict] | None:
+    def _pointer(self) -> Row | None:
+        """The last pointer that names parts; only a missing table means that there is no index."""
         try:
-            rows = self.spark.read.parquet(f"{self.path}/pointers").orderBy(F.desc("number")).limit(1).collect()
-        except AnalysisException:
+            rows = self.spark.read.schema(POINTER).parquet(f"{self.path}/pointers").orderBy(F.desc("number")).limit(1).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        return (rows[0].version, rows[0].asDict()) if rows and rows[0].version else None
+        return rows[0] if rows else None
 
     def exists(self) -> bool:
-        return self._pointer() is not None
+        return bool((found := self._pointer()) and found.parts)
 
     def metadata(self) -> dict:
         """Model, dimension and fingerprint; {} if there is no index."""
         found = self._pointer()
-        return {k: found[1][k] for k in ("embedding_model", "embedding_dimension", "embedding_fingerprint")} if found else {}
+        return {k: found[k] for k in ("embedding_model", "embedding_dimension", "embedding_fingerprint")} if found and found.parts else {}
 
     def rows(self) -> DataFrame:
-        found = self._pointer()
-        if not found:
-            return self.spark.createDataFrame([], schemas.INDEX)
-        return self.spark.read.schema(schemas.INDEX).parquet(f"{self.path}/{found[0]}")
+        """The first part, then each later one over it: its rows replace those with their ids, `gone` ones only take them away."""
+        found, out = self._pointer(), None
+        for part in found.parts if found else []:
+            new = self.spark.read.schema(f"{schemas.INDEX}, gone boolean").parquet(f"{self.path}/{part}")
+            out = new.drop("gone") if out is None else out.join(new.select("record_id"), "record_id", "left_anti").unionByName(new.where("not gone").drop("gone"))
+        return self.spark.createDataFrame([], schemas.INDEX) if out is None else out
 
     def existing(self) -> DataFrame:
         return self.rows().select("record_id", "content_hash")
@@ -64,27 +77,39 @@ class VectorIndex:
     def count(self) -> int:
         return self.rows().count()
 
-    def _point(self, version: str | None, meta: dict) -> None:
+    def _point(self, parts: list[str], meta: dict) -> None:
         found = self._pointer()
-        number = (found[1]["number"] if found else 0) + 1
-        row = [(number, version, meta.get("embedding_model"), meta.get("embedding_dimension"), meta.get("embedding_fingerprint"))]
-        self.spark.createDataFrame(row, f"number long, version string, {schemas.INDEX_META}").coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
+        row = [((found.number if found else 0) + 1, parts, meta.get("embedding_model"), meta.get("embedding_dimension"), meta.get("embedding_fingerprint"))]
+        self.spark.createDataFrame(row, POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
+
+    def _write(self, rows: DataFrame) -> str:
+        part = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{part}")
+        return part
 
     def put(self, rows: DataFrame, meta: dict) -> None:
         """Makes rows the index."""
-        version = f"version-{uuid.uuid4().hex}"
-        rows.select(*[f.split()[0] for f in schemas.INDEX.split(", ")]).write.parquet(f"{self.path}/{version}")
-        self._point(version, meta)
+        self._point([self._write(rows.select(*COLUMNS, F.lit(False).alias("gone")))], meta)
+
+    def _add(self, rows: DataFrame) -> None:
+        """One more part; with PARTS of them all are written as one."""
+        found = self._pointer()
+        parts = [*(found.parts if found else []), self._write(rows)]
+        self._point(parts, self.metadata())
+        if len(parts) > PARTS:
+            self.put(self.rows(), self.metadata())
 
     def upsert(self, rows: DataFrame) -> None:
-        self.put(self.rows().join(rows.select("record_id"), "record_id", "left_anti").unionByName(rows), self.metadata())
+        """Writes these rows alone; each record_id once."""
+        self._add(rows.select(*COLUMNS, F.lit(False).alias("gone")))
 
     def delete(self, ids: DataFrame) -> None:
-        self.put(self.rows().join(ids.select("record_id"), "record_id", "left_anti"), self.metadata())
+        empty = self.spark.createDataFrame([], f"{schemas.INDEX}, gone boolean")
+        self._add(empty.unionByName(ids.select("record_id", F.lit(True).alias("gone")), allowMissingColumns=True))
 
     def reset(self) -> None:
         if self.exists():
-            self._point(None, {})
+            self._point([], {})
 
     def sync(self, records: DataFrame, embedder: Embedder, rebuild: bool = False) -> DataFrame:
         """Brings the index in step; gives the one-row report with model, dimension and rebuilt. Another model or
@@ -92,6 +117,7 @@ class VectorIndex:
         meta = self.metadata()
         rebuild = rebuild or bool(meta.get("embedding_model")) and (meta["embedding_model"], meta["embedding_fingerprint"]) != (embedder.name, embedder.fingerprint)
         old = self.rows().limit(0) if rebuild else self.rows()
+        records = lookup(records, "record_id")
         now = records.withColumn("content_hash", content_hash("text")).withColumn("start_page", F.array_min("pages")).withColumn("end_page", F.array_max("pages"))
         kept = old.select("record_id", "content_hash", F.col("embedding").alias("_old"))
         both = now.join(kept, ["record_id", "content_hash"], "left")

@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.config import EmbeddingSettings
+from lodestone.config import Settings
 from lodestone.errors import ModelError
 from lodestone.functions.text import overlap
 
 
-def fingerprint(settings: EmbeddingSettings) -> str:
+def fingerprint(settings) -> str:
     """What a document's vector depends on; the question's prompt is no part of it."""
     own = {"model": settings.model, "normalize": settings.normalize, "max_length": settings.max_length, "document_prompt": settings.document_prompt}
     return hashlib.sha256(json.dumps(own, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
@@ -37,16 +37,16 @@ class Embedder:
     questions: Callable[[Column], Column]
 
 
-def length_embedder(settings: EmbeddingSettings | None = None) -> Embedder:
+def length_embedder(settings=None) -> Embedder:
     """[characters, 1]: the deterministic offline embedder."""
-    settings = settings or EmbeddingSettings()
+    settings = settings or Settings().embedding
     vector = lambda prompt: lambda t: F.array(F.length(decorated(t, prompt)).cast("float"), F.lit(1.0).cast("float"))
     return Embedder("length-2d", fingerprint(settings), 2, vector(settings.document_prompt), vector(settings.query_prompt))
 
 
-def loaded_embedder(name: str, dimension: int, load: Callable[[], Callable[[list[str]], list]], settings: EmbeddingSettings | None = None) -> Embedder:
+def loaded_embedder(name: str, dimension: int, load: Callable[[], Callable[[list[str]], list]], settings=None) -> Embedder:
     """A model that load() gives once per Python worker, applied to Arrow batches: encode(texts) -> vectors."""
-    settings = settings or EmbeddingSettings(model=name)
+    settings = settings or Settings({"embedding.model": name}).embedding
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -104,6 +104,29 @@ def extractive_model() -> LanguageModel:
     return LanguageModel("extractive", first_source)
 
 
+def http_model(settings, timeout: float = 600.0) -> LanguageModel:
+    """A chat model behind HTTP: posts JSON to `host`/api/chat, once for each prompt and without trying again. A failed call or an
+    empty answer is a ModelError, which generate() raises."""
+    import urllib.request
+
+    host, options = (settings.host or "http://127.0.0.1:11434").rstrip("/"), {"temperature": settings.temperature, "num_ctx": settings.num_ctx}
+    fixed = {"model": settings.model, "stream": False, "think": settings.think, "options": options}
+
+    def complete(prompt: str) -> str:
+        body = json.dumps(fixed | {"messages": [{"role": "user", "content": prompt}]}).encode()
+        request = urllib.request.Request(f"{host}/api/chat", body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as got:
+                said = json.load(got)["message"]["content"]
+        except (OSError, ValueError, KeyError, TypeError) as e:
+            raise ModelError(f"{settings.model} at {host} failed: {e}") from e
+        if not said.strip():
+            raise ModelError(f"{settings.model} gave no answer")
+        return said
+
+    return LanguageModel(settings.model, complete)
+
+
 def generate(prompts: DataFrame, model: LanguageModel) -> DataFrame:
     """Adds answer, model and latency (seconds, 3 digits). Each prompt's call is made once where Spark runs its task
     once: write the result before using it twice, and leave speculation off."""
@@ -117,6 +140,8 @@ def generate(prompts: DataFrame, model: LanguageModel) -> DataFrame:
                 began = time.monotonic()
                 try:
                     said = model.complete(p)
+                except ModelError:
+                    raise
                 except Exception as e:
                     raise ModelError(f"{model.name}: {e}") from e
                 if not (said or "").strip():

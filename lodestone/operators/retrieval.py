@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.corpus import lookup
 
 #: Questions that are sent to all tasks at a time; more go in several passes over the index.
 QUESTIONS = 4096
@@ -22,33 +23,42 @@ def nearest(questions: DataFrame, index: DataFrame, k: int, qid: str = "qid", ri
     n = questions.count()
     if not n:
         return spark.createDataFrame([], f"{qid} {dict(questions.dtypes)[qid]}, {rid} {dict(index.dtypes)[rid]}, distance double, rank int")
-    marked = questions.select(qid, vector).withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(-(-n // QUESTIONS))))
+    blocks = -(-n // QUESTIONS)
+    marked = questions.select(qid, vector).withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(blocks)))
     schema = f"{qid} {dict(questions.dtypes)[qid]}, {rid} {dict(index.dtypes)[rid]}, distance double"
     found = None
-    for block in range(-(-n // QUESTIONS)):
+    for block in range(blocks):
         own = marked.where(F.col("_block") == block).toPandas()
         sent = spark.sparkContext.broadcast((own[qid].to_numpy(), np.array(own[vector].tolist(), dtype=float)))
 
         def measure(frames, sent=sent):
             ids, q = sent.value
             for pdf in frames:
-                if not len(pdf) or not len(ids):
-                    continue
-                x, names = np.array(pdf[vector].tolist(), dtype=float), pdf[rid].to_numpy()
-                for i in range(len(ids)):
-                    d = ((x - q[i]) ** 2).sum(axis=1)
-                    best = np.lexsort((names, d))[:k] if len(d) <= 4 * k else _best(d, names, k)
-                    yield pd.DataFrame({qid: ids[i], rid: names[best], "distance": d[best]})
+                if len(pdf) and len(ids):
+                    i, j, d = near_pairs(q, np.array(pdf[vector].tolist(), dtype=float), pdf[rid].to_numpy(), k)
+                    yield pd.DataFrame({qid: ids[i], rid: pdf[rid].to_numpy()[j], "distance": d})
 
         got = index.select(rid, vector).where(F.col(vector).isNotNull()).mapInPandas(measure, schema)
         found = got if found is None else found.unionByName(got)
     return top(found, qid, k, F.col("distance").asc(), F.col(rid).asc())
 
 
-def _best(d: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    edge = np.partition(d, k - 1)[k - 1]
-    near = np.flatnonzero(d <= edge)
-    return near[np.lexsort((names[near], d[near]))[:k]]
+def near_pairs(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(question, row, squared distance) of each question's k nearest rows, ties to the smaller name. One matrix product gives all
+    distances nearly; rows within its error of the k-th are measured exactly."""
+    out, xx = [], (x * x).sum(axis=1)
+    for a in range(0, len(q), block):
+        own = q[a : a + block]
+        about = xx[None, :] - 2 * own @ x.T
+        scale = xx.max() + (own * own).sum(axis=1)
+        edge = np.partition(about, k - 1, axis=1)[:, k - 1] if len(x) > k else about.max(axis=1)
+        i, j = np.nonzero(about <= (edge + 1e-9 * scale)[:, None])
+        d = ((x[j] - own[i]) ** 2).sum(axis=1)
+        order = np.lexsort((names[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        out.append((i[nth < k] + a, j[nth < k], d[nth < k]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def top(rows: DataFrame, by: str, k: int, *order: Column, name: str = "rank") -> DataFrame:
@@ -74,7 +84,8 @@ def source_key() -> Column:
 
 def context(candidates: DataFrame, records: DataFrame, parents: DataFrame) -> DataFrame:
     """Candidates with title, pages, passage, section, expanded. Texts take their title as the records have it now;
-    table children become their whole table, or stay alone where the parent is missing."""
+    table children become their whole table, or stay alone where the parent is missing. Of records or parents with one id the last counts."""
+    records, parents = lookup(records, "record_id"), lookup(parents, "record_id")
     live = records.select(F.col("record_id").alias("_rid"), F.col("title").alias("_title"))
     whole = parents.select(F.col("record_id").alias("_pid"), F.col("title").alias("_ptitle"), F.array_min("pages").alias("_p0"), F.array_max("pages").alias("_p1"), F.col("text").alias("_ptext"))
     child = (F.col("content_type") == "table_child") & (F.coalesce("parent_id", F.lit("")) != "")

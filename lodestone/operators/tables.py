@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,6 +60,11 @@ def headers(rows: DataFrame, header_rows: DataFrame, key: str) -> DataFrame:
     return x.select(key, "col", F.coalesce("joined", F.concat(F.lit("Column "), (F.col("col") + 1).cast("string"))).alias("header"), F.col("joined").isNull().alias("fallback"))
 
 
+def data_rows(rows: DataFrame, header_rows: DataFrame, key: str) -> DataFrame:
+    """Rows that head no column: what is packed."""
+    return rows.join(header_rows.select(key, "row_no"), [key, "row_no"], "left_anti")
+
+
 def is_key_value(rows: Column, has_header: Column, num_cols: Column) -> Column:
     """No header, two columns, all rows complete, and at least 60 % of the second values digits by half."""
     digits = lambda v: F.regexp_count(v, F.lit(r"\p{Nd}"))
@@ -71,24 +77,31 @@ def pack(rows: DataFrame, key: str, order: list[str], size: str, target: int, ba
     """Adds row_no (from 1) and group_no: rows fill a group up to `target`; one that is larger alone is a group of
     its own. size: an additive token count; base: what each group costs besides.
 
-    A key's rows are one table's; a fold over them needs only their sizes."""
+    Rows stand by key and number in each partition, and a batch goes on where the one before ended, so a table of any
+    size takes one pass and a batch's memory."""
+    import pyarrow as pa
+
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    x = rows.withColumn("row_no", n)
-    packed = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row_no", F.col(size).cast("long").alias("size")))).alias("all"))
-    empty = F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("s"), F.array().cast("array<struct<row_no:int,group_no:int>>").alias("out"))
+    x = rows.withColumn("row_no", n).sortWithinPartitions(key, "row_no")  # the window has brought a key's rows together
 
-    def step(a, r):
-        opens = (a["g"] == 0) | (a["s"] + r["size"] > target)
-        g = F.when(opens, a["g"] + 1).otherwise(a["g"])
-        return F.struct(g.alias("g"), F.when(opens, F.lit(base).cast("long") + r["size"]).otherwise(a["s"] + r["size"]).alias("s"), F.concat(a["out"], F.array(F.struct(r["row_no"].alias("row_no"), g.alias("group_no")))).alias("out"))
+    def run(batches):
+        now, group, held = None, 0, 0
+        for b in batches:
+            out = []
+            for k, s in zip(b.column(key).to_pylist(), b.column(size).cast(pa.int64()).to_pylist()):
+                if k != now or held + (s or 0) > target:
+                    group, held = (1 if k != now else group + 1), base
+                now, held = k, held + (s or 0)
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], [*b.schema.names, "group_no"])
 
-    groups = packed.select(key, F.inline(F.aggregate("all", empty, step, lambda a: a["out"])))
-    return x.join(groups, [key, "row_no"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
+    return x.mapInArrow(run, f"{fields}, group_no int")
 
 
 def split_row(text: str, prefix: str, limit: int, count=None) -> list[str]:
-    """Fragments of a row too large for a chunk: whole words while they fit after the prefix, long words by
-    characters. count: tokens of a text; the prefix is counted with the longest fragment label."""
+    """Fragments of a row too large for a chunk: whole words while they fit after the prefix. A word that is too long
+    even alone is cut into the largest pieces that fit; each piece, the last too, is a fragment of its own. count: tokens of a text; the prefix is counted with the longest fragment label."""
     count = count or (lambda s: len(s.split()))
     if count(prefix) >= limit:
         raise ValueError("the table's context alone reaches the limit")
@@ -98,19 +111,18 @@ def split_row(text: str, prefix: str, limit: int, count=None) -> list[str]:
         if fits(held + word):
             held += word
             continue
-        if held:
-            out.append(held.rstrip())
-        held = word
-        while held and not fits(held):
-            low, high = 0, len(held)
-            while low < high:
-                middle = (low + high + 1) // 2
-                low, high = (middle, high) if fits(held[:middle]) else (low, middle - 1)
-            if not low:
+        out += [held.rstrip()] if held else []
+        if fits(word):
+            held = word
+            continue
+        held, rest = "", word
+        while rest:
+            n = bisect.bisect_right(range(1, len(rest) + 1), False, key=lambda size: not fits(rest[:size]))  # noqa: B023
+            if not n:
                 raise ValueError("not one character fits")
-            out.append(held[:low].rstrip())
-            held = held[low:]
-    return out + [held.rstrip()] if held.strip() else out
+            out.append(rest[:n].rstrip())
+            rest = rest[n:]
+    return out + [held.rstrip()] if held else out
 
 
 def fragments(rows: DataFrame, key: str, limit: int, count=None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import SPACE, strip
+from lodestone.operators.tables import split_row
 
 LABELS = ("caption", "page_footer", "page_header")
 
@@ -59,7 +60,7 @@ def contextual(headings, text):
 def chunk(items: DataFrame, by: str, target: int, count=None) -> DataFrame:
     """Chunks of a document's items under one heading path: by, number, headings, refs, pages, text, token_count.
 
-    Items follow each other while they fit `target`; an item that is larger is cut at words; neighbours under one
+    Items follow each other while they fit `target`; an item that is larger by `count` is cut as split_row() does; neighbours under one
     heading path share a chunk as far as they fit; none overlap. One document is one group."""
     import pandas as pd
 
@@ -79,10 +80,9 @@ def chunk(items: DataFrame, by: str, target: int, count=None) -> DataFrame:
             if heads != path:
                 close()
                 path = heads
-            words = (r.text or "").split()
-            parts = [r.text or ""] if count(r.text or "") <= target else [" ".join(words[i : i + target]) for i in range(0, len(words), target)]
+            parts = [r.text or ""] if count(r.text or "") <= target else split_row(r.text, "", target, count)
             for p in parts:
-                if held and count(held + "\n" + p) > target:
+                if held and count(f"{held}\n{p}") > target:
                     close()
                 held = f"{held}\n{p}" if held else p
                 if r.self_ref not in refs:

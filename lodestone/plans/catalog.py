@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import checks, corpus, index, models, retrieval, tables, textview
+from lodestone.operators import checks, corpus, envelopes, index, models, retrieval, tables, textview
 from lodestone.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,8 +59,8 @@ def _hash(c: str) -> str:
 
 # --- vectors, retrieval, context -------------------------------------------------------------------------------
 
-_KNN = "SELECT q.vec_id AS q, c.vec_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)))) AS d FROM embeddings q, embeddings c WHERE q.vec_id < {n}"
-_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS rank FROM ({_KNN.format(n=40)}))"
+_KNN = "SELECT q.vec_id AS q, c.vec_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(c.embedding[i] AS DOUBLE)))) AS d FROM embeddings q, embeddings c WHERE {asked}"
+_RANKED = f"ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS rank FROM ({_KNN.format(asked="q.vec_id IN (SELECT item_id FROM benchmark)")}))"
 
 
 def _knn(spark, sf_dir, asked, k=20):
@@ -71,9 +70,9 @@ def _knn(spark, sf_dir, asked, k=20):
     return retrieval.nearest(chosen.select(F.col("vec_id").alias("q"), "embedding"), v.select("vec_id", "embedding"), k, "q", "vec_id")
 
 
-@query(f"SELECT q, vec_id, round(d, 6) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS rank FROM ({_KNN.format(n=20)})) WHERE rank <= 20")
-def knn_topk(spark, sf_dir, whole=False):
-    return _knn(spark, sf_dir, F.col("vec_id") % 100 == 0 if whole else F.col("vec_id") < 20).select("q", "vec_id", F.round("distance", 6).alias("dist"), "rank")
+@query(f"SELECT q, vec_id, round(d, 6) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, vec_id) AS rank FROM ({_KNN.format(asked="q.vec_id % 100 = 0")})) WHERE rank <= 20")
+def knn_topk(spark, sf_dir):
+    return _knn(spark, sf_dir, F.col("vec_id") % 100 == 0).select("q", "vec_id", F.round("distance", 6).alias("dist"), "rank")
 
 
 @query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id + 1)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x / n) * (x / n))), 6) AS norm, round(v[1] / n, 6) AS first FROM n")
@@ -83,11 +82,9 @@ def knn_normalised(spark, sf_dir):
     return x.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, y: a + y * y), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
 
 
-def _candidates(spark, sf_dir, whole):
-    """Questions are benchmark items, whose vectors are embeddings of the same number; texts are documents. Without
-    `whole` they are the 40 items that the SQL of these queries names."""
+def _candidates(spark, sf_dir):
+    """Questions are all benchmark items, whose vectors are embeddings of the same number; texts are documents."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    asked = asked if whole else asked.where("item_id < 40")
     found = _knn(spark, sf_dir, asked.select(F.col("item_id").alias("vec_id"))).withColumnRenamed("q", "item_id")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     x = found.join(docs, "vec_id").join(asked, "item_id")
@@ -98,8 +95,8 @@ def _candidates(spark, sf_dir, whole):
     )
 
 
-def _reranked(spark, sf_dir, whole=False):
-    return retrieval.rerank(_candidates(spark, sf_dir, whole), T.overlap("question", "text"), 8, "item_id")
+def _reranked(spark, sf_dir):
+    return retrieval.rerank(_candidates(spark, sf_dir), T.overlap("question", "text"), 8, "item_id")
 
 
 _SCORED = f"""{_RANKED}, cand AS (SELECT b.item_id, b.text AS question, d.doc_id, d.text, r.rank FROM ranked r JOIN documents d ON d.doc_id = r.vec_id JOIN benchmark b ON b.item_id = r.q WHERE r.rank <= 20),
@@ -108,8 +105,8 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER
 
 
 @query(f"WITH {_SCORED} SELECT item_id, doc_id, round(score, 6) AS score, rr AS rank FROM best")
-def lexical_rerank(spark, sf_dir, whole=False):
-    return _reranked(spark, sf_dir, whole).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rerank_rank").alias("rank"))
+def lexical_rerank(spark, sf_dir):
+    return _reranked(spark, sf_dir).select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rerank_rank").alias("rank"))
 
 
 _FUNNEL = f"""{_SCORED}, keyed AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'p' || (doc_id % 50) ELSE CAST(doc_id AS VARCHAR) END AS slot FROM best),
@@ -118,8 +115,8 @@ src AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER B
 
 
 @query(f"WITH {_FUNNEL} SELECT item_id, source_no, doc_id, slot AS parent FROM src")
-def funnel_sources(spark, sf_dir, whole=False):
-    x = retrieval.first_distinct(_reranked(spark, sf_dir, whole), "item_id", retrieval.source_key(), 4)
+def funnel_sources(spark, sf_dir):
+    x = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
     return x.select("item_id", "source_no", "doc_id", retrieval.source_key().alias("parent"))
 
 
@@ -148,30 +145,35 @@ _BUDGETS = (200, 600, 18_000)
          FROM fold f JOIN heads h ON h.item_id = f.item_id AND h.source_no = f.no + 1) f)
     SELECT item_id, b AS budget, n AS n_sources, chars + 2 * greatest(n - 1, 0) AS chars, cut AS n_cut FROM (SELECT *, row_number() OVER (PARTITION BY item_id, b ORDER BY no DESC) AS last FROM fold) WHERE last = 1"""
 )
-def budget_prompt(spark, sf_dir, whole=False):
+def budget_prompt(spark, sf_dir):
     """The whole funnel: nearest 20, reranked 8, 4 sources, parents put in, three budgets."""
-    kept = retrieval.first_distinct(_reranked(spark, sf_dir, whole), "item_id", retrieval.source_key(), 4)
+    kept = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"))
     pid = F.concat(F.lit("p"), F.col("id").cast("string"))
     parents = spark.range(0, 50, 2).select(pid.alias("record_id"), F.concat(F.lit("parent "), pid).alias("title"), F.array(F.lit(3)).alias("pages"), F.concat(F.lit("whole table "), pid, F.lit(" "), F.repeat(F.lit("x"), F.lit(300))).alias("text"))
     ctx = retrieval.context(kept, docs, parents)
-    frames = [retrieval.budgeted(ctx, "item_id", b).withColumn("budget", F.lit(b)) for b in _BUDGETS]
-    got = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    every = ctx.withColumn("budget", F.explode(F.array(*map(F.lit, _BUDGETS))))  # the funnel runs once
+    got = retrieval.budgeted(every, ["item_id", "budget"], F.col("budget"))
     body = F.array_join(F.transform("sources", lambda s: s["text"]), "\n\n")
     return got.select("item_id", F.col("budget").cast("long").alias("budget"), F.size("sources").cast("long").alias("n_sources"), F.length(body).cast("long").alias("chars"), F.size(F.filter("sources", lambda s: s["cut"])).cast("long").alias("n_cut"))
 
 
 @query(f"WITH {_FUNNEL} SELECT item_id, count(*) AS n_sources FROM src GROUP BY item_id")
-def prompt_citations(spark, sf_dir, whole=False):
-    kept = retrieval.first_distinct(_reranked(spark, sf_dir, whole), "item_id", retrieval.source_key(), 4)
+def prompt_citations(spark, sf_dir):
+    kept = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
     blocks = kept.withColumn("passage", F.col("text")).withColumn("section", F.col("text")).withColumn("expanded", F.lit(False))
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     got = retrieval.prompts(retrieval.budgeted(blocks, "item_id", 10_000_000).join(asked, "item_id"))
     return got.select("item_id", F.size("citations").cast("long").alias("n_sources"))
 
 
-#: The same over all questions (for knn_topk, all vec_ids divisible by 100); their SQL holds for a few ids, so these have none.
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (knn_topk, lexical_rerank, funnel_sources, budget_prompt, prompt_citations)}
+@query("SELECT doc_id, 'version 2 of p' || (doc_id % 50) AS section FROM documents")
+def context_duplicate_parent(spark, sf_dir):
+    """Each parent is there three times; the last counts, and no candidate becomes several."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("record_id"), F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string")).alias("parent_id"), F.lit("table_child").alias("content_type"), F.lit("t").alias("title"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"), "text")
+    pid = F.concat(F.lit("p"), (F.col("id") % 50).cast("string"))
+    parents = spark.range(150).select(F.col("id").alias("ordinal"), pid.alias("record_id"), F.lit("T").alias("title"), F.array(F.lit(3)).alias("pages"), F.concat(F.lit("version "), F.expr("id div 50").cast("string"), F.lit(" of "), pid).alias("text"))
+    return retrieval.context(docs, docs, parents).select("doc_id", "section")
 
 
 @query("SELECT n.n_name AS child, n.n_name AS passage, coalesce(r.r_name, n.n_name) AS section, coalesce(r.r_name, n.n_name) <> n.n_name AS expanded FROM nation n LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) r ON n.n_regionkey = r.r_regionkey")
@@ -600,7 +602,7 @@ def embedding_texts(spark, sf_dir):
 # --- rows only: what SQL can't say ---------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT doc_id, text, CAST(NULL AS VARCHAR) AS parent_id FROM documents")
 def jsonl_round_trip(spark, sf_dir):
     """Written as JSON lines and read again: nulls and non-ASCII text stay."""
     path = scratch(spark)
@@ -608,7 +610,8 @@ def jsonl_round_trip(spark, sf_dir):
     return files.read_lines(spark, path, "doc_id long, text string, parent_id string")
 
 
-@query()
+@query("""WITH x AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 10 = 9) AS gone, count(*) FILTER (doc_id % 10 <> 9 AND doc_id % 7 = 0) AS changed FROM documents)
+SELECT n AS embedded, 0 AS unchanged, 0 AS deleted, n AS total, 'length-2d' AS model, 2 AS dimension, false AS rebuilt, 1 AS run FROM x UNION ALL SELECT changed, n - gone - changed, gone, n - gone, 'length-2d', 2, false, 2 FROM x""")
 def index_build(spark, sf_dir):
     """Builds an index, changes records, syncs again; gives both reports."""
     store = index.VectorIndex(spark, scratch(spark))
@@ -634,15 +637,136 @@ def text_chunks(spark, sf_dir):
 
 @query()
 def generated_answers(spark, sf_dir):
-    kept = retrieval.first_distinct(_reranked(spark, sf_dir, True), "item_id", retrieval.source_key(), 4)
+    kept = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
     blocks = kept.withColumn("passage", F.col("text")).withColumn("section", F.col("text")).withColumn("expanded", F.lit(False))
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     got = retrieval.prompts(retrieval.budgeted(blocks, "item_id", 4000).join(asked, "item_id")).select("item_id", "prompt")
     return models.generate(got, models.extractive_model()).select("item_id", "answer", "model")
 
 
-@query()
+@query("SELECT sha256('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' || chr(10)) AS sha256, length(r_name) + 30 AS length FROM region")
 def file_digests(spark, sf_dir):
+    """A file of one JSON line for each region: what each holds, byte by byte."""
     path = scratch(spark)
-    table(spark, sf_dir, "region").coalesce(1).write.json(path)
-    return files.digest(files.read_binary(spark, path).where("path like '%part-%'"))
+    table(spark, sf_dir, "region").repartitionById(64, F.col("r_regionkey").cast("int")).write.json(path)
+    found = files.read_binary(spark, path).where("path like '%part-%'")
+    return files.digest(found).join(found.select("path", "length"), "path").where("length > 0").select("sha256", "length")
+
+
+# --- ingestion: stored records, checks, files ------------------------------------------------------------------------
+
+_WORDS = f"len(regexp_extract_all(text, '{S.replace('[', '[^', 1)}+'))"
+
+
+def _chunks(spark, sf_dir):
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        T.slug("source").alias("document_id"), F.lit("a.pdf").alias("source_filename"), k.alias("number"), F.array(F.lit(" A "), F.lit(" "), "lang").alias("headings"), F.array().cast("array<string>").alias("captions"), F.when(k % 2 == 0, "Part").alias("chapter"),
+        F.transform(F.array(k + 1, k, k + 1), lambda x: F.concat(F.lit("#/texts/"), x.cast("string"))).alias("refs"), F.array((k % 9 + 2).cast("int"), (k % 9 + 1).cast("int"), (k % 9 + 2).cast("int")).alias("pages"), "text", T.token_count("text").alias("token_count"),
+    )
+
+
+@query(f"""SELECT '1.0.0' AS schema_version, trim(regexp_replace(lower(source), '[^a-z0-9._-]+', '-', 'g'), '-') || ':text:' || format('{{:06d}}', doc_id) AS record_id, CAST(NULL AS VARCHAR) AS parent_id, 'text' AS content_type,
+    (doc_id % 9 + 1) || ',' || (doc_id % 9 + 2) AS pages, '#/texts/' || (doc_id + 1) || ',#/texts/' || doc_id AS refs, 'A|' || lang AS headings, CASE WHEN doc_id % 2 = 0 THEN 'Part' END AS chapter, {_WORDS} AS token_count, 480 AS target, 512 AS most, text FROM documents""")
+def envelope_text(spark, sf_dir):
+    r = envelopes.texts(_chunks(spark, sf_dir), "words", 480, 512)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return r.select("schema_version", "record_id", "parent_id", "content_type", joined("source.pages").alias("pages"), joined("source.locators.refs").alias("refs"), F.array_join("metadata.headings", "|").alias("headings"), "metadata.chapter", "metadata.token_count", F.col("metadata.chunk_target_tokens").alias("target"), F.col("metadata.chunk_max_tokens").alias("most"), F.col("content.text").alias("text"))
+
+
+@query("""SELECT 'd:table:' || format('{:03d}', l_orderkey) || ':child:000' AS record_id, 'd:table:' || format('{:03d}', l_orderkey) || ':parent:000' AS parent_id,
+    string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS rows, count(*) AS n_rows, l_orderkey % 5 = 0 AS row_fragmented, CASE WHEN l_orderkey % 2 = 0 THEN 'key_value_v1' ELSE 'attribute_value_v1' END AS form FROM lineitem GROUP BY l_orderkey""")
+def envelope_child(spark, sf_dir):
+    k = F.col("l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("row_index"), F.array("l_returnflag").alias("values")))).alias("rows"))
+    none = F.lit(None).cast("array<struct<l:double>>")
+    parts = rows.select(F.lit("d").alias("document_id"), F.lit("a.pdf").alias("source_filename"), k.alias("table_index"), F.lit(0).alias("number"), F.lit("#/tables/0").alias("ref"), F.array(F.lit(1)).alias("pages"), none.alias("boxes"), F.array(F.lit("c")).alias("captions"), F.array(F.lit("flag")).alias("header"), F.array(F.lit(0)).alias("header_rows"), F.lit(False).alias("synthetic"), (k % 2 == 0).alias("key_value"), "rows", F.lit("t").alias("text"), F.lit("m").alias("markdown"), F.lit(1).alias("token_count"), F.when(k % 5 == 0, F.struct(F.lit(1).alias("fragment"))).alias("fragment"))
+    r = envelopes.table_children(parts, "words", 480, 512)
+    return r.select("record_id", "parent_id", F.array_join(F.transform("source.locators.row_indices", lambda x: x.cast("string")), ",").alias("rows"), F.size("content.structured.rows").cast("long").alias("n_rows"), "metadata.row_fragmented", F.col("metadata.embedding_serialization").alias("form"))
+
+
+def _region_tables(spark, sf_dir):
+    """A table for each region: its nations, with a header row."""
+    n = table(spark, sf_dir, "nation").withColumn("name", F.concat(F.lit("  "), "n_name", F.lit("\n")))
+    cell = lambda text, col, head: F.struct(text.alias("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), F.lit(0).alias("start_row_offset_idx"), F.lit(1).alias("end_row_offset_idx"), F.lit(col).alias("start_col_offset_idx"), F.lit(col + 1).alias("end_col_offset_idx"), F.lit(head).alias("column_header"), F.lit(False).alias("row_header"), F.lit(False).alias("row_section"), F.lit(None).cast("struct<l:double,t:double,r:double,b:double,coord_origin:string>").alias("bbox"))
+    per = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "name"))).alias("x"))
+    k = F.col("n_regionkey")
+    grid = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("x", lambda r: F.array(r["n_nationkey"].cast("string"), T.collapse(r["name"]))))
+    return per.select(F.lit("doc").alias("document_id"), F.lit("a.pdf").alias("source_filename"), k.alias("table_index"), F.lit("#/tables/0").alias("ref"), F.array(k + 1).alias("pages"), F.lit(None).cast("array<struct<l:double>>").alias("boxes"), F.array(F.lit("Nations")).alias("captions"), (F.size("x") + 1).alias("num_rows"), F.lit(2).alias("num_cols"), F.lit("rot_0").alias("orientation"), F.transform("x", lambda r: cell(r["name"], 1, False)).alias("cells"), grid.alias("grid"), F.when(k == 3, "exclude").otherwise("include").alias("decision"), F.lit("accepted").alias("review_source"))
+
+
+@query("""SELECT 'doc:table:00' || n_regionkey || ':parent:000' AS record_id, 'table_parent' AS content_type, 'key' || chr(9) || 'name' || chr(10) || string_agg(n_nationkey || chr(9) || n_name, chr(10) ORDER BY n_nationkey) AS text,
+    '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown, 'Nations' AS caption, count(*) + 1 AS num_rows, 'accepted' AS review_status FROM nation WHERE n_regionkey <> 3 GROUP BY n_regionkey""")
+def canonical_parent(spark, sf_dir):
+    r = envelopes.table_parents(_region_tables(spark, sf_dir))
+    return r.select("record_id", "content_type", "content.text", "content.markdown", F.array_join("metadata.caption", " ").alias("caption"), F.col("metadata.num_rows").cast("long").alias("num_rows"), "metadata.review_status")
+
+
+@query("SELECT n_regionkey AS table_index, n_name AS text, 1 AS col, true AS no_box FROM nation WHERE n_regionkey <> 3")
+def structured_cells(spark, sf_dir):
+    r = envelopes.table_parents(_region_tables(spark, sf_dir)).select(F.col("metadata.table_index").alias("table_index"), F.explode("content.structured.cells").alias("c"))
+    return r.select("table_index", "c.text", F.col("c.start_col_offset_idx").alias("col"), F.col("c.bbox").isNull().alias("no_box"))
+
+
+@query("""WITH r AS (SELECT doc_id, doc_id % 3 = 0 AS child, doc_id % 40 = 7 AS again FROM documents)
+SELECT count(*) + count(*) FILTER (again) AS records, count(*) FILTER (NOT child) + count(*) FILTER (again AND NOT child) AS text_records, count(*) FILTER (child) + count(*) FILTER (again AND child) AS table_child_records, count(*) FILTER (again) AS duplicate_ids, CAST(0 AS BIGINT) AS content_type,
+  count(*) FILTER (doc_id % 11 = 0) + count(*) FILTER (again AND doc_id % 11 = 0) AS empty_text, count(*) FILTER (doc_id % 13 = 0) + count(*) FILTER (again AND doc_id % 13 = 0) AS over_limit, CAST(2 AS BIGINT) AS tokenizers, CAST(1 AS BIGINT) AS documents,
+  count(*) FILTER (child AND doc_id % 50 % 7 = 0) + count(*) FILTER (again AND child AND doc_id % 50 % 7 = 0) AS invalid_parent_links FROM r""")
+def combined_validation(spark, sf_dir):
+    """Records with injected faults: repeated ids, empty texts, missing counts, two tokenizers, missing parents."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    d = d.unionByName(d.where(k % 40 == 7))
+    child, pid = k % 3 == 0, lambda c: F.concat(F.lit("d:table:"), F.lpad(c.cast("string"), 3, "0"), F.lit(":parent:000"))
+    records = d.select(
+        F.lit("1.0.0").alias("schema_version"), F.concat(F.lit("d:text:"), F.lpad(k.cast("string"), 6, "0")).alias("record_id"), F.when(child, pid(k % 50)).alias("parent_id"), F.when(child, "table_child").otherwise("text").alias("content_type"), F.struct(F.lit("d").alias("document_id"), F.array(F.lit(1)).alias("pages")).alias("source"),
+        F.struct(F.when(k % 11 == 0, " ").otherwise("x").alias("text")).alias("content"), F.struct(F.when(k % 13 != 0, F.lit(5)).alias("token_count"), F.when(k == 0, "other").otherwise("words").alias("tokenizer_name")).alias("metadata"),
+    )
+    parents = spark.range(50).where("id % 7 <> 0").select(pid(F.col("id")).alias("record_id"))
+    return checks.combined_figures(records, parents, 512).drop("no_tokenizer", "no_document", "schema_errors")
+
+
+@query("SELECT l_orderkey, row_no, row_no AS v FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey) AS row_no FROM lineitem) WHERE row_no > 1 + l_orderkey % 2")
+def data_rows(spark, sf_dir):
+    """Header rows aren't packed: the first of a table, and the second of every other one."""
+    x = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().select("l_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("row_no"))
+    heads = x.where(F.col("row_no") <= 1 + F.col("l_orderkey") % 2)
+    return tables.data_rows(x, heads, "l_orderkey").withColumn("v", F.col("row_no"))
+
+
+@query("SELECT doc_id, n_chars, lang FROM documents WHERE doc_id % 3 <> 0")
+def index_deltas(spark, sf_dir):
+    """An index by upserts and deletions: of one id the last part counts."""
+    store = index.VectorIndex(spark, scratch(spark))
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("text").alias("content_type"), F.lit("old").alias("title"), F.lit(0).alias("start_page"), F.lit(0).alias("end_page"), "text", F.lit("h").alias("content_hash"), F.array(F.lit(0.0).cast("float")).alias("embedding"), "lang", F.col("n_chars").cast("int").alias("n"))
+    store.put(r, {"embedding_model": "m", "embedding_dimension": 1, "embedding_fingerprint": "f"})
+    store.upsert(r.withColumn("title", F.col("lang")).withColumn("start_page", F.col("n")))
+    store.delete(r.where("record_id % 3 = 0"))
+    return store.rows().select(F.col("record_id").cast("long").alias("doc_id"), F.col("start_page").cast("long").alias("n_chars"), F.col("title").alias("lang"))
+
+
+@query("SELECT item_id AS table_index, text AS caption FROM benchmark")
+def caption_overrides(spark, sf_dir):
+    """Overrides written as one JSON object and read again; a missing file has none."""
+    path = scratch(spark)
+    b = table(spark, sf_dir, "benchmark")
+    b.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), F.array("text"))))).alias("value")).coalesce(1).write.text(path)
+    got = files.read_overrides(spark, path).unionByName(files.read_overrides(spark, f"{path}/none"))
+    return got.select(F.col("table_index").cast("long").alias("table_index"), F.get("caption", F.lit(0)).alias("caption"))
+
+
+@query("SELECT label, count(*) AS before, count(*) FILTER (NOT label IN ('caption', 'page_footer') AND (no_page OR (p1 >= 3 AND p1 < 15))) AS after FROM (" + _ITEMS + ") GROUP BY label")
+def view_counts(spark, sf_dir):
+    """Items by label before and after the text view's filter."""
+    own = _items(spark, sf_dir)
+    kept = textview.keep_text(own, own.limit(0).select(F.col("self_ref").alias("ref")), 3, 15)
+    both = own.select("label", F.lit(0).alias("kept")).unionByName(kept.select("label", F.lit(1).alias("kept")))
+    return both.groupBy("label").agg(F.count_if(F.col("kept") == 0).alias("before"), F.count_if(F.col("kept") == 1).alias("after"))
+
+
+@query("SELECT doc_id, list_distinct([doc_id % 3, doc_id % 2, doc_id % 3]).len() AS n, CAST(doc_id % 3 AS VARCHAR) AS first FROM documents")
+def chunk_refs(spark, sf_dir):
+    """Refs of a chunk, each once, in the order of their first place."""
+    k = F.col("doc_id")
+    x = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.transform(F.array(k % 3, k % 2, k % 3), lambda v: v.cast("string"))).alias("refs"))
+    return x.select("doc_id", F.size("refs").cast("long").alias("n"), F.get("refs", F.lit(0)).alias("first"))

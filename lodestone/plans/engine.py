@@ -64,4 +64,4 @@ class Engine:
 def build_engine(spark: SparkSession, settings: Settings | None = None, *, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None, llm: models.LanguageModel | None = None, with_llm: bool = True) -> Engine:
     settings = settings or Settings.from_env()
     records, parents = files.load_corpus(spark, settings.paths.records, settings.paths.parents)
-    return Engine(spark, settings, records, parents, embedder or models.length_embedder(settings.embedding), reranker or models.lexical_reranker(), (llm or models.extractive_model()) if with_llm else None)
+    return Engine(spark, settings, records, parents, embedder or models.length_embedder(settings.embedding), reranker or models.lexical_reranker(), (llm or (models.http_model(settings.generation) if settings.generation.host else models.extractive_model())) if with_llm else None)

@@ -1,6 +1,7 @@
 """Tables' schemas, as Spark DDL."""
 
 CELL = "text string, row_span int, col_span int, start_row_offset_idx int, end_row_offset_idx int, start_col_offset_idx int, end_col_offset_idx int, column_header boolean, row_header boolean, row_section boolean"
+CELL_FIELDS = tuple(f.split()[0] for f in CELL.split(", "))
 BOX = "l double, t double, r double, b double, coord_origin string"
 STRUCTURED = f"num_rows int, num_cols int, orientation string, cells array<struct<{CELL.replace(' ', ':').replace(',:', ',')},bbox:struct<{BOX.replace(' ', ':').replace(',:', ',')}>>>"
 #: A stored record: one line of JSON.
@@ -19,3 +20,11 @@ INDEX_META = "embedding_model string, embedding_dimension int, embedding_fingerp
 ITEM = "ordinal long, self_ref string, label string, text string, parent_ref string, pages array<int>"
 SCHEMA_VERSION = "1.0.0"
 CONTENT_TYPES = ("text", "table_parent", "table_child")
+#: A parsed document: one JSON value. References are `$ref` in the file.
+DOCUMENT = (
+    "name string, origin struct<filename:string>, "
+    "texts array<struct<self_ref:string,label:string,text:string,headings:array<string>,parent:struct<ref:string>,prov:array<struct<page_no:int>>>>, "
+    f"tables array<struct<self_ref:string,captions:array<struct<ref:string,text:string>>,footnotes:array<struct<ref:string,text:string>>,prov:array<struct<page_no:int,bbox:struct<{BOX.replace(' ', ':').replace(',:', ',')}>>>,"
+    f"data:struct<num_rows:int,num_cols:int,orientation:string,grid:array<array<struct<text:string>>>,table_cells:array<struct<{CELL.replace(' ', ':').replace(',:', ',')},bbox:struct<{BOX.replace(' ', ':').replace(',:', ',')}>>>>>>, "
+    "pictures array<struct<self_ref:string,captions:array<struct<ref:string,text:string>>,footnotes:array<struct<ref:string,text:string>>>>"
+)

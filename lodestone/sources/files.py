@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,15 @@ from lodestone.errors import CorpusError
 from lodestone.functions.text import strip
 
 
-def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; blank lines are skipped, a bad line is an error that shows it."""
-    lines = spark.read.text(path).where(strip("value") != "")
-    row = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+def read_lines(spark: SparkSession, path: str, schema: str, ordinal: bool = False) -> DataFrame:
+    """JSON lines; blank lines are skipped, a bad line is an error that shows it. ordinal: adds a column that rises with the place
+    of a line among all files' lines."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", *([at.alias("ordinal")] if ordinal else [])).where(strip("value") != "")
+    row = lines.select("*", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     # A line that is no JSON fails the scan where it is read; no second pass looks for it.
     checked = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.raise_error(F.concat(F.lit("bad JSON line: "), F.left("value", F.lit(200)))).cast("boolean")).otherwise(F.lit(True))
-    return row.where(checked).select("r.*").drop("_bad")
+    return row.where(checked).select("r.*", *(["ordinal"] if ordinal else [])).drop("_bad")
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -25,8 +29,9 @@ def write_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Whole files, one JSON value each."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """Whole files, one JSON value each; `$ref` reads as `ref`. A file that is no JSON is an error."""
+    own = spark.read.text(path, wholetext=True).select(F.replace("value", F.lit('"$ref"'), F.lit('"ref"')).alias("value"))
+    return own.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -54,18 +59,49 @@ def digest(files: DataFrame) -> DataFrame:
 
 
 def write_review(df: DataFrame, path: str) -> None:
-    """The review table as CSV: pages joined by ';', nulls as empty fields."""
-    df.coalesce(1).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """The review table as CSV with a byte-order mark: pages joined by ';', nulls as empty fields. Human-made, so one file."""
+    shown = df.select(*(F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes))
+    shown.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).coalesce(1).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
-def write_each(df: DataFrame, path: str, name: Column, value: Column) -> None:
-    """One folder of text for each record, named by its id with ':' as '_'."""
-    df.select(F.translate(name, ":", "_").alias("name"), value.alias("value")).write.partitionBy("name").text(path)
+def write_each(df: DataFrame, path: str, name: Column, **values: Column) -> None:
+    """For each record a folder named by its id with ':' as '_'; in it the record as JSON and, for each of `values`, a text."""
+    own = df.select(F.translate(name, ":", "_").alias("name"), F.struct(F.lit("json").alias("kind"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).alias("json"), *(F.struct(F.lit(k).alias("kind"), v.alias("value")).alias(k) for k, v in values.items()))
+    own.select("name", F.explode(F.array("json", *values)).alias("x")).select("name", "x.kind", "x.value").write.partitionBy("name", "kind").text(path)
 
 
 def report(df: DataFrame) -> dict:
     """A one-row table of figures as a dict."""
-    return df.first().asDict()
+    return df.first().asDict(recursive=True)
+
+
+def write_report(figures: DataFrame | dict, spark: SparkSession, path: str) -> dict:
+    """Figures (a dict or a one-row table) as indented JSON, in a folder that any store can hold."""
+    got = figures if isinstance(figures, dict) else report(figures)
+    spark.createDataFrame([(json.dumps(got, ensure_ascii=False, indent=2, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return got
+
+
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """table_index, caption from one JSON object of texts by index; a missing file is an empty table."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "table_index int, caption array<string>")
+    return raw.select(F.explode(F.from_json("value", "map<string,array<string>>"))).select(F.col("key").cast("int").alias("table_index"), F.col("value").alias("caption"))
+
+
+def save_document(items: DataFrame, path: str) -> None:
+    """A parsed document's items that were kept, in order."""
+    items.coalesce(1).sortWithinPartitions("ordinal").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def _place(raw: DataFrame) -> list[str]:
+    return ["ordinal"] if "ordinal" in raw.columns else []
 
 
 def records(raw: DataFrame) -> DataFrame:
@@ -77,7 +113,7 @@ def records(raw: DataFrame) -> DataFrame:
     title = F.when(F.col("content_type") == "text", text_title(F.coalesce(m("headings"), empty), m("chapter"))).otherwise(table_title(F.coalesce(m("caption"), empty), m("table_index")))
     return raw.select(
         "record_id", F.nullif(F.col("parent_id"), F.lit("")).alias("parent_id"), "content_type", s("document_id").alias("document_id"), title.alias("title"),
-        F.array_sort(s("pages")).alias("pages"), F.col("content.text").alias("text"), F.coalesce(m("token_count"), F.lit(0)).alias("token_count"),
+        F.array_sort(s("pages")).alias("pages"), F.col("content.text").alias("text"), F.coalesce(m("token_count"), F.lit(0)).alias("token_count"), *_place(raw),
     )
 
 
@@ -89,17 +125,17 @@ def parents(raw: DataFrame) -> DataFrame:
     title = table_title(F.coalesce(F.col("metadata.caption"), F.array().cast("array<string>")), F.col("metadata.table_index"))
     return rows.select(
         "record_id", F.col("source.document_id").alias("document_id"), title.alias("title"), F.array_sort("source.pages").alias("pages"),
-        F.coalesce(F.nullif(F.col("content.markdown"), F.lit("")), F.col("content.text")).alias("text"), F.col("metadata.num_rows").alias("num_rows"), F.col("metadata.num_cols").alias("num_cols"),
+        F.coalesce(F.nullif(F.col("content.markdown"), F.lit("")), F.col("content.text")).alias("text"), F.col("metadata.num_rows").alias("num_rows"), F.col("metadata.num_cols").alias("num_cols"), *_place(raw),
     )
 
 
 def load_corpus(spark: SparkSession, records_path: str, parents_path: str) -> tuple[DataFrame, DataFrame]:
-    """Checked records and parents: at least one record, no child without its parent."""
-    from lodestone.operators.corpus import orphans
+    """Checked records and parents, each once (of one id the last): at least one record, no child without its parent."""
+    from lodestone.operators.corpus import last_of, orphans
 
-    r, p = records(read_lines(spark, records_path, schemas.ENVELOPE)), parents(read_lines(spark, parents_path, schemas.ENVELOPE))
+    r, p = records(read_lines(spark, records_path, schemas.ENVELOPE, True)), parents(read_lines(spark, parents_path, schemas.ENVELOPE, True))
     if not r.head(1):
         raise CorpusError(f"no records in {records_path}")
-    if found := orphans(r, p).head(1):
-        raise CorpusError(f"{found[0].record_id} has no parent {found[0].parent_id}")
-    return r, p
+    if found := orphans(r, p).orderBy("record_id").limit(5).collect():
+        raise CorpusError("; ".join(f"{x.record_id} has no parent {x.parent_id}" for x in found))
+    return last_of(r, "record_id"), last_of(p, "record_id")

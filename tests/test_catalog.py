@@ -31,7 +31,7 @@ def test_whole_funnel(spark, sf, tmp_path):
         return ids[np.lexsort((ids, d))[:20]].tolist()
 
     got = {}
-    for r in sorted(catalog.QUERIES["knn_topk_whole"](spark, sf).collect(), key=lambda r: (r.q, r["rank"])):
+    for r in sorted(catalog.QUERIES["knn_topk"](spark, sf).collect(), key=lambda r: (r.q, r["rank"])):
         got.setdefault(r.q, []).append(r.vec_id)
     assert got == {q: nearest(q) for q in v if q % 100 == 0}
     texts, asked = {r.doc_id: r.text for r in read("documents")}, {r.item_id: r.text for r in read("benchmark")}
@@ -42,11 +42,11 @@ def test_whole_funnel(spark, sf, tmp_path):
         found = [d for d in nearest(q) if d in texts]
         best[q] = sorted(found, key=lambda d: (-score(d), nearest(q).index(d)))[:8]  # noqa: B023
     got = {}
-    for r in sorted(catalog.QUERIES["lexical_rerank_whole"](spark, sf).collect(), key=lambda r: (r.item_id, r["rank"])):
+    for r in sorted(catalog.QUERIES["lexical_rerank"](spark, sf).collect(), key=lambda r: (r.item_id, r["rank"])):
         got.setdefault(r.item_id, []).append(r.doc_id)
     want = {q: b for q, b in best.items() if b}
     assert got == want and max(want) >= 40
-    for name in ("funnel_sources_whole", "budget_prompt_whole", "prompt_citations_whole", "generated_answers"):
+    for name in ("funnel_sources", "budget_prompt", "prompt_citations", "generated_answers"):
         assert {r.item_id for r in catalog.QUERIES[name](spark, sf).select("item_id").collect()} == set(want), name
 
 

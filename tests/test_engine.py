@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.config import PathSettings, PromptSettings, RetrievalSettings, Settings
+from lodestone.config import HOME, Settings
 from lodestone.errors import ConfigurationError, CorpusError, IndexNotBuiltError, IndexStaleError, ModelError
 from lodestone.functions import text as T
 from lodestone.operators import models, retrieval, tables
@@ -105,7 +105,7 @@ def engine(spark, tmp_path):
     rows.append(envelope("d:table:000:child:001", "table_child", "row one costs 5", "d:table:000:parent:000", caption=["Costs"]))
     (tmp_path / "r.jsonl").write_text("\n\n".join(map(json.dumps, rows)) + "\n")
     (tmp_path / "p.jsonl").write_text(json.dumps(envelope("d:table:000:parent:000", "table_parent", "| all | costs |", caption=["Costs"])) + "\n")
-    s = Settings(paths=PathSettings(str(tmp_path / "r.jsonl"), str(tmp_path / "p.jsonl"), str(tmp_path / "index")))
+    s = Settings({"paths.records": str(tmp_path / "r.jsonl"), "paths.parents": str(tmp_path / "p.jsonl"), "paths.index": str(tmp_path / "index")})
     return build_engine(spark, s)
 
 
@@ -144,8 +144,17 @@ def test_settings():
     with pytest.raises(ConfigurationError):
         Settings.from_env({"LODESTONE_RETRIEVAL_RETRIEVE_K": "x"})
     with pytest.raises(ConfigurationError):
-        RetrievalSettings(retrieve_k=4, rerank_k=8)
-    assert s.with_overrides(prompt=PromptSettings(10)).prompt.max_context_chars == 10 and s.describe()["retrieval.max_sources"] == 4
+        Settings({"retrieval.retrieve_k": 4, "retrieval.rerank_k": 8})
+    with pytest.raises(ConfigurationError):
+        Settings({"retrieval.no_such": 1})
+    assert s.replace(prompt__max_context_chars=10).prompt.max_context_chars == 10 and s.describe()["retrieval.max_sources"] == 4
+
+
+def test_places(tmp_path, monkeypatch):
+    """Defaults lie beside the package wherever a job starts; a given relative path begins at the working directory."""
+    monkeypatch.chdir(tmp_path)
+    s = Settings.from_env({"LODESTONE_PATHS_INDEX": "own/index", "LODESTONE_PATHS_PARENTS": "file:///x/y"})
+    assert s.paths.records == f"{HOME}/data/records" and s.paths.index == str(tmp_path / "own/index") and s.paths.parents == "file:///x/y"
 
 
 def test_split_row():
@@ -162,7 +171,7 @@ def test_cli(capsys, monkeypatch, engine, spark):
 
     assert cli.main(["info"]) == 0 and "retrieval.retrieve_k" in capsys.readouterr().out
     for k, v in (("RECORDS", engine.settings.paths.records), ("PARENTS", engine.settings.paths.parents), ("INDEX", engine.settings.paths.index)):
-        monkeypatch.setenv(f"LODESTONE_PATH_{k}", v)
+        monkeypatch.setenv(f"LODESTONE_PATHS_{k}", v)
     assert cli.main(["doctor"]) == 1 and "no vectors" in capsys.readouterr().out
     assert cli.main(["search", "costs"]) == 1
     assert cli.main(["index"]) == 0 and cli.main(["doctor"]) == 0
