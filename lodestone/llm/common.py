@@ -32,11 +32,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set (local tests)."""
+    """The folder that driver and executors share. Where none is set a local session gets a temporary one; a cluster's
+    executors couldn't see that, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

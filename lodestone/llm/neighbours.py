@@ -9,10 +9,11 @@ keeps its k best there; the curves' lists merge and the k best of all are the an
 
 `window` is a share of the rows on each side of a query. Vectors with 64 nearly independent coordinates have no
 few near places on a curve, so windows must be wide for recall; their share does not depend on the table's size.
-The set of queries is stated (by default every hundredth row), so work is queries x window, in blocks.
+The set of queries is stated (by default every hundredth row), so work is queries x windows of all curves, in blocks.
 
 Rows whose vector is null, zero or has null or non-finite components, or another length than the most common one,
-take no part. Equal distances go to the smaller vec_id. A query is never its own candidate; a repeated vec_id counts once.
+take no part. Equal distances go to the smaller vec_id. A query is never its own candidate; a repeated vec_id counts once,
+with its least vector. Rows with a null vec_id take no part. Other columns of the table are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import parts, stash, tune
 
-CURVES, DIMS, BITS, WINDOW, SEED = 16, 8, 4, 0.04, 7
+CURVES, DIMS, BITS, WINDOW, SEED = 32, 8, 4, 0.012, 7
 #: Bits of a coordinate on the curve inside a cell; it reaches to 16 times the vectors' usual length on each side.
 FINE = 32
 #: Rows in a cell of a curve, and places of queries in a block: they bound what a task holds.
@@ -80,6 +81,20 @@ def projections(width: int, curves: int, dims: int, seed: int) -> list[tuple[np.
     return out[:curves]
 
 
+def nearest_inside(q: np.ndarray, x: np.ndarray, ids: np.ndarray, inside: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of each query's k nearest among its rows, ties to the smaller id. A matrix product gives all distances
+    nearly; rows within its error of the k-th are measured in full."""
+    xx = (x * x).sum(axis=1)
+    about = np.where(inside, xx[None, :] - 2 * q @ x.T, np.inf)
+    edge = np.partition(about, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+    i, j = np.nonzero(inside & (about <= (edge + 1e-9 * (xx.max() + (q * q).sum(axis=1)))[:, None]))
+    d = np.sqrt(((x[j] - q[i]) ** 2).sum(axis=1))
+    order = np.lexsort((ids[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first], d[first]
+
+
 def valid(embeddings: DataFrame, vector: str) -> DataFrame:
     """vec_id and v (doubles) of the rows that take part; of repeated vec_ids the least vector stays."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -150,16 +165,14 @@ def _nearest_classes(points: DataFrame, wanted: DataFrame, width: int, k: int, c
     def measure(frames):
         for pdf in frames:
             for ids, at, vs, qs in zip(pdf["ids"], pdf["ats"], pdf["vs"], pdf["asked"]):
-                x, out = np.frombuffer(vs, dtype="<f8").reshape(len(ids), -1), []
-                ids, at = np.asarray(ids), np.asarray(at)
-                for r in qs:
-                    near = np.flatnonzero((at >= r["lo"]) & (at <= r["hi"]) & (ids != r["cid"]))
-                    if len(near):
-                        d = np.sqrt(((x[near] - np.asarray(r["v"])) ** 2).sum(axis=1))
-                        best = np.lexsort((ids[near], d))[:k]
-                        out.append(pd.DataFrame({"cid": r["cid"], "near": ids[near][best], "score": d[best]}))
-                if out:
-                    yield pd.concat(out)
+                x, at, ids = np.frombuffer(vs, dtype="<f8").reshape(len(ids), -1), np.asarray(at), np.asarray(ids)
+                for a in range(0, len(qs), 256):
+                    own = qs[a : a + 256]
+                    cid, lo, hi = (np.array([r[f] for r in own], dtype=np.int64)[:, None] for f in ("cid", "lo", "hi"))
+                    q = np.array([r["v"] for r in own])
+                    inside = (at >= lo) & (at <= hi) & (ids != cid)
+                    i, j, d = nearest_inside(q, x, ids, inside, k)
+                    yield pd.DataFrame({"cid": cid[i, 0], "near": ids[j], "score": d})
 
     found = blocks.join(asked, ["curve", "cell"]).select("ids", "ats", "vs", "asked").mapInPandas(measure, "cid long, near long, score double")
     found = found.groupBy("cid", "near").agg(F.min("score").alias("score"))  # every curve measures the same

@@ -226,6 +226,29 @@ def test_neighbours_in_a_tight_cluster(spark, noise):
     assert np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9
 
 
+def test_nearest_inside_is_brute_force():
+    rng = np.random.default_rng(2)
+    x, q = rng.integers(0, 3, (300, 5)).astype(float), rng.integers(0, 3, (20, 5)).astype(float)
+    ids, inside = rng.permutation(300), rng.random((20, 300)) < rng.choice([0.01, 0.5, 1], (20, 1))
+    i, j, d = neighbours.nearest_inside(q, x, ids, inside, 7)
+    for k in range(20):
+        own = np.flatnonzero(inside[k])
+        e = np.sqrt(((x[own] - q[k]) ** 2).sum(axis=1))
+        best = np.lexsort((ids[own], e))[:7]
+        assert j[i == k].tolist() == own[best].tolist() and d[i == k].tolist() == e[best].tolist()
+
+
+def test_shared_folder_of_a_cluster(spark, monkeypatch):
+    from lodestone.llm import common
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in neighbours.search(df, 10, 100).collect()]
