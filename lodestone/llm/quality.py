@@ -3,7 +3,8 @@
 The statistics of a text are byte-class shares, word and line shape and repetition; labels, language, source
 and ids are no input. Trees are fitted in numpy on a bounded sample of labelled rows (SAMPLE_ROWS), whatever
 the corpus' size, flattened into arrays and applied to batches: at each level all rows of a batch move to
-their child at once.
+their child at once. A document's statistics are made from its whole text, which is in memory once; null and empty texts
+have statistics of zero and a score like others.
 """
 
 from __future__ import annotations
@@ -145,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     tune(docs.sparkSession)
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc32_of("doc_id") % 4 != 2)).groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # its size is bounded, so it may be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = own.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # a repeated doc_id gives one row, so the bound holds
 
     def run(frames):
         for pdf in frames:

@@ -171,7 +171,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, dtype: str) -> byt
     """Trained on at most DICTIONARY_DOCS documents, each of which gives at most DICTIONARY_BYTES bytes of ids. Too few: no dictionary."""
     import zstandard
 
-    some = docs.select("text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)
+    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)  # ids alone meet in one task
+    some = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
 
     def run(frames):
         for pdf in frames:
