@@ -15,6 +15,7 @@ and the library's merges give that run's pieces from a bounded cache. Shorter te
 from __future__ import annotations
 
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANK_ONLY, PieceCache, WordIds, bytes_of, text_of, tune
 
-CHUNK = 65_536
+CHUNK = 16_384
 BLANK = "▁"
 _RUN = re.compile(f"{BLANK}+[^{BLANK}]*")
 State = tuple[int, int]
@@ -94,9 +95,12 @@ class Pieces:
         other = iter(self.cache.pack([self.runs(t) for t, p in zip(texts, plain) if not p]))
         return [next(quick).tobytes() if p else next(other) for p in plain]
 
+    def read(self, ids) -> bytes:
+        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
     def decode(self, ids) -> bytes:
         """The UTF-8 text of packed ids, without the blank that encoding puts before it."""
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))[1:]
+        return self.read(ids)[1:]
 
     def borders(self, text: str, at: int) -> list[State]:
         """All pieces that cover the character before `at`."""
@@ -238,17 +242,35 @@ def chunks(text: str, size: int, around: int) -> list[tuple[int, int, int, str]]
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """doc_id, text, ids (unsigned 32-bit, little endian) of every row; decoded: also what they read as, made in the
-    same pass. Null texts count as empty and get no ids; repeated rows stay; other columns of docs are left out."""
-    spark = docs.sparkSession
-    tune(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    long = F.length("text") > chunk
+    same pass. Null texts count as empty and get no ids; repeated rows stay; other columns of docs are left out. The ids of one
+    text are one value, so they are joined in one task."""
+    docs, giant = _parted(docs, chunk)
 
     def short(frames):
         for pdf in frames:
             out = pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), ids=model(path).encode([text_of(t) for t in pdf["text"]]))
             yield _decoded(out, path) if decoded else out
 
+    def joined(pdf):
+        pdf = pdf.sort_values("k")
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "ids": [b"".join(pdf["ids"])]})
+
+    whole = traced(giant, path, chunk).groupBy("key").applyInPandas(joined, "key string, ids binary")
+    giants = giant.join(whole, "key").select("doc_id", "text", "ids")
+    small = docs.mapInPandas(short, "doc_id long, text string, ids binary" + ", decoded string" * decoded)
+    return small.unionByName(decode(giants, path) if decoded else giants)
+
+
+def _parted(docs: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text of texts that are one chunk, and of longer ones, these with a key: equal texts are encoded once."""
+    tune(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    long = F.length("text") > chunk
+    return docs.where(~long), docs.where(long).withColumn("key", F.sha2("text", 256))
+
+
+def traced(giant: DataFrame, path: str, chunk: int) -> DataFrame:
+    """key, k, ids of the chunks of long texts, and whether those read as the text that they stand for."""
     around = 48  # over twice the longest piece
 
     def cut(frames):
@@ -273,16 +295,12 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, decoded: bool = False
     def trace(frames):
         for pdf in frames:
             ids = [model(path).trace(r.t, r.a, r.b, (r.o0 - r.off, r.o1 - r.off), (r.s0 - r.off, r.s1 - r.off)) for r in pdf.itertuples(index=False)]
-            yield pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "ids": ids})
+            good = [model(path).read(x) == r.t[r.o1 - r.off : r.s1 - r.off].replace(BLANK, " ").encode("utf-8", "replace") for x, r in zip(ids, pdf.itertuples(index=False))]
+            yield pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "ids": ids, "good": good})
 
-    giant = docs.where(long).withColumn("key", F.sha2("text", 256))  # equal texts are encoded once
-    pieces = giant.dropDuplicates(["key"]).mapInPandas(cut, "key string, k long, last boolean, off long, a long, b long, t string").repartition("key", "k")
+    pieces = giant.select("key", "text").dropDuplicates(["key"]).mapInPandas(cut, "key string, k long, last boolean, off long, a long, b long, t string").repartition("key", "k")
     borders = pieces.mapInPandas(transfer, "key string, k long, m binary").groupBy("key").applyInPandas(states, "key string, k long, o0 long, o1 long, s0 long, s1 long")
-    traced = pieces.join(borders, ["key", "k"]).mapInPandas(trace, "key string, k long, ids binary")
-    joined = traced.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", F.hex("ids").alias("x")))).alias("all")).select("key", F.unhex(F.array_join(F.col("all.x"), "")).alias("ids"))
-    giants = giant.join(joined, "key").select("doc_id", "text", "ids")
-    small = docs.where(~long).mapInPandas(short, "doc_id long, text string, ids binary" + ", decoded string" * decoded)
-    return small.unionByName(decode(giants, path) if decoded else giants)
+    return pieces.join(borders, ["key", "k"]).mapInPandas(trace, "key string, k long, ids binary, good boolean")
 
 
 def _decoded(pdf: pd.DataFrame, path: str) -> pd.DataFrame:
@@ -301,6 +319,22 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digest(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids_crc32, round_trip: what encoding every text and decoding it again gives.
-    round_trip holds if the decoded text is the text (a literal U+2581 reads as a blank)."""
-    got = encode(docs, path, chunk, decoded=True)
-    return got.select("doc_id", F.length("text").cast("long").alias("n_chars"), (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.replace("text", F.lit(BLANK), F.lit(" "))).alias("round_trip"))
+    round_trip holds if the decoded text is the text (a literal U+2581 reads as a blank); chunks are decoded alone."""
+    docs, giant = _parted(docs, chunk)
+
+    def short(frames):
+        for pdf in frames:
+            texts = [text_of(t) for t in pdf["text"]]
+            ids = model(path).encode(texts)
+            good = [model(path).decode(x).decode("utf-8", "replace") == t.replace(BLANK, " ") for x, t in zip(ids, texts)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_chars": [len(t) for t in texts], "n_pieces": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids], "round_trip": good})
+
+    def summed(pdf):
+        crc, pdf = 0, pdf.sort_values("k")
+        for x in pdf["ids"]:
+            crc = zlib.crc32(x, crc)
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "n_pieces": [sum(map(len, pdf["ids"])) // 4], "ids_crc32": [crc], "round_trip": [bool(pdf["good"].all())]})
+
+    whole = traced(giant, path, chunk).groupBy("key").applyInPandas(summed, "key string, n_pieces long, ids_crc32 long, round_trip boolean")
+    giants = giant.select("doc_id", F.length("text").cast("long").alias("n_chars"), "key").join(whole, "key").drop("key")
+    return docs.mapInPandas(short, "doc_id long, n_chars long, n_pieces long, ids_crc32 long, round_trip boolean").unionByName(giants)
