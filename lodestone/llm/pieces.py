@@ -46,6 +46,7 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         raw = {i: b"" for i in special} | {i: bytes([b]) for b, i in self.byte_ids.items()} | {i: p.replace(BLANK, " ").encode() for p, i in self.ids.items()}
         self.raw = [raw[i] for i in range(len(names))]
+        self.value = np.array([self.scores.get(n, 0.0) for n in names])
         self.lone = np.array([self.ids[BLANK]], dtype="<u4").tobytes()
         self.cache, self.table = PieceCache(self.words), WordIds(self.words, "<u4", BLANK_ONLY)
         self.merged = lru_cache(200_000)(self._merged)
@@ -140,7 +141,7 @@ class Pieces:
         if found := self.pinches(text, start, end):
             first, final = found
             left = self.ends(text, origins, start, first)
-            middle = sum(self.scores.get(self.library.id_to_piece(i), 0.0) for i in np.frombuffer(self.middle(text, first, final), dtype="<u4").tolist())
+            middle = self.value[np.frombuffer(self.middle(text, first, final), dtype="<u4")].sum()
             right = {(None, s): x for (_, s), x in self.walk(text, [(final, final)], final, end)[0].items()} if final < end else {(None, None): 0.0}
             if final == end:  # the state at the border is the piece that ends there
                 return left if first == final else {(o, s): a + x for o, a in self.totals(left).items() for s, x in self.tail(text, first, final).items()}
@@ -161,14 +162,17 @@ class Pieces:
         return out
 
     def middle(self, text: str, first: int, final: int) -> bytes:
-        runs = [r[1:].replace(BLANK, " ") for r in _RUN.findall(text[first:final])]
-        return self.cache.pack([runs])[0]
+        """Ids between two pinches; where single blanks part the words, all are looked up at once."""
+        inside = text[first + 1 : final]
+        if inside and inside[0] != BLANK and 2 * BLANK not in inside:
+            return self.table.texts([bytes_of(inside.replace(BLANK, " "))])[0].tobytes()
+        return self.cache.pack([[r[1:].replace(BLANK, " ") for r in _RUN.findall(text[first:final])]])[0]
 
     def tail(self, text: str, first: int, final: int) -> dict[State, float]:
         """The one state that ends at the pinch `final`, and the score from `first`."""
-        ids = np.frombuffer(self.middle(text, first, final), dtype="<u4").tolist()
-        name = self.library.id_to_piece(ids[-1])
-        return {(final - (1 if self.library.is_byte(ids[-1]) else len(name)), final): sum(self.scores.get(self.library.id_to_piece(i), 0.0) for i in ids)}
+        ids = np.frombuffer(self.middle(text, first, final), dtype="<u4")
+        last = int(ids[-1])
+        return {(final - (1 if self.library.is_byte(last) else len(self.library.id_to_piece(last))), final): self.value[ids].sum()}
 
     def trace(self, text: str, start: int, end: int, origin: State, state: State) -> bytes:
         """Ids of the pieces that begin in text[start:end], given the states at both borders."""
