@@ -28,7 +28,9 @@ from .common import BLANK_ONLY, PieceCache, WordIds, bytes_of, text_of, tune
 CHUNK = 16_384
 BLANK = "▁"
 _RUN = re.compile(f"{BLANK}+[^{BLANK}]*")
+_PINCH = re.compile(f"(?<=[^{BLANK}]){BLANK}")
 State = tuple[int, int]
+Inner = tuple[tuple[int, int] | None, np.ndarray]
 
 
 class Pieces:
@@ -131,21 +133,26 @@ class Pieces:
 
     def pinches(self, text: str, start: int, end: int) -> tuple[int, int] | None:
         """The first and the last place in start..end where no piece can cross."""
-        found = [m.start() for m in re.finditer(f"(?<=[^{BLANK}]){BLANK}", text) if start <= m.start() <= end]
-        return (found[0], found[-1]) if found else None
-
-    def transfer(self, text: str, start: int, end: int, last: bool) -> dict[tuple[State, State], float]:
+        first = _PINCH.search(text, start, end + 1)
+        if not first:
+            return None
+        last = text.rfind(BLANK, start, end + 1)
+        while last and text[last - 1] == BLANK:
+            last = text.rfind(BLANK, start, last)
+        return first.start(), last
+
+    def transfer(self, text: str, start: int, end: int, last: bool, inner: Inner | None = None) -> dict[tuple[State, State], float]:
         """The matrix of text[start:end]; text holds some characters more on either side. Rows: states at start
-        ((0, 0) at the text's start); columns: states at end."""
+        ((0, 0) at the text's start); columns: states at end. inner: of inners(), if known."""
         origins = self.borders(text, start) if start else [(0, 0)]
-        if found := self.pinches(text, start, end):
+        found, ids = inner or self.inners([(text, start, end)])[0]
+        if found:
             first, final = found
             left = self.ends(text, origins, start, first)
-            middle = self.value[np.frombuffer(self.middle(text, first, final), dtype="<u4")].sum()
-            right = {(None, s): x for (_, s), x in self.walk(text, [(final, final)], final, end)[0].items()} if final < end else {(None, None): 0.0}
             if final == end:  # the state at the border is the piece that ends there
-                return left if first == final else {(o, s): a + x for o, a in self.totals(left).items() for s, x in self.tail(text, first, final).items()}
-            return {(o, s): a + middle + x for o, a in self.totals(left).items() for (_, s), x in right.items() if not last or s[1] == end}
+                return left if first == final else {(o, self.closing(ids, final)): a + self.value[ids].sum() for o, a in self.totals(left).items()}
+            right = {s: x for (_, s), x in self.walk(text, [(final, final)], final, end)[0].items()}
+            return {(o, s): a + self.value[ids].sum() + x for o, a in self.totals(left).items() for s, x in right.items() if not last or s[1] == end}
         out = self.walk(text, origins, start, end)[0] | {(o, o): 0.0 for o in origins if o[1] >= end and o[0] < o[1]}
         return {k: x for k, x in out.items() if not last or k[1][1] == end}
 
@@ -161,30 +168,33 @@ class Pieces:
             out[o] = max(x, out.get(o, -np.inf))
         return out
 
-    def middle(self, text: str, first: int, final: int) -> bytes:
-        """Ids between two pinches; where single blanks part the words, all are looked up at once."""
-        inside = text[first + 1 : final]
-        if inside and inside[0] != BLANK and 2 * BLANK not in inside:
-            return self.table.texts([bytes_of(inside.replace(BLANK, " "))])[0].tobytes()
-        return self.cache.pack([[r[1:].replace(BLANK, " ") for r in _RUN.findall(text[first:final])]])[0]
-
-    def tail(self, text: str, first: int, final: int) -> dict[State, float]:
-        """The one state that ends at the pinch `final`, and the score from `first`."""
-        ids = np.frombuffer(self.middle(text, first, final), dtype="<u4")
+    def inners(self, parts: list[tuple[str, int, int]]) -> list[Inner]:
+        """Of each (text, start, end): its pinches, and the ids between them. Where single blanks part the words, all texts' are
+        looked up at once."""
+        found = [self.pinches(*p) for p in parts]
+        inside = [t[f[0] + 1 : f[1]] if f else "" for (t, _, _), f in zip(parts, found)]
+        plain = [bool(x) and x[0] != BLANK and 2 * BLANK not in x for x in inside]
+        quick = iter(self.table.texts([bytes_of(x.replace(BLANK, " ")) for x, p in zip(inside, plain) if p]))
+        other = iter(self.cache.pack([[r[1:].replace(BLANK, " ") for r in _RUN.findall(BLANK + x)] if x else [] for x, p in zip(inside, plain) if not p]))
+        return [(f, next(quick) if p else np.frombuffer(next(other), dtype="<u4")) for f, p in zip(found, plain)]
+
+    def closing(self, ids: np.ndarray, final: int) -> State:
+        """The one state that ends at the pinch `final`."""
         last = int(ids[-1])
-        return {(final - (1 if self.library.is_byte(last) else len(self.library.id_to_piece(last))), final): self.value[ids].sum()}
+        return final - (1 if self.library.is_byte(last) else len(self.library.id_to_piece(last))), final
 
-    def trace(self, text: str, start: int, end: int, origin: State, state: State) -> bytes:
+    def trace(self, text: str, start: int, end: int, origin: State, state: State, inner: Inner | None = None) -> bytes:
         """Ids of the pieces that begin in text[start:end], given the states at both borders."""
         if origin == state:
             return b""
-        if not (found := self.pinches(text, start, end)):
+        found, ids = inner or self.inners([(text, start, end)])[0]
+        if not found:
             return self.packed(self.path(text, origin, state, start, end))
         first, final = found
         ending = [s for (_, s) in self.ends(text, [origin], start, first) if s != origin]
         left = self.path(text, origin, ending[0], start, first) if ending else []
         right = self.path(text, (final, final), state, final, end) if final < end else []
-        return self.packed(left) + self.middle(text, first, final) + self.packed(right)
+        return self.packed(left) + ids.tobytes() + self.packed(right)
 
     def path(self, text: str, origin: State, state: State, start: int, end: int) -> list[str]:
         _, back = self.walk(text, [origin], start, end)
@@ -280,14 +290,14 @@ def traced(giant: DataFrame, path: str, chunk: int) -> DataFrame:
     def cut(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                for k, (off, a, b, t) in enumerate(got := chunks(r.text, chunk, around)):
-                    yield pd.DataFrame({"key": [r.key], "k": [k], "last": [k == len(got) - 1], "off": [off], "a": [a], "b": [b], "t": [t]})
+                got = pd.DataFrame(chunks(r.text, chunk, around), columns=["off", "a", "b", "t"])
+                yield got.assign(key=r.key, k=np.arange(len(got)), last=np.arange(len(got)) == len(got) - 1)[["key", "k", "last", "off", "a", "b", "t"]]
 
     def transfer(frames):
         for pdf in frames:
             rows = []
-            for r in pdf.itertuples(index=False):
-                m = model(path).transfer(r.t, r.a, r.b, r.last)
+            for r, inner in zip(pdf.itertuples(index=False), model(path).inners(list(zip(pdf["t"], pdf["a"], pdf["b"])))):
+                m = model(path).transfer(r.t, r.a, r.b, r.last, inner)
                 rows.append(np.array([(*np.add(o, r.off), *np.add(s, r.off), x) for (o, s), x in m.items()], dtype="<f8").tobytes())
             yield pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "m": rows})
 
@@ -298,7 +308,8 @@ def traced(giant: DataFrame, path: str, chunk: int) -> DataFrame:
 
     def trace(frames):
         for pdf in frames:
-            ids = [model(path).trace(r.t, r.a, r.b, (r.o0 - r.off, r.o1 - r.off), (r.s0 - r.off, r.s1 - r.off)) for r in pdf.itertuples(index=False)]
+            inner = model(path).inners(list(zip(pdf["t"], pdf["a"], pdf["b"])))
+            ids = [model(path).trace(r.t, r.a, r.b, (r.o0 - r.off, r.o1 - r.off), (r.s0 - r.off, r.s1 - r.off), x) for r, x in zip(pdf.itertuples(index=False), inner)]
             good = [model(path).read(x) == r.t[r.o1 - r.off : r.s1 - r.off].replace(BLANK, " ").encode("utf-8", "replace") for x, r in zip(ids, pdf.itertuples(index=False))]
             yield pd.DataFrame({"key": pdf["key"], "k": pdf["k"], "ids": ids, "good": good})
 
