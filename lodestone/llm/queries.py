@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import language_model, media, mixing, neighbours, ngram_join, pieces, quality, suffix_dedup, token_output, urls
-from .common import shared_dir, table, tokenizer_path
+from . import language_model, media, mixing, neighbours, ngram_join, odd_sketch, phrases, pieces, quality, suffix_dedup, token_output, urls
+from .common import LOWER, UPPER, shared_dir, table, tokenizer_path
 
 
 #: The tree and target weights that op2 and the pipeline use: three domains of sources, four languages.
@@ -98,5 +98,30 @@ def op10_token_id_output(spark, sf_dir):
     return token_output.read(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_nearest_neighbours, op4_lm_scoring, op5_suffix_dedup, op6_ngram_join, op7_url_filter, op8_media_columns, op9_quality_classifier, op10_token_id_output)}
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _op2_sql()}
+def op11_odd_sketch_dedup(spark, sf_dir):
+    return odd_sketch.components(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def _op12_sql() -> str:
+    """Every run of 1 to 5 words is written out and counted; integers of 128 bits."""
+    span = lambda first, last: f"array_to_string(list_slice(w, {first}, {last}), ' ')"
+    runs = " UNION ALL ".join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: {span('i', f'i + {k - 1}')})) AS phrase FROM pieces WHERE len(w) >= {k}" for k in range(1, phrases.LONGEST + 1))
+    cuts = " UNION ALL ".join(f"SELECT lang, phrase, k, a, {c} AS cut, {span(1, c)} AS lp, {span(c + 1, 'k')} AS rp FROM c WHERE k > {c}" for c in range(1, phrases.LONGEST))
+    subs = " UNION ALL ".join(f"SELECT lang, {span(i, i + m - 1)} AS phrase, a FROM c WHERE k > {m} AND k >= {i + m - 1}" for m in range(2, phrases.LONGEST) for i in range(1, phrases.LONGEST - m + 2))
+    return rf"""WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+    split AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?
+-]')) AS p FROM docs), pieces AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM split),
+    f AS (SELECT lang, k, phrase, count(*) AS n FROM ({runs}) GROUP BY ALL), words AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, phrase, k, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= {phrases.LEAST}), cuts AS ({cuts}),
+    s AS (SELECT x.lang, x.phrase, a, l.n AS l, r.n AS r, words.n AS n, CAST((CAST({phrases.SCALE} AS HUGEINT) * a * words.n) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score, cut FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = x.lp JOIN f r ON r.lang = x.lang AND r.phrase = x.rp JOIN words ON words.lang = x.lang),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s) WHERE nth = 1), inside AS (SELECT lang, phrase, max(a) AS most FROM ({subs}) GROUP BY ALL),
+    kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a)
+    SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept) WHERE rank <= {phrases.TOP}"""
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_nearest_neighbours, op4_lm_scoring, op5_suffix_dedup, op6_ngram_join, op7_url_filter, op8_media_columns, op9_quality_classifier, op10_token_id_output, op11_odd_sketch_dedup, op12_phrase_collocations)}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": _op2_sql(), "op12_phrase_collocations": _op12_sql()}
