@@ -3,12 +3,14 @@
 1. A document's set are the 64-bit hashes of its distinct five-word shingles (of its whole sequence, if it has fewer words);
    equal sets are one class. A class gets SAMPLES MinHash values (the least of x * multiplier over its shingles), BANDS band
    keys of ROWS values each, and an odd sketch: every sample toggles one of BITS bits.
-2. Stars: of the classes with one band key the most usual (that which meets most others over all its keys) is compared with
-   the rest. So a family is one component after one comparison a member, whatever its size.
+2. Stars: of the classes with one band key the most usual (that which meets most others over all its keys) is its pivot. A class is
+   compared with two of its keys' pivots: the most usual, and that of its rarest key. So a family is mostly one component after a
+   comparison or two a member, whatever its size.
 3. The rest: band keys whose classes are still in several components are gone through in blocks of BLOCK classes: those
    outside the commonest component meet every block. Pairs of one component are left out, the others go by their sketches.
 4. Two sketches' XOR has as many odd bits as samples differ, but for samples that meet in one bit. A pair goes on if it
-   has no more than odd_limit() of them. Pairs that go on are confirmed on their full sets.
+   has no more than odd_limit() of them, and if its sizes, and as many parities of its whole sets, leave enough overlap. Pairs that
+   go on are confirmed on their full sets.
 
 A linked pair is lost if no band key is shared or its XOR is over the limit: at the threshold (1 - 0.85**ROWS)**BANDS, 6e-11,
 and LOSS, 1e-9; less above it. Nothing else is sampled or capped. Equality of shingles and classes is that of 64-bit hashes.
@@ -20,7 +22,7 @@ an empty one; other columns of docs are left out; a very long text is one set, h
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -78,6 +80,23 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def whole_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """BITS parities of each set's shingles: where two sets differ in k shingles, k of them differ at most."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    out = np.zeros((len(sets), BITS // 8), dtype=np.uint8)
+    for part in np.array_split(np.arange(len(sets)), 1 + len(sets) // 4096):
+        bit = (mix64(np.concatenate([sets[k] for k in part.tolist()]) ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - int(math.log2(BITS)))).astype(np.int64)
+        row = np.repeat(np.arange(len(part)), size[part])
+        odd = np.bincount(row * BITS + bit, minlength=len(part) * BITS) & 1
+        out[part] = np.packbits(odd.astype(np.uint8).reshape(len(part), BITS), axis=1)
+    return out.view(np.int64)
+
+
+def needed(na, nb, percent: int):
+    """The least overlap of two linked sets with these sizes."""
+    return (percent * (na + nb) + 99 + percent) // (100 + percent)
+
+
 def estimate(odd: float, samples: int = SAMPLES, bits: int = BITS) -> float:
     """The similarity that so many odd bits of two sketches' XOR speak for."""
     return 1 + bits * math.log(max(1 - 2 * odd / bits, 1e-9)) / (4 * samples)
@@ -98,9 +117,9 @@ def odd_limit(percent: int = PERCENT, loss: float = LOSS) -> int:
     return int(np.flatnonzero(np.cumsum(total[::-1])[::-1] > loss).max())
 
 
-def odd_bits(a: str | Column, b: str | Column) -> Column:
-    """How many bits of two sketches (arrays of 64-bit words) differ."""
-    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, WORDS64)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+def odd_bits(a: str, b: str, first: int = 0) -> Column:
+    """How many bits of two sketches (arrays of 64-bit words, from one of them on) differ."""
+    return reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(first, first + WORDS64)))
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -117,7 +136,7 @@ def described(docs: DataFrame) -> DataFrame:
             new = [k for k, c in enumerate(cls.tolist()) if len(sets[k]) and not (c in seen or seen.add(c))]
             if new:
                 samples = min_hashes([sets[k] for k in new])
-                for k, x, y in zip(new, band_keys(samples), odd_sketches(samples)):
+                for k, x, y in zip(new, band_keys(samples), np.concatenate([odd_sketches(samples), whole_sketches([sets[k] for k in new])], axis=1)):
                     keys[k], sketch[k] = x, y
             empty = np.array([not len(s) for s in sets], dtype=bool)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "cls": pd.Series(cls, index=pdf.index).astype("Int64").mask(pd.Series(empty, index=pdf.index)), "keys": keys, "sketch": sketch})
@@ -157,29 +176,31 @@ def shared_keys(classes: DataFrame) -> DataFrame:
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """Pairs of each class and the most usual class of each of its keys; each pair once."""
+    """Pairs (a, b) of each class b with the most usual of its keys' pivots, and with that of its rarest key."""
     usual = rows.groupBy("cls").agg(F.sum("many").alias("usual"))
     pivots = rows.select("key", "cls").join(usual, "cls").groupBy("key").agg(F.max(F.struct("usual", "cls")).alias("pivot"))
-    return rows.join(pivots, "key").where("cls != pivot.cls").select(F.col("pivot.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    own = rows.join(pivots, "key").where("cls != pivot.cls").groupBy(F.col("cls").alias("b")).agg(F.max("pivot").alias("hub"), F.min(F.struct("many", "pivot")).alias("rare"))
+    return own.select(F.explode(F.array_distinct(F.array("hub.cls", "rare.pivot.cls"))).alias("a"), "b")
 
 
 def similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches let them be linked."""
-    s = classes.select("cls", "sketch")
-    x = pairs.join(s.select(F.col("cls").alias("b"), F.col("sketch").alias("_sb")), "b").join(s.select(F.col("cls").alias("a"), F.col("sketch").alias("_sa")), "a")
-    return x.where(odd_bits("_sa", "_sb") <= odd_limit(percent)).select("a", "b")
+    """The pairs whose sizes and sketches let them be linked."""
+    s = lambda side: classes.select(F.col("cls").alias(side), F.col("sketch").alias(f"_s{side}"), F.col("n").alias(f"_n{side}"))
+    x = pairs.join(s("b"), "b").join(s("a"), "a").withColumn("_need", F.expr(f"({percent} * (_na + _nb) + {99 + percent}) div {100 + percent}"))
+    sizes = (F.col("_need") <= F.least("_na", "_nb")) & (odd_bits("_sa", "_sb", WORDS64) <= F.col("_na") + F.col("_nb") - 2 * F.col("_need"))
+    return x.where(sizes & (odd_bits("_sa", "_sb") <= odd_limit(percent))).select("a", "b")
 
 
 def across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes with a key in common and different labels whose sketches let them be linked. rows: key, cls, label."""
     per = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("every"), F.count("*").alias("labels"))
     mixed = per.where("labels > 1").select("key", F.col("top.label").alias("common"), F.ceil(F.col("every") / BLOCK).alias("blocks"), F.ceil((F.col("every") - F.col("top.c")) / BLOCK).alias("turns"))
-    own = rows.join(mixed, "key").join(classes.select("cls", "sketch"), "cls")
+    own = rows.join(mixed, "key").join(classes.select("cls", "n", "sketch"), "cls")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     # a grid of blocks of all classes x blocks of those outside the commonest label; mostly it is one cell
     all_sides = own.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("turn", every("turns")).withColumn("few", F.lit(False))
     few = own.where("label != common").withColumn("block", every("blocks")).withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(1)), "turns")).withColumn("few", F.lit(True))
-    cells = all_sides.unionByName(few).select("key", "block", "turn", "few", "cls", "label", "sketch")
+    cells = all_sides.unionByName(few).select("key", "block", "turn", "few", "cls", "label", "n", "sketch")
     limit = odd_limit(percent)
 
     def run(frames):
@@ -190,22 +211,22 @@ def across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             last = np.flatnonzero((cell != cell[-1]).any(axis=1))  # the last cell may go on in the next frame
             cut = int(last[-1]) + 1 if len(last) else 0
             held = pdf.iloc[cut:]
-            yield from _compared(pdf.iloc[:cut], limit)
+            yield from _compared(pdf.iloc[:cut], limit, percent)
         if held is not None:
-            yield from _compared(held, limit)
+            yield from _compared(held, limit, percent)
 
     placed = cells.repartition(parts(rows.sparkSession), "key", "block", "turn").sortWithinPartitions("key", "block", "turn")
     return placed.mapInPandas(frugal(run), PAIR).distinct()
 
 
-def _compared(pdf: pd.DataFrame, limit: int):
+def _compared(pdf: pd.DataFrame, limit: int, percent: int):
     """Frames of the pairs (a < b) of one cell's classes that differ in label and whose sketches are near."""
     if not len(pdf):
         return
     cell = pdf[["key", "block", "turn"]].to_numpy()
     number = np.cumsum(np.append(False, (cell[1:] != cell[:-1]).any(axis=1)))
     few, cls, label = pdf["few"].to_numpy(dtype=bool), pdf["cls"].to_numpy(), pdf["label"].to_numpy()
-    sketch = np.stack(pdf["sketch"].to_numpy()).view(np.uint64)
+    sketch, size_of = np.stack(pdf["sketch"].to_numpy()).view(np.uint64), pdf["n"].to_numpy()
     left, right = np.flatnonzero(few), np.flatnonzero(~few)
     start, stop = np.searchsorted(number[right], number[left], side="left"), np.searchsorted(number[right], number[left], side="right")
     size = stop - start
@@ -214,11 +235,13 @@ def _compared(pdf: pd.DataFrame, limit: int):
         n = size[part]
         i = np.repeat(left[part], n)
         j = right[np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        keep = label[i] != label[j]
-        i, j = i[keep], j[keep]
+        need = needed(size_of[i], size_of[j], percent)
+        keep = (label[i] != label[j]) & (need <= np.minimum(size_of[i], size_of[j]))
+        i, j, room = i[keep], j[keep], (size_of[i] + size_of[j] - 2 * need)[keep]
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= limit
+            odd = np.bitwise_count(sketch[x] ^ sketch[y])
+            near = (odd[:, :WORDS64].sum(axis=1, dtype=np.int64) <= limit) & (odd[:, WORDS64:].sum(axis=1, dtype=np.int64) <= room[at : at + (1 << 16)])
             if near.any():
                 a, b = cls[x[near]], cls[y[near]]
                 yield pd.DataFrame(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0), columns=["a", "b"])
@@ -238,7 +261,7 @@ def components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stash(described(docs), "odd-docs")
-    classes = stash(rows.where("keys is not null").select("cls", "keys", "sketch").dropDuplicates(["cls"]), "odd-classes")
+    classes = stash(rows.where("keys is not null").select("cls", "n", "keys", "sketch").dropDuplicates(["cls"]), "odd-classes")
     keys = stash(shared_keys(classes), "odd-keys")
     links = stash(confirmed(stash(similar(stars(keys), classes, percent), "odd-pairs"), docs, percent), "odd-links")
     labels = connected(links).select(F.col("node").alias("cls"), F.col("root").alias("label"))

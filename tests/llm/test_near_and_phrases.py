@@ -83,9 +83,9 @@ def test_sketch_blocks(spark, monkeypatch):
 
 
 def test_across_gives_pairs_of_other_components_only(spark):
-    near = np.zeros(odd_sketch.WORDS64, dtype=np.int64)
-    classes = spark.createDataFrame([(k, near.tolist()) for k in range(40)], "cls long, sketch array<long>")
-    rows = spark.createDataFrame([(1, k, 0 if k < 30 else k) for k in range(40)] + [(2, k, 0) for k in range(30)], "key long, cls long, label long")
+    near = np.zeros(2 * odd_sketch.WORDS64, dtype=np.int64)
+    classes = spark.createDataFrame([(k, 100, near.tolist()) for k in range(40)] + [(40, 50, near.tolist())], "cls long, n long, sketch array<long>")
+    rows = spark.createDataFrame([(1, k, 0 if k < 30 else k) for k in range(41)] + [(2, k, 0) for k in range(30)], "key long, cls long, label long")
     got = {(r.a, r.b) for r in odd_sketch.across(rows, classes, 85).collect()}
     assert got == {(a, b) for a, b in itertools.combinations(range(40), 2) if b >= 30}
 
