@@ -10,42 +10,92 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators.corpus import lookup
 
-#: Questions that are sent to all tasks at a time; more go in several passes over the index.
-QUESTIONS = 4096
+#: Questions that a task holds at a time.
+QUESTIONS = 1 << 16
 
 
 def nearest(questions: DataFrame, index: DataFrame, k: int, qid: str = "qid", rid: str = "record_id", vector: str = "embedding") -> DataFrame:
     """qid, rid, distance (squared Euclidean, in doubles), rank (from 1) of each question's k nearest; ties to the
-    smaller rid. Every row of the index is measured once for each block of questions; each batch keeps its best k, so
-    little is shuffled."""
-    spark = index.sparkSession
-    # blocks of a bounded size: their numbers come from the questions' order
-    n = questions.count()
-    if not n:
-        return spark.createDataFrame([], f"{qid} {dict(questions.dtypes)[qid]}, {rid} {dict(index.dtypes)[rid]}, distance double, rank int")
-    blocks = -(-n // QUESTIONS)
-    marked = questions.select(qid, vector).withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(blocks)))
-    schema = f"{qid} {dict(questions.dtypes)[qid]}, {rid} {dict(index.dtypes)[rid]}, distance double"
-    found = None
-    for block in range(blocks):
-        own = marked.where(F.col("_block") == block).toPandas()
-        sent = spark.sparkContext.broadcast((own[qid].to_numpy(), np.array(own[vector].tolist(), dtype=float)))
-
-        def measure(frames, sent=sent):
-            ids, q = sent.value
-            for pdf in frames:
-                if len(pdf) and len(ids):
-                    i, j, d = near_pairs(q, np.array(pdf[vector].tolist(), dtype=float), pdf[rid].to_numpy(), k)
-                    yield pd.DataFrame({qid: ids[i], rid: pdf[rid].to_numpy()[j], "distance": d})
-
-        got = index.select(rid, vector).where(F.col(vector).isNotNull()).mapInPandas(measure, schema)
-        found = got if found is None else found.unionByName(got)
+    smaller rid. Rows without a vector take no part.
+
+    A grid of question blocks x index blocks, a cell a task: a cell has its questions first, then its rows of the index as a stream, and
+    keeps each question's best k. So k rows a question and cell are shuffled, a task holds QUESTIONS questions and one batch,
+    and nothing passes the driver. The index is sent once for each block of questions."""
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, cols = F.col("_rows"), F.greatest(F.lit(1), F.floor(F.lit(tasks) / F.col("_rows"))).cast("int")
+    asked, kept = (df.select(name, vector).where(F.col(vector).isNotNull()) for df, name in ((questions, qid), (index, rid)))
+    blocks = asked.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / QUESTIONS)).cast("int").alias("n")).scalar()
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    kinds = dict(questions.dtypes)[qid], dict(index.dtypes)[rid]
+    doubles = F.transform(vector, lambda v: v.cast("double")).alias("v")
+    q = asked.withColumn("_rows", blocks).withColumn("_row", F.pmod(F.xxhash64(qid), rows)).withColumn("_col", every(cols)).select((F.col("_row") * cols + F.col("_col")).cast("int").alias("cell"), F.lit(False).alias("own"), F.col(qid).alias("q"), F.lit(None).cast(kinds[1]).alias("r"), doubles)
+    x = kept.withColumn("_rows", blocks).withColumn("_col", F.pmod(F.xxhash64(rid), cols)).withColumn("_row", every(rows)).select((F.col("_row") * cols + F.col("_col")).cast("int").alias("cell"), F.lit(True).alias("own"), F.lit(None).cast(kinds[0]).alias("q"), F.col(rid).alias("r"), doubles)
+    placed = q.unionByName(x).repartitionById(tasks, F.col("cell") % tasks).sortWithinPartitions("cell", "own")
+
+    def measure(frames):
+        now, best = None, None
+        for pdf in frames:
+            for cell, part in pdf.groupby("cell", sort=True):
+                if cell != now:
+                    if best is not None:
+                        yield from best.frames(qid, rid)
+                    now, best = cell, Best(k)
+                own = part["own"].to_numpy(dtype=bool)
+                best.ask(part[~own])
+                best.see(part[own])
+        if best is not None:
+            yield from best.frames(qid, rid)
+
+    found = placed.mapInPandas(measure, f"{qid} {kinds[0]}, {rid} {kinds[1]}, distance double")
     return top(found, qid, k, F.col("distance").asc(), F.col(rid).asc())
 
 
+class Best:
+    """The k nearest so far of some questions, of rows that come in batches."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.parts, self.held = k, [], []
+        self.ids, self.q = None, None
+        self.count = 0
+
+    def ask(self, part: pd.DataFrame) -> None:
+        if len(part):
+            self.parts.append((part["q"].to_numpy(), np.stack(part["v"].to_numpy())))
+
+    def see(self, part: pd.DataFrame) -> None:
+        if not len(part) or not self.parts:
+            return
+        if self.q is None:  # a cell's questions stand before its rows
+            self.ids, self.q = (np.concatenate(c) for c in zip(*self.parts))
+        names = part["r"].to_numpy()
+        i, j, d = near_pairs(self.q, np.stack(part["v"].to_numpy()), names, self.k)
+        self.held.append((i, names[j], d))
+        self.count += len(i)
+        if self.count > 4 * len(self.q) * self.k:
+            self.cut()
+
+    def cut(self) -> None:
+        i, names, d = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((names, d, i))
+        i, names, d = i[order], names[order], d[order]
+        good = np.arange(len(i)) - np.searchsorted(i, i) < self.k
+        self.held, self.count = [(i[good], names[good], d[good])], int(good.sum())
+
+    def frames(self, qid: str, rid: str):
+        if self.held:
+            self.cut()
+            i, names, d = self.held[0]
+            yield pd.DataFrame({qid: self.ids[i], rid: names, "distance": d})
+
+
 def near_pairs(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(question, row, squared distance) of each question's k nearest rows, ties to the smaller name. One matrix product gives all
-    distances nearly; rows within its error of the k-th are measured exactly."""
+    distances nearly; rows within its error of the k-th are measured exactly. Of equal vectors only the k smallest names are measured."""
+    _, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    by_class = np.lexsort((names, which))
+    at = which[by_class]
+    row = np.sort(by_class[np.arange(len(at)) - np.searchsorted(at, at) < k])
+    x, names = x[row], names[row]
     out, xx = [], (x * x).sum(axis=1)
     for a in range(0, len(q), block):
         own = q[a : a + block]
@@ -57,7 +107,7 @@ def near_pairs(q: np.ndarray, x: np.ndarray, names: np.ndarray, k: int, block: i
         order = np.lexsort((names[j], d, i))
         i, j, d = i[order], j[order], d[order]
         nth = np.arange(len(i)) - np.searchsorted(i, i)
-        out.append((i[nth < k] + a, j[nth < k], d[nth < k]))
+        out.append((i[nth < k] + a, row[j[nth < k]], d[nth < k]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 

@@ -82,6 +82,18 @@ def write_report(figures: DataFrame | dict, spark: SparkSession, path: str) -> d
     return got
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table by its schema, partition columns included; a missing folder is an empty table."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """table_index, caption from one JSON object of texts by index; a missing file is an empty table."""
     from pyspark.errors import AnalysisException
