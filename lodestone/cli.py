@@ -14,8 +14,8 @@ from lodestone.errors import LodestoneError
 
 #: The steps from parsed documents to the corpus, and what each reads and writes.
 STEPS = {
-    "inventory": ("document", "parents", "report", "reviews", "overrides", "review-table"), "view": ("document", "target", "report", "start-page", "index-page"), "texts": ("view", "target", "report"),
-    "tables": ("document", "target", "report", "reviews", "overrides"), "combine": ("texts", "tables", "parents", "target", "report"), "convert": ("source", "target", "parser"),
+    "inventory": ("document", "parents", "report", "reviews", "overrides", "review-table", "each"), "view": ("document", "target", "report", "start-page", "index-page", "quarantine"), "texts": ("view", "target", "report", "quarantine"),
+    "tables": ("document", "target", "report", "reviews", "overrides", "quarantine"), "combine": ("texts", "tables", "parents", "target", "report"), "convert": ("source", "target", "parser"),
 }
 #: What ends a conversation, in any case.
 LEAVE = ("exit", "quit", ":q")
@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     for name, flags in STEPS.items():
         step = steps.add_parser(name)
         for flag in flags:
-            step.add_argument(f"--{flag}", required=flag not in ("reviews", "overrides", "index-page"), type=int if flag in ("start-page", "index-page") else str)
+            step.add_argument(f"--{flag}", required=flag not in ("reviews", "overrides", "index-page", "quarantine", "each"), type=int if flag in ("start-page", "index-page") else str)
     for name in ("search", "context", "ask"):
         c = sub.add_parser(name)
         c.add_argument("question", nargs="*" if name == "ask" else 1)
@@ -77,13 +77,20 @@ def doctor(spark, settings: Settings) -> list[str]:
     except (LodestoneError, PySparkException) as e:
         return [f"corpus: {str(e).splitlines()[0]}"]
     print(f"records\t{engine.records.count()}\nmodel\t{engine.llm.name}")
-    return [f"index: {p}" for p in problems(engine)]
+    found = [f"index: {p}" for p in problems(engine)]
+    try:
+        engine.llm.complete("Answer with one word: ready.")
+    except LodestoneError as e:
+        found.append(f"model: {e}")
+    return found
 
 
 def step(spark, args) -> dict:
     """Runs a step of ingestion; gives its report, which it has written too."""
     from importlib import import_module
 
+    from pyspark.sql import functions as F
+
     from lodestone.plans import ingest
     from lodestone.sources import files
 
@@ -99,24 +106,25 @@ def step(spark, args) -> dict:
 
         require_inputs(spark, args.view)
         kept = spark.read.schema("document_id string, source_filename string, ordinal long, self_ref string, label string, text string, parent_ref string, pages array<int>, headings array<string>").json(args.view)
-        files.write_lines(ingest.text_records(kept, chunks.target_tokens, chunks.max_tokens), args.target, "overwrite")
-        got = {"records": spark.read.text(args.target).count()}
+        got = ingest.write_texts(ingest.text_records(kept, chunks.target_tokens, chunks.max_tokens), args.target, chunks.max_tokens, args.quarantine)
     else:
         docs = ingest.document(spark, args.document)
         if args.step == "view":
             kept, got = ingest.view(docs, args.start_page, args.index_page)
-            files.save_document(kept, args.target)
+            got |= ingest.write_view(kept, args.target, args.start_page, args.index_page, args.quarantine)
         else:
-            reviews = spark.read.schema("table_index int, reason string, note string").option("header", True).csv(args.reviews) if args.reviews else spark.createDataFrame([], "table_index int, reason string, note string")
+            reviews = files.read_reviews(spark, args.reviews) if args.reviews else spark.createDataFrame([], "table_index int, reason string, note string")
             overrides = files.read_overrides(spark, args.overrides) if args.overrides else spark.createDataFrame([], "table_index int, caption array<string>")
             decided = ingest.inventory(docs, reviews, overrides)
             if args.step == "tables":
-                files.write_lines(ingest.table_records(decided, chunks.target_tokens, chunks.max_tokens), args.target, "overwrite")
-                got = {"records": spark.read.text(args.target).count()}
+                got = ingest.write_children(ingest.table_records(decided, chunks.target_tokens, chunks.max_tokens), decided, args.target, chunks.max_tokens, args.quarantine)
             else:
                 from lodestone.operators.envelopes import table_parents
 
-                files.write_lines(table_parents(decided), args.parents, "overwrite")
+                parents = table_parents(decided)
+                files.write_lines(parents, args.parents, "overwrite")
+                if args.each:
+                    files.write_each(parents, args.each, F.col("record_id"), md=F.col("content.markdown"))
                 files.write_review(ingest.review(decided), args.review_table)
                 got = {f"{r.decision}/{r.review_source}": r["count"] for r in decided.groupBy("decision", "review_source").count().orderBy("decision", "review_source").collect()}
     return files.write_report(got, spark, args.report)

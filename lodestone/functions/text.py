@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +55,20 @@ def token_count(c: str | Column) -> Column:
     return F.coalesce(F.regexp_count(col(c), F.lit(SPACE.replace("[", "[^", 1) + "+")), F.lit(0))
 
 
+def counted_by(count) -> Callable[[Column], Column]:
+    """A column of a counter's counts: token_count() for words(), else the counter in Arrow batches."""
+    if getattr(count, "__name__", "") == "words":
+        return token_count
+
+    import pandas as pd
+
+    @F.pandas_udf("int")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: count(t or "")).astype("int32")
+
+    return lambda c: tokens(c)
+
+
 def language(c: str | Column, setting: str | Column = "auto") -> Column:
     """`en` or `zh-hant`: as set, if the setting is one of them, else by the characters."""
     s = F.lit(setting) if isinstance(setting, str) else setting

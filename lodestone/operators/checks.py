@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
@@ -10,6 +10,7 @@ from lodestone.errors import ConfigurationError, CorpusError
 from lodestone.functions.text import strip
 from lodestone.operators.corpus import orphans
 from lodestone.operators.tables import consecutive, coverage
+from lodestone.stage import stash
 
 Rules = dict[str, Column]
 
@@ -38,6 +39,12 @@ def record_rules(limit: int) -> Rules:
     }
 
 
+#: Where a stored record keeps what the rules of chunks speak of.
+FIELDS = {"text": "content.text", "token_count": "metadata.token_count", "pages": "source.pages", "refs": "source.locators.refs", "headings": "metadata.headings"}
+#: What an error of write_checked() begins with, inside Spark's own message.
+BROKEN = "broken rule: "
+
+
 def text_rules(limit: int) -> Rules:
     """Chunks of running text also name their items, none of a table or picture, and aren't the index."""
     return record_rules(limit) | {
@@ -47,6 +54,11 @@ def text_rules(limit: int) -> Rules:
     }
 
 
+def text_counts(limit: int) -> Rules:
+    """What is counted for a report: rows that break a rule, but every ref to a table or picture."""
+    return text_rules(limit) | {"table_refs": F.size(F.filter("refs", lambda r: r.startswith("#/tables/") | r.startswith("#/pictures/")))}
+
+
 def combined_rules(limit: int) -> Rules:
     """What each record of the joint corpus must be, besides its schema, for rows that ENVELOPE has parsed."""
     return {
@@ -96,6 +108,10 @@ def validate_children(children: DataFrame, packed: DataFrame, expected: DataFram
     """Raises unless children hold their rows' pairs, each expected row is packed once, and fragments count from 1 without gaps.
     packed, expected: key, row_no; numbers: key, fragment_no."""
     require(children, child_rules(), "record_id")
+    validate_coverage(packed, expected, numbers)
+
+
+def validate_coverage(packed: DataFrame, expected: DataFrame, numbers: DataFrame) -> None:
     for what, bad in (("rows are missing or there twice", coverage(packed, expected, "key")), ("fragments don't follow each other", consecutive(numbers, "key", "fragment_no"))):
         if found := bad.where("not ok").orderBy("key").limit(5).collect():
             raise CorpusError(f"{what}: {[r.key for r in found]}")
@@ -122,6 +138,52 @@ def child_rules() -> Rules:
     return {"pairs": ~F.col("is_fragment") & F.exists("pairs", lambda p: ~F.contains("text", p))}
 
 
+def stored_child_rules() -> Rules:
+    """child_rules() over a stored record: each filled cell of its rows stands in its text beside its column's name, or its key."""
+    text, s = F.col("content.text"), F.col("content.structured")
+    there = lambda a, b: F.contains(text, F.concat(a, F.lit(": "), b))
+    named = lambda r: F.exists(F.zip_with(s["header"], r["values"], lambda h, v: (v != "") & ~there(h, v)), lambda x: F.coalesce(x, F.lit(False)))
+    single = lambda r: ~there(strip(F.regexp_replace(F.get(r["values"], F.lit(0)), ":+$", "")), F.get(r["values"], F.lit(1)))
+    kv = F.col("metadata.embedding_serialization") == "key_value_v1"
+    return {"pairs": s["row_fragment"].isNull() & F.exists(s["rows"], lambda r: F.when(kv, single(r)).otherwise(named(r)))}
+
+
+def prefixed(prefix: str, rules: Rules) -> Rules:
+    return {prefix + name: bad for name, bad in rules.items()}
+
+
+def marked(df: DataFrame, rules: Rules, fields: dict[str, str] | None = None) -> DataFrame:
+    """Adds broken: the names of the rules that a row breaks. fields: columns that the rules use and df keeps elsewhere."""
+    x = df.withColumns({name: F.col(at) for name, at in (fields or {}).items()})
+    return x.withColumn("broken", F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))).drop(*(fields or {}))
+
+
+def write_checked(df: DataFrame, path: str, rules: Rules, key: str, quarantine: str | None = None, order: list[str] | None = None, fields: dict[str, str] | None = None) -> dict:
+    """Writes rows as JSON lines and checks them in the job that writes; gives `records` written, `quarantined` rows, and rows by rule.
+
+    Without a quarantine the first broken row ends the job: a CorpusError, and nothing stands at the path. With one, broken rows go there with
+    the names of their rules (`broken`), the others to the path; rows are made once. Figures are observed on what is written. order: how rows lie in the files."""
+    x = marked(df, rules, fields)
+    seen = Observation()
+    bad = F.size("broken") > 0
+    figures = [F.count_if(~bad).alias("records"), F.count_if(bad).alias("quarantined"), *(F.count_if(F.array_contains("broken", name)).alias(name) for name in rules)]
+    place = lambda rows: rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    put = lambda rows, to: rows.write.mode("overwrite").option("ignoreNullFields", "false").json(to)
+    if quarantine is None:
+        holds = F.when(bad, F.raise_error(F.concat(F.lit(BROKEN), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(": "), F.element_at("broken", 1), F.lit("\n"))).cast("boolean")).otherwise(F.lit(True))
+        try:
+            put(place(x.observe(seen, *figures).where(holds).select(*df.columns)), path)  # no filter moves below what is observed: only rows that would be written are checked
+        except Exception as e:
+            if BROKEN not in str(e):
+                raise
+            raise CorpusError(str(e).split(BROKEN, 1)[1].split("\n")[0]) from e
+        return seen.get
+    made = stash(x.observe(seen, *figures), "checked")
+    put(place(made.where(~bad).select(*df.columns)), path)
+    put(made.where(bad), quarantine)
+    return seen.get
+
+
 def view_rules(start: int, index_start: int | None) -> Rules:
     """The text view, stricter than its filter: no item starts before the first page."""
     first, last = F.array_min("pages"), F.array_max("pages")
@@ -130,8 +192,8 @@ def view_rules(start: int, index_start: int | None) -> Rules:
 
 
 def violations(df: DataFrame, rules: Rules) -> DataFrame:
-    """rule, n of all rules, from one pass over df."""
-    one = df.agg(*(F.count_if(bad).alias(name) for name, bad in rules.items()))
+    """rule, n of all rules, from one pass over df: rows that break it, or the sum of what a rule counts."""
+    one = df.agg(*(F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias(name) for name, bad in rules.items()))
     return one.select(F.stack(F.lit(len(rules)), *(x for name in rules for x in (F.lit(name), F.col(name)))).alias("rule", "n"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import content_hash
+from lodestone.stage import numbered
 
 
 def last_of(df: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
@@ -60,10 +63,10 @@ def ordered_union(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def with_ids(df: DataFrame, document: Column, kind: str, *order: str | Column, digits: int = 6, start: int = 0) -> DataFrame:
-    """record_id `document:kind:000001` in an order within the document."""
-    n = F.row_number().over(Window.partitionBy("document_id").orderBy(*order)) - 1 + start
-    return df.withColumn("document_id", document).withColumn("number", n).withColumn("record_id", F.format_string(f"%s:{kind}:%0{digits}d", "document_id", "number"))
+def with_ids(df: DataFrame, kind: str | Column, *order: str, by: Sequence[str] = ("document_id",), digits: int = 6, start: int = 0) -> DataFrame:
+    """record_id `document:kind:000001` and number in an order by values within `by`; numbers are prefix sums, so a document may be any size."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return numbered(df, list(by), list(order), "number", start).withColumn("record_id", F.format_string(f"%s:%s:%0{digits}d", "document_id", kind, "number"))
 
 
 def spans(df: DataFrame, pages: str = "pages") -> DataFrame:

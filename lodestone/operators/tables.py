@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import bisect
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import collapse, strip
+from lodestone.operators.counters import Counter, longest, words
 
 FAR = 1_000_000_000
 
@@ -25,18 +26,28 @@ def tail_rows(grid: Column) -> Column:
     return F.size(F.filter(grid, lambda r: (F.size(r) >= 2) & collapse(F.element_at(r, -1)).rlike(r"^\p{Nd}+$")))
 
 
+def chosen(tables: DataFrame, made: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds what humans say of each table, or null. made: table_index, value and maybe document_id; a row without a document is meant for any,
+    one with a document comes first. Human-made and small; Spark broadcasts it by its size."""
+    if "document_id" not in made.columns:
+        return tables.join(made.select("table_index", F.col(value).alias(name)), "table_index", "left")
+    own, any_ = (made.where(F.col("document_id").isNotNull()).select("document_id", "table_index", F.col(value).alias("_own")), made.where(F.col("document_id").isNull()).select("table_index", F.col(value).alias("_any")))
+    return tables.join(own, ["document_id", "table_index"], "left").join(any_, "table_index", "left").withColumn(name, F.coalesce("_own", "_any")).drop("_own", "_any")
+
+
 def decide(tables: DataFrame, reviews: DataFrame, captions: DataFrame) -> DataFrame:
     """Adds decision, classification, source, note and caption. Navigation comes first, then a human review, else the
-    table is taken. reviews: table_index, reason, note; captions: table_index, caption (replaces). Both are human-made
-    and small; Spark broadcasts them by their size."""
-    x = tables.join(reviews.select("table_index", F.col("reason").alias("_reason"), "note"), "table_index", "left").join(captions.select("table_index", F.col("caption").alias("_caption")), "table_index", "left")
-    toc, review = F.col("toc_reason").isNotNull(), F.col("_reason").isNotNull()
+    table is taken. reviews: table_index, reason, note; captions: table_index, caption (replaces); each maybe with document_id."""
+    said = reviews.withColumn("_said", F.struct("reason", "note"))
+    x = chosen(chosen(tables, said, "_said", "_review"), captions, "caption", "_caption")
+    toc, review = F.col("toc_reason").isNotNull(), F.col("_review.reason").isNotNull()
     return (
         x.withColumn("decision", F.when(toc | review, "exclude").otherwise("include"))
-        .withColumn("classification", F.coalesce("toc_reason", "_reason"))
+        .withColumn("classification", F.coalesce("toc_reason", "_review.reason"))
         .withColumn("review_source", F.when(toc, "automatic").when(review, "review").otherwise("accepted"))
         .withColumn("caption", F.coalesce("_caption", "caption"))
-        .drop("_reason", "_caption")
+        .withColumn("note", F.col("_review.note"))
+        .drop("_review", "_caption")
     )
 
 
@@ -99,30 +110,55 @@ def pack(rows: DataFrame, key: str, order: list[str], size: str, target: int, ba
     return x.mapInArrow(run, f"{fields}, group_no int")
 
 
+def pack_texts(rows: DataFrame, key: str, order: list[str], text: str, lead: str, target: int, count: Counter) -> DataFrame:
+    """pack() for counts that don't add up: a group's size is the count of its lead and its rows' texts as they will stand, blank lines between.
+    Adds row_no and group_no. A group's own text is what a task holds."""
+    import pandas as pd
+
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    x = rows.withColumn("row_no", n).sortWithinPartitions(key, "row_no")
+
+    def run(frames):
+        now, group, held = None, 0, ""
+        for pdf in frames:
+            out = []
+            for k, own, top in zip(pdf[key], pdf[text], pdf[lead]):
+                own, top = own or "", top or ""
+                if k != now or count(f"{top}{held}\n\n{own}") > target:
+                    group, held = (1 if k != now else group + 1), own
+                else:
+                    held = f"{held}\n\n{own}"
+                now = k
+                out.append(group)
+            yield pdf.assign(group_no=pd.Series(out, index=pdf.index, dtype="int32"))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
+    return x.mapInPandas(run, f"{fields}, group_no int")
+
+
 def split_row(text: str, prefix: str, limit: int, count=None) -> list[str]:
     """Fragments of a row too large for a chunk: whole words while they fit after the prefix. A word that is too long
     even alone is cut into the largest pieces that fit; each piece, the last too, is a fragment of its own. count: tokens of a text; the prefix is counted with the longest fragment label."""
-    count = count or (lambda s: len(s.split()))
+    count = count or words
     if count(prefix) >= limit:
-        raise ValueError("the table's context alone reaches the limit")
+        raise ValueError("the context alone reaches the limit")
     fits = lambda s: count(prefix + s) <= limit
-    out, held = [], ""
-    for word in re.findall(r"\S+\s*", text):
-        if fits(held + word):
-            held += word
-            continue
-        out += [held.rstrip()] if held else []
-        if fits(word):
-            held = word
+    units, out, at = re.findall(r"\S+\s*", text), [], 0
+    while at < len(units):
+        n = longest(lambda k: fits("".join(units[at : at + k])), len(units) - at)  # noqa: B023
+        if n:
+            out.append("".join(units[at : at + n]).rstrip())
+            at += n
             continue
-        held, rest = "", word
+        rest = units[at]
         while rest:
-            n = bisect.bisect_right(range(1, len(rest) + 1), False, key=lambda size: not fits(rest[:size]))  # noqa: B023
+            n = longest(lambda k: fits(rest[:k]), len(rest))  # noqa: B023
             if not n:
                 raise ValueError("not one character fits")
             out.append(rest[:n].rstrip())
             rest = rest[n:]
-    return out + [held.rstrip()] if held else out
+        at += 1
+    return out
 
 
 def fragments(rows: DataFrame, key: str, limit: int, count=None) -> DataFrame:
@@ -152,14 +188,15 @@ def consecutive(df: DataFrame, key: str, number: str) -> DataFrame:
     return per.select(key, ((F.col("rows") == F.col("high")) & (F.col("low") == 1) & (F.col("distinct") == F.col("rows"))).alias("ok"))
 
 
-def captions_of(tables: DataFrame, items: DataFrame) -> DataFrame:
-    """Adds `captions`: each table's caption refs looked up among items (self_ref, text), else their own text; empty ones
-    are left out, order stays. tables: table_index, caption_refs array<struct<ref,text>>."""
-    refs = tables.select("table_index", F.posexplode("caption_refs").alias("at", "c"))
-    found = refs.join(items.select(F.col("self_ref").alias("_ref"), F.col("text").alias("_text")), F.col("c.ref") == F.col("_ref"), "left")
+def captions_of(tables: DataFrame, items: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Adds `captions`: each table's caption refs looked up among the items (by, self_ref, text) of its document, else their own text; empty ones
+    are left out, order stays. tables: by, table_index, caption_refs array<struct<ref,text>>."""
+    keys = [*by, "table_index"]
+    refs = tables.select(*keys, F.posexplode("caption_refs").alias("at", "c")).withColumn("_ref", F.col("c.ref"))
+    found = refs.join(items.select(*by, F.col("self_ref").alias("_ref"), F.col("text").alias("_text")), [*by, "_ref"], "left")
     texts = found.withColumn("t", collapse(F.coalesce("_text", "c.text", F.lit("")))).where("t != ''")
-    per = texts.groupBy("table_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda s: s["t"]).alias("captions"))
-    return tables.join(per, "table_index", "left").withColumn("captions", F.coalesce("captions", F.array().cast("array<string>")))
+    per = texts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda s: s["t"]).alias("captions"))
+    return tables.join(per, keys, "left").withColumn("captions", F.coalesce("captions", F.array().cast("array<string>")))
 
 
 def attribute(key: Column) -> Column:

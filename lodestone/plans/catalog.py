@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.errors import ConfigurationError
 from lodestone.functions import text as T
 from lodestone.operators import checks, corpus, envelopes, index, models, retrieval, tables, textview
 from lodestone.sources import files
+from lodestone.stage import new_folder as scratch
+from lodestone.stage import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,17 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder where driver and executors both write. A local session may have none set; a cluster must."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ConfigurationError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-
-
 def _values(name: str, columns: str, rows: str) -> str:
     return f"{name}({columns}) AS (VALUES {rows})"
 

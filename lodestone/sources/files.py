@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import schemas
@@ -12,14 +12,25 @@ from lodestone.errors import CorpusError
 from lodestone.functions.text import strip
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, blank lines count), value of text files.
+
+    A split's lines stand together in one task, so a line's place in it is how many ids it is past the split's first; the counts of the splits
+    before it, by file and offset, are added. The second scan reads no values, and its result is a row a split."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    return raw.join(splits.withColumn("before", before), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, ordinal: bool = False) -> DataFrame:
-    """JSON lines; blank lines are skipped, a bad line is an error that shows it. ordinal: adds a column that rises with the place
-    of a line among all files' lines."""
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    lines = spark.read.text(path).select("value", *([at.alias("ordinal")] if ordinal else [])).where(strip("value") != "")
-    row = lines.select("*", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    """JSON lines; blank lines are skipped, a bad line is an error that shows its file and text. ordinal: adds a column that rises with the place
+    of a line among all files' lines (file, line), and the error names the line's number."""
+    own = lines(spark, path).select("value", F.struct("file", "line").alias("ordinal")) if ordinal else spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    row = own.where(strip("value") != "").select("*", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     # A line that is no JSON fails the scan where it is read; no second pass looks for it.
-    checked = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.raise_error(F.concat(F.lit("bad JSON line: "), F.left("value", F.lit(200)))).cast("boolean")).otherwise(F.lit(True))
+    place = F.concat(F.col("ordinal.file"), F.lit(":"), F.col("ordinal.line").cast("string")) if ordinal else F.col("_file")
+    checked = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.raise_error(F.concat(F.lit("bad JSON line: "), place, F.lit(": "), F.left("value", F.lit(200)))).cast("boolean")).otherwise(F.lit(True))
     return row.where(checked).select("r.*", *(["ordinal"] if ordinal else [])).drop("_bad")
 
 
@@ -64,6 +75,12 @@ def write_review(df: DataFrame, path: str) -> None:
     shown.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).coalesce(1).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """table_index, reason, note, and document_id where the file has it, from CSV with a header."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(*(["document_id"] if "document_id" in raw.columns else []), F.col("table_index").cast("int").alias("table_index"), "reason", "note")
+
+
 def write_each(df: DataFrame, path: str, name: Column, **values: Column) -> None:
     """For each record a folder named by its id with ':' as '_'; in it the record as JSON and, for each of `values`, a text."""
     own = df.select(F.translate(name, ":", "_").alias("name"), F.struct(F.lit("json").alias("kind"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).alias("json"), *(F.struct(F.lit(k).alias("kind"), v.alias("value")).alias(k) for k, v in values.items()))
@@ -95,7 +112,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """table_index, caption from one JSON object of texts by index; a missing file is an empty table."""
+    """document_id, table_index, caption from JSON objects of texts by `index` (any document) or `document:index`; a missing file is an empty table."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -103,13 +120,14 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "table_index int, caption array<string>")
-    return raw.select(F.explode(F.from_json("value", "map<string,array<string>>"))).select(F.col("key").cast("int").alias("table_index"), F.col("value").alias("caption"))
+        return spark.createDataFrame([], "document_id string, table_index int, caption array<string>")
+    pairs = raw.select(F.explode(F.from_json("value", "map<string,array<string>>")))
+    return pairs.select(F.nullif(F.regexp_extract("key", "^(.*):[^:]*$", 1), F.lit("")).alias("document_id"), F.regexp_extract("key", "([^:]*)$", 1).cast("int").alias("table_index"), F.col("value").alias("caption"))
 
 
 def save_document(items: DataFrame, path: str) -> None:
-    """A parsed document's items that were kept, in order."""
-    items.coalesce(1).sortWithinPartitions("ordinal").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """Parsed documents' items that were kept, in order: file by file, and in each."""
+    items.repartitionByRange("document_id", "ordinal").sortWithinPartitions("document_id", "ordinal").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def _place(raw: DataFrame) -> list[str]:
