@@ -42,6 +42,17 @@ def type_counts(records: DataFrame) -> DataFrame:
     return records.agg(F.count_if(F.col("content_type") == "text").alias("text"), F.count_if(F.col("content_type") == "table_child").alias("table_child"), F.count("*").alias("total"))
 
 
+def accepted(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the chosen ones; a key that is chosen twice multiplies nothing."""
+    return df.join(chosen.select(key), key, "left_semi")
+
+
+def token_stats(chunks: DataFrame, limit: int) -> DataFrame:
+    """min_tokens, max_tokens and over_limit, one row. A missing count is over the limit, as everywhere."""
+    n = F.col("token_count")
+    return chunks.agg(F.min(n).alias("min_tokens"), F.max(n).alias("max_tokens"), F.count_if(F.coalesce(n, F.lit(limit + 1)) > limit).alias("over_limit"))
+
+
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
     """How many rows repeat a key: grouped by key, so no task holds a key twice or all keys."""
     return df.groupBy(key).count().agg((F.coalesce(F.sum("count"), F.lit(0)) - F.count("*")).alias("n_duplicates"))

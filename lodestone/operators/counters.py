@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 Counter = Callable[[str], int]
@@ -28,6 +29,15 @@ class Subwords:
         return len(Subwords._loaded[self.path].encode(text, add_special_tokens=False).ids)
 
 
+def public(name: str) -> Subwords:
+    """A public tokenizer's file: in the folder LODESTONE_TOKENIZERS if set, else of the installed package."""
+    if (folder := os.environ.get("LODESTONE_TOKENIZERS")) and os.path.exists(f"{folder}/{name}"):
+        return Subwords(f"{folder}/{name}", name)
+    import public_tokenizers
+
+    return Subwords(public_tokenizers.path(name), name)
+
+
 def name_of(count: Counter) -> str:
     return getattr(count, "name", "words")
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import schemas
 from lodestone.functions import text as T
-from lodestone.operators import checks, corpus, envelopes, index, models, retrieval, tables, textview
+from lodestone.operators import checks, corpus, counters, envelopes, index, models, retrieval, tables, textview
+from lodestone.plans import ingest
 from lodestone.sources import files
 from lodestone.stage import new_folder as scratch
 from lodestone.stage import numbered
@@ -153,13 +155,14 @@ def budget_prompt(spark, sf_dir):
     return got.select("item_id", F.col("budget").cast("long").alias("budget"), F.size("sources").cast("long").alias("n_sources"), F.length(body).cast("long").alias("chars"), F.size(F.filter("sources", lambda s: s["cut"])).cast("long").alias("n_cut"))
 
 
-@query(f"WITH {_FUNNEL} SELECT item_id, count(*) AS n_sources FROM src GROUP BY item_id")
+@query(f"""WITH {_FUNNEL}, p AS (SELECT *, doc_id % 7 + 1 AS p0, doc_id % 7 + 1 + doc_id % 2 AS p1 FROM src)
+    SELECT item_id, string_agg('Source ' || source_no || '|doc ' || doc_id || '|' || CASE WHEN p0 = p1 THEN 'p. ' || p0 ELSE 'pp. ' || p0 || '-' || p1 END || '|' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '|p' || (doc_id % 50) ELSE '' END, chr(10) ORDER BY source_no) AS citations FROM p GROUP BY item_id""")
 def prompt_citations(spark, sf_dir):
     kept = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
     blocks = kept.withColumn("passage", F.col("text")).withColumn("section", F.col("text")).withColumn("expanded", F.lit(False))
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
     got = retrieval.prompts(retrieval.budgeted(blocks, "item_id", 10_000_000).join(asked, "item_id"))
-    return got.select("item_id", F.size("citations").cast("long").alias("n_sources"))
+    return got.select("item_id", F.array_join(F.transform("citations", lambda c: F.concat_ws("|", c["source_id"], c["title"], c["pages"], c["record_id"], c["parent_id"])), "\n").alias("citations"))
 
 
 @query("SELECT doc_id, 'version 2 of p' || (doc_id % 50) AS section FROM documents")
@@ -201,7 +204,7 @@ def orphan_children(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def accepted_semi(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi")
+    return corpus.accepted(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
 
 
 _STORED = "SELECT doc_id AS id, left(sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END), 16) AS h FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id + 1000000, 'x' FROM documents WHERE doc_id % 9 = 0"
@@ -230,13 +233,15 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.content_hash("text").alias("hash"))
 
 
-_STATE = "(1, 0, 5, 'm', 'f', 2), (2, 5, 5, 'm', 'f', 2), (3, 4, 5, NULL, 'f', 2), (4, 5, 5, 'o', 'g', 0), (5, 5, 5, '', NULL, NULL), (6, 6, NULL, 'm', 'f', -1), (7, 3, 9, 'o', '', NULL)"
-
-
-@query(f"WITH {_values('s', 'case_id, v, c, m, f, d', _STATE)} SELECT case_id, CASE WHEN v <= 0 THEN 1 ELSE (CASE WHEN c IS NOT NULL AND v <> c THEN 1 ELSE 0 END) + (CASE WHEN m = 'm' THEN 0 ELSE 1 END) + (CASE WHEN f = 'f' THEN 0 ELSE 1 END) + (CASE WHEN d > 0 THEN 0 ELSE 1 END) END AS n_problems FROM s")
+@query("""WITH s AS (SELECT source, count(*) FILTER (doc_id % 9 <> 0) AS v, count(*) AS c, min(doc_id) AS k FROM documents GROUP BY source)
+    SELECT source, CASE WHEN k % 5 = 4 OR v = 0 THEN 'no vectors' ELSE array_to_string(list_filter([CASE WHEN v <> c THEN 'counts differ' END, CASE k % 3 WHEN 1 THEN 'no model stored' WHEN 2 THEN 'other model' END, CASE k % 4 WHEN 1 THEN 'no fingerprint stored' WHEN 2 THEN 'other fingerprint' END,
+      CASE WHEN k % 2 = 1 THEN 'bad dimension' END], lambda x: x IS NOT NULL), '|') END AS problems FROM s""")
 def index_problems(spark, sf_dir):
-    x = spark.sql(f"SELECT * FROM VALUES {_STATE} AS s(case_id, vector_count, corpus_count, model, fingerprint, dimension)").withColumn("expected_model", F.lit("m")).withColumn("expected_fingerprint", F.lit("f"))
-    return corpus.index_problems(x).select("case_id", F.size("problems").alias("n_problems"))
+    """An index for each source of documents, with what may be wrong with it."""
+    k = F.col("k")
+    x = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(F.col("doc_id") % 9 != 0).alias("v"), F.count("*").alias("corpus_count"), F.min("doc_id").alias("k"))
+    x = x.withColumn("vector_count", F.when(k % 5 == 4, 0).otherwise(F.col("v"))).withColumn("model", F.when(k % 3 == 1, "").when(k % 3 == 2, "o").otherwise("m")).withColumn("fingerprint", F.when(k % 4 == 2, "g").when(k % 4 != 1, "f")).withColumn("dimension", F.when(k % 2 == 0, 2).otherwise(0))
+    return corpus.index_problems(x.withColumn("expected_model", F.lit("m")).withColumn("expected_fingerprint", F.lit("f"))).select("source", F.array_join("problems", "|").alias("problems"))
 
 
 @query("WITH r AS (SELECT 'text' AS content_type FROM documents UNION ALL SELECT 'table_child' FROM conversations) SELECT content_type, count(*) AS n FROM r GROUP BY ROLLUP (content_type)")
@@ -257,25 +262,43 @@ def single_tokenizer(spark, sf_dir):
 
 @query(f"WITH t AS (SELECT len(regexp_extract_all(text, '{S.replace('[', '[^', 1)}+')) AS n FROM documents) SELECT min(n) AS min_tokens, max(n) AS max_tokens, count(*) FILTER (n > 512) AS over_limit FROM t")
 def token_stats(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select(T.token_count("text").alias("n"))
-    return t.agg(F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"), F.count_if(F.col("n") > 512).alias("over_limit"))
+    return corpus.token_stats(table(spark, sf_dir, "documents").select(T.token_count("text").alias("token_count")), 512)
 
 
 _FAULTY = f"SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) ELSE text END AS text, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE len(regexp_extract_all(text, '{S.replace('[', '[^', 1)}+')) END AS token_count FROM documents"
 
 
-@query(f"""WITH f AS ({_FAULTY}) SELECT 'empty_text' AS rule, count(*) FILTER (doc_id % 11 = 0) AS n FROM f UNION ALL SELECT 'over_limit', count(*) FILTER (coalesce(token_count, 513) > 512) FROM f
-    UNION ALL SELECT 'no_pages', count(*) FILTER (doc_id % 17 = 0) FROM f UNION ALL SELECT 'no_refs', count(*) FILTER (doc_id % 19 = 0) FROM f UNION ALL SELECT 'table_refs', count(*) FILTER (doc_id % 23 = 0 AND doc_id % 19 <> 0) FROM f
-    UNION ALL SELECT 'navigation', count(*) FILTER (doc_id % 29 = 0) FROM f""")
-def qa_violations(spark, sf_dir):
+def _faulty(spark, sf_dir):
+    """Documents as chunks, with faults."""
     k = F.col("doc_id")
-    d = table(spark, sf_dir, "documents")
-    refs = F.when(k % 19 == 0, F.array().cast("array<string>")).when(k % 23 == 0, F.array(F.lit("#/tables/1"))).otherwise(F.array(F.lit("#/texts/1")))
-    x = d.select(
+    table_ref = F.array(F.lit("#/tables/1"), F.lit("#/texts/1"), F.lit("#/pictures/2"))
+    refs = F.when(k % 19 == 0, F.array().cast("array<string>")).when(k % 23 == 0, table_ref).otherwise(F.array(F.lit("#/texts/1")))
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.when(k % 11 == 0, " \n").otherwise(F.col("text")).alias("text"), F.when(k % 13 != 0, T.token_count("text")).alias("token_count"), F.when(k % 17 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1))).alias("pages"),
         refs.alias("refs"), F.array(F.when(k % 29 == 0, " Index").otherwise("Body")).alias("headings"),
     )
-    return checks.violations(x, checks.text_rules(512))
+
+
+_FAULTS = """SELECT 'empty_text' AS rule, count(*) FILTER (doc_id % 11 = 0) AS n FROM f UNION ALL SELECT 'over_limit', count(*) FILTER (coalesce(token_count, 513) > 512) FROM f
+    UNION ALL SELECT 'no_pages', count(*) FILTER (doc_id % 17 = 0) FROM f UNION ALL SELECT 'no_refs', count(*) FILTER (doc_id % 19 = 0) FROM f UNION ALL SELECT 'table_refs', {refs} * count(*) FILTER (doc_id % 23 = 0 AND doc_id % 19 <> 0) FROM f
+    UNION ALL SELECT 'navigation', count(*) FILTER (doc_id % 29 = 0) FROM f"""
+
+
+@query(f"WITH f AS ({_FAULTY}) {_FAULTS.format(refs=2)}")
+def qa_violations(spark, sf_dir):
+    """Rows by rule; refs to tables and pictures are counted one by one."""
+    return checks.violations(_faulty(spark, sf_dir), checks.text_counts(512))
+
+
+@query(f"WITH f AS ({_FAULTY}), bad AS (SELECT *, doc_id % 11 = 0 OR coalesce(token_count, 513) > 512 OR doc_id % 17 = 0 OR doc_id % 19 = 0 OR doc_id % 23 = 0 OR doc_id % 29 = 0 AS bad FROM f) SELECT * FROM ({_FAULTS.format(refs=1)}) UNION ALL SELECT 'records', count(*) FILTER (NOT bad) FROM bad UNION ALL SELECT 'quarantined', count(*) FILTER (bad) FROM bad UNION ALL SELECT 'written', count(*) FILTER (NOT bad) FROM bad UNION ALL SELECT 'parted', count(*) FILTER (bad) FROM bad")
+def quarantined_records(spark, sf_dir):
+    """Faulty chunks are written with their checks: what the job observed, and what stands in the two folders."""
+    out = scratch(spark)
+    seen = checks.write_checked(_faulty(spark, sf_dir), f"{out}/good", checks.text_rules(512), "doc_id", f"{out}/bad")
+    good, bad = (spark.read.schema("doc_id long, broken array<string>").json(f"{out}/{x}") for x in ("good", "bad"))
+    per_rule = bad.select(F.explode("broken").alias("rule")).groupBy("rule").agg(F.count("*").alias("found"))
+    told = spark.createDataFrame(list(seen.items()), "rule string, n long").join(per_rule, "rule", "left").where("found is null or found = n").select("rule", "n")
+    return told.unionByName(good.agg(F.lit("written").alias("rule"), F.count("*").alias("n"))).unionByName(bad.agg(F.lit("parted").alias("rule"), F.count("*").alias("n")))
 
 
 @query("""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'bad id' ELSE 'd:text:' || lpad(CAST(doc_id AS VARCHAR), 6, '0') END AS record_id FROM documents)
@@ -357,15 +380,12 @@ def matrix_pivot(spark, sf_dir):
     return tables.matrix(_cells(spark, sf_dir), _shape(spark, sf_dir), "l_orderkey").select("l_orderkey", "row_no", F.array_join("values", "|").alias("values"))
 
 
-_HEAD = "(1, 0, 0, 'Year'), (1, 0, 1, 'Sales'), (1, 1, 1, 'net'), (1, 2, 0, '2001'), (1, 2, 1, '5'), (1, 2, 2, '7'), (2, 0, 0, 'x'), (2, 1, 1, 'y')"
-
-
-@query(f"WITH {_values('c', 't, r, k, v', _HEAD)}, cols AS (SELECT t, unnest(range(3)) AS k FROM (SELECT DISTINCT t FROM c)), h AS (SELECT t, k, string_agg(v, ' / ' ORDER BY r) AS j FROM c WHERE t = 1 AND r < 2 GROUP BY t, k) SELECT cols.t, cols.k AS col, coalesce(j, 'Column ' || (cols.k + 1)) AS header, j IS NULL AS fallback FROM cols LEFT JOIN h ON h.t = cols.t AND h.k = cols.k")
+@query(f"""{_CELLS}, h AS (SELECT l_orderkey, 0 AS col, CAST(l_partkey AS VARCHAR) AS t, row_no FROM r WHERE row_no < 2 UNION ALL SELECT l_orderkey, 1, l_returnflag || ' ' || l_linestatus, row_no FROM r WHERE row_no < 2 UNION ALL SELECT l_orderkey, 2, CASE WHEN l_linenumber % 2 = 1 THEN 'odd' END, row_no FROM r WHERE row_no < 2)
+    SELECT l_orderkey, col, coalesce(string_agg(t, ' / ' ORDER BY row_no), 'Column ' || (col + 1)) AS header, count(t) = 0 AS fallback FROM h GROUP BY l_orderkey, col""")
 def header_merge(spark, sf_dir):
-    c = spark.sql(f"SELECT *, row_number() OVER (ORDER BY t, row, col) AS ordinal FROM VALUES {_HEAD} AS c(t, row, col, text)")
-    shape = spark.sql("SELECT * FROM VALUES (1, 3, 3), (2, 2, 3) AS s(t, num_rows, num_cols)")
-    marked = spark.sql("SELECT * FROM VALUES (1, 0), (1, 1), (1, 1) AS h(t, row_no)")
-    return tables.headers(tables.matrix(c, shape, "t"), marked, "t")
+    """The first two rows of each order's table are its headers."""
+    rows = tables.matrix(_cells(spark, sf_dir), _shape(spark, sf_dir), "l_orderkey")
+    return tables.headers(rows, rows.where("row_no < 2").select("l_orderkey", "row_no"), "l_orderkey")
 
 
 @query("SELECT r_regionkey AS key, '| name | nation\\\\|key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey".replace("\\\\", "\\"))
@@ -375,13 +395,16 @@ def markdown_grid(spark, sf_dir):
     return g.select(F.col("n_regionkey").alias("key"), T.markdown(F.array(F.lit("name"), F.lit("nation|key")), rows).alias("markdown"))
 
 
-@query("""WITH t AS (SELECT l_orderkey AS id, count(*) * 5 AS n, string_agg(CASE WHEN l_orderkey % 3 = 0 THEN '.....' ELSE '_' END, ' ') AS dots FROM lineitem GROUP BY l_orderkey),
-    x AS (SELECT id, n, CASE WHEN id % 11 = 0 THEN 'Table of  CONTENTS' WHEN id % 5 = 0 THEN 'Figure ' || dots || repeat('.', 30) ELSE dots || repeat('_', 38) END AS text, CASE WHEN id % 4 = 0 THEN 30 ELSE 7 END AS page, n // 2 AS tails FROM t)
-    SELECT id, CASE WHEN lower(text) LIKE '%contents%' AND n >= 10 THEN 'contents' WHEN page <= 20 AND n >= 20 AND len(regexp_replace(text, '[^_.]', '', 'g')) >= 40 AND tails >= 5 THEN 'navigational_list' WHEN page <= 20 AND n >= 20 AND lower(text) LIKE 'figure%' AND tails >= 5 THEN 'list_of_figures' END AS reason FROM x""")
+@query("""WITH t AS (SELECT l_orderkey AS id, count(*) * 5 AS n, string_agg(CASE WHEN l_orderkey % 3 = 0 THEN '.....' ELSE '_' END, ' ') AS dots, 5 * count(*) FILTER (l_linenumber % 2 = 0) AS tails FROM lineitem GROUP BY l_orderkey),
+    x AS (SELECT id, n, CASE WHEN id % 11 = 0 THEN 'Table of  CONTENTS' WHEN id % 5 = 0 THEN 'Figure ' || dots || repeat('.', 30) ELSE dots || repeat('_', 38) END AS text, CASE WHEN id % 4 = 0 THEN 30 ELSE 7 END AS page, tails FROM t)
+    SELECT id, tails, CASE WHEN lower(text) LIKE '%contents%' AND n >= 10 THEN 'contents' WHEN page <= 20 AND n >= 20 AND len(regexp_replace(text, '[^_.]', '', 'g')) >= 40 AND tails >= 5 THEN 'navigational_list' WHEN page <= 20 AND n >= 20 AND lower(text) LIKE 'figure%' AND tails >= 5 THEN 'list_of_figures' END AS reason FROM x""")
 def toc_rules(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.count("*") * 5).alias("n"), F.array_join(F.collect_list(F.when(F.col("l_orderkey") % 3 == 0, ".....").otherwise("_")), " ").alias("dots"))
+    """Each line stands five times in its order's grid; every other one ends in a number."""
+    row = F.array(F.lit("part"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" "), F.col("l_linenumber").cast("string"))).otherwise("n/a 5"))
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.count("*") * 5).alias("n"), F.array_join(F.collect_list(F.when(F.col("l_orderkey") % 3 == 0, ".....").otherwise("_")), " ").alias("dots"), F.flatten(F.array_repeat(F.collect_list(row), 5)).alias("grid"))
     text = F.when(F.col("id") % 11 == 0, "Table of  CONTENTS").when(F.col("id") % 5 == 0, F.concat(F.lit("Figure "), "dots", F.repeat(F.lit("."), F.lit(30)))).otherwise(F.concat("dots", F.repeat(F.lit("_"), F.lit(38))))
-    return t.select("id", tables.toc_reason(text, F.col("n"), F.when(F.col("id") % 4 == 0, 30).otherwise(7), F.expr("n div 2")).alias("reason"))
+    x = t.select("id", "n", text.alias("text"), tables.tail_rows(F.col("grid")).alias("tails"))
+    return x.select("id", F.col("tails").cast("long").alias("tails"), tables.toc_reason(F.col("text"), F.col("n"), F.when(F.col("id") % 4 == 0, 30).otherwise(7), F.col("tails")).alias("reason"))
 
 
 _REVIEW = "(3, 'layout', 'a note'), (5, 'duplicate', 'seen'), (40, 'layout', NULL)"
@@ -452,27 +475,29 @@ def index_start(spark, sf_dir):
     return textview.index_start(_items(spark, sf_dir))
 
 
-_TREE = "('a', NULL), ('b', 'a'), ('c', 'b'), ('d', 'a'), ('e', NULL), ('f', 'e'), ('g', 'zz')"
-
-
-@query(f"WITH RECURSIVE {_values('t', 's, p', _TREE)}, b(ref) AS (SELECT 'b' UNION SELECT 'e' UNION ALL SELECT s FROM t JOIN b ON t.p = b.ref) SELECT DISTINCT ref FROM b")
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN turn // 2 WHEN turn > 0 THEN turn - 1 END AS up, turn = conv_id % 4 AND conv_id % 5 <> 0 AS root FROM conversations),
+    b AS (SELECT conv_id, turn FROM t WHERE root UNION SELECT t.conv_id, t.turn FROM t JOIN b ON t.conv_id = b.conv_id AND t.up = b.turn) SELECT conv_id, turn FROM b""")
 def subtree_removal(spark, sf_dir):
-    items = spark.sql(f"SELECT * FROM VALUES {_TREE} AS t(self_ref, parent_ref)")
-    return textview.subtree(items, spark.sql("SELECT * FROM VALUES ('b'), ('e') AS r(ref)"))
+    """A turn hangs below an earlier one of its conversation; of most conversations one turn is taken with all below it."""
+    t = F.col("turn")
+    up = F.when(t % 3 == 2, F.expr("turn div 2")).when(t > 0, t - 1).cast("string")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", t.cast("string").alias("self_ref"), up.alias("parent_ref"))
+    roots = c.where("turn = conv_id % 4 and conv_id % 5 <> 0").select("conv_id", F.col("self_ref").alias("ref"))
+    return textview.subtree(c, roots, ["conv_id"]).select("conv_id", F.col("ref").cast("long").alias("turn"))
 
 
 _HEADINGS = "CASE WHEN turn % 5 = 0 THEN 'Part ' || (conv_id % 3) || chr(10) WHEN turn % 5 = 2 THEN '1. Introduction' WHEN turn % 5 = 3 THEN '2.1 Detail' ELSE text END"
 
 
-@query(f"""WITH h AS (SELECT conv_id, turn, CASE WHEN turn % 5 IN (0, 2, 3) THEN 'section_header' ELSE 'text' END AS label, {_strip(_HEADINGS)} AS t FROM conversations WHERE conv_id % 6 <> 1 OR turn > 1),
+@query(f"""WITH h AS (SELECT conv_id, turn, CASE WHEN turn % 5 IN (0, 2, 3) AND (conv_id % 6 <> 1 OR turn > 1) THEN 'section_header' ELSE 'text' END AS label, {_strip(_HEADINGS)} AS t FROM conversations),
     f AS (SELECT *, CASE WHEN label = 'section_header' AND NOT regexp_matches(t, '^[0-9]+(\\.[0-9]+)*\\.?{S}+') THEN t END AS free FROM h),
     p AS (SELECT *, last_value(free IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS pending FROM f),
     n AS (SELECT *, CASE WHEN label = 'section_header' AND t LIKE '1. Introduction%' THEN pending END AS new FROM p)
     SELECT conv_id, turn, coalesce(last_value(new IGNORE NULLS) OVER w, first_value(free IGNORE NULLS) OVER w, '') AS chapter FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
 def chapter_propagation(spark, sf_dir):
-    t, c = F.col("turn"), table(spark, sf_dir, "conversations").where("conv_id % 6 <> 1 or turn > 1")
+    t, c = F.col("turn"), table(spark, sf_dir, "conversations")
     text = F.when(t % 5 == 0, F.concat(F.lit("Part "), (F.col("conv_id") % 3).cast("string"), F.lit("\n"))).when(t % 5 == 2, "1. Introduction").when(t % 5 == 3, "2.1 Detail").otherwise(F.col("text"))
-    x = c.select("conv_id", "turn", F.when((t % 5).isin(0, 2, 3), "section_header").otherwise("text").alias("label"), text.alias("text"))
+    x = c.select("conv_id", "turn", F.when((t % 5).isin(0, 2, 3) & ((F.col("conv_id") % 6 != 1) | (t > 1)), "section_header").otherwise("text").alias("label"), text.alias("text"))
     return corpus.chapters(x, ["conv_id"], "turn").select("conv_id", "turn", "chapter")
 
 
@@ -487,13 +512,10 @@ def chunk_chapter(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY k, a, b) AS ordinal, CASE WHEN k = 0 THEN 'd:text:' ELSE 'd:table:' END || lpad(CAST(row_number() OVER (PARTITION BY k ORDER BY a, b) AS VARCHAR), 6, '0') AS record_id FROM (SELECT 0 AS k, doc_id AS a, 0 AS b FROM documents UNION ALL SELECT 1, conv_id, turn FROM conversations)")
 def ordered_union(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"))
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("a"), F.col("turn").alias("b"))
-    one = corpus.with_ids(d.withColumn("document_id", F.lit("d")), F.lit("d"), "text", "a", "b", start=1)
-    two = corpus.with_ids(c.withColumn("document_id", F.lit("d")), F.lit("d"), "table", "a", "b", start=1)
-    n = one.agg(F.count("*").alias("n"))
-    both = corpus.ordered_union(one, two).join(F.broadcast(n), F.lit(True))  # one row
-    return both.select((F.col("number") + F.when(F.col("src_rank") == 1, F.col("n")).otherwise(0)).alias("ordinal"), "record_id")
+    d = table(spark, sf_dir, "documents").select(F.lit("d").alias("document_id"), F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"))
+    c = table(spark, sf_dir, "conversations").select(F.lit("d").alias("document_id"), F.col("conv_id").alias("a"), F.col("turn").cast("long").alias("b"))
+    named = corpus.with_ids(corpus.ordered_union(d, c), F.when(F.col("src_rank") == 0, "text").otherwise("table"), "a", "b", by=["document_id", "src_rank"], start=1)
+    return numbered(named, ["document_id"], ["src_rank", "number"], "ordinal", 1).select("ordinal", "record_id")
 
 
 @query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Untitled section' WHEN 1 THEN 'A > B' WHEN 2 THEN 'Part > A' WHEN 3 THEN 'A' ELSE 'Table (index ' || doc_id || ')' END AS title FROM documents""")
@@ -623,11 +645,27 @@ def oversize_rows(spark, sf_dir):
     return tables.fragments(x, "doc_id", 128)
 
 
-@query()
+_TURNS = f"len(regexp_extract_all(text, '{S.replace('[', '[^', 1)}+'))"
+
+
+def _chunk_sql(room: int) -> str:
+    """g(conv_id, number, role, text, n, refs, pages): turns under their role, packed to so many words; longer ones are cut first."""
+    other = S.replace("[", "[^", 1)
+    return f"""t AS (SELECT conv_id, turn, role, regexp_replace(text, '^{S}+|{S}+$', '', 'g') AS text, {_TURNS} AS n FROM conversations),
+    parts AS (SELECT conv_id, turn, role, 0 AS part, text AS p, n FROM t WHERE n BETWEEN 1 AND {room} UNION ALL
+      SELECT conv_id, turn, role, part, regexp_replace(array_to_string(list_slice(w, part * {room} + 1, part * {room} + {room}), ''), '{S}+$', ''), least({room}, n - part * {room}) FROM (SELECT *, regexp_extract_all(text, '{other}+{S}*') AS w, unnest(range((n + {room - 1}) // {room})) AS part FROM t WHERE n > {room})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) AS r FROM parts),
+    f(conv_id, r, number, role, s) AS (SELECT conv_id, r, CAST(1 AS BIGINT), role, n FROM r WHERE r = 1 UNION ALL
+      SELECT r.conv_id, r.r, CASE WHEN r.role = f.role AND f.s + r.n <= {room} THEN f.number ELSE f.number + 1 END, r.role, CASE WHEN r.role = f.role AND f.s + r.n <= {room} THEN f.s + r.n ELSE r.n END FROM f JOIN r ON r.conv_id = f.conv_id AND r.r = f.r + 1),
+    g AS (SELECT conv_id, number, f.role, string_agg(p, chr(10) ORDER BY r) AS text, CAST(sum(n) AS BIGINT) AS n, list(DISTINCT turn ORDER BY turn) AS turns FROM f JOIN r USING (conv_id, r) GROUP BY conv_id, number, f.role)"""
+
+
+@query(f"WITH RECURSIVE {_chunk_sql(119)} SELECT conv_id, number, role AS headings, text, n + 1 AS token_count, array_to_string(list_transform(turns, lambda x: '#/texts/' || x), ',') AS refs, array_to_string(list_transform(turns, lambda x: CAST(x + 1 AS VARCHAR)), ',') AS pages FROM g")
 def text_chunks(spark, sf_dir):
-    """Turns of a conversation as the items of a document, under the heading of their role."""
+    """Turns of a conversation as the items of a document, under the heading of their role, which counts."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.array("role").alias("headings"), F.concat(F.lit("#/texts/"), F.col("turn").cast("string")).alias("self_ref"), F.array((F.col("turn") + 1).cast("int")).alias("pages"), "text")
-    return textview.chunk(c, "conv_id", 120)
+    x = textview.chunk(c, "conv_id", 120)
+    return x.select("conv_id", F.col("number").cast("long").alias("number"), F.array_join("headings", "|").alias("headings"), "text", F.col("token_count").cast("long").alias("token_count"), F.array_join("refs", ",").alias("refs"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
 @query()
@@ -740,14 +778,15 @@ def index_deltas(spark, sf_dir):
     return store.rows().select(F.col("record_id").cast("long").alias("doc_id"), F.col("start_page").cast("long").alias("n_chars"), F.col("title").alias("lang"))
 
 
-@query("SELECT item_id AS table_index, text AS caption FROM benchmark")
+@query("SELECT CASE WHEN item_id % 2 = 0 THEN 'book' END AS document_id, item_id AS table_index, text AS caption FROM benchmark")
 def caption_overrides(spark, sf_dir):
-    """Overrides written as one JSON object and read again; a missing file has none."""
+    """Overrides written as JSON objects, 16 files of them, and read again; a missing file has none."""
     path = scratch(spark)
-    b = table(spark, sf_dir, "benchmark")
-    b.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("item_id").cast("string"), F.array("text"))))).alias("value")).coalesce(1).write.text(path)
+    k = F.col("item_id").cast("string")
+    b = table(spark, sf_dir, "benchmark").select(F.pmod(F.xxhash64("item_id"), F.lit(16)).alias("file"), F.struct(F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("book:"), k)).otherwise(k), F.array("text")).alias("pair"))
+    b.groupBy("file").agg(F.to_json(F.map_from_entries(F.collect_list("pair"))).alias("value")).write.partitionBy("file").text(path)
     got = files.read_overrides(spark, path).unionByName(files.read_overrides(spark, f"{path}/none"))
-    return got.select(F.col("table_index").cast("long").alias("table_index"), F.get("caption", F.lit(0)).alias("caption"))
+    return got.select("document_id", F.col("table_index").cast("long").alias("table_index"), F.get("caption", F.lit(0)).alias("caption"))
 
 
 @query("SELECT label, count(*) AS before, count(*) FILTER (NOT label IN ('caption', 'page_footer') AND (no_page OR (p1 >= 3 AND p1 < 15))) AS after FROM (" + _ITEMS + ") GROUP BY label")
@@ -759,9 +798,86 @@ def view_counts(spark, sf_dir):
     return both.groupBy("label").agg(F.count_if(F.col("kept") == 0).alias("before"), F.count_if(F.col("kept") == 1).alias("after"))
 
 
-@query("SELECT doc_id, list_distinct([doc_id % 3, doc_id % 2, doc_id % 3]).len() AS n, CAST(doc_id % 3 AS VARCHAR) AS first FROM documents")
+@query("SELECT doc_id, array_to_string(list_transform(CASE WHEN doc_id % 3 = doc_id % 2 THEN [doc_id % 3] ELSE [doc_id % 3, doc_id % 2] END, lambda x: '#/texts/' || x), ',') AS refs FROM documents")
 def chunk_refs(spark, sf_dir):
-    """Refs of a chunk, each once, in the order of their first place."""
+    """Refs of a chunk's record, each once, in the order of their first place."""
     k = F.col("doc_id")
-    x = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.transform(F.array(k % 3, k % 2, k % 3), lambda v: v.cast("string"))).alias("refs"))
-    return x.select("doc_id", F.size("refs").cast("long").alias("n"), F.get("refs", F.lit(0)).alias("first"))
+    own = _chunks(spark, sf_dir).drop("doc_id").withColumnRenamed("number", "doc_id").withColumn("number", k).withColumn("refs", F.transform(F.array(k % 3, k % 2, k % 3), lambda x: F.concat(F.lit("#/texts/"), x.cast("string"))))
+    r = envelopes.texts(own, "words", 480, 512)
+    return r.select(F.regexp_extract("record_id", "([0-9]+)$", 1).cast("long").alias("doc_id"), F.array_join("source.locators.refs", ",").alias("refs"))
+
+
+# --- ingestion of several documents ----------------------------------------------------------------------------------
+
+
+def _none(field: str):
+    """A field of a parsed document that it doesn't have."""
+    return F.from_json(F.lit("{}"), schemas.DOCUMENT)[field].alias(field)
+
+
+def _conversations_as_documents(spark, sf_dir):
+    """A document for each conversation: its turns are items whose refs begin anew in each; every other one has a picture."""
+    t, c = F.col("turn"), F.col("conv_id")
+    ref = lambda x: F.concat(F.lit("#/texts/"), x.cast("string"))
+    parent = F.when(t % 7 == 5, F.lit("#/pictures/0")).when(t % 7 == 6, ref(t - 1)).otherwise("#/body")
+    index = (t % 5 == 2) & (c % 4 == 0)
+    item = F.struct(ref(t).alias("self_ref"), F.when(t % 5 == 4, "page_footer").when(index, "section_header").otherwise("text").alias("label"), F.when(index, " Index").otherwise(F.col("text")).alias("text"), F.array("role").alias("headings"), F.struct(parent.alias("ref")).alias("parent"), F.array(F.struct((t + 1).cast("int").alias("page_no"))).alias("prov"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("item")))), lambda x: x["item"])
+    x = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(texts.alias("texts"))
+    caption = F.when(c % 3 == 0, F.array(F.struct(F.lit("#/texts/1").alias("ref"), F.lit(None).cast("string").alias("text"))))
+    picture = F.struct(F.lit("#/pictures/0").alias("self_ref"), caption.alias("captions"), F.lit(None).cast("array<struct<ref:string,text:string>>").alias("footnotes"))
+    return x.select(F.concat(F.lit("conv-"), c.cast("string")).alias("document_id"), F.lit("c.pdf").alias("source_filename"), "texts", _none("tables"), F.when(c % 2 == 0, F.array(picture)).alias("pictures"))
+
+
+@query("""WITH i AS (SELECT conv_id, turn, min(turn + 1) FILTER (turn % 5 = 2 AND conv_id % 4 = 0) OVER (PARTITION BY conv_id) AS page FROM conversations)
+    SELECT 'conv-' || conv_id AS document_id, '#/texts/' || turn AS ref FROM i WHERE turn % 5 <> 4 AND turn >= 1 AND (page IS NULL OR turn + 1 < page) AND NOT (conv_id % 2 = 0 AND (turn % 7 IN (5, 6) OR conv_id % 3 = 0 AND turn = 1))""")
+def document_views(spark, sf_dir):
+    """The text view of many documents at once: each has its own index page, captions and subtrees."""
+    kept, _ = ingest.view(_conversations_as_documents(spark, sf_dir), 2)
+    return kept.select("document_id", F.col("self_ref").alias("ref"))
+
+
+@query(f"WITH RECURSIVE {_chunk_sql(59)} SELECT 'conv-' || conv_id || ':text:' || format('{{:06d}}', number) AS record_id, role || chr(10) || text AS text, n + 1 AS token_count, array_to_string(list_transform(turns, lambda x: '#/texts/' || x), ',') AS refs, array_to_string(list_transform(turns, lambda x: CAST(x + 1 AS VARCHAR)), ',') AS pages FROM g")
+def document_texts(spark, sf_dir):
+    """Text records of many documents, written with their checks and read again: no chunk is over its limit with its headings."""
+    c = table(spark, sf_dir, "conversations")
+    own = c.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("document_id"), F.lit("c.pdf").alias("source_filename"), F.col("turn").cast("long").alias("ordinal"), F.concat(F.lit("#/texts/"), F.col("turn").cast("string")).alias("self_ref"), F.lit("text").alias("label"), "text", F.array("role").alias("headings"), F.array((F.col("turn") + 1).cast("int")).alias("pages"))
+    path = scratch(spark)
+    ingest.write_texts(ingest.text_records(own, 60, 60), path, 60)
+    r = files.read_lines(spark, path, schemas.ENVELOPE)
+    return r.select("record_id", "content.text", F.col("metadata.token_count").cast("long").alias("token_count"), F.array_join("source.locators.refs", ",").alias("refs"), F.array_join(F.transform("source.pages", lambda p: p.cast("string")), ",").alias("pages"))
+
+
+_NATIONS = f"""r AS (SELECT n_regionkey AS k, r_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, n_nationkey, n_name, 5 + len(regexp_extract_all(n_name, '{S.replace('[', '[^', 1)}+')) AS n FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey <> 3),
+    g(k, i, g, s) AS (SELECT k, i, CAST(0 AS BIGINT), n FROM r WHERE i = 1 UNION ALL SELECT r.k, r.i, CASE WHEN g.s + r.n > 13 THEN g.g + 1 ELSE g.g END, CASE WHEN g.s + r.n > 13 THEN r.n ELSE g.s + r.n END FROM g JOIN r ON r.k = g.k AND r.i = g.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE {_NATIONS} SELECT 'region-' || k || ':table:000:child:' || format('{{:03d}}', g) AS record_id, 'region-' || k || ':table:000:parent:000' AS parent_id,
+    'Table: Nations of ' || any_value(r_name) || chr(10) || chr(10) || string_agg('Row ' || i || ':' || chr(10) || 'key: ' || n_nationkey || chr(10) || 'name: ' || n_name, chr(10) || chr(10) ORDER BY i) AS text, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS rows FROM g JOIN r USING (k, i) GROUP BY k, g""")
+def document_tables(spark, sf_dir):
+    """A document for each region, each with one table and one caption, of the same refs and numbers; one is left out by a review of its own."""
+    k = F.col("r_regionkey")
+    cell = lambda text, row, col: F.struct(text.alias("text"), F.lit(1).alias("row_span"), F.lit(1).alias("col_span"), row.cast("int").alias("start_row_offset_idx"), (row + 1).cast("int").alias("end_row_offset_idx"), F.lit(col).alias("start_col_offset_idx"), F.lit(col + 1).alias("end_col_offset_idx"), (row == 0).alias("column_header"), F.lit(False).alias("row_header"), F.lit(False).alias("row_section"), F.lit(None).cast("struct<l:double,t:double,r:double,b:double,coord_origin:string>").alias("bbox"))
+    n = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    rows = F.concat(F.array(F.struct(F.lit("key").alias("a"), F.lit("name").alias("b"))), F.transform("x", lambda r: F.struct(r["n_nationkey"].cast("string").alias("a"), r["n_name"].alias("b"))))
+    cells = F.flatten(F.transform(rows, lambda r, i: F.array(cell(r["a"], i, 0), cell(r["b"], i, 1))))
+    data = F.struct((F.size("x") + 1).alias("num_rows"), F.lit(2).alias("num_cols"), F.lit("rot_0").alias("orientation"), F.transform(rows, lambda r: F.array(F.struct(r["a"].alias("text")), F.struct(r["b"].alias("text")))).alias("grid"), cells.alias("table_cells"))
+    refs = F.array(F.struct(F.lit("#/texts/0").alias("ref"), F.lit(None).cast("string").alias("text")))
+    prov = F.array(F.struct(F.lit(30).alias("page_no"), F.lit(None).cast("struct<l:double,t:double,r:double,b:double,coord_origin:string>").alias("bbox")))
+    caption = F.struct(F.lit("#/texts/0").alias("self_ref"), F.lit("caption").alias("label"), F.concat(F.lit("Nations of "), "r_name").alias("text"), F.array().cast("array<string>").alias("headings"), F.struct(F.lit("#/body").alias("ref")).alias("parent"), F.array(F.struct(F.lit(30).alias("page_no"))).alias("prov"))
+    own = F.struct(F.lit("#/tables/0").alias("self_ref"), refs.alias("captions"), F.lit(None).cast("array<struct<ref:string,text:string>>").alias("footnotes"), prov.alias("prov"), data.alias("data"))
+    docs = n.join(table(spark, sf_dir, "region"), "r_regionkey").select(F.concat(F.lit("region-"), k.cast("string")).alias("document_id"), F.lit("r.pdf").alias("source_filename"), F.array(caption).alias("texts"), F.array(own).alias("tables"), _none("pictures"))
+    reviews = docs.where("document_id = 'region-3'").select("document_id", F.lit(0).alias("table_index"), F.lit("layout").alias("reason"), F.lit("a note").alias("note"))
+    decided = ingest.inventory(docs, reviews, docs.limit(0).select("document_id", F.lit(0).alias("table_index"), F.array("document_id").alias("caption")))
+    path = scratch(spark)
+    ingest.write_children(ingest.table_records(decided, 13, 40), decided, path, 40)
+    r = spark.read.schema(schemas.ENVELOPE.replace("content struct<text:string,markdown:string>", "content struct<text:string,structured:struct<row_indices:array<int>>>")).json(path)
+    return r.select("record_id", "parent_id", "content.text", F.array_join(F.transform("content.structured.row_indices", lambda x: x.cast("string")), ",").alias("rows"))
+
+
+@query()
+def subword_packs(spark, sf_dir):
+    """Turns of a conversation in groups of 100 subwords at most, by a tokenizer whose counts don't add up."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.concat(F.lit("Talk "), F.col("conv_id").cast("string"), F.lit("\n\n")).alias("lead"))
+    x = tables.pack_texts(c, "conv_id", ["turn"], "text", "lead", 100, counters.public("word_bpe_49k.json"))
+    return x.select("conv_id", "turn", "row_no", "group_no")

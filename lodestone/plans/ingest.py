@@ -70,7 +70,8 @@ def view(docs: DataFrame, start: int, index_page: int | None = None) -> tuple[Da
     pages = textview.index_start(all_items, BY).where("page is not null") if index_page is None else None
     refs = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<ref:string,text:string>>")), lambda x: x["ref"])
     owners = [docs.select("document_id", F.explode(c).alias("t")).select("document_id", refs(F.col("t.captions")).alias("captions"), refs(F.col("t.footnotes")).alias("footnotes")) for c in ("tables", "pictures")]
-    roots = docs.select("document_id", F.explode(F.concat(F.transform("tables", lambda t: t["self_ref"]), F.transform("pictures", lambda t: t["self_ref"]))).alias("ref"))
+    none = F.array().cast("array<string>")
+    roots = docs.select("document_id", F.explode(F.concat(F.coalesce(F.transform("tables", lambda t: t["self_ref"]), none), F.coalesce(F.transform("pictures", lambda t: t["self_ref"]), none))).alias("ref"))
     kept = textview.keep_text(all_items, textview.linked_refs(owners[0].unionByName(owners[1]), BY), start, pages if index_page is None else index_page, textview.subtree(all_items, roots, BY), BY)
     count = lambda df: {r.label: r.n for r in df.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()}  # noqa: E731  one row a label
     first, n = (index_page, None) if index_page is not None else pages.agg(F.min("page"), F.count("*")).first()
