@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ def counted_by(count) -> Callable[[Column], Column]:
     if getattr(count, "__name__", "") == "words":
         return token_count
 
-    import pandas as pd
-
     @F.pandas_udf("int")
     def tokens(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: count(t or "")).astype("int32")
