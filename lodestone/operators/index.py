@@ -1,16 +1,14 @@
-"""The vector index: versioned Parquet, kept in step with records by content hash.
+"""The vector index: one Parquet table in buckets by record_id, kept in step with records by content hash.
 
-An index is a folder of parts and a pointer table whose last row names those in use, in order. An upsert or a deletion writes
-a part of its own; every PARTS parts become one. A sync embeds only what is new or
-changed, drops what is gone, and takes titles and pages from the records as they are now. Parts are written
-whole before the pointer moves, so a lost job leaves the index as it was."""
+A sync compares ids, hashes and what else a row shows of its record, without reading a vector; it reads and rewrites only the buckets in which
+something changed (dynamic partition overwrite), and embeds only what is new or changed in text. A bucket is replaced when its new files are written
+whole, so a job that is lost before its commit leaves the index as it was; whatever of it was committed, the next sync finds what is still to be
+done. Writers of different buckets don't disturb each other; of two that write one bucket the later counts, so one index has one sync
+at a time."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import schemas
@@ -18,13 +16,19 @@ from lodestone.errors import IndexNotBuiltError, IndexStaleError
 from lodestone.functions.text import content_hash
 from lodestone.operators.corpus import lookup
 from lodestone.operators.models import Embedder
+from lodestone.sources.files import read_or_empty
+from lodestone.stage import stash
 
 
 def changes(records: DataFrame, stored: DataFrame) -> DataFrame:
-    """record_id, change: embed, unchanged or delete. records: record_id, text; stored: record_id, content_hash."""
-    now = records.select("record_id", content_hash("text").alias("now"))
-    both = now.join(stored.select("record_id", F.col("content_hash").alias("old"), F.lit(True).alias("had")), "record_id", "full_outer")
-    return both.select("record_id", F.when(F.col("now").isNull(), "delete").when(F.col("now").eqNullSafe(F.col("old")), "unchanged").otherwise("embed").alias("change"))
+    """record_id, change: embed, unchanged or delete. records: record_id, and text or content_hash; stored: record_id, content_hash. If both have `shown`
+    there is also moved: the text is the same, what is shown of the record is not."""
+    both_show = "shown" in records.columns and "shown" in stored.columns
+    more = ["shown"] if both_show else []
+    now = records.select("record_id", (F.col("content_hash") if "content_hash" in records.columns else content_hash("text")).alias("now"), *more)
+    both = now.join(stored.select("record_id", F.col("content_hash").alias("old"), *(F.col(c).alias(f"_{c}") for c in more)), "record_id", "full_outer")
+    change = F.when(F.col("now").isNull(), "delete").when(F.col("now").eqNullSafe(F.col("old")), "unchanged").otherwise("embed")
+    return both.select("record_id", change.alias("change"), *([((change == "unchanged") & ~F.col("shown").eqNullSafe(F.col("_shown"))).alias("moved")] if both_show else []))
 
 
 def sync_report(changed: DataFrame) -> DataFrame:
@@ -34,42 +38,36 @@ def sync_report(changed: DataFrame) -> DataFrame:
 
 
 COLUMNS = [f.split()[0] for f in schemas.INDEX.split(", ")]
-POINTER = f"number long, parts array<string>, {schemas.INDEX_META}"
-#: Parts that an index may have before they become one.
-PARTS = 8
+#: What a row shows of its record besides the text: if only this changes, the vector stays.
+SHOWN = ["parent_id", "content_type", "title", "start_page", "end_page"]
+META = f"{schemas.INDEX_META}, buckets int"
+#: Rows that a bucket has when the index is written whole; with more than GROWTH times as many it is written whole again.
+BUCKET_ROWS, GROWTH = 1 << 16, 4
 
 
 class VectorIndex:
     """An index at a path that Spark can read and write."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+        self.spark, self.path, self.bucket_rows = spark, path.rstrip("/"), bucket_rows
 
-    def _pointer(self) -> Row | None:
-        """The last pointer that names parts; only a missing table means that there is no index."""
-        try:
-            rows = self.spark.read.schema(POINTER).parquet(f"{self.path}/pointers").orderBy(F.desc("number")).limit(1).collect()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        return rows[0] if rows else None
+    def _meta(self) -> Row | None:
+        return read_or_empty(self.spark, f"{self.path}/meta", META).first()
 
     def exists(self) -> bool:
-        return bool((found := self._pointer()) and found.parts)
+        return self._meta() is not None
 
     def metadata(self) -> dict:
         """Model, dimension and fingerprint; {} if there is no index."""
-        found = self._pointer()
-        return {k: found[k] for k in ("embedding_model", "embedding_dimension", "embedding_fingerprint")} if found and found.parts else {}
+        found = self._meta()
+        return {k: found[k] for k in ("embedding_model", "embedding_dimension", "embedding_fingerprint")} if found else {}
+
+    def _table(self) -> DataFrame:
+        """All rows with their bucket. A row without record_id holds a bucket's place that has none."""
+        return read_or_empty(self.spark, f"{self.path}/rows", f"{schemas.INDEX}, bucket int") if self.exists() else self.spark.createDataFrame([], f"{schemas.INDEX}, bucket int")
 
     def rows(self) -> DataFrame:
-        """The first part, then each later one over it: its rows replace those with their ids, `gone` ones only take them away."""
-        found, out = self._pointer(), None
-        for part in found.parts if found else []:
-            new = self.spark.read.schema(f"{schemas.INDEX}, gone boolean").parquet(f"{self.path}/{part}")
-            out = new.drop("gone") if out is None else out.join(new.select("record_id"), "record_id", "left_anti").unionByName(new.where("not gone").drop("gone"))
-        return self.spark.createDataFrame([], schemas.INDEX) if out is None else out
+        return self._table().where("record_id is not null").drop("bucket")
 
     def existing(self) -> DataFrame:
         return self.rows().select("record_id", "content_hash")
@@ -77,55 +75,75 @@ class VectorIndex:
     def count(self) -> int:
         return self.rows().count()
 
-    def _point(self, parts: list[str], meta: dict) -> None:
-        found = self._pointer()
-        row = [((found.number if found else 0) + 1, parts, meta.get("embedding_model"), meta.get("embedding_dimension"), meta.get("embedding_fingerprint"))]
-        self.spark.createDataFrame(row, POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64("record_id"), F.lit(buckets)).cast("int").alias("bucket")
 
-    def _write(self, rows: DataFrame) -> str:
-        part = f"part-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{part}")
-        return part
+    def _write(self, rows: DataFrame, buckets: int, mode: str) -> None:
+        """rows: COLUMNS and bucket. A bucket's rows come from one task, so it is one file."""
+        rows.repartitionById(buckets, F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(f"{self.path}/rows")
 
     def put(self, rows: DataFrame, meta: dict) -> None:
-        """Makes rows the index."""
-        self._point([self._write(rows.select(*COLUMNS, F.lit(False).alias("gone")))], meta)
-
-    def _add(self, rows: DataFrame) -> None:
-        """One more part; with PARTS of them all are written as one."""
-        found = self._pointer()
-        parts = [*(found.parts if found else []), self._write(rows)]
-        self._point(parts, self.metadata())
-        if len(parts) > PARTS:
-            self.put(self.rows(), self.metadata())
+        """Makes rows the index, written whole."""
+        rows = stash(rows.select(*COLUMNS), "index-rows")
+        buckets = max(1, -(-rows.count() // self.bucket_rows))
+        self._write(rows.select("*", self._bucket(buckets)), buckets, "static")
+        row = [(meta.get("embedding_model"), meta.get("embedding_dimension"), meta.get("embedding_fingerprint"), buckets)]
+        self.spark.createDataFrame(row, META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
+
+    def _part(self, ids: DataFrame, buckets: int) -> tuple[list[int], DataFrame]:
+        """The buckets of some ids, and the rows there now."""
+        touched = sorted(r.bucket for r in ids.select(self._bucket(buckets)).distinct().collect())  # as many as buckets at most
+        return touched, self._table().where(F.col("bucket").isin(touched) & F.col("record_id").isNotNull())
+
+    def _replace(self, touched: list[int], rows: DataFrame, buckets: int) -> None:
+        """Makes rows (COLUMNS) all that these buckets have. An empty one keeps a row without an id: a bucket without rows would not be replaced."""
+        if touched:
+            places = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
+            self._write(rows.select(*COLUMNS, self._bucket(buckets)).unionByName(places, allowMissingColumns=True), buckets, "dynamic")
 
     def upsert(self, rows: DataFrame) -> None:
-        """Writes these rows alone; each record_id once."""
-        self._add(rows.select(*COLUMNS, F.lit(False).alias("gone")))
+        """Puts in these rows, each record_id once; only their buckets are read and written."""
+        rows, buckets = stash(rows.select(*COLUMNS), "index-rows"), self._meta().buckets
+        touched, old = self._part(rows, buckets)
+        self._replace(touched, old.select(*COLUMNS).join(rows.select("record_id"), "record_id", "left_anti").unionByName(rows), buckets)
 
     def delete(self, ids: DataFrame) -> None:
-        empty = self.spark.createDataFrame([], f"{schemas.INDEX}, gone boolean")
-        self._add(empty.unionByName(ids.select("record_id", F.lit(True).alias("gone")), allowMissingColumns=True))
+        ids, buckets = stash(ids.select("record_id"), "index-ids"), self._meta().buckets
+        touched, old = self._part(ids, buckets)
+        self._replace(touched, old.select(*COLUMNS).join(ids, "record_id", "left_anti"), buckets)
 
     def reset(self) -> None:
         if self.exists():
-            self._point([], {})
+            self._write(self._table().limit(0), 1, "static")
+            self.spark.createDataFrame([], META).write.mode("overwrite").parquet(f"{self.path}/meta")
 
     def sync(self, records: DataFrame, embedder: Embedder, rebuild: bool = False) -> DataFrame:
         """Brings the index in step; gives the one-row report with model, dimension and rebuilt. Another model or
         fingerprint than the stored one rebuilds; an index without stored metadata goes on where it is."""
-        meta = self.metadata()
+        meta, found = self.metadata(), self._meta()
         rebuild = rebuild or bool(meta.get("embedding_model")) and (meta["embedding_model"], meta["embedding_fingerprint"]) != (embedder.name, embedder.fingerprint)
+        now = lookup(records, "record_id").withColumn("content_hash", content_hash("text")).withColumn("start_page", F.array_min("pages")).withColumn("end_page", F.array_max("pages"))
         old = self.rows().limit(0) if rebuild else self.rows()
-        records = lookup(records, "record_id")
-        now = records.withColumn("content_hash", content_hash("text")).withColumn("start_page", F.array_min("pages")).withColumn("end_page", F.array_max("pages"))
-        kept = old.select("record_id", "content_hash", F.col("embedding").alias("_old"))
-        both = now.join(kept, ["record_id", "content_hash"], "left")
+        shown = lambda df: df.select("record_id", "content_hash", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in SHOWN)).alias("shown"))
+        changed = stash(changes(shown(now), shown(old)), "index-changes")
+        report = sync_report(changed).first()
+        own = {"embedding_model": embedder.name, "embedding_dimension": embedder.dimension, "embedding_fingerprint": embedder.fingerprint}
+        if rebuild or not found or report.total > GROWTH * found.buckets * self.bucket_rows:
+            self.put(self._joined(now, old, embedder), own)
+        else:
+            touched, part = self._part(changed.where("change != 'unchanged' or moved"), found.buckets)
+            if touched:
+                self._replace(touched, self._joined(now.where(self._bucket(found.buckets).isin(touched)), part, embedder), found.buckets)
+            if any(meta[k] != v for k, v in own.items()):
+                self.spark.createDataFrame([(*own.values(), found.buckets)], META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
+        return self.spark.createDataFrame([(*report, embedder.name, embedder.dimension, rebuild)], "embedded long, unchanged long, deleted long, total long, model string, dimension int, rebuilt boolean")
+
+    def _joined(self, now: DataFrame, old: DataFrame, embedder: Embedder) -> DataFrame:
+        """The rows of these records: with the old vector where the text is the same, else embedded."""
+        both = now.join(old.select("record_id", "content_hash", F.col("embedding").alias("_old")), ["record_id", "content_hash"], "left")
         same = both.where("_old is not null").withColumn("embedding", F.col("_old"))
         new = both.where("_old is null").withColumn("embedding", embedder.documents(F.col("text")))
-        report = sync_report(changes(records, old.select("record_id", "content_hash"))).first()
-        self.put(same.drop("_old").unionByName(new.drop("_old")), {"embedding_model": embedder.name, "embedding_dimension": embedder.dimension, "embedding_fingerprint": embedder.fingerprint})
-        return self.spark.createDataFrame([(*report, embedder.name, embedder.dimension, rebuild)], "embedded long, unchanged long, deleted long, total long, model string, dimension int, rebuilt boolean")
+        return same.select(*COLUMNS).unionByName(new.select(*COLUMNS))
 
     def guard(self, embedder: Embedder) -> None:
         """Raises unless the index can answer this embedder's questions. Missing metadata passes."""

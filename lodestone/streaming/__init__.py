@@ -8,22 +8,21 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestone.operators.index import VectorIndex
 from lodestone.operators.models import Embedder
 from lodestone.functions.text import content_hash
-from lodestone.operators.corpus import last_of
+from lodestone.operators.corpus import lookup
 
 
 def sync_stream(records: DataFrame, index: VectorIndex, embedder: Embedder, checkpoint: str) -> StreamingQuery:
-    """Upserts each micro-batch of records, of one id the last by `ordinal` (else as the batch has them); a stream of files can't show what is gone. A batch that is run again
-    after a failure upserts the same rows."""
+    """Upserts each micro-batch of records, of one id the last by `ordinal` (else the greatest by its values, which no order of arrival changes); a stream of files can't
+    show what is gone. A batch that is run again after a failure upserts the same rows."""
     from pyspark.sql import functions as F
 
     def put(batch: DataFrame, _: int) -> None:
-        own = batch if "ordinal" in batch.columns else batch.withColumn("ordinal", F.monotonically_increasing_id())
-        last = last_of(own, "record_id").withColumn("content_hash", content_hash("text"))
+        last = lookup(batch, "record_id").withColumn("content_hash", content_hash("text"))
         rows = last.withColumn("start_page", F.array_min("pages")).withColumn("end_page", F.array_max("pages")).withColumn("embedding", embedder.documents(F.col("text")))
         if not index.exists():
-            index.put(rows.drop("ordinal"), {"embedding_model": embedder.name, "embedding_dimension": embedder.dimension, "embedding_fingerprint": embedder.fingerprint})
+            index.put(rows, {"embedding_model": embedder.name, "embedding_dimension": embedder.dimension, "embedding_fingerprint": embedder.fingerprint})
         else:
-            index.upsert(rows.select(*index.rows().columns))
+            index.upsert(rows)
 
     return records.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
