@@ -171,7 +171,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, dtype: str) -> byt
     """Trained on at most DICTIONARY_DOCS documents, each of which gives at most DICTIONARY_BYTES bytes of ids. Too few: no dictionary."""
     import zstandard
 
-    chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)  # ids alone meet in one task
+    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS).distinct()  # ids alone meet in one task; one that is there often leaves fewer
     some = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
 
     def run(frames):
@@ -228,7 +228,7 @@ def write(docs: DataFrame, target: str, path: str, end_id: int, vocabulary: int
         if docs_:
             yield out()
 
-    rows = docs.mapInPandas(encode, "part int, doc_id long, n int, frame binary").repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
+    rows = docs.mapInPandas(encode, "part int, doc_id long, n int, frame binary").repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
     rows.mapInPandas(pack, "part int, seq int, n_docs int, n_tokens long, shard binary").write.parquet(f"{target}/shards")
 
 

@@ -196,3 +196,30 @@ def test_phrase_odd_rows(spark, monkeypatch):
     assert phrases.collocations(df).where("lang != 'long'").count() == 0
     with pytest.raises(ValueError):
         phrases.collocations(df, 0)
+
+
+# sums of long vectors, of op4 ------------------------------------------------------------------------------------------
+
+
+def test_sums_by_slices(spark, monkeypatch):
+    from lodestone.llm import language_model as lm
+
+    monkeypatch.setattr(lm, "SLICE", 1000)
+    g = np.random.default_rng(1)
+    x = g.normal(size=(23, 4321)).astype("<f4")
+    rows = spark.createDataFrame([(k, s, b) for k in range(23) for s, b in ((int(r.slice), bytearray(r.blob)) for r in lm.slices(x[k], k).itertuples())], "bucket int, slice int, blob binary").repartition(6)
+    total, n = lm.summed(rows, "<f4")
+    assert n == 23 and np.array_equal(total, sum(v.astype("<f8") for v in x))
+    assert lm.summed(rows.limit(0), "<f4")[1] == 0
+
+
+def test_the_full_vocabulary_stays_small():
+    """With all 50,257 ids and the end seen: what a group sends, what one row of it holds, what the driver takes."""
+    from lodestone.llm import language_model as lm
+
+    n = 50_258
+    net = lm.Network(np.ones(n, dtype=np.int64), np.arange(n) % 2 == 0)
+    vector = np.concatenate([d[k].ravel() for d in (net.w, *net.moments()) for k in sorted(net.w)]).astype("<f4")
+    rows = lm.slices(vector, 0)
+    assert max(map(len, rows["blob"])) <= 4 * lm.SLICE
+    assert vector.nbytes < 30 << 20 and 2 * vector.nbytes < 100 << 20  # sums are doubles; the driver takes one vector of them

@@ -805,5 +805,5 @@ def test_token_files(spark, tmp_path):
 def test_queries_are_whole(spark, sf):
     from lodestone.llm import queries
 
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in queries.QUERIES] and len(queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in queries.QUERIES] and len(queries.QUERIES) == 12
     assert json.dumps(list(queries.ORACLE_SQL))
