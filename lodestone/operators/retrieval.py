@@ -177,6 +177,11 @@ def budgeted(blocks: DataFrame, qid: str | list[str], budget: int | Column) -> D
     return per.select(*keys, F.aggregate("blocks", start, step, lambda a: a["out"]).alias("sources"))
 
 
+def dictionary(*columns: str) -> Column:
+    """A row as a JSON object of these columns; what is null has no key."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+
 RULES = {"en": "Answer in English.", "zh-hant": "Answer in Traditional Chinese."}
 
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone import schemas
+from lodestone import schemas, streaming
+from lodestone.config import Settings
 from lodestone.functions import text as T
 from lodestone.operators import checks, corpus, counters, envelopes, index, models, retrieval, tables, textview
 from lodestone.plans import ingest
+from lodestone.plans.engine import Engine
 from lodestone.sources import files
 from lodestone.stage import new_folder as scratch
 from lodestone.stage import numbered
@@ -639,8 +641,10 @@ def index_build(spark, sf_dir):
     return one.withColumn("run", F.lit(1)).unionByName(two.withColumn("run", F.lit(2)))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '{S.replace('[', '[^', 1)}+{S}*') AS w FROM documents), f AS (SELECT doc_id, w, unnest(range((len(w) + 121) // 122)) AS k FROM w)
+    SELECT doc_id, 1 AS row_no, k + 1 AS fragment_no, (len(w) + 121) // 122 AS n_fragments, regexp_replace(array_to_string(list_slice(w, k * 122 + 1, k * 122 + 122), ''), '{S}+$', '') AS text FROM f""")
 def oversize_rows(spark, sf_dir):
+    """Texts as rows too large for a chunk of 128 words, 6 of them the label: fragments of 122."""
     x = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("row_no"), "text", F.lit("Columns: text\n\nRow 1 fragment 999/999: ").alias("prefix"))
     return tables.fragments(x, "doc_id", 128)
 
@@ -881,3 +885,130 @@ def subword_packs(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.concat(F.lit("Talk "), F.col("conv_id").cast("string"), F.lit("\n\n")).alias("lead"))
     x = tables.pack_texts(c, "conv_id", ["turn"], "text", "lead", 100, counters.public("word_bpe_49k.json"))
     return x.select("conv_id", "turn", "row_no", "group_no")
+
+
+# --- stored records, parsed files, the engine --------------------------------------------------------------------------
+
+
+def _stored(spark, sf_dir):
+    """Documents as stored records: every fifth is a table's parent, every other fifth a child of one; some are there twice."""
+    k = F.col("doc_id")
+    kind = F.when(k % 5 == 0, "table_parent").when(k % 5 == 1, "table_child").otherwise("text")
+    base = lambda x: F.format_string("d:table:%03d:parent:000", x)
+    record_id = F.when(k % 5 == 0, base(k)).when(k % 5 == 1, F.format_string("d:table:%03d:child:000", k - 1)).otherwise(F.format_string("d:text:%06d", k))
+    d = table(spark, sf_dir, "documents")
+    d = d.select("*", F.lit(0).alias("again")).unionByName(d.where(k % 7 == 3).select("*", F.lit(1).alias("again")))
+    heads = F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("A"), F.col("lang")))
+    return d.select(
+        F.lit("1.0.0").alias("schema_version"), record_id.alias("record_id"), F.when(k % 5 == 1, base(k - 1)).when(k % 5 == 2, F.lit("")).alias("parent_id"), kind.alias("content_type"),
+        F.struct(F.lit("d").alias("document_id"), F.array((k % 4 + 3).cast("int"), (k % 4 + 1).cast("int")).alias("pages")).alias("source"),
+        F.struct(F.when(F.col("again") == 1, F.concat(F.lit("second "), "source")).otherwise(F.col("source")).alias("text"), F.when(k % 10 == 0, F.lit("")).when(k % 10 == 5, F.lit("| m |")).alias("markdown")).alias("content"),
+        F.struct(F.when(k % 11 != 0, 7).alias("token_count"), heads.alias("headings"), F.when(k % 2 == 0, F.lit(" Part ")).alias("chapter"), F.when(k % 15 == 0, F.array(F.lit("Cap"))).alias("caption"), F.when(k % 5 == 1, k.cast("int")).alias("table_index")).alias("metadata"), "again", "doc_id",
+    )
+
+
+_RECORD_SQL = """SELECT d.doc_id, CASE WHEN doc_id % 5 = 0 THEN 'table_parent' WHEN doc_id % 5 = 1 THEN 'table_child' ELSE 'text' END AS content_type, CASE WHEN doc_id % 7 = 3 THEN 'second ' || source ELSE source END AS text FROM documents d"""
+
+
+@query(f"""WITH r AS ({_RECORD_SQL}) SELECT doc_id, content_type, text, CASE WHEN doc_id % 5 = 1 THEN 'd:table:' || format('{{:03d}}', doc_id - 1) || ':parent:000' END AS parent_id, (doc_id % 4 + 1) || ',' || (doc_id % 4 + 3) AS pages, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 7 END AS token_count,
+    CASE WHEN content_type = 'table_child' THEN CASE WHEN doc_id % 15 = 0 THEN 'Cap' ELSE 'Table (index ' || doc_id || ')' END WHEN content_type = 'table_parent' THEN CASE WHEN doc_id % 15 = 0 THEN 'Cap' ELSE 'Table' END
+      ELSE CASE WHEN doc_id % 2 = 0 THEN 'Part > ' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'Untitled section' ELSE 'A > ' || (SELECT lang FROM documents x WHERE x.doc_id = r.doc_id) END END AS title FROM r""")
+def stored_records(spark, sf_dir):
+    """JSON lines of stored records, read with their line numbers: of one id the last line counts."""
+    path = scratch(spark)
+    own = _stored(spark, sf_dir)
+    own.repartitionByRange(4, "again", "doc_id").sortWithinPartitions("again", "doc_id").drop("again", "doc_id").write.option("ignoreNullFields", "false").json(path)
+    r, _ = files.load_corpus(spark, path, path)
+    number = F.regexp_extract("record_id", ":([0-9]+)", 1).cast("long")
+    return r.select((number + F.when(F.col("content_type") == "table_child", 1).otherwise(0)).alias("doc_id"), "content_type", "text", "parent_id", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "token_count", "title")
+
+
+@query(f"WITH r AS ({_RECORD_SQL}) SELECT doc_id, CASE WHEN doc_id % 10 = 5 THEN '| m |' ELSE text END AS text, CASE WHEN doc_id % 15 = 0 THEN 'Cap' ELSE 'Table' END AS title FROM r WHERE doc_id % 5 = 0")
+def stored_parents(spark, sf_dir):
+    """Parents among stored records: their text is the Markdown, unless it is null or empty."""
+    path = scratch(spark)
+    own = _stored(spark, sf_dir)
+    own.repartitionByRange(4, "again", "doc_id").sortWithinPartitions("again", "doc_id").drop("again", "doc_id").write.option("ignoreNullFields", "false").json(path)
+    _, p = files.load_corpus(spark, path, path)
+    return p.select(F.regexp_extract("record_id", ":([0-9]+)", 1).cast("long").alias("doc_id"), "text", "title")
+
+
+@query("SELECT 'conv-' || conv_id AS document_id, turn AS ordinal, '#/texts/' || turn AS self_ref, CASE WHEN turn % 7 = 5 THEN '#/pictures/0' WHEN turn % 7 = 6 THEN '#/texts/' || (turn - 1) ELSE '#/body' END AS parent_ref, CAST(turn + 1 AS VARCHAR) AS pages, role AS headings, CASE WHEN turn % 5 = 2 AND conv_id % 4 = 0 THEN ' Index' ELSE text END AS text FROM conversations")
+def parsed_documents(spark, sf_dir):
+    """Documents as files of one JSON value each, with `$ref` for references, read as items."""
+    path = scratch(spark)
+    x = _conversations_as_documents(spark, sf_dir).select(F.col("document_id").alias("file"), F.to_json(F.struct(F.concat(F.lit("Conv "), F.substring("document_id", 6, 20)).alias("name"), F.struct(F.col("source_filename").alias("filename")).alias("origin"), "texts", "pictures")).alias("value"))
+    x.select("file", F.replace("value", F.lit('"ref"'), F.lit('"$ref"')).alias("value")).write.partitionBy("file").text(path)
+    i = ingest.items(ingest.document(spark, path))
+    return i.select("document_id", "ordinal", "self_ref", "parent_ref", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), F.array_join("headings", ",").alias("headings"), "text")
+
+
+def _engine(spark, sf_dir):
+    """An engine over all documents, with its index built."""
+    name = F.format_string("d:text:%06d", "doc_id")
+    records = table(spark, sf_dir, "documents").select(name.alias("record_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("text").alias("content_type"), F.lit("d").alias("document_id"), F.col("source").alias("title"), F.array(F.lit(2), F.lit(1)).alias("pages"), "text", F.lit(1).alias("token_count"))
+    parents = records.limit(0).select("record_id", "document_id", "title", "pages", "text", F.lit(0).alias("num_rows"), F.lit(0).alias("num_cols"))
+    own = Settings({"paths.index": scratch(spark)})
+    e = Engine(spark, own, records, parents, models.length_embedder(own.embedding), models.lexical_reranker(), models.extractive_model())
+    e.index()
+    return e
+
+
+_SEARCH = f"""q AS (SELECT item_id AS qid, {_strip('text')} AS question FROM benchmark WHERE {_strip('text')} <> ''), d AS (SELECT qid, question, doc_id, text, (CAST(length(question) AS DOUBLE) - length(text)) * (CAST(length(question) AS DOUBLE) - length(text)) AS d FROM q, documents),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, doc_id) AS rank FROM d) WHERE rank <= 20),
+    scored AS (SELECT *, len(list_intersect({_terms('question')}, {_terms('text')})) / greatest(len({_terms('question')}), 1) AS score FROM near),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS rr FROM scored)"""
+
+
+@query(f"WITH {_SEARCH} SELECT qid, 'd:text:' || format('{{:06d}}', doc_id) AS record_id, d AS vector_distance, round(score, 6) AS score, rr AS rank FROM hits WHERE rr <= 8")
+def engine_search(spark, sf_dir):
+    """Every benchmark item through the engine: index, guard, nearest 20 by the offline vectors, reranked 8."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return _engine(spark, sf_dir).search(asked, 0).select("qid", "record_id", "vector_distance", F.round("score", 6).alias("score"), F.col("rerank_rank").alias("rank"))
+
+
+@query(f"""WITH {_SEARCH} SELECT qid, rr AS rank, '{{"record_id":"d:text:' || format('{{:06d}}', doc_id) || '","title":"' || (SELECT source FROM documents x WHERE x.doc_id = hits.doc_id) || '","start_page":1,"end_page":2' || CASE WHEN qid % 3 = 0 THEN '' ELSE ',"rerank_score":' || CAST(round(score * 1000) AS BIGINT) END || '}}' AS json FROM hits WHERE rr <= 8""")
+def candidate_dictionaries(spark, sf_dir):
+    """Candidates as dictionaries for output: a missing score has no key."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    x = _engine(spark, sf_dir).search(asked).withColumn("rerank_score", F.when(F.col("qid") % 3 != 0, F.round(F.col("score") * 1000).cast("long")))
+    return x.select("qid", F.col("rerank_rank").alias("rank"), retrieval.dictionary("record_id", "title", "start_page", "end_page", "rerank_score").alias("json"))
+
+
+@query(f"WITH {_SEARCH}, src AS (SELECT qid, list('d:text:' || format('{{:06d}}', doc_id) ORDER BY rr) AS ids FROM hits WHERE rr <= 4 GROUP BY qid) SELECT qid, array_to_string(ids, ',') AS cited FROM src")
+def answered_stream(spark, sf_dir):
+    """Questions as a stream through the engine, twice over one checkpoint: each is answered once."""
+    out = scratch(spark)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    asked.write.parquet(f"{out}/questions")
+    e = _engine(spark, sf_dir)
+    for _ in range(2):
+        streaming.answer_stream(spark.readStream.schema("qid long, question string").parquet(f"{out}/questions"), e, f"{out}/answers", f"{out}/mark").awaitTermination()
+    return spark.read.parquet(f"{out}/answers").select("qid", F.array_join(F.transform("citations", lambda c: c["record_id"]), ",").alias("cited"))
+
+
+@query("SELECT doc_id, left(sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END), 16) AS content_hash, CAST(length(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS FLOAT) AS v0, source AS title FROM documents")
+def index_stream(spark, sf_dir):
+    """An index kept by a stream of record files: all, then every third again, changed."""
+    out = scratch(spark)
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("text").alias("content_type"), F.col("source").alias("title"), F.array(F.lit(1)).alias("pages"), "text")
+    store, e = index.VectorIndex(spark, f"{out}/index"), models.length_embedder()
+    for rows in (r, r.where("record_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!")))):
+        rows.write.mode("append").parquet(f"{out}/records")
+        streaming.sync_stream(spark.readStream.schema(r.schema).parquet(f"{out}/records"), store, e, f"{out}/mark").awaitTermination()
+    return store.rows().select(F.col("record_id").cast("long").alias("doc_id"), "content_hash", F.get("embedding", F.lit(0)).alias("v0"), "title")
+
+
+@query("SELECT doc_id, CAST(length('passage: ' || text) AS FLOAT) AS document, CAST(length('query: ' || text) AS FLOAT) AS question, sha256('{\"document_prompt\":\"passage: \",\"max_length\":1024,\"model\":\"m\",\"normalize\":true}') AS fingerprint FROM documents")
+def embed_prompted(spark, sf_dir):
+    """Vectors of texts with their prompts before them; the question's prompt is no part of the fingerprint."""
+    e = models.length_embedder(Settings({"embedding.model": "m", "embedding.document_prompt": "passage: ", "embedding.query_prompt": "query: "}).embedding)
+    x = table(spark, sf_dir, "documents").select("doc_id", e.documents(F.col("text")).alias("d"), e.questions(F.col("text")).alias("q"))
+    return x.select("doc_id", F.get("d", F.lit(0)).alias("document"), F.get("q", F.lit(0)).alias("question"), F.lit(e.fingerprint).alias("fingerprint"))
+
+
+@query("SELECT r_regionkey AS key, 'Caption: ' || r_name || chr(10) || 'Caption: second' || chr(10) || '| name | ' || r_name || ' |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' |  |', chr(10) ORDER BY n_nationkey) AS markdown, 'Row 1:' || chr(10) || r_name || ': yes' AS row FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+def captioned_markdown(spark, sf_dir):
+    g = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+    shown = T.table_markdown(F.array(F.col("r_name"), F.lit("second")), F.array(F.lit("name"), F.col("r_name")), F.transform("x", lambda r: F.array(r["n_name"])))
+    return g.select(F.col("r_regionkey").alias("key"), shown.alias("markdown"), T.row_text(F.lit(1), F.array(F.concat("r_name", F.lit("::")), F.lit("yes")), F.array(F.lit("a"), F.lit("b")), F.lit(True)).alias("row"))
