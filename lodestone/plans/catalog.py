@@ -672,7 +672,11 @@ def text_chunks(spark, sf_dir):
     return x.select("conv_id", F.col("number").cast("long").alias("number"), F.array_join("headings", "|").alias("headings"), "text", F.col("token_count").cast("long").alias("token_count"), F.array_join("refs", ",").alias("refs"), F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
 
-@query()
+@query(
+    f"""WITH {_FUNNEL}, h AS (SELECT item_id, text, 4000 - length('[Source 1] doc ' || doc_id || ' (pages ' || (doc_id % 7 + 1) || CASE WHEN doc_id % 2 = 1 THEN ' - ' || (doc_id % 7 + 2) ELSE '' END || ')' || chr(10)) AS room FROM src WHERE source_no = 1),
+    t AS (SELECT item_id, CASE WHEN length(text) <= room THEN text ELSE regexp_replace(left(text, CAST(room - {_N} AS BIGINT)), '{S}+$', '') END AS t FROM h)
+    SELECT item_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^{S}+|{S}+$', '', 'g')), lambda x: x <> '')[1] || ' [Source 1]' AS answer, 'extractive' AS model FROM t"""
+)
 def generated_answers(spark, sf_dir):
     kept = retrieval.first_distinct(_reranked(spark, sf_dir), "item_id", retrieval.source_key(), 4)
     blocks = kept.withColumn("passage", F.col("text")).withColumn("section", F.col("text")).withColumn("expanded", F.lit(False))
