@@ -5,7 +5,9 @@ words). Equal sets are one class, found by hash before anything else.
 
 1. Every shingle of every class meets its like, which gives the number of classes that hold it. A shingle of one class
    only can be in no overlap, so a class keeps its shared shingles, and a class with under 80 % of them shared can be
-   linked with nothing.
+   linked with nothing. Very common shingles meet nowhere: a first pass counts shingles in COUNTERS counters by hash, and those of a
+   heavy counter (HEAVY rows at least, and 8 times the mean) count as shared, at the counter's level. So no task holds the classes of one
+   license line.
 2. Prefix-tree join. Under each of KEYS global orders, classes with the same first shingle meet (linked sets do with
    their similarity as the chance); a task's classes go into one trie, and many probes walk
    it together, a stretch of shingles at a time. The overlap with a shared path is counted once, and a subtree is left
@@ -16,8 +18,7 @@ words). Equal sets are one class, found by hash before anything else.
 3. What tries cannot have seen: in one order, rare shingles first, linked sets have one in common among the first
    n - ceil(0.8 n) + 1 of both (unshared ones counted). These prefixes meet by shingle; classes with different labels
    become pairs if their sizes, and the parities of their whole sets, leave enough overlap; tries decide the pairs.
-   Shingles of 2**HOT classes or more are dealt with in blocks: classes outside the commonest label go to every block
-   of the others.
+   Shingles of 2**HOT classes or more are dealt with in a grid of blocks: of classes outside the commonest label, and of all.
 4. Labels and links make components.
 
 Nothing is capped or sampled. Equality of shingles and classes is that of 64-bit hashes. Null and empty texts, and
@@ -42,6 +43,8 @@ PERCENT = 80
 FLUSH, PAIRS, TREE = 1 << 20, 1 << 17, 1 << 21
 #: Global orders; classes in a trie's group, binary logarithm of the classes in a prefix group, partners in a tree of the last step.
 KEYS, GROUP, HOT, FAN = 2, 256, 12, 128
+#: Counters of shingles, binary logarithm, in as many parts; rows of a heavy one.
+COUNTERS, PARTS, HEAVY = 18, 16, 1 << 14
 #: Shingles that a walk takes from a node at a time.
 STRETCH = 64
 ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("label", "<i8"), ("n", "<u4"), ("s", "<u4"), ("sign", "<u8", (4,))])
@@ -338,8 +341,44 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(frugal(run), "doc_id long, n long, cls long")
 
 
+def heavy_levels(docs: DataFrame) -> np.ndarray:
+    """The level of each counter's shingles if it is heavy, else 0. A task's counters pass as a stream through one task for each part; the driver takes
+    2**COUNTERS sums, whatever the corpus."""
+    width = (1 << COUNTERS) // PARTS
+
+    def count(frames):
+        total, seen = np.zeros(1 << COUNTERS, dtype=np.int64), set()
+        for pdf in frames:
+            sets = shingle_sets(pdf["text"].tolist())
+            own = [s for c, s in zip(classes_of(sets).tolist(), sets) if len(s) and not (c in seen or (len(seen) < 1 << 20 and seen.add(c)))]
+            if own:
+                total += np.bincount(counter_of(np.concatenate(own)), minlength=1 << COUNTERS)
+            give_back()
+        if total.any():
+            yield pd.DataFrame({"bucket": np.arange(PARTS, dtype="int32"), "blob": [x.tobytes() for x in np.split(total, PARTS)]})
+
+    def add(frames):
+        own: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for b, blob in zip(pdf["bucket"].tolist(), pdf["blob"]):
+                own[b] = own.get(b, 0) + np.frombuffer(blob, dtype=np.int64)
+        for b, x in own.items():
+            yield pd.DataFrame({"bucket": [b], "blob": [x.tobytes()]})
+
+    found = {r.bucket: np.frombuffer(bytes(r.blob), dtype=np.int64) for r in docs.select("text").mapInPandas(frugal(count), PACKED).repartitionById(PARTS, F.col("bucket")).mapInPandas(add, PACKED).collect()}
+    total = np.concatenate([found.get(b, np.zeros(width, dtype=np.int64)) for b in range(PARTS)])
+    heavy = total >= max(HEAVY, 8 * total.mean())
+    return np.where(heavy, np.log2(np.maximum(total, 1)), 0).astype("u1")
+
+
+def counter_of(token: np.ndarray) -> np.ndarray:
+    return (mix64(token ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
 def shared_sets(docs: DataFrame, nb: int) -> DataFrame:
     """LIVE rows: the classes of which enough shingles are shared, with these in global order."""
+    levels = docs.sparkSession.sparkContext.broadcast(heavy_levels(docs))  # 2**COUNTERS bytes
+    by_class = lambda cls: (mix64(cls.view(np.uint64)) % np.uint64(nb)).astype(np.int64)
 
     def entries(frames):
         held, count, seen = [], 0, set()
@@ -347,7 +386,12 @@ def shared_sets(docs: DataFrame, nb: int) -> DataFrame:
         def out():
             size = [len(x) for _, x in held]
             cls, token = np.repeat([c for c, _ in held], size), np.concatenate([x for _, x in held])
-            return pack_lists((mix64(token) % np.uint64(nb)).astype(np.int64), cls, np.repeat(size, size), token)
+            n, level = np.repeat(size, size), levels.value[counter_of(token)]
+            for heavy in (False, True):
+                k = np.flatnonzero((level > 0) == heavy)
+                if len(k):
+                    bucket = by_class(cls[k]) if heavy else (mix64(token[k]) % np.uint64(nb)).astype(np.int64)
+                    yield pack_lists(bucket, cls[k], n[k], token[k], level[k] if heavy else None).assign(heavy=heavy)
 
         for pdf in frames:
             sets = shingle_sets(pdf["text"].tolist())
@@ -359,18 +403,24 @@ def shared_sets(docs: DataFrame, nb: int) -> DataFrame:
                 held.append((c, s))
                 count += len(s)
                 if count >= FLUSH:
-                    yield out()
+                    yield from out()
                     held, count = [], 0
             give_back()
         if held:
-            yield out()
+            yield from out()
 
     def meet(frames):
-        blobs = [b for pdf in frames for b in pdf["blob"]]
+        blobs = []
+        for pdf in frames:
+            for blob, heavy, bucket in zip(pdf["blob"], pdf["heavy"], pdf["bucket"]):
+                if heavy:  # it stands by its class already
+                    yield pd.DataFrame({"bucket": np.array([bucket], dtype="int32"), "blob": [blob]})
+                else:
+                    blobs.append(blob)
         if blobs:
             cls, n, token, level = shared_of(*unpack_lists(blobs)[:3])
             if len(cls):
-                yield pack_lists((mix64(cls.view(np.uint64)) % np.uint64(nb)).astype(np.int64), cls, n, token, level)
+                yield pack_lists(by_class(cls), cls, n, token, level)
 
     def gather(frames):
         blobs = [b for pdf in frames for b in pdf["blob"]]
@@ -378,6 +428,7 @@ def shared_sets(docs: DataFrame, nb: int) -> DataFrame:
             return
         cls, n, token, level = unpack_lists(blobs)
         order = np.lexsort((token, level, cls))
+        order = order[np.append(True, (cls[order][1:] != cls[order][:-1]) | (token[order][1:] != token[order][:-1]))]  # heavy ones come from each task that has the class
         cls, n, token, level = cls[order], n[order], token[order], level[order]
         at = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
         size = np.diff(np.append(at, len(cls)))
@@ -386,7 +437,7 @@ def shared_sets(docs: DataFrame, nb: int) -> DataFrame:
             firsts = [[int(token[x][spread(token[x], key).argmin()].view(np.int64)) for key in range(KEYS)] for x in own]
             yield pd.DataFrame({"cls": cls[at[part]], "n": n[at[part]].astype("int32"), "firsts": firsts, "usual": [float(level[x].mean()) for x in own], "tokens": [token[x].tobytes() for x in own], "cold": [int((level[x] < HOT).sum()) for x in own]})
 
-    met = to_buckets(docs.select("text").mapInPandas(frugal(entries), PACKED)).mapInPandas(frugal(meet), PACKED)
+    met = to_buckets(docs.select("text").mapInPandas(frugal(entries), f"{PACKED}, heavy boolean")).mapInPandas(frugal(meet), PACKED)
     return to_buckets(met).mapInPandas(frugal(gather), LIVE)
 
 
@@ -495,13 +546,14 @@ def across_labels(rows: np.ndarray):
 
 
 def hot_pairs(hot: DataFrame) -> DataFrame:
-    """The same for shingles of many classes, in blocks. Every class is in one block of its shingle's, those outside the
-    commonest label also beside every other block."""
+    """The same for shingles of many classes, in a grid of blocks of all classes and of those outside the commonest label; both sides of a cell are
+    bounded by about 2**(HOT - 1) classes."""
     counts = hot.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("every"), F.count("*").alias("labels"))
-    mixed = counts.where("labels > 1").select("token", F.col("top.label").alias("common"), F.ceil(F.col("every") / (1 << (HOT - 1))).alias("blocks"))
+    mixed = counts.where("labels > 1").select("token", F.col("top.label").alias("common"), F.ceil(F.col("every") / (1 << (HOT - 1))).alias("blocks"), F.ceil((F.col("every") - F.col("top.c")) / (1 << (HOT - 1))).alias("turns"))
     rows = hot.join(mixed, "token")
-    own = rows.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("side", F.lit(0))
-    few = rows.where("label != common").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("turn", every("turns"))
+    few = rows.where("label != common").withColumn("block", every("blocks")).withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(1)), "turns"))
 
     def run(key, few, own):
         if not len(few) or not len(own):
@@ -515,9 +567,9 @@ def hot_pairs(hot: DataFrame) -> DataFrame:
             found += compared(np.repeat(a[k], len(b)), np.tile(b, len(k)))
         return next(iter(distinct_pairs(found)), pd.DataFrame({"a": [], "b": []})).astype("int64")
 
-    columns = ["token", "block", "cls", "label", "n", "s", "sign"]
+    columns = ["token", "block", "turn", "cls", "label", "n", "s", "sign"]
     few = few.select(*(F.col(c).alias(f"f_{c}") for c in columns))  # names of its own: both sides come from hot
-    return few.groupBy("f_token", "f_block").cogroup(own.select(columns).groupBy("token", "block")).applyInPandas(run, PAIR)
+    return few.groupBy("f_token", "f_block", "f_turn").cogroup(own.select(columns).groupBy("token", "block", "turn")).applyInPandas(run, PAIR)
 
 
 def components(docs: DataFrame) -> DataFrame:

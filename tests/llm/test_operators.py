@@ -616,8 +616,10 @@ def test_lists_of_shingles():
     assert sorted(zip(c.tolist(), t.tolist(), level.tolist())) == sorted((a, x, int(math.log2(len(g)))) for x, g in held.items() if len(g) > 1 for a in g)
 
 
-def test_ngram_split_groups(spark, monkeypatch):
+@pytest.mark.parametrize("heavy", [1 << 14, 3])
+def test_ngram_split_groups(spark, monkeypatch, heavy):
     """Groups and shingles over the sizes that one task takes: a family, unlinked texts with a common part, and chains."""
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
     monkeypatch.setattr(ngram_join, "GROUP", 8)
     monkeypatch.setattr(ngram_join, "HOT", 3)
     monkeypatch.setattr(ngram_join, "PAIRS", 64)
@@ -630,6 +632,7 @@ def test_ngram_split_groups(spark, monkeypatch):
             t[rng.randrange(100)] = f"e{rng.randrange(40)}"
         rows.append((i, " ".join(t)))
     rows += [(100 + i, " ".join([*common, *(f"u{rng.randrange(30)}" for _ in range(rng.randint(4, 14)))])) for i in range(90)]
+    assert (ngram_join.heavy_levels(spark.createDataFrame(rows, DOC)) > 0).sum() > 50 or heavy > 3
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.components(spark.createDataFrame(rows, DOC).repartition(6)).collect()}
     assert got == groups_of(rows)
 
