@@ -53,7 +53,7 @@ def run(spark: SparkSession, questions: str, vectors: str, documents: str, targe
     made.observe(read, F.count("*").alias("questions"), F.count_if(F.size("truncated") > 0).alias("cut")).write.mode("overwrite").partitionBy("language").parquet(f"{target}/prompts")
     prompts = spark.read.schema(made.schema).parquet(f"{target}/prompts")
     called = answers.ask(prompts, llm, f"{target}/asked")
-    rows = answers.answered(prompts, llm, f"{target}/asked")
+    rows = answers.answered(prompts, llm, f"{target}/asked").drop("latency")
     rows.observe(wrote, F.count("*").alias("answers")).write.mode("overwrite").partitionBy("language").parquet(f"{target}/answers")
     total = read.get | {"asked": called} | wrote.get
     log.info("read %s, %s and %s, wrote %s: %s", questions, vectors, documents, target, total)

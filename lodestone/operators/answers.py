@@ -34,8 +34,8 @@ def ask(prompts: DataFrame, model: LanguageModel, path: str, round_size: int = R
 
 
 def answered(prompts: DataFrame, model: LanguageModel, path: str) -> DataFrame:
-    """Adds answer and model to each prompt; of a prompt that two jobs asked at one time, one answer counts."""
+    """Adds answer, model and latency to each prompt; of a prompt that two jobs asked at one time, one answer counts."""
     known = read_or_empty(prompts.sparkSession, path, ASKED)
-    one = known.groupBy("key").agg(F.min(F.struct("answer", "model")).alias("_said"))
+    one = known.groupBy("key").agg(F.min(F.struct("answer", "model", "latency")).alias("_said"))
     x = prompts.withColumn("key", prompt_key(F.col("prompt"), model)).join(one, "key", "left")
-    return x.withColumn("answer", F.col("_said.answer")).withColumn("model", F.col("_said.model")).drop("key", "_said")
+    return x.withColumn("answer", F.col("_said.answer")).withColumn("model", F.col("_said.model")).withColumn("latency", F.col("_said.latency")).drop("key", "_said")

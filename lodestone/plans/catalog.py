@@ -987,7 +987,7 @@ def answered_stream(spark, sf_dir):
     asked.write.parquet(f"{out}/questions")
     e = _engine(spark, sf_dir)
     for _ in range(2):
-        streaming.answer_stream(spark.readStream.schema("qid long, question string").parquet(f"{out}/questions"), e, f"{out}/answers", f"{out}/mark").awaitTermination()
+        streaming.answer_stream(spark.readStream.schema("qid long, question string").parquet(f"{out}/questions"), e, f"{out}/answers", f"{out}/mark", f"{out}/asked").awaitTermination()
     return spark.read.parquet(f"{out}/answers").select("qid", F.array_join(F.transform("citations", lambda c: c["record_id"]), ",").alias("cited"))
 
 

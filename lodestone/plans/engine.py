@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.functions.text import strip
-from lodestone.operators import models, retrieval
+from lodestone.operators import answers, models, retrieval
 from lodestone.operators.index import VectorIndex
 from lodestone.sources import files
+from lodestone.stage import stash
 
 
 class Engine:
@@ -54,11 +55,16 @@ class Engine:
         both = asked.join(sources, "qid", "left").withColumn("sources", F.coalesce("sources", F.array().cast(f"array<{retrieval.CITED}>")))
         return retrieval.prompts(both, "question", p.answer_language)
 
-    def answer(self, questions: DataFrame) -> DataFrame:
-        """Adds answer, model and latency. Write the result once; reading it twice would ask the model twice."""
+    def answer(self, questions: DataFrame, asked: str | None = None) -> DataFrame:
+        """Adds answer, model and latency. Write the result once; reading it twice would ask the model twice. With a path `asked` answers are kept
+        there by prompt: the model is called now, for what it was never asked, and the result can be read as often as wanted."""
         if self.llm is None:
             raise ValueError("the engine was built without a language model")
-        return models.generate(self.build_prompt(questions), self.llm)
+        if asked is None:
+            return models.generate(self.build_prompt(questions), self.llm)
+        prompts = stash(self.build_prompt(questions), "prompts")
+        answers.ask(prompts, self.llm, asked)
+        return answers.answered(prompts, self.llm, asked)
 
 
 def build_engine(spark: SparkSession, settings: Settings | None = None, *, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None, llm: models.LanguageModel | None = None, with_llm: bool = True) -> Engine:

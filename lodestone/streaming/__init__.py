@@ -27,10 +27,11 @@ def sync_stream(records: DataFrame, index: VectorIndex, embedder: Embedder, chec
     return records.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def answer_stream(questions: DataFrame, engine, target: str, checkpoint: str) -> StreamingQuery:
-    """Answers each micro-batch of questions; they know nothing of each other."""
+def answer_stream(questions: DataFrame, engine, target: str, checkpoint: str, asked: str | None = None) -> StreamingQuery:
+    """Answers each micro-batch of questions; they know nothing of each other. asked: where answers are kept by prompt, so that a batch which is run
+    again after a failure asks only what is unanswered."""
 
     def run(batch: DataFrame, number: int) -> None:
-        engine.answer(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        engine.answer(batch, asked).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

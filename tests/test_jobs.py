@@ -135,3 +135,23 @@ def test_command_line(tmp_path, spark):
     assert [r.text for r in passages.current(spark, f"{tmp_path}/out").orderBy("passage_no").collect()] == ["a b", "c"]
     wrong = subprocess.run(call, cwd=where, capture_output=True, text=True, timeout=60)
     assert wrong.returncode and "target" in wrong.stderr
+
+
+def test_a_stream_of_questions_asks_once(spark, tmp_path):
+    """Batches that are run again from the start call no model again; answers are the same."""
+    from lodestone.config import Settings
+    from lodestone.plans.engine import Engine
+    from lodestone.streaming import answer_stream
+
+    records = spark.createDataFrame([(f"r{k}", None, "text", "d", f"t{k}", [1], "word " * k, k) for k in range(5)], "record_id string, parent_id string, content_type string, document_id string, title string, pages array<int>, text string, token_count int")
+    parents = spark.createDataFrame([], "record_id string, title string, pages array<int>, text string")
+    log = str(tmp_path / "calls")
+    engine = Engine(spark, Settings({"paths.index": str(tmp_path / "index")}), records, parents, models.length_embedder(), models.lexical_reranker(), counting(log))
+    engine.index()
+    spark.createDataFrame([(1, "a word"), (2, "two words"), (3, "a word")], "qid long, question string").write.parquet(str(tmp_path / "q"))
+    run = lambda mark: answer_stream(spark.readStream.schema("qid long, question string").parquet(str(tmp_path / "q")), engine, str(tmp_path / "out"), str(tmp_path / mark), str(tmp_path / "asked")).awaitTermination(120)
+    run("one")
+    first = sorted((r.qid, r.answer, r.latency) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert len(first) == 3 and first[0][1] == first[2][1] and len(calls(log)) == 2
+    run("two")
+    assert sorted((r.qid, r.answer, r.latency) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == first and len(calls(log)) == 2
