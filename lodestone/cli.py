@@ -93,6 +93,7 @@ def step(spark, args) -> dict:
 
     from lodestone.plans import ingest
     from lodestone.sources import files
+    from lodestone.stage import stash
 
     chunks = Settings.from_env().chunks
     if args.step == "convert":  # parser: module:function of (path, bytes) -> JSON text
@@ -115,7 +116,7 @@ def step(spark, args) -> dict:
         else:
             reviews = files.read_reviews(spark, args.reviews) if args.reviews else spark.createDataFrame([], "table_index int, reason string, note string")
             overrides = files.read_overrides(spark, args.overrides) if args.overrides else spark.createDataFrame([], "table_index int, caption array<string>")
-            decided = ingest.inventory(docs, reviews, overrides)
+            decided = stash(ingest.inventory(docs, reviews, overrides), "inventory")
             if args.step == "tables":
                 got = ingest.write_children(ingest.table_records(decided, chunks.target_tokens, chunks.max_tokens), decided, args.target, chunks.max_tokens, args.quarantine)
             else:

@@ -96,12 +96,12 @@ def table_rows(decided: DataFrame) -> DataFrame:
 
 
 def _rows(taken: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Data rows, all rows, and which rows are headers (table_key, row_no)."""
+    """Data rows, all rows, and which rows are headers (table_key, row_no). Rows and headers are used several times, so they are written once."""
     key = "table_key"
     cell = taken.select(key, F.posexplode("cells").alias("ordinal", "c"))
     cells = cell.select(key, "ordinal", F.col("c.start_row_offset_idx").alias("row"), F.col("c.start_col_offset_idx").alias("col"), F.col("c.text").alias("text"))
-    rows = tables.matrix(cells, taken.select(key, "num_rows", "num_cols"), key)
-    heading = cell.where("c.column_header").select(key, F.col("c.start_row_offset_idx").alias("row_no")).distinct()
+    rows = stash(tables.matrix(cells, taken.select(key, "num_rows", "num_cols"), key), "table-rows")
+    heading = stash(cell.where("c.column_header").select(key, F.col("c.start_row_offset_idx").alias("row_no")).distinct(), "table-heads")
     return tables.data_rows(rows, heading, key), rows, heading
 
 
