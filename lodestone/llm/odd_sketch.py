@@ -8,12 +8,14 @@
    comparison or two a member, whatever its size.
 3. The rest: band keys whose classes are still in several components are gone through in blocks of BLOCK classes: those
    outside the commonest component meet every block. Pairs of one component are left out, the others go by their sketches.
+   Of keys that more than SPLIT classes have (a license text in half of all documents makes such) two together are a key: a pair that
+   shares no smaller key is compared if it shares two of them, so a common passage does not bring together all that holds it.
 4. Two sketches' XOR has as many odd bits as samples differ, but for samples that meet in one bit. A pair goes on if it
    has no more than odd_limit() of them, and if its sizes, and as many parities of its whole sets, leave enough overlap. Pairs that
    go on are confirmed on their full sets.
 
-A linked pair is lost if no band key is shared or its XOR is over the limit: at the threshold (1 - 0.85**ROWS)**BANDS, 6e-11,
-and LOSS, 1e-9; less above it. Nothing else is sampled or capped. Equality of shingles and classes is that of 64-bit hashes.
+A linked pair is lost if no band key is shared, or a single one and that very common, or if its XOR is over the limit: at the threshold
+(1 - 0.85**ROWS)**BANDS, 6e-11, the chance of one band alone, 2e-9, and LOSS, 1e-9; less above it. Nothing else is sampled or capped. Equality of shingles and classes is that of 64-bit hashes.
 Null and empty texts, and texts without words, have an empty set and no link. Rows with a null doc_id take part; a component's
 id is its smallest doc_id that is not null (null if all are). Repeated rows stay, of which each gets a row; an empty table gives
 an empty one; other columns of docs are left out; a very long text is one set, hashed piece by piece.
@@ -36,8 +38,8 @@ PERCENT = 85
 SAMPLES, ROWS, BITS = 128, 4, 1024
 BANDS = SAMPLES // ROWS
 LOSS = 1e-9
-#: Classes of one band key in a block; pairs of sketches that are compared at a time; shingles that are hashed at a time.
-BLOCK, PAIRS, CHUNK = 1024, 1 << 20, 1 << 16
+#: Classes from which on a band key counts only beside another; classes of one band key in a block; pairs of sketches that are compared at a time; shingles that are hashed at a time.
+SPLIT, BLOCK, PAIRS, CHUNK = 4096, 1024, 1 << 20, 1 << 16
 WORDS64 = BITS // 64
 PAIR = "a long, b long"
 
@@ -191,10 +193,26 @@ def similar(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return x.where(sizes & (odd_bits("_sa", "_sb") <= odd_limit(percent))).select("a", "b")
 
 
+def groups(rows: DataFrame) -> DataFrame:
+    """key, top (the commonest label and how many have it), every: of the keys whose classes have several labels."""
+    per = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("every"), F.count("*").alias("labels"))
+    return per.where("labels > 1").drop("labels")
+
+
+def narrowed(rows: DataFrame) -> DataFrame:
+    """Rows of the keys that have several labels; those of very common keys under each two of them that a class has."""
+    mixed = stash(groups(rows).select("key", (F.col("every") > SPLIT).alias("hot")), "odd-mixed")
+    own = rows.join(mixed, "key")
+    hot = own.where("hot").select("key", "cls", "label")
+    other = hot.select("cls", F.col("key").alias("_other"))
+    both = hot.join(other, "cls").where("key < _other").select(F.xxhash64("key", "_other").alias("key"), "cls", "label")
+    return own.where("not hot").select("key", "cls", "label").unionByName(both)
+
+
 def across(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes with a key in common and different labels whose sketches let them be linked. rows: key, cls, label."""
-    per = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("every"), F.count("*").alias("labels"))
-    mixed = per.where("labels > 1").select("key", F.col("top.label").alias("common"), F.ceil(F.col("every") / BLOCK).alias("blocks"), F.ceil((F.col("every") - F.col("top.c")) / BLOCK).alias("turns"))
+    rows = stash(narrowed(rows), "odd-groups")
+    mixed = groups(rows).select("key", F.col("top.label").alias("common"), F.ceil(F.col("every") / BLOCK).alias("blocks"), F.ceil((F.col("every") - F.col("top.c")) / BLOCK).alias("turns"))
     own = rows.join(mixed, "key").join(classes.select("cls", "n", "sketch"), "cls")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     # a grid of blocks of all classes x blocks of those outside the commonest label; mostly it is one cell

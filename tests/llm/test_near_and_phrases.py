@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import DOC, FOLD, odd, words
 
 from lodestone.llm import odd_sketch, phrases
@@ -70,8 +71,10 @@ def test_sketch_near_dedup(spark):
     assert found(odd_sketch.components(spark.createDataFrame(rows, DOC), 70)) == near_groups(rows, 70)
 
 
-def test_sketch_blocks(spark, monkeypatch):
-    """Groups that are larger than a block, and batches that cut a cell in two."""
+@pytest.mark.parametrize("split", [4, 4096])
+def test_sketch_blocks(spark, monkeypatch, split):
+    """Groups that are larger than a block, keys that count only in twos, and batches that cut a cell in two."""
+    monkeypatch.setattr(odd_sketch, "SPLIT", split)
     monkeypatch.setattr(odd_sketch, "BLOCK", 7)
     monkeypatch.setattr(odd_sketch, "PAIRS", 50)
     rows = families()
@@ -82,6 +85,22 @@ def test_sketch_blocks(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
 
 
+def test_common_passages_bring_few_together(spark, monkeypatch):
+    """A text that hundreds of documents hold beside their own: keys of it alone bring no pair together, in twos few."""
+    g = random.Random(9)
+    common = [f"c{k}" for k in range(40)]
+    rows = [(k, " ".join([*(f"o{k}x{g.randrange(1000)}" for _ in range(80)), *common])) for k in range(300)]
+    rows += [(300 + k, rows[k][1] + " end") for k in range(40)]
+    df = spark.createDataFrame(rows, DOC)
+    classes = odd_sketch.stash(odd_sketch.described(df).where("keys is not null").select("cls", "n", "keys", "sketch"), "t")
+    keys = odd_sketch.shared_keys(classes).select("key", "cls").withColumn("label", F.col("cls"))
+    size = lambda r: r.groupBy("key").count().selectExpr("sum(count * count)").first()[0]
+    whole = size(odd_sketch.narrowed(keys))
+    monkeypatch.setattr(odd_sketch, "SPLIT", 5)
+    assert size(odd_sketch.narrowed(keys)) < whole
+    assert found(odd_sketch.components(df)) == near_groups(rows)
+
+
 def test_across_gives_pairs_of_other_components_only(spark):
     near = np.zeros(2 * odd_sketch.WORDS64, dtype=np.int64)
     classes = spark.createDataFrame([(k, 100, near.tolist()) for k in range(40)] + [(40, 50, near.tolist())], "cls long, n long, sketch array<long>")
