@@ -91,11 +91,13 @@ def step(spark, args) -> dict:
 
     from pyspark.sql import functions as F
 
+    from lodestone.operators import counters
     from lodestone.plans import ingest
     from lodestone.sources import files
     from lodestone.stage import stash
 
     chunks = Settings.from_env().chunks
+    count = counters.chosen(chunks.tokenizer)
     if args.step == "convert":  # parser: module:function of (path, bytes) -> JSON text
         module, _, name = args.parser.partition(":")
         ingest.convert(spark, args.source, args.target, getattr(import_module(module), name))
@@ -107,7 +109,7 @@ def step(spark, args) -> dict:
 
         require_inputs(spark, args.view)
         kept = spark.read.schema("document_id string, source_filename string, ordinal long, self_ref string, label string, text string, parent_ref string, pages array<int>, headings array<string>").json(args.view)
-        got = ingest.write_texts(ingest.text_records(kept, chunks.target_tokens, chunks.max_tokens), args.target, chunks.max_tokens, args.quarantine)
+        got = ingest.write_texts(ingest.text_records(kept, chunks.target_tokens, chunks.max_tokens, count), args.target, chunks.max_tokens, args.quarantine)
     else:
         docs = ingest.document(spark, args.document)
         if args.step == "view":
@@ -118,7 +120,7 @@ def step(spark, args) -> dict:
             overrides = files.read_overrides(spark, args.overrides) if args.overrides else spark.createDataFrame([], "table_index int, caption array<string>")
             decided = stash(ingest.inventory(docs, reviews, overrides), "inventory")
             if args.step == "tables":
-                got = ingest.write_children(ingest.table_records(decided, chunks.target_tokens, chunks.max_tokens), decided, args.target, chunks.max_tokens, args.quarantine)
+                got = ingest.write_children(ingest.table_records(decided, chunks.target_tokens, chunks.max_tokens, count), decided, args.target, chunks.max_tokens, args.quarantine)
             else:
                 from lodestone.operators.envelopes import table_parents
 

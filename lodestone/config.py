@@ -71,6 +71,7 @@ TABLE = (
     Setting("generation.think", switch, False),
     Setting("chunks.target_tokens", int, 480, lambda n: n > 0),
     Setting("chunks.max_tokens", int, 512, lambda n: n > 0),
+    Setting("chunks.tokenizer", text, ""),
     Setting("run.device", text, ""),
     Setting("run.log_level", text, "WARN"),
 )

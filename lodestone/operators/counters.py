@@ -29,6 +29,11 @@ class Subwords:
         return len(Subwords._loaded[self.path].encode(text, add_special_tokens=False).ids)
 
 
+def chosen(setting: str) -> Counter:
+    """words() for an empty setting, else the tokenizer file at this path, which every worker must have; records name its last part."""
+    return Subwords(setting, os.path.basename(setting)) if setting else words
+
+
 def public(name: str) -> Subwords:
     """A public tokenizer's file: in the folder LODESTONE_TOKENIZERS if set, else of the installed package."""
     if (folder := os.environ.get("LODESTONE_TOKENIZERS")) and os.path.exists(f"{folder}/{name}"):

@@ -125,11 +125,6 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select(F.nullif(F.regexp_extract("key", "^(.*):[^:]*$", 1), F.lit("")).alias("document_id"), F.regexp_extract("key", "([^:]*)$", 1).cast("int").alias("table_index"), F.col("value").alias("caption"))
 
 
-def save_document(items: DataFrame, path: str) -> None:
-    """Parsed documents' items that were kept, in order: file by file, and in each."""
-    items.repartitionByRange("document_id", "ordinal").sortWithinPartitions("document_id", "ordinal").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
-
 def _place(raw: DataFrame) -> list[str]:
     return ["ordinal"] if "ordinal" in raw.columns else []
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_ingest import table
 
+from lodestone import schemas
 from lodestone.errors import CorpusError
 from lodestone.operators import checks, counters, retrieval, tables, textview
 from lodestone.plans import ingest
@@ -331,3 +332,19 @@ def test_nearest_asks_the_driver_nothing(spark, monkeypatch):
     assert got.count() == 150
     text = plan_of(got).split("Physical Plan")[1]
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and text.count("MapInPandas") == 1
+
+
+def test_steps_by_a_tokenizer(spark, tmp_path, monkeypatch):
+    """The tokenizer of the settings counts in the steps of the command line, and records name it."""
+    from lodestone import cli
+
+    count = counters.public("word_bpe_49k.json")
+    monkeypatch.setenv("LODESTONE_CHUNKS_TOKENIZER", count.path)
+    monkeypatch.setenv("LODESTONE_CHUNKS_TARGET_TOKENS", "30")
+    monkeypatch.setenv("LODESTONE_CHUNKS_MAX_TOKENS", "30")
+    items = [{"document_id": "d", "source_filename": "d.pdf", "ordinal": k, "self_ref": f"#/texts/{k}", "label": "text", "text": "incomprehensibilities " * (k + 1), "parent_ref": "#/body", "pages": [k + 1], "headings": ["Head"]} for k in range(8)]
+    (tmp_path / "view.json").write_text("\n".join(map(json.dumps, items)))
+    assert cli.main(["ingest", "texts", "--view", str(tmp_path / "view.json"), "--target", str(tmp_path / "out"), "--report", str(tmp_path / "report")]) == 0
+    got = files.read_lines(spark, str(tmp_path / "out"), schemas.ENVELOPE).select("content.text", "metadata.token_count", "metadata.tokenizer_name").collect()
+    assert len(got) > 3 and all(r.token_count == count(r.text) <= 30 and r.tokenizer_name == "word_bpe_49k.json" for r in got)
+    assert sum(r.text.count("incomprehensibilities") for r in got) == 36
