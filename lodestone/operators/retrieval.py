@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators.corpus import lookup
 
-#: Questions that a task holds at a time.
-QUESTIONS = 1 << 16
+#: Numbers of the questions' vectors that a task holds at a time: 32 MB, 65,536 questions of 64 dimensions.
+NUMBERS = 1 << 22
 
 
 def nearest(questions: DataFrame, index: DataFrame, k: int, qid: str = "qid", rid: str = "record_id", vector: str = "embedding") -> DataFrame:
@@ -19,12 +19,12 @@ def nearest(questions: DataFrame, index: DataFrame, k: int, qid: str = "qid", ri
     smaller rid. Rows without a vector take no part.
 
     A grid of question blocks x index blocks, a cell a task: a cell has its questions first, then its rows of the index as a stream, and
-    keeps each question's best k. So k rows a question and cell are shuffled, a task holds QUESTIONS questions and one batch,
+    keeps each question's best k. So k rows a question and cell are shuffled, a task holds NUMBERS numbers of questions and one batch,
     and nothing passes the driver. The index is sent once for each block of questions."""
     tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, cols = F.col("_rows"), F.greatest(F.lit(1), F.floor(F.lit(tasks) / F.col("_rows"))).cast("int")
     asked, kept = (df.select(name, vector).where(F.col(vector).isNotNull()) for df, name in ((questions, qid), (index, rid)))
-    blocks = asked.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / QUESTIONS)).cast("int").alias("n")).scalar()
+    blocks = asked.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.coalesce(F.max(F.size(vector)), F.lit(1)) / NUMBERS)).cast("int").alias("n")).scalar()
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     kinds = dict(questions.dtypes)[qid], dict(index.dtypes)[rid]
     doubles = F.transform(vector, lambda v: v.cast("double")).alias("v")

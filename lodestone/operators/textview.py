@@ -32,20 +32,21 @@ def subtree(items: DataFrame, roots: DataFrame, by: Sequence[str] = ()) -> DataF
 
     Pointers jump: each round an item learns whether the item that it points to is taken, and points to where that one does. A chain of n
     items ends after log2(n) rounds, and so does a circle: a round's table is written, and no more rounds than the number of rows allows are
-    made. Of items with one ref in one document the least parent counts. Items that nothing can be learned of any more are left out of later joins."""
+    made. Of items with one ref in one document the least parent counts. Items of which all is known are written once and only looked up later."""
     keys = [*by, "ref"]
     marked = roots.select(*keys).distinct()
     nodes = items.where(F.col("self_ref").isNotNull()).select(*by, F.col("self_ref").alias("ref"), F.col("parent_ref").alias("up"), F.lit(False).alias("taken"))
     both = nodes.unionByName(marked.select(*keys, F.lit(None).cast("string").alias("up"), F.lit(True).alias("taken")))  # a root need not be an item
     state = stash(both.groupBy(*keys).agg(F.min("up").alias("up"), F.max("taken").alias("taken")).withColumn("up", F.when(~F.col("taken"), F.col("up"))).select(*keys, "up", "taken"), "subtree")
+    done, live = state.where("up is null"), state.where("up is not null")
     for _ in range(max(1, state.count()).bit_length() + 1):
-        if not state.where("up is not null").head(1):
+        if not live.head(1):
             break
-        next_ = state.select(*by, F.col("ref").alias("up"), F.col("up").alias("_up"), F.col("taken").alias("_taken"))
-        live, done = state.where("up is not null"), state.where("up is null")
+        next_ = done.unionByName(live).select(*by, F.col("ref").alias("up"), F.col("up").alias("_up"), F.col("taken").alias("_taken"))
         step = live.join(next_, [*by, "up"], "left").select(*keys, F.when(~F.coalesce("_taken", F.lit(False)), F.col("_up")).alias("up"), F.coalesce("_taken", F.lit(False)).alias("taken"))
-        state = stash(done.select(*keys, "up", "taken").unionByName(step), "subtree")
-    return state.where("taken").select(*keys)
+        step = stash(step, "subtree")
+        done, live = done.unionByName(step.where("up is null")), step.where("up is not null")
+    return done.where("taken").select(*keys)
 
 
 def keep_text(items: DataFrame, linked: DataFrame, start: int, index_page: int | DataFrame | None, removed: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:

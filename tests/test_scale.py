@@ -300,7 +300,7 @@ def test_tables_by_subwords(spark, tmp_path):
 @pytest.mark.parametrize("block", [3, 1 << 16])
 def test_nearest_is_a_grid(spark, monkeypatch, block):
     """Many question blocks, repeated vectors, ties, nulls, string ids; against all pairs."""
-    monkeypatch.setattr(retrieval, "QUESTIONS", block)
+    monkeypatch.setattr(retrieval, "NUMBERS", 4 * block)
     g = np.random.default_rng(6)
     x = g.integers(0, 3, (300, 4)).astype(float)  # few values: many ties and copies
     q = g.integers(0, 3, (40, 4)).astype(float)
