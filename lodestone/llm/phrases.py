@@ -34,6 +34,8 @@ LONGEST, LEAST, SCALE, TOP = 5, 100, 1000, 2000
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Counters of next-length runs, in BLOCKS blocks; words that are taken at a time.
 BUCKETS, BLOCKS, WORDS = 1 << 26, 64, 1 << 19
+#: Shares of a language's phrases that are ranked apart before the rest is ranked together.
+SHARES = 64
 
 _END = np.zeros(256, dtype=bool)
 _END[list(PIECE_ENDS)] = True
@@ -208,7 +210,7 @@ def not_inside(phrases: DataFrame, found: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases by score, then count, then text."""
     totals, phrases = frequent(docs, least, longest)
-    rows = not_inside(phrases, scored(totals, phrases))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    rows = not_inside(phrases, scored(totals, phrases)).withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    best = lambda df, *by: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))).where(F.col("rank") <= top)
+    ranked = best(best(rows, "lang", "_share").drop("rank"), "lang")  # so a language's last task takes SHARES * top rows at most
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
