@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import corpus, passages
 from lodestone.sources.files import read_or_empty
+from lodestone.stage import stash
 
 log = logging.getLogger("jobs.passages")
 
@@ -33,14 +34,14 @@ REJECTED = "doc_id long, text string, lang string, source string, reason string,
 
 def faulty() -> F.Column:
     """Why a document gives no passage, or null."""
-    return F.when(F.col("doc_id").isNull(), "no_id").when(T.token_count("text") == 0, "no_words")
+    return F.when(F.col("doc_id").isNull(), "no_id").when(~F.coalesce(F.col("text").rlike(T.NO_SPACE), F.lit(False)), "no_words")
 
 
 def write_batch(batch: DataFrame, number: int, target: str, words: int) -> dict:
     """One micro-batch's folders, whole; gives what was read and written."""
     rows = batch.select("doc_id", "text", F.coalesce("lang", F.lit("und")).alias("lang"), "source").withColumn("reason", faulty())
     good, bad = Observation(f"passages-{number}"), Observation(f"rejected-{number}")
-    docs = corpus.lookup(rows.where("reason is null").drop("reason"), "doc_id")
+    docs = corpus.unique(rows.where("reason is null").drop("reason"), "doc_id")
     cut = passages.cut(docs, words).select(*(c for c in PASSAGE.replace(",", "").split()[::2] if c != "batch"))
     cut.observe(good, F.count("*").alias("passages"), F.count_if(F.col("passage_no") == 1).alias("documents"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).write.mode("overwrite").partitionBy("lang").parquet(f"{target}/passages/batch={number}")
     rows.where("reason is not null").observe(bad, F.count("*").alias("rejected")).write.mode("overwrite").partitionBy("reason").parquet(f"{target}/rejected/batch={number}")
@@ -50,8 +51,11 @@ def write_batch(batch: DataFrame, number: int, target: str, words: int) -> dict:
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The passages of each document's last version, without a batch number."""
     kept, gone = read_or_empty(spark, f"{target}/passages", PASSAGE), read_or_empty(spark, f"{target}/rejected", REJECTED)
-    last = kept.select("doc_id", "batch").unionByName(gone.where("doc_id is not null").select("doc_id", "batch")).groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return kept.join(last, ["doc_id", "batch"], "left_semi").drop("batch")
+    versions = kept.select("doc_id", "batch").unionByName(gone.where("doc_id is not null").select("doc_id", "batch"))
+    last = versions.groupBy("doc_id").agg(F.min("batch").alias("_first"), F.max("batch").alias("_last")).where("_first < _last")
+    last = stash(last, "newer-versions")  # often few or none: then the join moves no passage
+    newer = (F.col("doc_id") == F.col("_id")) & (F.col("batch") < F.col("_last"))
+    return kept.join(last.select(F.col("doc_id").alias("_id"), "_last"), newer, "left_anti").drop("batch")
 
 
 def run(spark: SparkSession, source: str, target: str, checkpoint: str, words: int = 120, files: int = 1000) -> dict:

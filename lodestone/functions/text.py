@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white space that Python's str.strip() and \s know.
 SPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NO_SPACE = SPACE.replace("[", "[^", 1)
 #: Fixed value: code points that make a question Chinese: kana, CJK with extension A, compatibility forms.
 CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 #: Fixed value: a numbered heading.

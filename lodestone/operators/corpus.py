@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import content_hash
-from lodestone.stage import numbered
+from lodestone.stage import numbered, stash
 
 
 def last_of(df: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
@@ -26,6 +26,16 @@ def lookup(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(*plain)).alias("_row")).select("_row.*")
 
 
+def unique(df: DataFrame, key: str) -> DataFrame:
+    """lookup() where few rows share a key: those that do are found by a count of keys alone and gathered, all others stay where they are. Runs a job;
+    the shared keys are written, so a join with few of them moves no row."""
+    shared = stash(df.groupBy(key).count().where("count > 1").select(F.col(key).alias("_shared")), "shared-keys")
+    if not shared.head(1):
+        return df
+    same = F.col(key).eqNullSafe(F.col("_shared"))
+    return df.join(shared, same, "left_anti").unionByName(lookup(df.join(shared, same, "left_semi"), key))
+
+
 def orphans(children: DataFrame, parents: DataFrame, parent_key: str = "record_id") -> DataFrame:
     """Table children whose parent is missing, a null parent included."""
     ids = parents.select(F.col(parent_key).alias("_parent"))
