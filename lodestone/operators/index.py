@@ -8,13 +8,13 @@ at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.errors import IndexNotBuiltError, IndexStaleError
 from lodestone.functions.text import content_hash
-from lodestone.operators.corpus import lookup
+from lodestone.operators.corpus import unique
 from lodestone.operators.models import Embedder
 from lodestone.sources.files import read_or_empty
 from lodestone.stage import stash
@@ -82,10 +82,13 @@ class VectorIndex:
         """rows: COLUMNS and bucket. A bucket's rows come from one task, so it is one file."""
         rows.repartitionById(buckets, F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(f"{self.path}/rows")
 
-    def put(self, rows: DataFrame, meta: dict) -> None:
-        """Makes rows the index, written whole."""
-        rows = stash(rows.select(*COLUMNS), "index-rows")
-        buckets = max(1, -(-rows.count() // self.bucket_rows))
+    def put(self, rows: DataFrame, meta: dict, n: int | None = None) -> None:
+        """Makes rows the index, written whole. n: their number, if it is known and they are not read from this index."""
+        rows = rows.select(*COLUMNS)
+        if n is None:
+            rows = stash(rows, "index-rows")
+            n = rows.count()
+        buckets = max(1, -(-n // self.bucket_rows))
         self._write(rows.select("*", self._bucket(buckets)), buckets, "static")
         row = [(meta.get("embedding_model"), meta.get("embedding_dimension"), meta.get("embedding_fingerprint"), buckets)]
         self.spark.createDataFrame(row, META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
@@ -95,22 +98,29 @@ class VectorIndex:
         touched = sorted(r.bucket for r in ids.select(self._bucket(buckets)).distinct().collect())  # as many as buckets at most
         return touched, self._table().where(F.col("bucket").isin(touched) & F.col("record_id").isNotNull())
 
-    def _replace(self, touched: list[int], rows: DataFrame, buckets: int) -> None:
-        """Makes rows (COLUMNS) all that these buckets have. An empty one keeps a row without an id: a bucket without rows would not be replaced."""
-        if touched:
-            places = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
-            self._write(rows.select(*COLUMNS, self._bucket(buckets)).unionByName(places, allowMissingColumns=True), buckets, "dynamic")
+    def _replace(self, touched: list[int], old: DataFrame, buckets: int, rows: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """Makes old, with these rows put in and without the ids that are gone, all that these buckets have. One shuffle brings a bucket together: there a row
+        takes the place of the one it replaces. An empty bucket keeps a row without an id: one without rows would not be replaced."""
+        if not touched:
+            return
+        x = self.spark.createDataFrame([(b, 0) for b in touched], "bucket int, _rank int")
+        for rank, part in enumerate((old, rows, gone)):
+            if part is not None:
+                x = x.unionByName(part.select(*(c for c in COLUMNS if c in part.columns), self._bucket(buckets), F.lit(rank).alias("_rank")), allowMissingColumns=True)
+        first = F.row_number().over(Window.partitionBy("bucket", "record_id").orderBy(F.desc("_rank")))
+        last = x.repartitionById(buckets, F.col("bucket")).withColumn("_nth", first).where("_nth = 1 and _rank < 2")
+        last.select(*COLUMNS, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows")
 
     def upsert(self, rows: DataFrame) -> None:
         """Puts in these rows, each record_id once; only their buckets are read and written."""
         rows, buckets = stash(rows.select(*COLUMNS), "index-rows"), self._meta().buckets
         touched, old = self._part(rows, buckets)
-        self._replace(touched, old.select(*COLUMNS).join(rows.select("record_id"), "record_id", "left_anti").unionByName(rows), buckets)
+        self._replace(touched, old, buckets, rows)
 
     def delete(self, ids: DataFrame) -> None:
         ids, buckets = stash(ids.select("record_id"), "index-ids"), self._meta().buckets
         touched, old = self._part(ids, buckets)
-        self._replace(touched, old.select(*COLUMNS).join(ids, "record_id", "left_anti"), buckets)
+        self._replace(touched, old, buckets, gone=ids)
 
     def reset(self) -> None:
         if self.exists():
@@ -122,28 +132,32 @@ class VectorIndex:
         fingerprint than the stored one rebuilds; an index without stored metadata goes on where it is."""
         meta, found = self.metadata(), self._meta()
         rebuild = rebuild or bool(meta.get("embedding_model")) and (meta["embedding_model"], meta["embedding_fingerprint"]) != (embedder.name, embedder.fingerprint)
-        now = lookup(records, "record_id").withColumn("content_hash", content_hash("text")).withColumn("start_page", F.array_min("pages")).withColumn("end_page", F.array_max("pages"))
+        now = unique(records, "record_id").withColumn("content_hash", content_hash("text")).withColumn("start_page", F.array_min("pages")).withColumn("end_page", F.array_max("pages"))
         old = self.rows().limit(0) if rebuild else self.rows()
         shown = lambda df: df.select("record_id", "content_hash", F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in SHOWN)).alias("shown"))
         changed = stash(changes(shown(now), shown(old)), "index-changes")
         report = sync_report(changed).first()
         own = {"embedding_model": embedder.name, "embedding_dimension": embedder.dimension, "embedding_fingerprint": embedder.fingerprint}
-        if rebuild or not found or report.total > GROWTH * found.buckets * self.bucket_rows:
-            self.put(self._joined(now, old, embedder), own)
+        if rebuild or not found:
+            self.put(now.withColumn("embedding", embedder.documents(F.col("text"))), own, report.total)
+        elif report.total > GROWTH * found.buckets * self.bucket_rows:
+            kept = old.join(changed.where("change = 'unchanged' and not moved"), "record_id", "left_semi")
+            self.put(kept.select(*COLUMNS).unionByName(self._altered(now, old, changed, embedder)), own)
         else:
             touched, part = self._part(changed.where("change != 'unchanged' or moved"), found.buckets)
             if touched:
-                self._replace(touched, self._joined(now.where(self._bucket(found.buckets).isin(touched)), part, embedder), found.buckets)
+                self._replace(touched, part, found.buckets, self._altered(now, part, changed, embedder), changed.where("change = 'delete'"))
             if any(meta[k] != v for k, v in own.items()):
                 self.spark.createDataFrame([(*own.values(), found.buckets)], META).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
         return self.spark.createDataFrame([(*report, embedder.name, embedder.dimension, rebuild)], "embedded long, unchanged long, deleted long, total long, model string, dimension int, rebuilt boolean")
 
-    def _joined(self, now: DataFrame, old: DataFrame, embedder: Embedder) -> DataFrame:
-        """The rows of these records: with the old vector where the text is the same, else embedded."""
-        both = now.join(old.select("record_id", "content_hash", F.col("embedding").alias("_old")), ["record_id", "content_hash"], "left")
-        same = both.where("_old is not null").withColumn("embedding", F.col("_old"))
-        new = both.where("_old is null").withColumn("embedding", embedder.documents(F.col("text")))
-        return same.select(*COLUMNS).unionByName(new.select(*COLUMNS))
+    def _altered(self, now: DataFrame, old: DataFrame, changed: DataFrame, embedder: Embedder) -> DataFrame:
+        """The rows that differ from the index's: embedded, or with the old vector where the text is the same. Rows that stay are not among them."""
+        new = now.join(changed.where("change = 'embed'"), "record_id", "left_semi").withColumn("embedding", embedder.documents(F.col("text"))).select(*COLUMNS)
+        if not changed.where("moved").head(1):
+            return new
+        vectors = old.join(changed.where("moved"), "record_id", "left_semi").select("record_id", "embedding")
+        return new.unionByName(now.join(vectors, "record_id").select(*COLUMNS))
 
     def guard(self, embedder: Embedder) -> None:
         """Raises unless the index can answer this embedder's questions. Missing metadata passes."""

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from jobs import passages as job
-from lodestone.operators import corpus, passages
+from lodestone.operators import corpus, index, models, passages
 
 
 def shuffled(spark, run):
@@ -61,3 +61,13 @@ def test_current_moves_no_passage_without_newer_versions(spark, tmp_path):
     job.write_batch(docs.where("doc_id < 3").withColumn("text", F.when(F.col("doc_id") > 0, F.lit("new")).otherwise(" ")), 1, f"{tmp_path}/out", 10)
     got = job.current(spark, f"{tmp_path}/out")
     assert [r.text for r in got.where("doc_id < 3").collect()] == ["new", "new"] and got.select("doc_id").distinct().count() == 1499
+
+
+def test_sync_moves_texts_three_times(spark, tmp_path):
+    r, size = records(spark)
+    store, e = index.VectorIndex(spark, f"{tmp_path}/index", 500), models.length_embedder()
+    assert shuffled(spark, lambda: store.sync(r, e)) < 1.5 * size
+    two = r.where("record_id % 10 <> 9").withColumn("text", F.when(F.expr("record_id % 7 = 0"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))).withColumn("title", F.when(F.expr("record_id = 5"), "new").otherwise(F.col("title")))
+    assert shuffled(spark, lambda: store.sync(two, e)) < 2.8 * size
+    got = {x.record_id: (x.title, x.text, x.embedding[0]) for x in store.rows().collect()}
+    assert got == {x.record_id: (x.title, x.text, float(len(x.text))) for x in two.collect()}
