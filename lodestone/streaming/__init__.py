@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestone.operators.index import VectorIndex
 from lodestone.operators.models import Embedder
 from lodestone.functions.text import content_hash
-from lodestone.operators.corpus import lookup
+from lodestone.operators.corpus import unique
 
 
 def sync_stream(records: DataFrame, index: VectorIndex, embedder: Embedder, checkpoint: str) -> StreamingQuery:
@@ -17,10 +17,10 @@ def sync_stream(records: DataFrame, index: VectorIndex, embedder: Embedder, chec
     from pyspark.sql import functions as F
 
     def put(batch: DataFrame, _: int) -> None:
-        last = lookup(batch, "record_id").withColumn("content_hash", content_hash("text"))
+        last = unique(batch, "record_id").withColumn("content_hash", content_hash("text"))
         rows = last.withColumn("start_page", F.array_min("pages")).withColumn("end_page", F.array_max("pages")).withColumn("embedding", embedder.documents(F.col("text")))
         if not index.exists():
-            index.put(rows, {"embedding_model": embedder.name, "embedding_dimension": embedder.dimension, "embedding_fingerprint": embedder.fingerprint})
+            index.put(rows, {"embedding_model": embedder.name, "embedding_dimension": embedder.dimension, "embedding_fingerprint": embedder.fingerprint}, last.count())
         else:
             index.upsert(rows)
 

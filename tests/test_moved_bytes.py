@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from jobs import passages as job
+from lodestone import streaming
 from lodestone.operators import corpus, index, models, passages
 
 
@@ -71,3 +72,17 @@ def test_sync_moves_texts_three_times(spark, tmp_path):
     assert shuffled(spark, lambda: store.sync(two, e)) < 2.8 * size
     got = {x.record_id: (x.title, x.text, x.embedding[0]) for x in store.rows().collect()}
     assert got == {x.record_id: (x.title, x.text, float(len(x.text))) for x in two.collect()}
+
+
+def test_stream_moves_texts_once_a_batch(spark, tmp_path):
+    r, size = records(spark)
+    store, e = index.VectorIndex(spark, f"{tmp_path}/index", 500), models.length_embedder()
+
+    def run():
+        streaming.sync_stream(spark.readStream.schema(r.schema).parquet(f"{tmp_path}/records"), store, e, f"{tmp_path}/mark").awaitTermination()
+
+    r.write.parquet(f"{tmp_path}/records")
+    assert shuffled(spark, run) < 1.5 * size
+    r.where("record_id % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))).write.mode("append").parquet(f"{tmp_path}/records")
+    assert shuffled(spark, run) < 1.8 * size
+    assert store.rows().where("text like '%!'").count() == 500 and store.count() == 1500
