@@ -14,9 +14,9 @@ them as the network has it. Both are distributions over words and the end of a t
 
 Word counts come from every training text: counted in tasks, summed by hash, never gathered. The most frequent
 words (KEEP at most, whatever the corpus) are sent to all tasks; occurrences of others meet their counts by
-shuffle. The network is fitted on windows at seeded places anywhere in the training texts, a fixed SHARE of all their
-ids (more of a small corpus), so their number grows with the input. Windows fall into groups of a bounded size; each
-group takes its steps in a task, and the groups' weights are averaged ROUNDS times.
+shuffle. The network is fitted on all ids of the training texts, in windows that follow each other (score() takes a share instead: windows at
+seeded places). Windows fall into groups of a bounded size; each group takes its steps in a task, and the groups' weights are averaged ROUNDS
+times. A group of more windows than STEPS * BATCH is dealt over the rounds, so that each window is used in one of them and a task holds one round's.
 
 Training texts are those whose crc32(doc_id as text) modulo 7 is not 2. Null texts are empty and score their end
 alone. Rows with equal doc_id and text are one text that counts once; null doc_ids are training texts. Without any
@@ -39,7 +39,9 @@ from .common import WordIds, buckets, crc32_of, exchange, folded, give_back, mix
 from .suffix_dedup import _keyed
 
 STEPS, RATE, BATCH, ROUNDS = 700, 0.01, 48, 7
-#: Windows' share of all ids of training texts, and the characters a corpus has at least before that share holds.
+#: A large group's windows, and windows of one step at most.
+GROUP, WIDE = 1 << 17, 384
+#: For a quick fit (share None): windows' share of all ids of training texts, and the characters a corpus has at least before that share holds.
 SHARE, SMALL = 1 / 32, 1 << 22
 WIDTH, HIDDEN, BLOCK = 16, 32, 32
 SPAN = 2 * BLOCK
@@ -314,11 +316,26 @@ def _held(doc_id: str = "doc_id"):
     return F.coalesce(crc32_of(doc_id) % 7 == 2, F.lit(False))
 
 
-def plan(keyed: DataFrame) -> tuple[float, int]:
-    """The share of ids that windows take, and the number of their groups, from the training texts' characters."""
+def plan(keyed: DataFrame, share: float | None = None) -> tuple[float, int, int]:
+    """The share of ids that windows take, the number of their groups, and the parts of each, from the training texts' characters. share None: that of a quick fit."""
     chars = keyed.where(~_held()).agg(F.sum(F.length("text").cast("long")).alias("n")).head().n or 0
-    share = min(1.0, max(SHARE, SMALL / max(chars, 1)))
-    return share, max(1, round(chars * share / 4 / SPAN / (STEPS * BATCH)))  # an id has about four characters
+    quick = share is None
+    share = min(1.0, max(SHARE, SMALL / max(chars, 1))) if quick else share
+    windows = chars * share / 4 / SPAN  # an id has about four characters
+    if quick:
+        return share, max(1, round(windows / (STEPS * BATCH))), 1
+    return share, max(1, round(windows / GROUP)), ROUNDS if windows > STEPS * BATCH else 1
+
+
+def followed(table: WordIds, data: np.ndarray, words: tuple, sizes: list[int], end: int) -> np.ndarray:
+    """Windows of SPAN + 1 ids that hold all ids of texts, each with its end; a window begins with the last id of the one before, the last ends with the
+    first ids again. Parameters as in drawn()."""
+    start, stop, h = words
+    distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+    size, ids = table.spread(table.rows(distinct, start[first], stop[first], data)[which])
+    text = np.searchsorted(np.cumsum([0, *(x + 1 for x in sizes)]), start, side="right") - 1
+    flat = np.insert(ids.astype("<u4"), np.cumsum(np.bincount(text, size, minlength=len(sizes)).astype(np.int64)), end)
+    return flat[(np.arange(0, len(flat), SPAN)[:, None] + np.arange(SPAN + 1)[None, :]) % len(flat)]
 
 
 def drawn(table: WordIds, data: np.ndarray, words: tuple, sizes: list[int], end: int, n: int, seed: int) -> np.ndarray:
@@ -374,9 +391,9 @@ def summed(rows: DataFrame, dtype: str) -> tuple[np.ndarray, int]:
     return np.concatenate([np.zeros(0, dtype=wide), *(np.frombuffer(bytes(r.blob), dtype=wide) for r in got)]), got[0].n if got else 0
 
 
-def count(keyed: DataFrame, path: str, share: float = 0.0, groups: int = 1) -> tuple[DataFrame, np.ndarray, int, DataFrame]:
+def count(keyed: DataFrame, path: str, share: float = 0.0, groups: int = 1, parts_: int = 1) -> tuple[DataFrame, np.ndarray, int, DataFrame]:
     """From all training texts: packed COUNT rows of their words, counts of their ids, the number of texts, and windows
-    that hold `share` of the ids (bucket: -2 - group)."""
+    that hold `share` of the ids, from 1 on each id once (bucket: -2 - group - part * groups)."""
     spark = keyed.sparkSession
     nb = buckets(spark)
 
@@ -396,9 +413,10 @@ def count(keyed: DataFrame, path: str, share: float = 0.0, groups: int = 1) -> t
                 found = word_hashes(data, subwords(path).table.space)
                 h, n, own = subwords(path).table.tally(data, len(ids), found)
                 seed = zlib.crc32(data)
+                given = subwords(path).table, data, found, [len(x) for x in own_raw], subwords(path).end
                 wanted = share * (own.sum() + len(own_raw)) / SPAN + np.random.default_rng([seed, 1]).random()
-                got = drawn(subwords(path).table, data, found, [len(x) for x in own_raw], subwords(path).end, int(wanted), seed)
-                which = np.random.default_rng([seed, 2]).integers(0, groups, len(got))
+                got = followed(*given) if share >= 1 else drawn(*given, int(wanted), seed)
+                which = np.random.default_rng([seed, 2]).integers(0, groups * parts_, len(got))
                 if len(got):
                     yield pd.DataFrame([(-2 - g, got[which == g].tobytes()) for g in np.unique(which).tolist()], columns=["bucket", "blob"])
                 words.append((h, n))
@@ -480,7 +498,7 @@ def frequent(words: DataFrame, keep: int = KEEP) -> tuple[np.ndarray, np.ndarray
 
 
 def train(net: Network, windows: DataFrame, groups: int) -> None:
-    """Fits the network on all windows. A group's steps run in one task; after each round weights are averaged."""
+    """Fits the network on all windows. A group's steps run in one task; after each round weights are averaged. If windows come in parts, a round takes one part."""
     spark = windows.sparkSession
 
     def together(frames):
@@ -493,16 +511,19 @@ def train(net: Network, windows: DataFrame, groups: int) -> None:
             order = np.random.default_rng(3).permutation(len(own))
             yield pd.DataFrame({"bucket": [bucket], "n": [len(own)], "blob": [b"".join(own[k] for k in order)]})
 
-    placed = windows.repartitionById(groups, (-2 - F.col("bucket")).cast("int"))  # a group has a bounded size
+    number = (-2 - F.col("bucket")).cast("int")
+    placed = windows.repartitionById(groups * ROUNDS, number)  # a group, or its part, has a bounded size
     ready = stash(placed.mapInPandas(together, "bucket int, n long, blob binary"), "lm-windows")
-    most = ready.agg(F.max("n")).head()[0]
+    by_group = ready.groupBy((number % groups).alias("group")).agg(F.sum("n").alias("n"), F.max(F.floor(number / groups)).alias("part"))
+    most, part = by_group.agg(F.max("n"), F.max("part")).head()
     if not most:
         return
-    steps = max(STEPS, -(-most // BATCH))
+    dealt = part > 0
+    steps = max(STEPS, -(-most // (WIDE if dealt else BATCH)))
     moments = net.moments()
     names = sorted(net.w)
     sizes = np.cumsum([net.w[k].size for k in names])[:-1]
-    rounds = ROUNDS if groups > 1 else 1
+    rounds = ROUNDS if groups > 1 or dealt else 1
 
     def put(x: np.ndarray) -> None:
         for d, row in zip((net.w, *moments), x.astype(np.float32)):
@@ -518,23 +539,27 @@ def train(net: Network, windows: DataFrame, groups: int) -> None:
                     own, (m, v) = sent.value
                     own = own.copy()
                     m, v = ({k: x.copy() for k, x in d.items()} for d in (m, v))
-                    own.fit_windows(np.frombuffer(blob, dtype="<u4").reshape(-1, SPAN + 1).astype(np.int64), (m, v), numbers, steps)
+                    own_windows = np.frombuffer(blob, dtype="<u4").reshape(-1, SPAN + 1).astype(np.int32)
+                    batch = max(BATCH, -(-len(own_windows) // len(numbers))) if dealt else BATCH
+                    own.fit_windows(own_windows, (m, v), numbers, steps, batch=batch)
                     yield slices(np.concatenate([d[k].ravel() for d in (own.w, m, v) for k in names]).astype("<f4"), bucket)
 
-        total, n = summed(ready.select("bucket", "blob").mapInPandas(run, "bucket int, slice int, blob binary"), "<f4")
-        put(total.reshape(3, -1) / n)
+        now = ready.where(F.floor(number / groups) == k) if dealt else ready
+        total, n = summed(now.select("bucket", "blob").mapInPandas(run, "bucket int, slice int, blob binary"), "<f4")
+        if n:
+            put(total.reshape(3, -1) / n)
         sent.unpersist()
 
 
-def score(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
+def score(docs: DataFrame, path: str, share: float | None = 1.0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs. share: of the training texts' ids, for the network; None: a quick fit."""
     spark = docs.sparkSession
     tune(spark)
     nb = buckets(spark)
     keyed = _keyed(docs := docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     keyed = keyed.dropDuplicates(["doc"]) if (repeats := _repeats(keyed)) else keyed
-    share, groups = plan(keyed)
-    words, id_counts, texts, windows = count(keyed, path, share, groups)
+    share, groups, parts_ = plan(keyed, share)
+    words, id_counts, texts, windows = count(keyed, path, share, groups, parts_)
     top, top_n, distinct, total = frequent(words)
     n_all, v_all = total + texts, distinct + (texts > 0)
     net = Network(id_counts, subwords(path).begins | (np.arange(len(id_counts)) == len(id_counts) - 1))
