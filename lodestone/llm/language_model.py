@@ -27,6 +27,7 @@ text is scored in blocks, and its words are packed in memory once.
 from __future__ import annotations
 
 import copy
+import json
 import re
 import zlib
 
@@ -45,6 +46,8 @@ GROUP, WIDE = 1 << 17, 384
 SHARE, SMALL = 1 / 32, 1 << 22
 WIDTH, HIDDEN, BLOCK = 16, 32, 32
 SPAN = 2 * BLOCK
+#: Windows of a batch that pass attention together.
+NEAR = 16
 #: Numbers of a vector that are summed together: vectors as long as the network or the vocabulary are summed slice by slice.
 SLICE = 1 << 16
 MIX = 0.65
@@ -57,6 +60,101 @@ PART = np.dtype([("doc", "<i8"), ("held", "u1"), ("n", "<i8"), ("known", "<i8"),
 
 #: Words of letters with a stop or comma at most: each part is one pre-token of a byte-level tokenizer.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
+#: Bytes of letters that a PLAIN word has at most to be cut into ids beside many others.
+LONG = 40
+
+
+class Merges:
+    """A byte-pair vocabulary's merges, taken for many words at once: a word's first pair of the least rank merges until none is left, as in the library."""
+
+    SLOTS, NONE = 19, np.int32(2**31 - 1)
+
+    @classmethod
+    def of(cls, file: dict) -> Merges | None:
+        """None where the library does more than that."""
+        model, before = file["model"], file["pre_tokenizer"] or {}
+        more = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) or file["normalizer"] or before.get("type") != "ByteLevel"
+        letters = [b for b in range(256) if 97 <= b <= 122 or 0x80 <= b]
+        if model.get("type") != "BPE" or more or len(model["vocab"]) >= 0xFFFF or len(model["merges"]) >= 1 << 24 or not all(x in model["vocab"] for x in ("Ġ", ".", ",", *map(_byte, letters))):
+            return None
+        return cls(model["vocab"], model["merges"], letters)
+
+    def __init__(self, vocab: dict[str, int], merges: list, letters: list[int]) -> None:
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in merges]
+        rank = {vocab[a] << 16 | vocab[b]: (k, vocab[a + b]) for k, (a, b) in enumerate(pairs)}
+        self.into = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        keys, ranks = np.fromiter(rank, dtype=np.uint32, count=len(rank)), np.array([k for k, _ in rank.values()], dtype=np.int32)
+        order = np.argsort(keys)
+        keys, ranks = keys[order], ranks[order]
+        slot = self.slot(keys)
+        own, first, n = np.unique(slot, return_index=True, return_counts=True)
+        self.key, self.rank, self.shared = np.full(1 << self.SLOTS, 0xFFFFFFFF, dtype=np.uint32), np.full(1 << self.SLOTS, -1, dtype=np.int32), np.zeros(1 << self.SLOTS, dtype=bool)
+        self.key[own], self.rank[own], self.shared[own[n > 1]] = keys[first], ranks[first], True
+        self.rest, self.rest_rank = keys[self.shared[slot]], ranks[self.shared[slot]]
+        self.letter = np.zeros(256, dtype=np.int32)
+        self.letter[letters] = [vocab[_byte(b)] for b in letters]
+        self.blank, self.stops = vocab["Ġ"], np.array([vocab["."], vocab[","]], dtype=np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.SLOTS)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids (-1: none) with the places where they stand, in one number; NONE if they don't merge."""
+        keys = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32) & np.uint32(0xFFFF)
+        slot = self.slot(keys)
+        out = np.where((self.key.take(slot) == keys) & (a >= 0) & (b >= 0), self.rank.take(slot), -1)
+        some = np.flatnonzero(self.shared.take(slot) & (a >= 0) & (b >= 0))
+        if len(some):
+            at = np.minimum(np.searchsorted(self.rest, keys[some]), len(self.rest) - 1)
+            out[some] = np.where(self.rest[at] == keys[some], self.rest_rank[at], -1)
+        return np.where(out >= 0, out << 6 | place, self.NONE).astype(np.int32)
+
+    def words(self, data: np.ndarray, begin: np.ndarray, stem: np.ndarray, stop: np.ndarray, group: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids words have, where they begin, and all ids. A word: `stem` bytes of letters, LONG at most, from `begin` on, then a stop (-1: none)."""
+        size, at, parts_, used = np.empty(len(begin), dtype=np.int64), np.empty(len(begin), dtype=np.int64), [], 0
+        order = np.argsort(stem, kind="stable")  # words of about a length together
+        for k in range(0, len(order), group):
+            own = order[k : k + group]
+            ids = self.merged(data, begin[own], stem[own])
+            ids[-1] = np.where(stop[own] >= 0, self.stops[stop[own]], -1)
+            ids = ids.T
+            n = (ids >= 0).sum(axis=1)
+            size[own], at[own] = n, used + np.cumsum(n) - n
+            parts_.append(ids[ids >= 0])
+            used += len(parts_[-1])
+        return size, at, np.concatenate(parts_)
+
+    def merged(self, data: np.ndarray, begin: np.ndarray, stem: np.ndarray) -> np.ndarray:
+        """The ids of words, one below the other with -1 between them; a first row and two last ones are free."""
+        n, rows = len(begin), int(stem.max()) + 4
+        ids = np.full((rows, n), -1, dtype=np.int32)
+        ids[1] = self.blank
+        for j in range(rows - 4):
+            own = np.flatnonzero(stem > j)
+            ids[j + 2, own] = self.letter[data[begin[own] + j]]
+        after, before = (np.repeat(np.arange(rows, dtype=np.int32)[:, None] + d, n, axis=1).ravel() for d in (1, -1))
+        rank = np.full((rows, n), self.NONE, dtype=np.int32)
+        rank[1:-2] = self.ranks(ids[1:-2].ravel(), ids[2:-1].ravel(), np.repeat(np.arange(1, rows - 2, dtype=np.int32), n)).reshape(-1, n)
+        flat, ranks = ids.ravel(), rank.ravel()
+        while len(own := np.flatnonzero((best := rank.min(axis=0)) < self.NONE)):
+            best = best[own]
+            k = best & 63
+            here = k * n + own
+            there = after.take(here) * n + own
+            then = after.take(there)
+            behind, ahead = then * n + own, before.take(here)
+            front = ahead * n + own
+            new = self.into.take(best >> 6)
+            flat[here], flat[there], ranks[there], after[here], before[behind] = new, -1, self.NONE, then, k
+            ranks[here] = self.ranks(new, flat.take(behind), k)
+            ranks[front] = self.ranks(flat.take(front), new, ahead)
+        return ids
+
+
+def _byte(b: int) -> str:
+    """A byte that is no blank, as byte-level vocabularies write it."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return chr(b) if b in shown else chr(256 + sorted(set(range(256)) - set(shown)).index(b))
 
 
 class Subwords:
@@ -71,10 +169,35 @@ class Subwords:
         self.begins = np.zeros(self.end + 1, dtype=bool)
         self.begins[[i for p, i in vocab.items() if p.startswith("Ġ")]] = True  # the blank of a byte-level vocabulary
         self.library.encode_special_tokens = True  # a special token's text is a text like others
-        self.table = WordIds(self.words, "<u2" if self.end < 1 << 16 else "<u4", limit=2_500_000)
+        self.table = WordIds(self.spans, "<u2" if self.end < 1 << 16 else "<u4", limit=2_500_000, spans=True)
         # PLAIN words are one pre-token and their stop another, so they need no pattern
         self.plain = Tokenizer.from_str(self.library.to_str())
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.Split(".", "isolated"), pre_tokenizers.Split(",", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merges = Merges.of(json.loads(self.library.to_str()))
+
+    def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """words() of words that stand in data."""
+        size, at, flat = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64), np.zeros(0, dtype=self.table.dtype)
+        own = np.zeros(len(start), dtype=bool)
+        if self.merges:
+            more = (data >= 0x9F) & (data <= 0xBF) & (data != 0xB7)  # PLAIN, byte by byte: what may follow 0xC3
+            more[1:] &= data[:-1] == 0xC3
+            more[:1] = False
+            letter = (data >= 0x61) & (data <= 0x7A) | more
+            letter[:-1] |= more[1:]
+            others = np.append(0, np.cumsum(~letter))
+            last = data[end - 1]
+            stop = np.where(last == 0x2E, 0, np.where(last == 0x2C, 1, -1))
+            stem = end - start - (stop >= 0)
+            own = (others[start] == others[start + stem]) & (stem > 0) & (stem <= LONG)
+            if own.any():
+                size[own], at[own], flat = self.merges.words(data, start[own], stem[own], stop[own])
+                flat = flat.astype(self.table.dtype)
+        if not own.all():
+            rest = ~own
+            size[rest], begin, ids = self.words([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[rest].tolist(), end[rest].tolist())])
+            at[rest], flat = begin + len(flat), np.concatenate([flat, ids])
+        return size, at, flat
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many ids each word has, where they begin, and all ids."""
@@ -167,62 +290,111 @@ class Network:
         return {k: np.zeros_like(x) for k, x in self.w.items()}, {k: np.zeros_like(x) for k, x in self.w.items()}
 
     def fit_windows(self, windows: np.ndarray, moments: tuple[dict, dict], numbers: range, steps: int, rate: float = RATE, batch: int = BATCH) -> None:
-        """Adam's steps of these numbers (from 1) out of `steps`, on windows of SPAN + 1 ids in turn."""
-        span, w = SPAN, self.w
-        m, v = moments
-        off = np.arange(span)[:, None] - np.arange(span)[None, :]
-        later, by_off = np.where(off >= 0, 0, -1e9).astype(np.float32), np.maximum(off, 0)
+        """Adam's steps of these numbers (from 1) out of `steps`, on windows of SPAN + 1 ids in turn. A batch passes attention a few windows at a
+        time, which stay in cache, and both softmax levels in the order of its targets' classes."""
+        w, (m, v), kind, n = self.w, moments, self.w["e"].dtype, batch * SPAN
+        off = np.arange(SPAN)[:, None] - np.arange(SPAN)[None, :]
+        by_off, ones, half = np.maximum(off, 0), np.ones(max(SPAN, self.slots, len(self.begins)), dtype=kind), kind.type(1 / np.sqrt(WIDTH))
+        cells = np.arange(w["e"].size).reshape(w["e"].shape)
+        q, k, val, x = slice(WIDTH), slice(WIDTH, 2 * WIDTH), slice(2 * WIDTH, 3 * WIDTH + 1), slice(3 * WIDTH + 1, None)
         for step in numbers:
-            ids = windows[((step - 1) * batch + np.arange(batch)) % len(windows)]
+            ids = windows.take(((step - 1) * batch + np.arange(batch)) % len(windows), axis=0)
             # a window begins anywhere; what stands before a text's end is masked for what follows it
             text = np.cumsum(ids[:, :-1] == len(self.cls) - 1, axis=1)
-            parted = np.flatnonzero(text[:, -1])
-            u, t, place = self.row[ids[:, :-1]], self.cls[ids[:, 1:]].ravel(), self.slot[ids[:, 1:]].ravel()
-            x = w["e"][u]
-            q, k, val = np.split(x @ w["qkv"], 3, axis=2)
-            q *= np.float32(1 / np.sqrt(WIDTH))
-            a = q @ k.transpose(0, 2, 1)
-            a += w["place"][by_off] + later
-            if len(parted):
-                a[parted] += np.where(text[parted][:, :, None] == text[parted][:, None, :], 0, -1e9).astype(np.float32)
-            a -= a.max(axis=2, keepdims=True)
-            np.exp(a, out=a)
-            a /= a.sum(axis=2, keepdims=True)
-            y = a @ val
-            h = x + y @ w["o"]
-            rr = np.maximum(h @ w["h"] + w["hb"], 0)
-            g = h + rr @ w["g"]
-            flat = lambda s: s.reshape(-1, s.shape[-1])
-            top = flat(g)
-            d = _missed(top @ w["out"] + w["ob"], t)
-            grad = {"out": top.T @ d, "ob": d.sum(axis=0), "in": np.zeros_like(w["in"]), "ib": np.zeros_like(w["ib"])}
-            inner = np.empty_like(top)  # what the softmax inside a class says of the hidden state
+            u, t = self.row.take(ids[:, :-1]), self.cls.take(ids[:, 1:]).ravel()
             by = np.argsort(t.astype(np.uint16), kind="stable")
-            h_by, place, cut = top[by], place[by], np.append(0, np.cumsum(np.bincount(t, minlength=len(w["ob"]))))
+            slot, cut = self.slot.take(ids[:, 1:]).ravel().take(by), np.append(0, np.cumsum(np.bincount(t, minlength=len(w["ob"])))).tolist()
+            # all that attention takes from an id: query, key, value, a one that sums the weights, its embedding; a last column carries biases
+            qkv = w["qkv"].copy()
+            qkv[:, q] *= half
+            table = np.zeros((len(w["e"]), 4 * WIDTH + 2), dtype=kind)
+            table[:, : 3 * WIDTH], table[:, 3 * WIDTH], table[:, x][:, :WIDTH] = w["e"] @ qkv, 1, w["e"]
+            o, g = np.eye(WIDTH + 1, dtype=kind), np.zeros((HIDDEN, WIDTH + 1), dtype=kind)
+            o[:WIDTH, :WIDTH], g[:, :WIDTH] = w["o"], w["g"]
+            hb, outer = np.concatenate([w["h"], w["hb"][None, :]]), np.concatenate([w["out"], w["ob"][None, :]])
+            place = np.where(off >= 0, w["place"][by_off], -1e9).astype(kind)
+            length = lambda s: np.sqrt((table[:, s] ** 2).sum(axis=1).max())  # noqa: B023, E731
+            steep = length(q) * length(k) + w["place"].max() > 60
+            hidden, kept = np.empty((n, WIDTH + 1), dtype=kind), []
+            for a in range(0, batch, NEAR):
+                p = table.take(u[a : a + NEAR], axis=0)
+                z = p[:, :, q] @ p[:, :, k].transpose(0, 2, 1)
+                z += place
+                if steep:
+                    z -= z.max(axis=2, keepdims=True)
+                np.exp(z, out=z)
+                if len(parted := np.flatnonzero(text[a : a + NEAR, -1])):
+                    z[parted] *= text[a + parted][:, :, None] == text[a + parted][:, None, :]
+                y = z @ p[:, :, val]
+                r = 1 / y[:, :, WIDTH:]
+                y *= r
+                y = y.reshape(-1, WIDTH + 1)
+                h = y @ o
+                h += p[:, :, x].reshape(h.shape)
+                rr = h @ hb
+                np.maximum(rr, 0, out=rr)
+                np.add(h, rr @ g, out=hidden[a * SPAN : a * SPAN + len(h)])
+                kept.append((p, z, r, y, h, rr))
+            hidden = hidden.take(by, axis=0)
+            d = _shares(hidden, outer, ones, n)
+            for c in np.flatnonzero(np.diff(cut)).tolist():
+                d[cut[c] : cut[c + 1], c] -= 1 / n
+            both = hidden.T @ d
+            grad = {"out": both[:-1], "ob": both[-1], "in": np.zeros_like(w["in"]), "ib": np.zeros_like(w["ib"])}
+            dg = d @ w["out"].T
             for c in np.flatnonzero(np.diff(cut)).tolist():
                 own, wide = slice(cut[c], cut[c + 1]), self.widths[c]
-                miss = _missed(h_by[own] @ w["in"][c, :, :wide] + w["ib"][c, :wide], place[own], len(t))
-                grad["in"][c, :, :wide], grad["ib"][c, :wide], inner[by[own]] = h_by[own].T @ miss, miss.sum(axis=0), miss @ w["in"][c, :, :wide].T
-            dg = (d @ w["out"].T + inner).reshape(g.shape)
-            dr = (dg @ w["g"].T) * (rr > 0)
-            grad |= {"g": flat(rr).T @ flat(dg), "h": flat(h).T @ flat(dr), "hb": flat(dr).sum(axis=0)}
-            dh = dg + dr @ w["h"].T
-            grad["o"] = flat(y).T @ flat(dh)
-            dy = dh @ w["o"].T
-            da, dv = dy @ val.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dy
-            da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
-            da *= a
-            grad["place"] = np.bincount(by_off.ravel(), (da.sum(axis=0) * (off >= 0)).ravel(), minlength=span).astype(np.float32)
-            dqkv = np.concatenate([da @ k * np.float32(1 / np.sqrt(WIDTH)), da.transpose(0, 2, 1) @ q, dv], axis=2)
-            grad["qkv"] = flat(x).T @ flat(dqkv)
-            dx = dh + dqkv @ w["qkv"].T
-            grad["e"] = np.zeros_like(w["e"])
-            np.add.at(grad["e"], u.ravel(), flat(dx))
+                miss = _shares(hidden[own], np.concatenate([w["in"][c, :, :wide], w["ib"][c, None, :wide]]), ones, n)
+                miss.ravel()[np.arange(0, miss.size, wide) + slot[own]] -= 1 / n
+                both = hidden[own].T @ miss
+                grad["in"][c, :, :wide], grad["ib"][c, :wide] = both[:-1], both[-1]
+                dg[own] += miss @ w["in"][c, :, :wide].T
+            back = np.empty_like(by)
+            back[by] = np.arange(n)
+            dg, dx, far = dg.take(back, axis=0), np.empty((n, WIDTH), dtype=kind), np.zeros((SPAN, SPAN), dtype=kind)
+            gg, gh, go, gq = np.zeros_like(w["g"]), np.zeros_like(hb), np.zeros_like(o), np.zeros_like(qkv)
+            for a, (p, z, r, y, h, rr) in zip(range(0, batch, NEAR), kept):
+                own = slice(a * SPAN, a * SPAN + len(h))
+                dr = dg[own] @ w["g"].T
+                dr *= rr > 0
+                gg += rr.T @ dg[own]
+                gh += h.T @ dr
+                dh = dr @ w["h"].T
+                dh += dg[own]
+                go[:, :WIDTH] += y.T @ dh
+                dy = np.empty_like(y)
+                np.matmul(dh, w["o"].T, out=dy[:, :WIDTH])
+                # softmax takes from each gradient their mean; under the weights that is what the whole sum has
+                np.negative(np.einsum("ij,ij->i", dy[:, :WIDTH], y[:, :WIDTH]), out=dy[:, WIDTH])
+                dy = dy.reshape(len(z), SPAN, -1)
+                dy *= r
+                dqkv = np.empty((len(z), SPAN, 3 * WIDTH), dtype=kind)
+                np.matmul(z.transpose(0, 2, 1), dy[:, :, :WIDTH], out=dqkv[:, :, 2 * WIDTH :])
+                da = dy @ p[:, :, val].transpose(0, 2, 1)
+                da *= z
+                far += (ones[: len(z)] @ da.reshape(len(z), -1)).reshape(far.shape)
+                np.matmul(da, p[:, :, k], out=dqkv[:, :, q])
+                np.matmul(da.transpose(0, 2, 1), p[:, :, q], out=dqkv[:, :, k])
+                dqkv = dqkv.reshape(-1, 3 * WIDTH)
+                gq += p[:, :, x].reshape(h.shape)[:, :WIDTH].T @ dqkv
+                np.matmul(dqkv, qkv.T, out=dx[own])
+                dx[own] += dh
+            gq[:, q] *= half
+            grad |= {"g": gg, "h": gh[:-1], "hb": gh[-1], "o": go[:-1, :-1], "qkv": gq, "e": np.zeros_like(w["e"])}
+            grad["place"] = np.bincount(by_off.ravel(), (far * (off >= 0)).ravel(), minlength=SPAN).astype(kind)
+            np.add.at(grad["e"].ravel(), cells.take(u.ravel(), axis=0).ravel(), dx.ravel())
             now = rate * min(1, step / 30) * (1 - 0.9 * step / steps)
             for name, gr in grad.items():
-                m[name] = 0.9 * m[name] + 0.1 * gr
-                v[name] = 0.99 * v[name] + 0.01 * gr * gr
-                w[name] -= (now * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                m[name] *= 0.9
+                m[name] += 0.1 * gr
+                v[name] *= 0.99
+                v[name] += 0.01 * (gr * gr)
+                change = v[name] / (1 - 0.99**step)
+                np.sqrt(change, out=change)
+                change += 1e-6
+                np.divide(m[name], change, out=change)
+                change *= now / (1 - 0.9**step)
+                w[name] -= change
 
     def score(self, ids: np.ndarray, text: np.ndarray, blocks: int = 64, group: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
         """Of texts that stand one after the other, each with its end: log10 probabilities of each id, and of that the id at its
@@ -257,7 +429,7 @@ class Network:
             hi = min(size, lo + group)
             for a in range(lo, hi, blocks * BLOCK):
                 b = min(hi, a + blocks * BLOCK)
-                x = table[rows[a : b + BLOCK]]  # from the block before
+                x = table.take(rows[a : b + BLOCK], axis=0)  # from the block before
                 one, step = x.itemsize, x.strides[0]
                 near = lambda y: np.lib.stride_tricks.as_strided(y, ((b - a) // BLOCK, 2 * BLOCK, y.shape[1]), (BLOCK * step, step, one))  # noqa: B023, E731
                 z = np.matmul(x[BLOCK:, :WIDTH].reshape(-1, BLOCK, WIDTH), near(x[:, WIDTH : 2 * WIDTH]).transpose(0, 2, 1), out=zs[: (b - a) // BLOCK])
@@ -277,7 +449,7 @@ class Network:
                 hidden[a - lo : b - lo, :WIDTH] = h
                 lp[a:b], begin[a:b] = _softmax(hidden[a - lo : b - lo], outer, c[a:b], sums, space)
             by = np.argsort(c[lo:hi], kind="stable")
-            h, places, which = hidden[by], slot[lo:hi][by], c[lo:hi][by]
+            h, places, which = hidden.take(by, axis=0), slot[lo:hi].take(by), c[lo:hi].take(by)
             cut, found = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(by)], np.empty(len(by), dtype=np.float32)
             for x, y in zip(cut[:-1], cut[1:]):
                 for a in range(x, y, 2048):
@@ -288,12 +460,19 @@ class Network:
         return lp[at] * ten + self.share[ids], begin[at] * ten
 
 
-def _missed(logit: np.ndarray, target: np.ndarray, rows: int | None = None) -> np.ndarray:
-    """The gradient of the mean log loss: what softmax gives, less the targets."""
-    p = np.exp(logit - logit.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    p[np.arange(len(p)), target] -= 1
-    p /= rows or len(p)
+def _shares(h: np.ndarray, weights: np.ndarray, ones: np.ndarray, rows: int) -> np.ndarray:
+    """What softmax gives for each row, divided by the number of rows that a mean is over."""
+    p = h @ weights
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(p, out=p)
+        total = p @ ones[: p.shape[1]]
+    if not (np.isfinite(total).all() and total.min() > 1e-30):  # beyond a float's range
+        p = h @ weights
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        total = p.sum(axis=1)
+    total *= rows
+    p *= (1 / total)[:, None]
     return p
 
 
@@ -501,27 +680,16 @@ def train(net: Network, windows: DataFrame, groups: int) -> None:
     """Fits the network on all windows. A group's steps run in one task; after each round weights are averaged. If windows come in parts, a round takes one part."""
     spark = windows.sparkSession
 
-    def together(frames):
-        held = {}
-        for pdf in frames:
-            for bucket, blob in zip(pdf["bucket"], pdf["blob"]):
-                held.setdefault(bucket, []).append(blob)
-        for bucket, blobs in held.items():
-            own = sorted(b[i : i + 4 * (SPAN + 1)] for b in blobs for i in range(0, len(b), 4 * (SPAN + 1)))
-            order = np.random.default_rng(3).permutation(len(own))
-            yield pd.DataFrame({"bucket": [bucket], "n": [len(own)], "blob": [b"".join(own[k] for k in order)]})
-
     number = (-2 - F.col("bucket")).cast("int")
-    placed = windows.repartitionById(groups * ROUNDS, number)  # a group, or its part, has a bounded size
-    ready = stash(placed.mapInPandas(together, "bucket int, n long, blob binary"), "lm-windows")
-    by_group = ready.groupBy((number % groups).alias("group")).agg(F.sum("n").alias("n"), F.max(F.floor(number / groups)).alias("part"))
+    sized = F.length("blob") / (4 * (SPAN + 1))
+    by_group = windows.groupBy((number % groups).alias("group")).agg(F.sum(sized.cast("long")).alias("n"), F.max(F.floor(number / groups)).alias("part"))
     most, part = by_group.agg(F.max("n"), F.max("part")).head()
     if not most:
         return
     dealt = part > 0
     steps = max(STEPS, -(-most // (WIDE if dealt else BATCH)))
     moments = net.moments()
-    names = sorted(net.w)
+    names, row, whole = sorted(net.w), np.dtype(("<u4", SPAN + 1)), np.dtype((np.void, 4 * (SPAN + 1)))
     sizes = np.cumsum([net.w[k].size for k in names])[:-1]
     rounds = ROUNDS if groups > 1 or dealt else 1
 
@@ -534,18 +702,23 @@ def train(net: Network, windows: DataFrame, groups: int) -> None:
         sent = spark.sparkContext.broadcast((net, moments))
 
         def run(frames, sent=sent, numbers=numbers):
+            held = {}
             for pdf in frames:
-                for bucket, blob in zip(pdf["bucket"], pdf["blob"]):
-                    own, (m, v) = sent.value
-                    own = own.copy()
-                    m, v = ({k: x.copy() for k, x in d.items()} for d in (m, v))
-                    own_windows = np.frombuffer(blob, dtype="<u4").reshape(-1, SPAN + 1).astype(np.int32)
-                    batch = max(BATCH, -(-len(own_windows) // len(numbers))) if dealt else BATCH
-                    own.fit_windows(own_windows, (m, v), numbers, steps, batch=batch)
-                    yield slices(np.concatenate([d[k].ravel() for d in (own.w, m, v) for k in names]).astype("<f4"), bucket)
-
-        now = ready.where(F.floor(number / groups) == k) if dealt else ready
-        total, n = summed(now.select("bucket", "blob").mapInPandas(run, "bucket int, slice int, blob binary"), "<f4")
+                for bucket, blob in zip(pdf["bucket"].tolist(), pdf["blob"]):
+                    held.setdefault(bucket, []).append(np.frombuffer(blob, dtype=row))
+            for bucket, found in held.items():
+                found = np.sort(np.concatenate(found).view(whole).ravel())  # in whatever order rows came
+                found = found[np.random.default_rng(3).permutation(len(found))].view("<u4").reshape(-1, SPAN + 1).astype(np.int32)
+                own, (m, v) = sent.value
+                own = own.copy()
+                m, v = ({k: x.copy() for k, x in d.items()} for d in (m, v))
+                batch = max(BATCH, -(-len(found) // len(numbers))) if dealt else BATCH
+                own.fit_windows(found, (m, v), numbers, steps, batch=batch)
+                yield slices(np.concatenate([d[k].ravel() for d in (own.w, m, v) for k in names]).astype("<f4"), bucket)
+
+        now = windows.where(F.floor(number / groups) == k) if dealt else windows
+        placed = now.select("bucket", "blob").repartitionById(groups, number % groups)  # a group, or its part, has a bounded size
+        total, n = summed(placed.mapInPandas(run, "bucket int, slice int, blob binary"), "<f4")
         if n:
             put(total.reshape(3, -1) / n)
         sent.unpersist()
