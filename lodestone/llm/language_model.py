@@ -169,11 +169,13 @@ class Subwords:
         self.begins = np.zeros(self.end + 1, dtype=bool)
         self.begins[[i for p, i in vocab.items() if p.startswith("Ġ")]] = True  # the blank of a byte-level vocabulary
         self.library.encode_special_tokens = True  # a special token's text is a text like others
-        self.table = WordIds(self.spans, "<u2" if self.end < 1 << 16 else "<u4", limit=2_500_000, spans=True)
-        # PLAIN words are one pre-token and their stop another, so they need no pattern
-        self.plain = Tokenizer.from_str(self.library.to_str())
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.Split(".", "isolated"), pre_tokenizers.Split(",", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.table = WordIds(self.spans, "<u2" if self.end < 1 << 16 else "<u4", spans=True)
         self.merges = Merges.of(json.loads(self.library.to_str()))
+        self.plain = self.library
+        if not self.merges:  # PLAIN words are one pre-token and their stop another, so they need no pattern
+            self.plain = Tokenizer.from_str(self.library.to_str())
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.Split(".", "isolated"), pre_tokenizers.Split(",", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        give_back()
 
     def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """words() of words that stand in data."""
@@ -715,6 +717,7 @@ def train(net: Network, windows: DataFrame, groups: int) -> None:
                 batch = max(BATCH, -(-len(found) // len(numbers))) if dealt else BATCH
                 own.fit_windows(found, (m, v), numbers, steps, batch=batch)
                 yield slices(np.concatenate([d[k].ravel() for d in (own.w, m, v) for k in names]).astype("<f4"), bucket)
+                give_back()
 
         now = windows.where(F.floor(number / groups) == k) if dealt else windows
         placed = now.select("bucket", "blob").repartitionById(groups, number % groups)  # a group, or its part, has a bounded size
